@@ -7,21 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from watchplan.llm import bpe, exact_dedup, near_dedup, token_counts, toxicity, winnow
+from watchplan.llm import bpe, chat, exact_dedup, mixing, near_dedup, pii, sharding, token_counts, toxicity, winnow
 from watchplan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+#: English counts twice, the first domain half as much again as the others; rare sources may be read three times.
+MIX = {"budget_share": 0.6, "max_epochs": 3.0, "weights": {"domain": {"domain0": 1.5}, "lang": {"en": 2.0}}, "seed": 7}
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -7L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.packs(rows.unionByName(extra)))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, sf_dir)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -30,20 +43,29 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), parts=16)
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_toxicity, op5_bpe, op6_token_counts, op8_winnowing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat_prefix_tree, op3_toxicity, op4_mixing, op5_bpe, op6_token_counts, op7_sharding, op8_winnowing, op9_pii_surrogates, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": _MIXING_SQL,
         "op10_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                    count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -51,3 +73,37 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents""",
     }
+
+
+def _deal_sql(source: str, by: str, level: str, out: str) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""
+    {out}_a AS (SELECT *, w.lim / w.weight AS ratio FROM {source} w),
+    {out}_b AS (SELECT *, greatest(0.0, budget - coalesce(sum(lim) OVER ({part}ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+                   / sum(weight) OVER ({part}ORDER BY ratio, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM {out}_a),
+    {out}_c AS (SELECT *, first_value(rate) OVER ({part}ORDER BY (ratio <= rate), ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS common FROM {out}_b),
+    {out} AS (SELECT *, CASE WHEN ratio <= rate THEN lim ELSE least(lim, weight * common) END AS share FROM {out}_c)"""
+
+
+_MIXING_SQL = f"""
+WITH raw AS (
+    SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+           len(list_filter(string_split(translate(coalesce(text, ''), chr(10) || chr(9) || chr(13), '   '), ' '), w -> w <> '')) AS n_tokens
+    FROM documents),
+r AS (SELECT *, CASE WHEN regexp_extract(source, '([0-9]+)$', 1) = '' THEN 'other'
+                     ELSE 'domain' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3 AS VARCHAR) END AS domain FROM raw WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens, CAST(sum(n_tokens) AS DOUBLE) * 3.0 AS lim FROM r GROUP BY ALL),
+d0 AS (SELECT domain, sum(lim) AS lim, CASE WHEN domain = 'domain0' THEN 1.5 ELSE 1.0 END AS weight,
+              0.6 * (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaves) AS budget FROM leaves GROUP BY domain),
+{_deal_sql("d0", "", "domain", "d1").strip()},
+l0 AS (SELECT a.domain, a.lang, a.lim, CASE WHEN a.lang = 'en' THEN 2.0 ELSE 1.0 END AS weight, d1.share AS budget
+       FROM (SELECT domain, lang, sum(lim) AS lim FROM leaves GROUP BY domain, lang) a JOIN d1 ON a.domain = d1.domain),
+{_deal_sql("l0", "domain", "lang", "l1").strip()},
+s0 AS (SELECT a.domain, a.lang, a.source, a.docs, a.tokens, a.lim, 1.0 AS weight, l1.share AS budget FROM leaves a JOIN l1 ON a.domain = l1.domain AND a.lang = l1.lang),
+{_deal_sql("s0", "domain, lang", "source", "s1").strip()},
+plan AS (SELECT domain, lang, source, tokens, CAST(floor(share + 1e-6) AS BIGINT) // tokens AS epochs, CAST(floor(share + 1e-6) AS BIGINT) % tokens AS tail FROM s1),
+placed AS (SELECT r.*, p.epochs, p.tail, md5('7|' || CAST(r.doc_id AS VARCHAR)) AS h
+           FROM r JOIN plan p ON r.domain = p.domain AND r.lang = p.lang AND r.source = p.source),
+run AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(h, 1, 12), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM placed),
+t AS (SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, epochs, CAST(greatest(0, least(n_tokens, tail - before)) AS BIGINT) AS tail_tokens FROM run)
+SELECT *, epochs * n_tokens + tail_tokens AS taken_tokens FROM t WHERE epochs * n_tokens + tail_tokens > 0"""
