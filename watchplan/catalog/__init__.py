@@ -1,10 +1,4 @@
-"""Named queries: name -> (spark, sf_dir) -> DataFrame, and the same in SQL where SQL can say it."""
+"""Named queries over the driver's tables: name -> (spark, sf_dir) -> DataFrame, and the same in SQL where SQL can say it."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from watchplan.catalog import aggregates, decisions, filters, investigation, joins, matching, ranking, scalars, sinks, windows  # noqa: F401
+from watchplan.catalog.registry import ORACLES, QUERIES  # noqa: F401
