@@ -1 +1,76 @@
-"""Queries."""
+"""Queries of vector matching (J-11, M-1..M-3, A-23, T-5, R-1, R-2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchplan.catalog.registry import query
+from watchplan.operators import matching as O
+from watchplan.plans import views as V
+
+_Q = "vec_id % 25 = 0"
+_SIM = "round(list_cosine_similarity(q.v, g.v), 12)"
+
+
+def _parts(spark, d):
+    v = V.vectors(spark, d)
+    return v.where(_Q), v.where(f"NOT ({_Q})")
+
+
+@query("j11_similar_to_one", f"SELECT g.vec_id, round(list_cosine_similarity(q.v, g.v), 6) AS similarity FROM vectors g, (SELECT v FROM vectors WHERE vec_id = 7) q WHERE g.vec_id <> 7 ORDER BY {_SIM} DESC, g.vec_id LIMIT 50")
+def _(spark, d):
+    v = V.vectors(spark, d)
+    one = v.where("vec_id = 7").select(F.col("v").alias("q"))
+    rows = v.where("vec_id <> 7").crossJoin(F.broadcast(one)).withColumn("s", O.cosine(F.col("q"), F.col("v")))  # one row
+    return rows.orderBy(F.round("s", 12).desc(), "vec_id").limit(50).select("vec_id", F.round("s", 6).alias("similarity"))
+
+
+@query("m01_l2_normalised", "SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x) / sqrt(list_dot_product(v, v)))), 8) AS l1 FROM vectors")
+def _(spark, d):
+    unit = O.normalised(F.col("v"))
+    return V.vectors(spark, d).select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + F.abs(x)), 8).alias("l1"))
+
+
+@query("m02_cosine_top_k", f"SELECT query_id, other_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, {_SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND NOT (g.{_Q})) WHERE rank <= 10")
+def _(spark, d):
+    q, g = _parts(spark, d)
+    return O.nearest(q, g, 10).select("query_id", "other_id", F.round("value", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("m03_knn_mean_distance", f"SELECT query_id, round(avg(s) FILTER (WHERE rank <= 1), 6) AS knn_1, round(avg(s) FILTER (WHERE rank <= 5), 6) AS knn_5, round(avg(s), 6) AS knn_10 FROM (SELECT q.vec_id AS query_id, list_distance(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, g.v), 12), g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND NOT (g.{_Q})) WHERE rank <= 10 GROUP BY 1")
+def _(spark, d):
+    q, g = _parts(spark, d)
+    m = O.mean_distance(O.nearest(q, g, 10, "euclidean"), [1, 5, 10])
+    return m.select("query_id", *(F.round(f"knn_{k}", 6).alias(f"knn_{k}") for k in (1, 5, 10)))
+
+
+_TOP = f"""WITH top AS (SELECT query_id, label, max(s) AS best FROM (SELECT q.vec_id AS query_id, g.label, list_cosine_similarity(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND NOT (g.{_Q})) WHERE rank <= 50 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, label) AS n FROM top),
+    two AS (SELECT query_id, max(label) FILTER (WHERE n = 1) AS label, max(best) FILTER (WHERE n = 1) AS similarity, max(label) FILTER (WHERE n = 2) AS second, max(best) FILTER (WHERE n = 1) - max(best) FILTER (WHERE n = 2) AS margin FROM r GROUP BY 1)"""
+
+
+def _two(spark, d):
+    q, g = _parts(spark, d)
+    return O.identities(O.nearest(q, g, 50), g.select(F.col("vec_id").alias("other_id"), "label"))
+
+
+@query("a23_identity_margin", _TOP + " SELECT query_id, label, round(similarity, 6) AS similarity, second, round(margin, 6) AS margin FROM two")
+def _(spark, d):
+    return _two(spark, d).select("query_id", "label", F.round("similarity", 6).alias("similarity"), "second", F.round("margin", 6).alias("margin"))
+
+
+@query("r01_identity_decision", _TOP + " SELECT query_id, label, CASE WHEN similarity >= 0.35 AND coalesce(margin >= 0.03, true) THEN 'match' ELSE 'unknown' END AS decision FROM two")
+def _(spark, d):
+    return O.decision(_two(spark, d), 0.35, 0.03).select("query_id", "label", "decision")
+
+
+@query("r02_auto_learn")
+def _(spark, d):
+    rows = V.logs(spark, d).where("detected_id is not null").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return O.auto_learned(rows, "detected_id", ["at", "id"], "at", "similarity", 0.75, 86400.0, 5, "id")
+
+
+@query("t05_vector_top_k_of_many", f"SELECT query_id, other_id FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND g.vec_id <> q.vec_id) WHERE rank <= 3")
+def _(spark, d):
+    v = V.vectors(spark, d)
+    return O.nearest(v.where(_Q), v, 3).select("query_id", "other_id")

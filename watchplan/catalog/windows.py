@@ -1 +1,164 @@
-"""Queries."""
+"""Queries of ordered operators (W-*, S-2, S-3, S-7 in batch form)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from watchplan.catalog.registry import query
+from watchplan.operators import windows as O
+from watchplan.plans import views as V
+
+BY, ORDER = ["user_id", "event_type"], ["ts", "event_id"]
+_W = "(PARTITION BY user_id, event_type ORDER BY ts, event_id"
+_ALL = f"WINDOW w AS {_W}), f AS {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def _causal_sql(sigma: float) -> str:
+    x = O.weights(sigma, math.ceil(3 * sigma))
+    lag = lambda k: f"lag(score, {k}) OVER w" if k else "score"
+    top = " + ".join(f"coalesce({lag(k)} * {v!r}::DOUBLE, 0)" for k, v in enumerate(x))
+    return f"({top}) / (" + " + ".join(f"CASE WHEN {lag(k)} IS NOT NULL THEN {v!r}::DOUBLE ELSE 0 END" for k, v in enumerate(x)) + ")"
+
+
+def _centred_sql(sigma: float, radius: int, least: int) -> str:
+    x = O.weights(sigma, radius)
+    total = x[0] + 2 * sum(x[1:])
+    terms = [f"score * {x[0] / total!r}::DOUBLE"] + [f"(coalesce(lag(score, {k}) OVER w, first_value(score) OVER f) + coalesce(lead(score, {k}) OVER w, last_value(score) OVER f)) * {x[k] / total!r}::DOUBLE" for k in range(1, radius + 1)]
+    return f"CASE WHEN count(score) OVER f < {least} THEN score ELSE {' + '.join(terms)} END"
+
+
+@query("w01_causal_gaussian", f"SELECT event_id, round({_causal_sql(2.0)}, 8) AS smooth FROM scores WINDOW w AS {_W})")
+def _(spark, d):
+    return V.scores(spark, d).select("event_id", F.round(O.causal_gaussian("score", O.track(BY, ORDER), 2.0), 8).alias("smooth"))
+
+
+@query("w02_centred_gaussian", f"SELECT event_id, round({_centred_sql(1.0, 3, 3)}, 8) AS smooth FROM scores {_ALL}")
+def _(spark, d):
+    return V.scores(spark, d).select("event_id", F.round(O.centred_gaussian("score", BY, O.track(BY, ORDER), 1.0, round(3 * 1.0)), 8).alias("smooth"))
+
+
+@query("w03_centred_gaussian_wide", f"SELECT event_id, round({_centred_sql(1.5, 6, 1)}, 8) AS smooth FROM scores {_ALL}")
+def _(spark, d):
+    return V.scores(spark, d).select("event_id", F.round(O.centred_gaussian("score", BY, O.track(BY, ORDER), 1.5, int(4 * 1.5 + 0.5), least=1), 8).alias("smooth"))
+
+
+_HITS = f"SELECT *, score > 60 AS hit, sum(CASE WHEN score > 60 THEN 1 ELSE 0 END) OVER {_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS lasting FROM scores"
+
+
+def _lasting(spark, d):
+    rows = V.scores(spark, d).withColumn("hit", F.col("score") > 60)
+    return rows.withColumn("lasting", O.persistent(F.col("hit"), O.track(BY, ORDER), 3, 5))
+
+
+@query("w04_persistence", f"SELECT event_id, lasting FROM ({_HITS})")
+def _(spark, d):
+    return _lasting(spark, d).select("event_id", "lasting")
+
+
+@query("w05_persistence_current_hit", f"SELECT event_id, lasting AND hit AS lasting FROM ({_HITS})")
+def _(spark, d):
+    rows = V.scores(spark, d).withColumn("hit", F.col("score") > 60)
+    return rows.select("event_id", O.persistent(F.col("hit"), O.track(BY, ORDER), 3, 5, now_too=True).alias("lasting"))
+
+
+@query("w06_cooldown_events", f"""WITH RECURSIVE h AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS tm, row_number() OVER {_W}) AS n FROM scores WHERE score > 60),
+    r AS (SELECT user_id, event_type, event_id, n, tm AS last, true AS emit FROM h WHERE n = 1
+          UNION ALL SELECT h.user_id, h.event_type, h.event_id, h.n, CASE WHEN h.tm - r.last >= 172800000000 THEN h.tm ELSE r.last END, h.tm - r.last >= 172800000000
+          FROM r JOIN h ON h.user_id = r.user_id AND h.event_type = r.event_type AND h.n = r.n + 1) SELECT user_id, event_type, event_id FROM r WHERE emit""")
+def _(spark, d):
+    hits = V.scores(spark, d).where("score > 60").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return O.cooldown(hits, BY, ["at", "event_id"], "at", 172800.0, "event_id", "user_id long, event_type string")
+
+
+@query("w07_gap_sessions", f"""WITH h AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER {_W})) <= 86400000000 THEN 0 ELSE 1 END AS new FROM scores WHERE score > 60),
+    s AS (SELECT *, sum(new) OVER {_W}) AS session FROM h) SELECT user_id, event_type, min(ts) AS start, max(ts) AS "end", count(*) AS rows, max(score) AS top, round(avg(score), 9) AS mean FROM s GROUP BY user_id, event_type, session""")
+def _(spark, d):
+    s = O.gap_sessions(V.scores(spark, d).where("score > 60"), BY, ORDER, "ts", 86400.0, "score")
+    return s.select(*BY, "start", "end", "rows", "top", F.round("mean", 9).alias("mean"))
+
+
+@query("w08_rising_edges", f"SELECT event_id FROM (SELECT event_id, lasting AND NOT coalesce(lag(lasting) OVER {_W}), false) AS rises FROM ({_HITS})) WHERE rises")
+def _(spark, d):
+    return _lasting(spark, d).withColumn("rises", O.rising_edge("lasting", O.track(BY, ORDER))).where("rises").select("event_id")
+
+
+@query("w09_longest_run", f"""WITH h AS ({_HITS}), i AS (SELECT user_id, event_type, hit, row_number() OVER {_W}) - row_number() OVER (PARTITION BY user_id, event_type, hit ORDER BY ts, event_id) AS run FROM h),
+    n AS (SELECT user_id, event_type, hit, run, count(*) AS n FROM i GROUP BY ALL) SELECT user_id, event_type, coalesce(max(n) FILTER (WHERE hit), 0) AS longest FROM n GROUP BY 1, 2""")
+def _(spark, d):
+    return O.longest_run(V.scores(spark, d).withColumn("hit", F.col("score") > 60), BY, ORDER, "hit")
+
+
+@query("w10_strided_windows", f"""SELECT user_id, event_type, start_index, ids, total FROM (SELECT user_id, event_type, row_number() OVER {_W}) - 8 AS start_index, list(event_id) OVER {_W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS ids,
+    round(sum(score) OVER {_W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS total FROM scores) WHERE start_index >= 0 AND start_index % 3 = 0""")
+def _(spark, d):
+    s = O.strided(V.scores(spark, d), BY, ORDER, 8, 3, ["event_id", "score"])
+    total = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x["score"])
+    return s.select(*BY, F.col("start_index").cast("long").alias("start_index"), F.transform("rows", lambda r: r["event_id"]).alias("ids"), F.round(total, 6).alias("total"))
+
+
+@query("w10a_live_stride")
+def _(spark, d):
+    return O.strided_by_gap(V.scores(spark, d).withColumn("index", F.col("event_id")), BY, ["index", "event_id"], "index", 8, 200, "event_id", "user_id long, event_type string")
+
+
+@query("w11_track_segments", f"SELECT event_id, CAST(sum(new) OVER {_W}) AS BIGINT) AS segment FROM (SELECT *, CASE WHEN event_id - lag(event_id) OVER {_W}) <= 501 THEN 0 ELSE 1 END AS new FROM scores)")
+def _(spark, d):
+    return O.segments(V.scores(spark, d), BY, ORDER, "event_id", 500).select("event_id", F.col("segment").cast("long").alias("segment"))
+
+
+@query("w12_lag_deltas", f"SELECT event_id, round(score - lag(score) OVER {_W}), 9) AS step, round(CASE WHEN lag(score) OVER {_W}) IS NULL THEN 1 ELSE least(score, lag(score) OVER {_W})) / greatest(score, lag(score) OVER {_W})) END, 9) AS overlap FROM scores")
+def _(spark, d):
+    before = F.lag("score").over(O.track(BY, ORDER))
+    overlap = F.when(before.isNull(), F.lit(1.0)).otherwise(F.least("score", before) / F.greatest("score", before))
+    return V.scores(spark, d).select("event_id", F.round(F.col("score") - before, 9).alias("step"), F.round(overlap, 9).alias("overlap"))
+
+
+@query("w13_carried_observation", f"""SELECT event_id, CASE WHEN event_id - last_value(tm IGNORE NULLS) OVER w <= 2000 THEN last_value(v IGNORE NULLS) OVER w END AS carried
+    FROM (SELECT *, CASE WHEN score > 50 THEN score END AS v, CASE WHEN score > 50 THEN event_id END AS tm FROM scores) WINDOW w AS {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    rows = V.scores(spark, d).withColumn("v", F.when(F.col("score") > 50, F.col("score")))
+    return rows.select("event_id", O.carried("v", "event_id", O.track(BY, ORDER), 2000).alias("carried"))
+
+
+@query("w14_null_repair", f"""SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER {_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v
+    FROM (SELECT *, CASE WHEN score > 50 THEN score END AS v FROM scores)""")
+def _(spark, d):
+    rows = V.scores(spark, d).withColumn("v", F.when(F.col("score") > 50, F.col("score")))
+    return rows.select("event_id", O.repaired("v", O.track(BY, ORDER)).alias("v"))
+
+
+@query("w15_median_filter", f"""SELECT event_id, round(list_median, 9) AS smooth FROM (SELECT event_id, list_aggregate(list(score) OVER {_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 'median') AS list_median FROM scores)""")
+def _(spark, d):
+    frame = O.track(BY, ORDER).rowsBetween(-2, 2)
+    s = F.array_sort(F.collect_list("score").over(frame))
+    n = F.size(s)
+    mid = (F.element_at(s, ((n + 1) / 2).cast("int")) + F.element_at(s, ((n + 2) / 2).cast("int"))) / 2
+    return V.scores(spark, d).select("event_id", F.round(mid, 9).alias("smooth"))
+
+
+@query("w16_first_seen_order", f"SELECT user_id, list(event_type ORDER BY tm, event_type) AS seen FROM (SELECT user_id, event_type, min(ts) AS tm FROM scores GROUP BY 1, 2) GROUP BY 1")
+def _(spark, d):
+    first = V.scores(spark, d).groupBy("user_id", "event_type").agg(F.min("ts").alias("at"))
+    kinds = F.sort_array(F.collect_list(F.struct("at", "event_type")))
+    return first.groupBy("user_id").agg(kinds.alias("k")).select("user_id", F.transform("k", lambda x: x["event_type"]).alias("seen"))
+
+
+@query("w18_last_points", "SELECT event_id, ts, score FROM (SELECT * FROM scores ORDER BY ts DESC, event_id DESC LIMIT 200) ORDER BY ts")
+def _(spark, d):
+    return V.scores(spark, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "ts", "score").orderBy("ts", "event_id")
+
+
+@query("s07_debounced")
+def _(spark, d):
+    rows = V.scores(spark, d).withColumn("hit", F.col("score") > 40).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return O.debounced(rows, BY, ["at", "event_id"], "hit", 4, "event_id", "user_id long, event_type string")
+
+
+@query("s09_immobile", """SELECT event_id, max(value) OVER w - min(value) OVER w < 10 AND count(*) OVER w > 1 AS still FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-7_200_000_000, 0)
+    return V.table(spark, d, "events").select("event_id", ((F.max("value").over(w) - F.min("value").over(w) < 10) & (F.count(F.lit(1)).over(w) > 1)).alias("still"))
