@@ -1 +1,96 @@
-"""Queries."""
+"""Queries of decisions (R-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchplan.catalog.registry import query
+from watchplan.operators import decisions as O
+from watchplan.plans import views as V
+
+KEY = ["case_id", "seq", "price"]
+_RATIO = "CASE WHEN threshold > 0 THEN score / threshold END"
+
+
+def _ratio():
+    return F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold"))
+
+
+@query("r03_final_decision", "SELECT case_id, seq, price, upper(coalesce(CASE WHEN part % 5 = 0 THEN NULL ELSE decision END, CASE WHEN part % 7 = 0 THEN 'yes' END, 'FAILED')) AS decision FROM results")
+def _(spark, d):
+    a = F.when(F.col("part") % 5 == 0, F.lit("  ")).otherwise(F.col("decision"))
+    return V.results(spark, d).select(*KEY, O.final_decision(a, F.when(F.col("part") % 7 == 0, "yes")).alias("decision"))
+
+
+_G = f"""SELECT *, decision = 'YES' AND coalesce({_RATIO} < 1.0, true) AS g1, decision = 'YES' AND part % 2 = 1 AS g2, decision = 'YES' AND gate = 'homography_macro' AS g3 FROM results"""
+
+
+@query("r04_guardrails", f"""SELECT case_id, seq, price, list_filter([CASE WHEN g1 THEN 'no_trigger' END, CASE WHEN g2 THEN 'no_visual_evidence' END, CASE WHEN g3 THEN 'context_gate' END], lambda x: x IS NOT NULL) AS guards,
+    least(confidence, CASE WHEN g1 THEN 0.45::DOUBLE ELSE 9 END, CASE WHEN g2 THEN 0.4::DOUBLE ELSE 9 END, CASE WHEN g3 THEN 0.3::DOUBLE ELSE 9 END) AS guarded_confidence,
+    CASE WHEN coalesce(g1 OR g2 OR g3, false) THEN 'UNCERTAIN' ELSE decision END AS guarded_decision,
+    CASE WHEN decision = 'YES' AND NOT (g1 OR g2 OR g3) THEN upper(severity) WHEN severity = 'HIGH' THEN 'MEDIUM' ELSE upper(severity) END AS guarded_severity,
+    CASE WHEN decision = 'YES' AND NOT (g1 OR g2 OR g3) THEN 'NOTIFY' WHEN decision = 'NO' THEN 'DISMISS' WHEN decision IS NULL THEN 'RETRY' ELSE 'REVIEW' END AS action FROM ({_G})""")
+def _(spark, d):
+    checks = [("no_trigger", F.coalesce(_ratio() < 1.0, F.lit(True)), 0.45), ("no_visual_evidence", F.col("part") % 2 == 1, 0.4), ("context_gate", F.col("gate") == "homography_macro", 0.3)]
+    return O.guarded(V.results(spark, d), "decision", "confidence", "severity", checks).select(*KEY, "guards", "guarded_confidence", "guarded_decision", "guarded_severity", "action")
+
+
+@query("r05_rule_types", "SELECT * FROM (VALUES ('Alert', 'trigger'), (' ignore ', 'suppress'), ('whitelist', 'suppress'), ('note', 'context'), ('?', 'context')) AS t(said, kind)")
+def _(spark, d):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, ("Alert", " ignore ", "whitelist", "note", "?")))).alias("said")).withColumn("kind", O.rule_type(F.col("said")))
+
+
+@query("r06_event_type_of_rules", "SELECT case_id, coalesce(min_by(gate, seq * 1000000 + price) FILTER (WHERE decision = 'YES'), 'unclassified') AS event FROM results GROUP BY 1")
+def _(spark, d):
+    first = F.min(F.when(F.col("decision") == "YES", F.struct((F.col("seq") * 1000000 + F.col("price")).alias("o"), "gate")))
+    return V.results(spark, d).groupBy("case_id").agg(first.alias("f")).select("case_id", F.coalesce("f.gate", F.lit("unclassified")).alias("event"))
+
+
+@query("r07_queue_predicate", f"SELECT case_id, seq, price, CASE WHEN gate NOT IN ('pose', 'deep') THEN 'gate_not_enabled' WHEN NOT (seq >= 2) THEN 'not_persistent' WHEN {_RATIO} IS NULL OR {_RATIO} < 1.15 THEN 'low_ratio' WHEN NOT (part % 3 < 2 AND supp % 2 = 0) THEN 'no_evidence' END AS reason FROM results")
+def _(spark, d):
+    reason = O.queue_reason(F.col("gate"), F.col("seq") >= 2, _ratio(), (F.col("part") % 3 < 2) & (F.col("supp") % 2 == 0), 1.15, ["pose", "deep"])
+    return V.results(spark, d).select(*KEY, reason.alias("reason"))
+
+
+@query("r08_suitability", """SELECT split, CASE WHEN (ks > 0.30)::INT + (top_share > 0.8)::INT + (removed > 0.05)::INT > 0 THEN 'not_proven' WHEN (ks > 0.15)::INT + (top_share > 0.5)::INT + (removed > 0.01)::INT >= 2 THEN 'promising_with_review' ELSE 'suitable' END AS verdict
+    FROM (SELECT event_type AS split, count(*) FILTER (WHERE value < 1) / count(*) AS removed, count(*) FILTER (WHERE value > 60) / count(*) AS ks, count(*) FILTER (WHERE value < 120) / count(*) AS top_share FROM logs GROUP BY 1)""")
+def _(spark, d):
+    share = lambda c: F.count_if(c) / F.count(F.lit(1))
+    r = V.logs(spark, d).groupBy(F.col("event_type").alias("split")).agg(share(F.col("value") < 1).alias("removed"), share(F.col("value") > 60).alias("ks"), share(F.col("value") < 120).alias("top_share"))
+    figures = {"removed": F.col("removed"), "ks": F.col("ks"), "events": F.lit(0), "correlation": F.lit(0.1), "top_share": F.col("top_share")}
+    return r.select("split", O.suitability(figures).alias("verdict"))
+
+
+@query("r10_split_evidence", "SELECT case_id, seq, price, ['person near door'] || CASE WHEN part % 2 = 0 THEN ['bag left'] ELSE [] END AS visual, ['score above threshold'] AS risk FROM results WHERE case_id % 40 = 0")
+def _(spark, d):
+    said = F.concat(F.array(F.lit("person near door"), F.lit("score above threshold")), F.when(F.col("part") % 2 == 0, F.array(F.lit("bag left"))).otherwise(F.array().cast("array<string>")))
+    visual, risk = O.split_evidence(said)
+    return V.results(spark, d).where("case_id % 40 = 0").select(*KEY, visual.alias("visual"), risk.alias("risk"))
+
+
+@query("r11_evidence_keys", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a/peak_2.jpg', 'a/peak_10.png'] ELSE ['a/x_9.jpg', 'a/x_1.jpg'] END AS keys FROM events WHERE event_id < 600")
+def _(spark, d):
+    with_role = F.array(*map(F.lit, ("a/peak_10.png", "a/peak_2.jpg", "a/other.txt", "a/peak_10.png", "a/x_1.jpg")))
+    without = F.array(*map(F.lit, ("a/x_9.jpg", "a/x_1.jpg", "a/clip.mp4", "a/x_9.jpg")))
+    keys = F.when(F.col("event_id") % 3 == 0, with_role).otherwise(without)
+    return V.table(spark, d, "events").where("event_id < 600").select("event_id", O.evidence_keys(keys, ["peak"], 4).alias("keys"))
+
+
+@query("r13_candidate_choice", """WITH c AS (SELECT case_id, seq, price, score / 50 AS iou, confidence / 4 AS dist, confidence AS conf, (part % 10) / 10 AS valid FROM results),
+    s AS (SELECT *, 3 * iou - 2 * dist + 0.5 * conf + 0.25 * valid AS z, count(*) OVER (PARTITION BY case_id) AS n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(z, 9) DESC, price) AS k FROM s)
+    SELECT case_id, price, CASE WHEN iou < 0.2 THEN 'low_iou' WHEN n > 1 AND (iou < 0.45 OR conf < 0.55 OR valid < 0.85) THEN 'ambiguous' ELSE 'accepted' END AS verdict FROM r WHERE k = 1""")
+def _(spark, d):
+    c = V.results(spark, d).select("case_id", "price", (F.col("score") / 50).alias("iou"), (F.col("confidence") / 4).alias("dist"), F.col("confidence").alias("conf"), ((F.col("part") % 10) / 10).alias("valid"))
+    return O.best_candidate(c, ["case_id"], "iou", "dist", "conf", "valid", "price").select("case_id", "price", "verdict")
+
+
+@query("r14_event_construction", "SELECT id AS event_id, 'session:' || camera_id || ':deep:track:' || track_id || ':' || id || '-' || (id + 15) AS key, CASE WHEN id % 3 = 0 THEN 'medium' ELSE 'low' END AS severity, score AS peak_score FROM cases")
+def _(spark, d):
+    i = F.col("id")
+    key = F.concat_ws(":", F.lit("session"), "camera_id", F.lit("deep"), F.lit("track"), "track_id", F.concat_ws("-", i, i + 15))
+    return V.cases(spark, d).select(i.alias("event_id"), key.alias("key"), F.when(i % 3 == 0, "medium").otherwise("low").alias("severity"), F.col("score").alias("peak_score"))
+
+
+@query("r15_short_circuit", "SELECT case_id, seq, price, decision = 'NO' AND confidence >= 0.8 AS skips FROM results WHERE decision IS NOT NULL")
+def _(spark, d):
+    return V.results(spark, d).where("decision is not null").select(*KEY, ((F.col("decision") == "NO") & (F.col("confidence") >= 0.8)).alias("skips"))

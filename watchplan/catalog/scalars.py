@@ -1 +1,177 @@
-"""Queries."""
+"""Queries of scalar functions (S*, D*, M-8, M-13..M-19, JS*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchplan.catalog.registry import query
+from watchplan.functions import geometry as G
+from watchplan.functions import text as T
+from watchplan.functions import time as D
+from watchplan.plans import views as V
+
+
+@query("sc01_coalesce_chain", "SELECT id, coalesce(nullif(employee_name, ''), nullif(visitor_name, ''), name, 'Unknown') AS label FROM people")
+def _(spark, d):
+    return V.people(spark, d).select("id", F.coalesce(F.nullif("employee_name", F.lit("")), F.nullif("visitor_name", F.lit("")), "name", F.lit("Unknown")).alias("label"))
+
+
+@query("sc03_squeezed", "SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(text, '[^\\x20-\\x7e\\n]', '', 'g'), '\\s+', ' ', 'g')))) AS h FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    ascii_ = F.regexp_replace("text", r"[^\x20-\x7e\n]", "")
+    return V.table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.squeezed(ascii_).cast("binary")).alias("h"))
+
+
+@query("sc04_keywords", "SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z_]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'was', 'that', 'this', 'from')))) AS words FROM benchmark")
+def _(spark, d):
+    return V.table(spark, d, "benchmark").select("item_id", F.array_sort(T.keywords(F.col("text"))).alias("words"))
+
+
+@query("sc05_word_set", "SELECT item_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]\"'']+|[.,;:!?()\\[\\]\"'']+$', '', 'g')), lambda w: w <> ''))) AS words FROM benchmark")
+def _(spark, d):
+    return V.table(spark, d, "benchmark").select("item_id", F.array_sort(T.word_set(F.col("text"))).alias("words"))
+
+
+@query("sc06_frame_index", "SELECT page_id, CASE WHEN regexp_extract(url, '([0-9]+)[^0-9]*$', 1) = '' THEN 1000000000 ELSE CAST(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) AS BIGINT) END AS idx FROM pages")
+def _(spark, d):
+    return V.table(spark, d, "pages").select("page_id", T.frame_index(F.col("url")).alias("idx"))
+
+
+@query("sc08_object_reference", "SELECT page_id, split_part(substr(r, 6), '/', 1) AS bucket, substr(r, 7 + length(split_part(substr(r, 6), '/', 1))) AS key FROM (SELECT page_id, 's3://evidence-' || page_id % 3 || '/faces/' || page_id || '.jpg' AS r FROM pages)")
+def _(spark, d):
+    r = F.concat(F.lit("s3://evidence-"), (F.col("page_id") % 3).cast("string"), F.lit("/faces/"), F.col("page_id").cast("string"), F.lit(".jpg"))
+    bucket, key = T.object_reference(r)
+    return V.table(spark, d, "pages").select("page_id", bucket.alias("bucket"), key.alias("key"))
+
+
+@query("sc09_gate_name", "SELECT gate, CASE WHEN contains(gate, 'homography') THEN 'homography' ELSE gate END AS name, count(*) AS n FROM results GROUP BY 1, 2")
+def _(spark, d):
+    return V.results(spark, d).groupBy("gate", T.gate_name(F.col("gate")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sc11_labels", "SELECT id, 'session:' || camera_id || ':pose:track:' || track_id || ':' || id || '-' || (id + 7) AS key FROM cases")
+def _(spark, d):
+    return V.cases(spark, d).select("id", F.format_string("session:%d:pose:track:%d:%d-%d", "camera_id", "track_id", "id", F.col("id") + 7).alias("key"))
+
+
+@query("sc12_label_from_path", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 0 WHEN starts_with(url, 'https://') THEN 1 END AS label FROM pages")
+def _(spark, d):
+    return V.table(spark, d, "pages").select("page_id", F.when(F.col("url").contains("/en/"), 0).when(F.col("url").startswith("https://"), 1).alias("label"))
+
+
+@query("sc13_lenient_json", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events WHERE event_id < 900")
+def _(spark, d):
+    i = F.col("event_id").cast("string")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n{\"k\": "), i, F.lit("}\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Result: {\"k\": "), i, F.lit(",}."))).otherwise(F.lit("no object here"))
+    return V.table(spark, d, "events").where("event_id < 900").select("event_id", T.lenient_json(raw).alias("json"))
+
+
+@query("sc14_vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(v[1:4], lambda x: printf('%.6f', x)), ',') || ']' AS literal FROM vectors")
+def _(spark, d):
+    return V.vectors(spark, d).select("vec_id", T.vector_literal(F.slice("v", 1, 4), 6).alias("literal"))
+
+
+@query("sc15_content_hash", "SELECT page_id, sha256(html) AS sha FROM pages")
+def _(spark, d):
+    return V.table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
+
+
+@query("d05_interval_ms", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id % 60) * 1000.0 + 500 WHEN 1 THEN (3600 + (event_id % 60) * 60 + 7.25) * 1000 ELSE CAST(event_id AS DOUBLE) END AS ms FROM events")
+def _(spark, d):
+    m = (F.col("event_id") % 60).cast("string")
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("PT"), m, F.lit(".5S"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("01:"), m, F.lit(":07.250"))).otherwise(F.col("event_id").cast("string"))
+    return V.table(spark, d, "events").select("event_id", D.duration_ms(said).alias("ms"))
+
+
+@query("d08_relative_dates", "SELECT * FROM (VALUES ('today', DATE '2024-01-31'), ('Yesterday', DATE '2024-01-30'), ('2024-01-05', DATE '2024-01-05'), ('soon', DATE '2024-01-31')) AS t(said, day)")
+def _(spark, d):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, ("today", "Yesterday", "2024-01-05", "soon")))).alias("said")).withColumn("day", D.relative_date(F.col("said"), "2024-01-31"))
+
+
+@query("d10_frame_seconds", "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_id / CAST(event_id % 4 AS DOUBLE) END AS sec FROM events")
+def _(spark, d):
+    return V.table(spark, d, "events").select("event_id", D.frame_seconds(F.col("event_id"), (F.col("event_id") % 4).cast("double")).alias("sec"))
+
+
+_BOXES = "SELECT event_id, CAST(event_id % 40 AS DOUBLE) AS ax, CAST(event_id % 30 AS DOUBLE) AS ay, CAST(event_id % 40 + 20 AS DOUBLE) AS az, CAST(event_id % 30 + 15 AS DOUBLE) AS aw, CAST(event_id % 37 AS DOUBLE) AS bx, CAST(event_id % 23 AS DOUBLE) AS \"by\", CAST(event_id % 37 + 25 AS DOUBLE) AS bz, CAST(event_id % 23 + 10 AS DOUBLE) AS bw FROM events"
+
+
+@query("m13_iou", f"WITH b AS ({_BOXES}), i AS (SELECT event_id, greatest(0, least(az, bz) - greatest(ax, bx)) * greatest(0, least(aw, bw) - greatest(ay, \"by\")) AS n FROM b) SELECT event_id, round(n / (20.0::DOUBLE * 15 + 25 * 10 - n), 9) AS iou FROM i")
+def _(spark, d):
+    i = F.col("event_id")
+    a = tuple(x.cast("double") for x in (i % 40, i % 30, i % 40 + 20, i % 30 + 15))
+    b = tuple(x.cast("double") for x in (i % 37, i % 23, i % 37 + 25, i % 23 + 10))
+    return V.table(spark, d, "events").select("event_id", F.round(G.iou(a, b), 9).alias("iou"))
+
+
+@query("m14_boxes", f"WITH b AS ({_BOXES}) SELECT event_id, greatest(0, ax - 2) AS x1, greatest(0, ay - 1.5) AS y1, least(50, az + 2) AS x2, least(40, aw + 1.5) AS y2, (ax + az) / 2 AS cx FROM b")
+def _(spark, d):
+    i = F.col("event_id")
+    a = tuple(x.cast("double") for x in (i % 40, i % 30, i % 40 + 20, i % 30 + 15))
+    c = G.clamped(a, 50, 40, 0.1)
+    return V.table(spark, d, "events").select("event_id", *(x.alias(n) for x, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True)), G.bottom_centre(a)[0].alias("cx"))
+
+
+@query("m15_angle_wrap", "SELECT event_id, round(atan2(sin(value), cos(value)), 7) AS wrapped, round(atan2(sin(value), cos(value)), 7) AS wrapped2 FROM events WHERE abs(cos(value) + 1) > 1e-6")
+def _(spark, d):
+    v = F.col("value")
+    return V.table(spark, d, "events").where(F.abs(F.cos(v) + 1) > 1e-6).select("event_id", F.round(G.wrapped_modulo(v), 7).alias("wrapped"), F.round(G.wrapped_atan2(v), 7).alias("wrapped2"))
+
+
+@query("m16_score_ratio", "SELECT case_id, seq, price, CASE WHEN threshold > 0 THEN score / threshold ELSE CASE WHEN confidence > 0 THEN confidence END END AS ratio, CASE WHEN threshold > 0 AND score / threshold < 1.15 THEN 'weak' WHEN threshold > 0 AND score / threshold < 1.5 THEN 'moderate' WHEN threshold > 0 THEN 'strong' END AS band FROM results")
+def _(spark, d):
+    ratio = F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold"))
+    band = F.when(ratio < 1.15, "weak").when(ratio < 1.5, "moderate").when(ratio.isNotNull(), "strong")
+    return V.results(spark, d).select("case_id", "seq", "price", F.coalesce(ratio, F.when(F.col("confidence") > 0, F.col("confidence"))).alias("ratio"), band.alias("band"))
+
+
+_H = [[1.5, 0.1, 3.0], [-0.2, 0.9, 1.0], [0.001, 0.002, 1.0]]
+
+
+@query("m08_homography", "SELECT event_id, round((1.5 * x + 0.1 * y + 3.0) / w, 7) AS u, round((-0.2 * x + 0.9 * y + 1.0) / w, 7) AS v FROM (SELECT event_id, value AS x, CAST(user_id AS DOUBLE) AS y, 0.001 * value + 0.002 * user_id + 1.0 AS w FROM events)")
+def _(spark, d):
+    u, v = G.projected(_H, F.col("value"), F.col("user_id").cast("double"))
+    return V.table(spark, d, "events").select("event_id", F.round(u, 7).alias("u"), F.round(v, 7).alias("v"))
+
+
+@query("m19_in_polygon", "SELECT event_id, (x > 10 AND x < 60 AND y > 20 AND y < 90) AS inside FROM (SELECT event_id, value + 0.003 AS x, user_id + 0.5 AS y FROM events)")
+def _(spark, d):
+    p = G.in_polygon(F.col("value") + 0.003, F.col("user_id") + 0.5, [(10.0, 20.0), (60.0, 20.0), (60.0, 90.0), (10.0, 90.0)])
+    return V.table(spark, d, "events").select("event_id", p.alias("inside"))
+
+
+@query("m21_safe_casts", "SELECT c_custkey AS id, coalesce(TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE CAST(c_acctbal AS VARCHAR) END AS DOUBLE), -1) AS value FROM customer")
+def _(spark, d):
+    raw = F.when(F.col("c_custkey") % 3 == 0, "x").when(F.col("c_custkey") % 3 == 1, F.col("c_acctbal").cast("string")).otherwise(F.col("c_acctbal").cast("string"))
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(F.nanvl(raw.try_cast("double"), F.lit(None).cast("double")), F.lit(-1.0)).alias("value"))
+
+
+@query("js01_nested_extract", "SELECT event_id, CAST(json_extract_string('{\"a\": {\"b\": ' || json_extract_string(props, '$.k') || '}}', '$.a.b') AS BIGINT) AS b FROM events")
+def _(spark, d):
+    doc = F.concat(F.lit('{"a": {"b": '), F.get_json_object("props", "$.k"), F.lit("}}"))
+    return V.table(spark, d, "events").select("event_id", F.get_json_object(doc, "$.a.b").cast("long").alias("b"))
+
+
+@query("js02_list_or_object", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS keys FROM events WHERE event_id < 500")
+def _(spark, d):
+    doc = F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.lit('{"keys": ["c"]}'))
+    keys = F.coalesce(F.when(doc.startswith("["), F.from_json(doc, "array<string>")), F.from_json(doc, "keys array<string>")["keys"])
+    return V.table(spark, d, "events").where("event_id < 500").select("event_id", keys.alias("keys"))
+
+
+@query("js03_json_merge", "SELECT event_id, 'new' AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 3 AS size FROM events")
+def _(spark, d):
+    left = F.create_map(F.lit("a"), F.lit("old"), F.lit("k"), F.get_json_object("props", "$.k"))
+    both = T.merged(left, F.create_map(F.lit("a"), F.lit("new"), F.lit("z"), F.lit("1")))
+    return V.table(spark, d, "events").select("event_id", both["a"].alias("a"), both["k"].cast("long").alias("k"), F.size(both).alias("size"))
+
+
+@query("js05_array_membership", "SELECT user_id, list_contains(kinds, 'error') AS has_error FROM (SELECT user_id, list(DISTINCT event_type) AS kinds FROM events GROUP BY 1)")
+def _(spark, d):
+    return V.table(spark, d, "events").groupBy("user_id").agg(F.array_contains(F.collect_set("event_type"), "error").alias("has_error"))
+
+
+@query("r12_write_intent", "SELECT * FROM (VALUES ('delete the camera', true), ('who was deleted yesterday', false), ('show all logs', false), ('add a rule', true), ('when was the rule added', false)) AS t(question, writes)")
+def _(spark, d):
+    q = ("delete the camera", "who was deleted yesterday", "show all logs", "add a rule", "when was the rule added")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, q))).alias("question")).withColumn("writes", T.write_intent(F.col("question")))

@@ -1 +1,75 @@
-"""Queries."""
+"""Queries of mutations and sinks (SNK-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchplan.catalog.registry import query
+from watchplan.functions import text as T
+from watchplan.operators import mutations as O
+from watchplan.plans import views as V
+
+
+@query("snk02_insert_if_missing", "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def _(spark, d):
+    new = V.table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    return O.missing(new, V.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")), ["id"])
+
+
+@query("snk03_upsert", """WITH a AS (SELECT user_id AS id, ts, event_id, value AS confidence, CASE WHEN event_id % 3 = 0 THEN event_type END AS label FROM events),
+    l AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS n FROM a WHERE label IS NOT NULL)
+    SELECT g.id, g.confidence, l.label, g.versions FROM (SELECT id, max(confidence) AS confidence, count(*) AS versions FROM a GROUP BY 1) g LEFT JOIN l ON l.id = g.id AND l.n = 1""")
+def _(spark, d):
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("id"), "ts", "event_id", F.col("value").alias("confidence"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("label"))
+    return O.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["id"], ["ts", "event_id"], ["confidence"], ["label"]).select("id", "confidence", "label", "versions")
+
+
+@query("snk04_counters", "SELECT user_id, event_type, count(*) AS detection_count FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return V.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("detection_count"))
+
+
+@query("snk05_expiry", "SELECT user_id, CASE WHEN max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 12 HOUR THEN 'lost' ELSE 'active' END AS state FROM events GROUP BY 1")
+def _(spark, d):
+    last = V.table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("seen"))
+    return last.select("user_id", O.expired(last, "seen", F.lit("2024-01-31").cast("timestamp_ntz"), "12 HOURS").alias("state"))
+
+
+@query("snk06_requeue", "SELECT case_id, seq, price, CASE WHEN decision IS NULL AND seq < 3 THEN 'queued' WHEN decision IS NULL THEN 'dead' ELSE 'done' END AS status FROM results")
+def _(spark, d):
+    status = F.when(F.col("decision").isNull(), "failed").otherwise("done")
+    return V.results(spark, d).select("case_id", "seq", "price", O.requeued(status, F.col("seq"), 3).alias("status"))
+
+
+@query("snk07_claim", "SELECT id, CAST((n - 1) % 4 AS INTEGER) AS worker FROM (SELECT id, row_number() OVER (ORDER BY CASE priority WHEN '1-URGENT' THEN 0 ELSE 1 END, start_ts, id) AS n FROM cases WHERE status = 'open') WHERE n <= 40")
+def _(spark, d):
+    jobs = V.cases(spark, d).where("status = 'open'")
+    return O.claimed(jobs, [F.when(F.col("priority") == "1-URGENT", 0).otherwise(1).asc(), F.col("start_ts").asc(), F.col("id").asc()], 4, 10).select("id", "worker")
+
+
+@query("snk08_prune", "SELECT event_id FROM (SELECT event_id, event_type = 'purchase' AS kept, row_number() OVER (PARTITION BY user_id, event_type <> 'purchase' ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE kept OR n <= 10")
+def _(spark, d):
+    return O.pruned(V.table(spark, d, "events"), ["user_id"], F.col("event_type") != "purchase", [F.desc("ts"), F.desc("event_id")], 10).select("event_id")
+
+
+@query("snk09_insert_select", "SELECT id, coalesce(name, 'Person ' || id) AS name, CASE WHEN employee_name IS NULL THEN 'enrolled from an unknown face' ELSE 'employee' END AS note FROM people WHERE visitor_name IS NULL")
+def _(spark, d):
+    return V.people(spark, d).where("visitor_name is null").select("id", F.coalesce("name", F.format_string("Person %d", "id")).alias("name"), F.when(F.col("employee_name").isNull(), "enrolled from an unknown face").otherwise("employee").alias("note"))
+
+
+@query("snk15_object_key", "SELECT id, 'faces/cam_' || camera_id || '/' || id || '.jpg' AS key FROM logs")
+def _(spark, d):
+    return V.logs(spark, d).select("id", T.object_key(F.col("camera_id"), F.col("id"), "jpg").alias("key"))
+
+
+@query("snk16_incremental_sync", "SELECT page_id AS key, md5(html) AS tag FROM pages WHERE page_id % 3 <> 0 OR page_id % 5 = 0")
+def _(spark, d):
+    p = V.table(spark, d, "pages").select(F.col("page_id").alias("key"), F.md5(F.col("html").cast("binary")).alias("tag"))
+    old = p.where("key % 3 = 0").withColumn("tag", F.when(F.col("key") % 5 == 0, "older").otherwise(F.col("tag")))
+    return O.to_sync(p, old, "key", "tag")
+
+
+@query("snk17_sanitised", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS value FROM events")
+def _(spark, d):
+    odd = F.when(F.col("event_id") % 3 == 0, F.col("value")).when(F.col("event_id") % 3 == 1, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return V.table(spark, d, "events").select("event_id", T.finite(odd).alias("value"))
