@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from watchplan.operators import windows as W
 
-T = W.track(["g"], ["t"])
+def track():
+    return W.track(["g"], ["t"])
 
 
 def series(spark, values):
@@ -32,7 +33,7 @@ def causal(values, sigma):
 @pytest.mark.parametrize("sigma", [0, 1, 2])
 @pytest.mark.parametrize("values", [[0, 0, 10, 0, 0], [3], [1, 2], [1, None, 4, 9]])
 def test_causal_gaussian(spark, values, sigma):
-    out = got(series(spark, values).withColumn("s", W.causal_gaussian("v", T, sigma)), "s")
+    out = got(series(spark, values).withColumn("s", W.causal_gaussian("v", track(), sigma)), "s")
     for a, b in zip(out, causal(values, sigma), strict=True):
         assert a == b or abs(a - b) < 1e-12
 
@@ -43,14 +44,14 @@ def test_centred_gaussian(spark, values):
     x = np.pad(np.array(values, float), r, mode="edge")
     w = np.exp(-(np.arange(-r, r + 1) ** 2) / 2)
     want = np.convolve(x, w / w.sum(), "valid") if len(values) > 2 else np.array(values, float)
-    out = got(series(spark, values).withColumn("s", W.centred_gaussian("v", ["g"], T, sigma, r)), "s")
+    out = got(series(spark, values).withColumn("s", W.centred_gaussian("v", ["g"], track(), sigma, r)), "s")
     assert np.allclose(out, want)
 
 
 def test_persistence(spark):
     df = series(spark, [1, 0, 1, 1, 0, 0, 0, 1]).withColumn("h", F.col("v") > 0)
-    assert got(df.withColumn("p", W.persistent(F.col("h"), T, 3, 5)), "p") == [False, False, False, True, True, False, False, False]
-    assert got(df.withColumn("p", W.persistent(F.col("h"), T, 3, 5, now_too=True)), "p") == [False, False, False, True, False, False, False, False]
+    assert got(df.withColumn("p", W.persistent(F.col("h"), track(), 3, 5)), "p") == [False, False, False, True, True, False, False, False]
+    assert got(df.withColumn("p", W.persistent(F.col("h"), track(), 3, 5, now_too=True)), "p") == [False, False, False, True, False, False, False, False]
 
 
 def test_cooldown_and_sessions(spark):
@@ -65,7 +66,7 @@ def test_cooldown_and_sessions(spark):
 def test_longest_run_rising_edge_segments(spark):
     df = series(spark, [0, 1, 1, 0, 1, 1, 1, 0]).withColumn("h", F.col("v") > 0)
     assert W.longest_run(df, ["g"], ["t"], "h").first()["longest"] == 3
-    assert got(df.withColumn("r", W.rising_edge("h", T)), "r") == [False, True, False, False, True, False, False, False]
+    assert got(df.withColumn("r", W.rising_edge("h", track())), "r") == [False, True, False, False, True, False, False, False]
     none = series(spark, [0, 0]).withColumn("h", F.col("v") > 0)
     assert W.longest_run(none, ["g"], ["t"], "h").first()["longest"] == 0
 
@@ -86,5 +87,5 @@ def test_debounce(spark):
 
 def test_carried_and_repaired(spark):
     df = series(spark, [None, 1, None, None, None, 7, None])
-    assert got(df.withColumn("c", W.carried("v", "t", T, 2)), "c") == [None, 1, 1, 1, None, 7, 7]
-    assert got(df.withColumn("c", W.repaired("v", T)), "c") == [1, 1, 1, 1, 1, 7, 7]
+    assert got(df.withColumn("c", W.carried("v", "t", track(), 2)), "c") == [None, 1, 1, 1, None, 7, 7]
+    assert got(df.withColumn("c", W.repaired("v", track())), "c") == [1, 1, 1, 1, 1, 7, 7]

@@ -8,12 +8,11 @@ from watchplan.catalog.registry import query
 from watchplan.operators import aggregates as O
 from watchplan.plans import views as V
 
-one = F.lit(1)
 
 
 @query("a01_filtered_counts", "SELECT count(*) FILTER (WHERE detected_id IS NULL) AS unknown, count(*) FILTER (WHERE detected_id IS NOT NULL) AS known, count(*) AS every FROM logs WHERE ts >= TIMESTAMP '2024-01-20'")
 def _(spark, d):
-    return V.logs(spark, d).where("ts >= timestamp_ntz'2024-01-20'").agg(F.count_if(F.col("detected_id").isNull()).alias("unknown"), F.count("detected_id").alias("known"), F.count(one).alias("every"))
+    return V.logs(spark, d).where("ts >= timestamp_ntz'2024-01-20'").agg(F.count_if(F.col("detected_id").isNull()).alias("unknown"), F.count("detected_id").alias("known"), F.count(F.lit(1)).alias("every"))
 
 
 @query("a02_people_seen_on_date", """SELECT p.id, coalesce(p.employee_name, p.visitor_name, p.name) AS person, CASE WHEN p.employee_name IS NOT NULL THEN 'employee' WHEN p.visitor_name IS NOT NULL THEN 'visitor' ELSE 'enrolled' END AS kind,
@@ -29,20 +28,20 @@ def people_seen_on_date(spark, d, day: str = "2024-01-15"):
     kind = F.when(F.col("employee_name").isNotNull(), "employee").when(F.col("visitor_name").isNotNull(), "visitor").otherwise("enrolled")
     camera = F.coalesce("camera", F.concat(F.lit("Camera "), F.col("camera_id").cast("string")))
     return rows.groupBy(F.col("pid").alias("id"), F.coalesce("employee_name", "visitor_name", "name").alias("person"), kind.alias("kind")).agg(
-        F.count(one).alias("seen"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_join(F.array_sort(F.collect_set(camera)), ", ").alias("cameras"))
+        F.count(F.lit(1)).alias("seen"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_join(F.array_sort(F.collect_set(camera)), ", ").alias("cameras"))
 
 
 @query("a03_camera_counts", "SELECT coalesce(c.name, 'Camera ' || l.camera_id) AS camera, count(*) AS n FROM logs l LEFT JOIN cameras c ON l.camera_id = c.id GROUP BY 1")
 def _(spark, d):
-    n = V.logs(spark, d).groupBy("camera_id").agg(F.count(one).alias("n"))
+    n = V.logs(spark, d).groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"))
     return n.join(V.cameras(spark, d), n["camera_id"] == F.col("id"), "left").select(F.coalesce("name", F.concat(F.lit("Camera "), F.col("camera_id").cast("string"))).alias("camera"), "n")
 
 
 @query("a04_daily_summary", """SELECT a.*, b.* FROM (SELECT count(*) AS detections, count(*) FILTER (WHERE detected_id IS NULL) AS unknown, round(avg(quality), 3) AS avg_quality FROM logs WHERE CAST(ts AS DATE) = DATE '2024-01-15') a,
     (SELECT count(*) AS cases, count(CASE WHEN status = 'open' THEN 1 END) AS open_cases FROM cases) b""")
 def _(spark, d):
-    a = V.logs(spark, d).where("ts >= timestamp_ntz'2024-01-15' and ts < timestamp_ntz'2024-01-16'").agg(F.count(one).alias("detections"), F.count_if(F.col("detected_id").isNull()).alias("unknown"), F.round(F.avg("quality"), 3).alias("avg_quality"))
-    return a.crossJoin(V.cases(spark, d).agg(F.count(one).alias("cases"), F.count_if(F.col("status") == "open").alias("open_cases")))  # one row each
+    a = V.logs(spark, d).where("ts >= timestamp_ntz'2024-01-15' and ts < timestamp_ntz'2024-01-16'").agg(F.count(F.lit(1)).alias("detections"), F.count_if(F.col("detected_id").isNull()).alias("unknown"), F.round(F.avg("quality"), 3).alias("avg_quality"))
+    return a.crossJoin(V.cases(spark, d).agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("status") == "open").alias("open_cases")))  # one row each
 
 
 @query("a05_conditional_counts", "SELECT gate, count(*) FILTER (WHERE decision = 'YES') AS yes, count(*) FILTER (WHERE decision = 'NO') AS no, count(*) FILTER (WHERE decision IS NULL) AS failed, count(*) FILTER (WHERE upper(severity) = 'HIGH') AS high FROM results GROUP BY gate")
@@ -58,7 +57,7 @@ def _(spark, d):
 
 @query("a07_counts_per_identity", "SELECT p.id, (SELECT count(*) FROM logs l WHERE l.detected_id = p.id) AS total, (SELECT count(*) FROM logs l WHERE l.detected_id = p.id AND l.authorized) AS authorized FROM people p")
 def _(spark, d):
-    n = V.logs(spark, d).groupBy("detected_id").agg(F.count(one).alias("total"), F.count_if(F.col("authorized")).alias("authorized"))
+    n = V.logs(spark, d).groupBy("detected_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("authorized")).alias("authorized"))
     p = V.people(spark, d).select("id")
     return p.join(n, p["id"] == n["detected_id"], "left").select("id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("authorized", F.lit(0)).alias("authorized"))
 
@@ -73,13 +72,13 @@ def _(spark, d):
 def _(spark, d):
     from functools import reduce
 
-    return reduce(lambda a, b: a.unionByName(b), [V.table(spark, d, t).agg(F.count(one).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("events", "orders", "customer", "nation")])
+    return reduce(lambda a, b: a.unionByName(b), [V.table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("events", "orders", "customer", "nation")])
 
 
 @query("a10_two_groupings", "SELECT 'status' AS kind, status AS value, count(*) AS n FROM cases GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM cases GROUP BY 2")
 def _(spark, d):
     # one scan: grouping sets
-    n = V.cases(spark, d).groupingSets([["status"], ["severity"]], "status", "severity").agg(F.count(one).alias("n"), F.grouping("status").alias("g"))
+    n = V.cases(spark, d).groupingSets([["status"], ["severity"]], "status", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping("status").alias("g"))
     return n.select(F.when(F.col("g") == 0, "status").otherwise("severity").alias("kind"), F.coalesce("status", "severity").alias("value"), "n")
 
 
@@ -94,7 +93,7 @@ def _(spark, d):
     max(ts) AS last_ts, coalesce(bool_or(decision = 'YES'), false) AS any_yes, count(r.gate) AS n FROM g LEFT JOIN results r ON r.gate = g.gate GROUP BY 1""")
 def _(spark, d):
     ratio = F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold"))
-    r = V.results(spark, d).groupBy("gate").agg(F.round(F.avg(ratio), 6).alias("avg_ratio"), F.max(ratio).alias("max_ratio"), F.max("ts").alias("last_ts"), F.bool_or(F.col("decision") == "YES").alias("any_yes"), F.count(one).alias("n"))
+    r = V.results(spark, d).groupBy("gate").agg(F.round(F.avg(ratio), 6).alias("avg_ratio"), F.max(ratio).alias("max_ratio"), F.max("ts").alias("last_ts"), F.bool_or(F.col("decision") == "YES").alias("any_yes"), F.count(F.lit(1)).alias("n"))
     return O.domain(spark, "gate", ["pose", "deep", "homography_macro", "audio"]).join(F.broadcast(r), "gate", "left").select("gate", "avg_ratio", "max_ratio", "last_ts", F.coalesce("any_yes", F.lit(False)).alias("any_yes"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -106,7 +105,7 @@ def _(spark, d):
 
 @query("a14_decision_histogram", "WITH dom(decision) AS (VALUES ('YES'), ('NO'), ('UNCERTAIN'), ('FAILED'), ('SKIPPED')) SELECT dom.decision, count(r.gate) AS n FROM dom LEFT JOIN (SELECT coalesce(decision, 'FAILED') AS decision, gate FROM results) r ON r.decision = dom.decision GROUP BY 1")
 def _(spark, d):
-    n = V.results(spark, d).groupBy(F.coalesce("decision", F.lit("FAILED")).alias("decision")).agg(F.count(one).alias("n"))
+    n = V.results(spark, d).groupBy(F.coalesce("decision", F.lit("FAILED")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
     return O.zero_filled(n, spark, "decision", ["YES", "NO", "UNCERTAIN", "FAILED", "SKIPPED"])
 
 
@@ -114,7 +113,7 @@ def _(spark, d):
 def _(spark, d):
     # counted from the lists' rows, which need not be gathered
     per = V.results(spark, d).groupBy("case_id").agg(F.count_if(F.concat(F.lit("k"), F.col("seq").cast("string")).contains("2")).alias("m"))
-    return per.agg(F.count(one).alias("jobs"), F.count_if(F.col("m") > 0).alias("any_two"), F.sum("m").alias("twos"))
+    return per.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("m") > 0).alias("any_two"), F.sum("m").alias("twos"))
 
 
 @query("a16_hour_histogram", "WITH h AS (SELECT unnest(range(24)) AS hour) SELECT CAST(h.hour AS INTEGER) AS hour, count(*) FILTER (WHERE event_type = 'view') AS \"view\", count(*) FILTER (WHERE event_type = 'error') AS error FROM h LEFT JOIN (SELECT * FROM logs WHERE camera_id = 3 AND CAST(ts AS DATE) < DATE '2024-01-05') l ON hour(l.ts) = h.hour GROUP BY 1")
@@ -131,7 +130,7 @@ def _(spark, d):
 @query("a18_entry_metrics", "SELECT count(*) AS total, count(detected_id) AS known, count(*) - count(detected_id) AS unknown, round(count(detected_id) / count(*), 6) AS known_ratio, round(avg(coalesce(margin, 0)), 6) AS avg_margin, round(avg(coalesce(processing_ms, 0)), 6) AS avg_ms, round(avg(coalesce(quality, 0)), 6) AS avg_quality, round(avg(similarity), 6) AS avg_similarity FROM logs")
 def _(spark, d):
     mean0 = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0))), 6)
-    return V.logs(spark, d).agg(F.count(one).alias("total"), F.count("detected_id").alias("known"), (F.count(one) - F.count("detected_id")).alias("unknown"), F.round(F.count("detected_id") / F.count(one), 6).alias("known_ratio"), mean0("margin").alias("avg_margin"), mean0("processing_ms").alias("avg_ms"), mean0("quality").alias("avg_quality"), F.round(F.avg("similarity"), 6).alias("avg_similarity"))
+    return V.logs(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count("detected_id").alias("known"), (F.count(F.lit(1)) - F.count("detected_id")).alias("unknown"), F.round(F.count("detected_id") / F.count(F.lit(1)), 6).alias("known_ratio"), mean0("margin").alias("avg_margin"), mean0("processing_ms").alias("avg_ms"), mean0("quality").alias("avg_quality"), F.round(F.avg("similarity"), 6).alias("avg_similarity"))
 
 
 @query("a19_camera_distribution", "SELECT camera_id, count(*) FILTER (WHERE detected_id IS NOT NULL) AS known, count(*) FILTER (WHERE detected_id IS NULL) AS unknown FROM logs GROUP BY 1")
@@ -147,7 +146,7 @@ def _(spark, d):
 @query("a21_margin_bands", "SELECT CASE WHEN margin >= 0.2 THEN 'safe' WHEN margin >= 0.1 THEN 'warning' ELSE 'danger' END AS band, count(*) AS n FROM logs WHERE detected_id IS NOT NULL GROUP BY 1")
 def _(spark, d):
     band = F.when(F.col("margin") >= 0.2, "safe").when(F.col("margin") >= 0.1, "warning").otherwise("danger")
-    return V.logs(spark, d).where("detected_id is not null").groupBy(band.alias("band")).agg(F.count(one).alias("n"))
+    return V.logs(spark, d).where("detected_id is not null").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a22_pipeline_health", "SELECT count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'reviewing') AS reviewing, count(*) FILTER (WHERE status = 'closed') AS closed, count(*) FILTER (WHERE peak_ts IS NULL) AS without_peak FROM cases")
@@ -202,10 +201,10 @@ def _(spark, d):
     return O.ranking_quality(rows, "truth", "k", ["event_type"]).select("event_type", F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
 
 
-@query("a29_ks_distance", """WITH g AS (SELECT event_type, score, count(*) FILTER (WHERE user_id < 70) AS a, count(*) FILTER (WHERE user_id >= 70) AS b FROM scores GROUP BY 1, 2)
+@query("a29_ks_distance", """WITH g AS (SELECT event_type, score, count(*) FILTER (WHERE user_id % 2 = 0) AS a, count(*) FILTER (WHERE user_id % 2 <> 0) AS b FROM scores GROUP BY 1, 2)
     SELECT event_type, round(max(gap), 9) AS ks FROM (SELECT event_type, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY event_type) - sum(b) OVER w / sum(b) OVER (PARTITION BY event_type)) AS gap FROM g WINDOW w AS (PARTITION BY event_type ORDER BY score)) GROUP BY 1""")
 def _(spark, d):
-    return O.ks_distance(V.scores(spark, d), F.col("user_id") < 70, "score", ["event_type"]).select("event_type", F.round("ks", 9).alias("ks"))
+    return O.ks_distance(V.scores(spark, d), F.col("user_id") % 2 == 0, "score", ["event_type"]).select("event_type", F.round("ks", 9).alias("ks"))
 
 
 @query("a30_abs_correlation", "SELECT camera_id, round(CASE WHEN count(*) FILTER (WHERE value IS NOT NULL AND k IS NOT NULL) >= 3 AND stddev_pop(value) > 0 AND stddev_pop(k) > 0 THEN abs(corr(value, k)) END, 6) AS r FROM logs GROUP BY 1")
@@ -221,7 +220,7 @@ def _(spark, d):
 
 @query("a32_top_value_counts", "SELECT user_id || '/' || event_type AS key, count(*) AS n FROM scores GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
 def _(spark, d):
-    return V.scores(spark, d).groupBy(F.concat_ws("/", "user_id", "event_type").alias("key")).agg(F.count(one).alias("n")).orderBy(F.desc("n"), "key").limit(10)
+    return V.scores(spark, d).groupBy(F.concat_ws("/", "user_id", "event_type").alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(10)
 
 
 @query("a33_pivot_mean", "SELECT user_id % 10 AS u, round(avg(score) FILTER (WHERE event_type = 'view'), 6) AS \"view\", round(avg(score) FILTER (WHERE event_type = 'click'), 6) AS click FROM scores GROUP BY 1")
@@ -235,23 +234,23 @@ def _(spark, d):
     s = V.scores(spark, d)
     ends = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / 30
-    return s.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(29), F.floor((F.col("score") - F.col("lo")) / width)).cast("long").alias("bin")).agg(F.count(one).alias("n"))  # ends: one row
+    return s.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(29), F.floor((F.col("score") - F.col("lo")) / width)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # ends: one row
 
 
 @query("a35_normal_operating_points", "WITH t AS (SELECT quantile_cont(score, 0.95) AS x FROM scores WHERE user_id < 100) SELECT event_type, count(*) AS n, count(*) FILTER (WHERE score > x) AS hits FROM scores, t WHERE user_id >= 100 GROUP BY 1")
 def _(spark, d):
     s = V.scores(spark, d)
     t = s.where("user_id < 100").agg(F.percentile("score", 0.95).alias("x"))
-    return s.where("user_id >= 100").crossJoin(F.broadcast(t)).groupBy("event_type").agg(F.count(one).alias("n"), F.count_if(F.col("score") > F.col("x")).alias("hits"))
+    return s.where("user_id >= 100").crossJoin(F.broadcast(t)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > F.col("x")).alias("hits"))
 
 
 @query("a36_unread", "SELECT count(*) AS unread FROM logs WHERE authorized IS NULL")
 def _(spark, d):
-    return V.logs(spark, d).where("authorized is null").agg(F.count(one).alias("unread"))
+    return V.logs(spark, d).where("authorized is null").agg(F.count(F.lit(1)).alias("unread"))
 
 
 @query("a37_split_summary", "SELECT CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std0, round(quantile_cont(score, 0.99), 6) AS p99, round(quantile_cont(score, 0.995), 6) AS p99_5 FROM scores GROUP BY 1")
 def _(spark, d):
     split = F.when(F.col("user_id") % 3 == 0, "train").when(F.col("user_id") % 3 == 1, "calibration").otherwise("test")
     q = F.percentile("score", F.array(F.lit(0.99), F.lit(0.995)))
-    return V.scores(spark, d).groupBy(split.alias("split")).agg(F.count(one).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std0"), F.round(q[0], 6).alias("p99"), F.round(q[1], 6).alias(O.percentile_key(99.5)))
+    return V.scores(spark, d).groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std0"), F.round(q[0], 6).alias("p99"), F.round(q[1], 6).alias(O.percentile_key(99.5)))

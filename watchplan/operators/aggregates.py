@@ -78,11 +78,12 @@ def ranking_quality(df: DataFrame, truth: str, score: str, by: list[str]) -> Dat
 
 
 def ks_distance(df: DataFrame, sample: Column, column: str, by: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic between rows where sample holds and the others, per group."""
+    """Two-sample Kolmogorov-Smirnov statistic between rows where sample holds and the others, per group; null if either has none."""
     n = df.groupBy(*by, column).agg(F.count_if(sample).alias("a"), F.count_if(~sample).alias("b"))
     up = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(every) - F.sum("b").over(up) / F.sum("b").over(every))
+    share = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(every))
+    gap = F.abs(share("a") - share("b"))
     return n.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
