@@ -68,10 +68,11 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
     e, before = written(e, folder, f"{name}-0"), None
     for k in range(1, most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are a table of their own, so that AQE can split the join where one node has a great part of all edges
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, folder, f"{name}-{k}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{k}-low2")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), folder, f"{name}-{k}")
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()

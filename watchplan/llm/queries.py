@@ -88,7 +88,7 @@ def _deal_sql(source: str, by: str, level: str, out: str) -> str:
 _MIXING_SQL = f"""
 WITH raw AS (
     SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
-           len(list_filter(string_split(translate(coalesce(text, ''), chr(10) || chr(9) || chr(13), '   '), ' '), w -> w <> '')) AS n_tokens
+           len(list_filter(string_split(translate(coalesce(text, ''), chr(10) || chr(9) || chr(13), '   '), ' '), lambda w: w <> '')) AS n_tokens
     FROM documents),
 r AS (SELECT *, CASE WHEN regexp_extract(source, '([0-9]+)$', 1) = '' THEN 'other'
                      ELSE 'domain' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3 AS VARCHAR) END AS domain FROM raw WHERE n_tokens > 0),

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import table, texts
+from watchplan.llm.common import table, texts, workspace, written
 
 #: Hashed features, and the bounds of the training sample: confirmed toxic texts, unlabelled texts.
 FEATURES, MOST_POSITIVE, MOST_UNLABELLED = 1 << 20, 2_500, 6_000
@@ -56,28 +56,19 @@ class Model:
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 20_000, rounds: int = 400, rate: float = 0.05, l2: float = 7e-4, share: float = 0.01, least_z: float = 3.0) -> Model:
-    """A linear model over feature sets, with the non-negative risk above and logistic loss.
+def fit(ids: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 7e-4) -> Model:
+    """A linear model over sets of the features ids, with the non-negative risk above and logistic loss.
 
-    Weights go to features that are more than 3 times as frequent among positives and that a share of
-    them has (copies of one text lend their words no weight), most significant first.
     Without positives every score is 0.
     """
     if not positive:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     prior = min(max(prior, 1e-4), 0.9)
     np_, nu = len(positive), max(1, len(unlabelled))
-    cp, cu = (np.bincount(np.concatenate(x) if x else np.zeros(0, np.int64), minlength=FEATURES).astype(float) for x in (positive, unlabelled))
-    usual = np_ * (cu + 0.5) / nu
-    z = (cp - usual) / np.sqrt(usual + 1)
-    ids = np.flatnonzero((cp >= max(2, share * np_)) & (cp > 3 * usual) & (z >= least_z))
-    ids = np.sort(ids[np.argsort(-z[ids], kind="stable")][:most])
-    rows, cols = [], []
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k, f in enumerate([*positive, *unlabelled]):
-        own = np.searchsorted(ids, f)
-        own = own[(own < ids.size) & (ids[np.minimum(own, ids.size - 1)] == f)] if ids.size else own[:0]
-        cols.append(own)
-        rows.append(np.full(own.size, k))
+        cols.append(np.searchsorted(ids, np.sort(f)))
+        rows.append(np.full(len(f), k))
     row, col = np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
     n, is_p = np_ + len(unlabelled), np.arange(np_ + len(unlabelled)) < np_
     w, b = np.zeros(ids.size), float(np.log(prior / (1 - prior)))
@@ -104,11 +95,15 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most: int = 10_000, share: float = 0.01) -> Model:
     """Fits on at most most_positive confirmed toxic and most_unlabelled unlabelled texts, each the first by a hash of doc_id.
 
     prior: the share of toxic texts; None: that among the labelled rows which aren't held out.  Labels,
-    toxic or not, of held-out rows are never read.  The sample's feature sets alone reach the driver.
+    toxic or not, of held-out rows are never read.
+
+    Weights go to at most `most` features: those more than 3 times as frequent among positives that a share
+    of them has (copies of one text lend their words no weight), the most significant first.  They are found
+    by a distributed count over the sample; only they, and the sample's sets of them, reach the driver.
     """
     spark, rows = docs.sparkSession, texts(docs).where("doc_id is not null and text <> ''")
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
@@ -125,11 +120,23 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
             sets = [sorted({f for w in set(_words(t.lower())) for f in features(w)}) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "own": pdf["own"], "features": sets})
 
-    got = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "own", "text").mapInPandas(featurise, "doc_id long, own int, features array<int>").toPandas()
-    got = got.sort_values(["own", "doc_id"], kind="stable")
-    sets = [np.asarray(f, np.int64) for f in got["features"]]
-    own = got["own"].to_numpy()
-    return fit([s for s, o in zip(sets, own, strict=True) if o], [s for s, o in zip(sets, own, strict=True) if not o], prior)
+    folder = workspace(spark)
+    got = written(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "own", "text").mapInPandas(featurise, "doc_id long, own int, features array<int>"), folder, "sample")
+    n = {r["own"]: r["n"] for r in got.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = n.get(1, 0), max(1, n.get(0, 0))
+    each = got.select("doc_id", "own", F.explode("features").alias("f"))
+    few = n_p < 200  # weaker features are let in, and weigh less
+    usual = n_p * (F.col("cu") + 0.5) / n_u
+    told = each.groupBy("f").agg(F.sum("own").alias("cp"), F.sum(1 - F.col("own")).alias("cu")).withColumn("z", (F.col("cp") - usual) / F.sqrt(usual + 1))
+    told = told.where((F.col("cp") >= max(2.0, share * n_p)) & (F.col("cp") > 3 * usual) & (F.col("z") >= (2.0 if few else 3.0))).orderBy(F.desc("z"), "f").limit(most)
+    ids = np.array(sorted(r["f"] for r in told.select("f").collect()), np.int64)
+    chosen_f = spark.createDataFrame([(int(f),) for f in ids], "f int")
+    sets = each.join(F.broadcast(chosen_f), "f").groupBy("own", "doc_id").agg(F.sort_array(F.collect_list("f")).alias("f")).orderBy("own", "doc_id").collect()
+    own = {1: [], 0: []}
+    for r in sets:
+        own[r["own"]].append(np.array(r["f"], np.int64))
+    none = np.zeros(0, np.int64)
+    return fit(ids, own[1] + [none] * (n_p - len(own[1])), own[0] + [none] * (n.get(0, 0) - len(own[0])), prior, l2=1e-3 if few else 7e-4)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
