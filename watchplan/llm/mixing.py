@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens are runs of what isn't white space.
-_TOKENS = r"\s*\S+"
+from watchplan.llm.common import workspace, written
+
 #: Documents of a leaf that one ordering task handles, about.
 BUCKET = 2000
 
@@ -85,18 +85,22 @@ def mix(docs: DataFrame, budget_share: float = 0.6, max_epochs: float = 3.0, wei
     tokens and are never taken; rows that repeat a document count each.
 
     No task orders a leaf: documents fall into buckets by their place in the epoch, bucket sums say which one
-    bucket the prefix ends in, and that alone is ordered.
+    bucket the prefix ends in, and that alone is ordered.  Texts are read once: their counts, and the plan
+    of the leaves, are written tables.
     """
     from pyspark.sql import Window
 
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name("lang").alias("lang"), name("source").alias("source"), n_tokens(F.col("text").cast("string")).alias("n_tokens"))
-    rows = rows.withColumn("domain", domain if domain is not None else domain_of(F.col("source"))).where("n_tokens > 0")
+    rows = rows.withColumn("domain", domain if domain is not None else domain_of(F.col("source")))
+    folder = workspace(docs.sparkSession)
+    rows = written(rows, folder, "counts").where("n_tokens > 0")
     leaf = ["domain", "lang", "source"]
-    leaves = rows.groupBy(*leaf).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+    leaves = written(rows.groupBy(*leaf).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")), folder, "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = quotas(leaves, budget_share * total, max_epochs, weights)
     plan = plan.select(*leaf, F.floor(F.col("quota") / F.col("tokens")).alias("epochs"), (F.col("quota") % F.col("tokens")).alias("tail"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET)).cast("long").alias("buckets"))
+    plan = written(plan, folder, "plan")
     placed = rows.join(plan, leaf).withColumn("place", _place(F.col("doc_id"), seed)).withColumn("bucket", F.floor(F.col("place") * F.col("buckets") / float(1 << 48)).cast("long"))
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("held"))
     begin = F.coalesce(F.sum("held").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
