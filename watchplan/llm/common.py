@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Sides with fewer bytes than this (an upper estimate from a row count) may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch where the session sets no bound: documents vary too much in length for a bound in rows.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +55,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once by bytes, unless the session has its own bound."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, null texts as empty; further columns, whatever their names, are left out."""
+    """doc_id and text alone, null texts as empty; further columns, whatever their names, are left out.  Arrow batches get their bound."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
