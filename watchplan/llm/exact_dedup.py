@@ -111,7 +111,7 @@ def _compact(pdf: pd.DataFrame, smallest: bool) -> pd.DataFrame:
     top, total = order[last - count + 1 if smallest else last], np.bincount(inverse, best["n"]).astype(np.int64)
     hit = np.flatnonzero(count >= 2)
     found = best["id"][top[hit]]
-    return pd.DataFrame({"key": [values[k].tobytes().hex() for k in hit], "best_id": pd.arrays.IntegerArray(found.copy(), found == _NO_ID), "best_rid": best["rid"][top[hit]], "n": total[hit]})
+    return pd.DataFrame({"key": pd.Series([values[k].tobytes().hex() for k in hit], dtype=object), "best_id": pd.arrays.IntegerArray(found.copy(), found == _NO_ID), "best_rid": best["rid"][top[hit]], "n": total[hit]})
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256) -> DataFrame:
