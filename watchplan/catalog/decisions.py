@@ -63,17 +63,35 @@ def _(spark, d):
 
 @query("r10_split_evidence", "SELECT case_id, seq, price, ['person near door'] || CASE WHEN part % 2 = 0 THEN ['bag left'] ELSE [] END AS visual, ['score above threshold'] AS risk FROM results WHERE case_id % 40 = 0")
 def _(spark, d):
+    return _split_evidence(V.results(spark, d).where("case_id % 40 = 0"))
+
+
+def _split_evidence(rows):
     said = F.concat(F.array(F.lit("person near door"), F.lit("score above threshold")), F.when(F.col("part") % 2 == 0, F.array(F.lit("bag left"))).otherwise(F.array().cast("array<string>")))
     visual, risk = O.split_evidence(said)
-    return V.results(spark, d).where("case_id % 40 = 0").select(*KEY, visual.alias("visual"), risk.alias("risk"))
+    return rows.select(*KEY, visual.alias("visual"), risk.alias("risk"))
+
+
+@query("r10_split_evidence_all", "SELECT case_id, seq, price, ['person near door'] || CASE WHEN part % 2 = 0 THEN ['bag left'] ELSE [] END AS visual, ['score above threshold'] AS risk FROM results")
+def _(spark, d):
+    return _split_evidence(V.results(spark, d))
 
 
 @query("r11_evidence_keys", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a/peak_2.jpg', 'a/peak_10.png'] ELSE ['a/x_9.jpg', 'a/x_1.jpg'] END AS keys FROM events WHERE event_id < 600")
 def _(spark, d):
+    return _evidence_keys(V.table(spark, d, "events").where("event_id < 600"))
+
+
+def _evidence_keys(rows):
     with_role = F.array(*map(F.lit, ("a/peak_10.png", "a/peak_2.jpg", "a/other.txt", "a/peak_10.png", "a/x_1.jpg")))
     without = F.array(*map(F.lit, ("a/x_9.jpg", "a/x_1.jpg", "a/clip.mp4", "a/x_9.jpg")))
     keys = F.when(F.col("event_id") % 3 == 0, with_role).otherwise(without)
-    return V.table(spark, d, "events").where("event_id < 600").select("event_id", O.evidence_keys(keys, ["peak"], 4).alias("keys"))
+    return rows.select("event_id", O.evidence_keys(keys, ["peak"], 4).alias("keys"))
+
+
+@query("r11_evidence_keys_all", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a/peak_2.jpg', 'a/peak_10.png'] ELSE ['a/x_9.jpg', 'a/x_1.jpg'] END AS keys FROM events")
+def _(spark, d):
+    return _evidence_keys(V.table(spark, d, "events"))
 
 
 @query("r13_candidate_choice", """WITH c AS (SELECT case_id, seq, price, score / 50 AS iou, confidence / 4 AS dist, confidence AS conf, (part % 10) / 10 AS valid FROM results),

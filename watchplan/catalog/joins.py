@@ -44,10 +44,19 @@ def _(spark, d):
 
 @query("j05_evidence_media", "SELECT l.l_orderkey AS case_id, l.l_linenumber AS seq, l.l_suppkey AS supp, p.p_name AS media, p.p_size AS bytes FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size > 25 WHERE l.l_orderkey % 50 = 0")
 def _(spark, d):
-    line, part = V.table(spark, d, "lineitem").where("l_orderkey % 50 = 0"), V.table(spark, d, "part").where("p_size > 25")
+    return _evidence_media(spark, d, V.table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+def _evidence_media(spark, d, line):
+    part = V.table(spark, d, "part").where("p_size > 25")
     return line.join(part, line["l_partkey"] == part["p_partkey"], "left").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("supp"), F.col("p_name").alias("media"), F.col("p_size").alias("bytes"))
 
 
+@query("j05_evidence_media_all", "SELECT l.l_orderkey AS case_id, l.l_linenumber AS seq, l.l_suppkey AS supp, p.p_name AS media, p.p_size AS bytes FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size > 25")
+def _(spark, d):
+    return _evidence_media(spark, d, V.table(spark, d, "lineitem"))
+
+
 @query("j06_any_of_three_ids", "WITH ev AS (SELECT id, id % 97 AS s, id % 89 AS p, CASE WHEN id % 5 <> 0 THEN id % 97 + 1 END AS e FROM cases) SELECT ev.id, g.event_id AS score_id, g.score FROM ev JOIN scores g ON g.event_id IN (ev.s, ev.p, ev.e)")
 def _(spark, d):
     ev = V.cases(spark, d).select("id", (F.col("id") % 97).alias("s"), (F.col("id") % 89).alias("p"), F.when(F.col("id") % 5 != 0, F.col("id") % 97 + 1).alias("e"))
@@ -120,13 +129,23 @@ def _(spark, d):
 @query("j17_rule_conditions", f"""WITH rules AS ({R.SQL}), x AS (SELECT case_id, seq, part, supp, price, CASE WHEN gate = 'homography_macro' THEN 'homography' ELSE gate END AS gate, CASE WHEN threshold > 0 THEN score / threshold END AS ratio, part % 2 = 0 AS evidence FROM results WHERE case_id % 20 = 0)
     SELECT x.case_id, x.seq, x.part, x.supp, x.price, r.id AS rule FROM x JOIN rules r ON list_contains(string_split(r.gates, ','), x.gate) AND (r.min_ratio IS NULL OR x.ratio >= r.min_ratio) AND (r.max_ratio IS NULL OR x.ratio <= r.max_ratio) AND (NOT r.needs_evidence OR x.evidence)""")
 def _(spark, d):
+    return _rule_conditions(spark, V.results(spark, d).where("case_id % 20 = 0"))
+
+
+def _rule_conditions(spark, rows):
     gate = F.when(F.col("gate") == "homography_macro", "homography").otherwise(F.col("gate"))
-    x = V.results(spark, d).where("case_id % 20 = 0").select("case_id", "seq", "part", "supp", "price", gate.alias("gate"), F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold")).alias("ratio"), (F.col("part") % 2 == 0).alias("evidence"))
+    x = rows.select("case_id", "seq", "part", "supp", "price", gate.alias("gate"), F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold")).alias("ratio"), (F.col("part") % 2 == 0).alias("evidence"))
     r = R.rules(spark).select(F.col("id").alias("rule"), F.explode(F.split("gates", ",")).alias("gate"), "min_ratio", "max_ratio", "needs_evidence")
     fits = (F.col("min_ratio").isNull() | (F.col("ratio") >= F.col("min_ratio"))) & (F.col("max_ratio").isNull() | (F.col("ratio") <= F.col("max_ratio"))) & (~F.col("needs_evidence") | F.col("evidence"))
     return x.join(F.broadcast(r), "gate").where(fits).select("case_id", "seq", "part", "supp", "price", "rule")
 
 
+@query("j17_rule_conditions_all", f"""WITH rules AS ({R.SQL}), x AS (SELECT case_id, seq, part, supp, price, CASE WHEN gate = 'homography_macro' THEN 'homography' ELSE gate END AS gate, CASE WHEN threshold > 0 THEN score / threshold END AS ratio, part % 2 = 0 AS evidence FROM results)
+    SELECT x.case_id, x.seq, x.part, x.supp, x.price, r.id AS rule FROM x JOIN (SELECT *, unnest(string_split(gates, ',')) AS own FROM rules) r ON r.own = x.gate AND (r.min_ratio IS NULL OR x.ratio >= r.min_ratio) AND (r.max_ratio IS NULL OR x.ratio <= r.max_ratio) AND (NOT r.needs_evidence OR x.evidence)""")
+def _(spark, d):
+    return _rule_conditions(spark, V.results(spark, d))
+
+
 @query("j18_first_matching_key", """WITH look AS (SELECT c_name AS key, min(c_mktsegment) AS seg FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1),
     k AS (SELECT c_custkey AS id, c_name AS k1, 'Customer#' || lpad(CAST(c_custkey // 2 * 4 AS VARCHAR), 9, '0') AS k2 FROM customer)
     SELECT k.id, coalesce(a.seg, b.seg, 'none') AS seg FROM k LEFT JOIN look a ON a.key = k.k1 LEFT JOIN look b ON b.key = k.k2""")

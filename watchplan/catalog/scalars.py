@@ -61,9 +61,18 @@ def _(spark, d):
 
 @query("sc13_lenient_json", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events WHERE event_id < 900")
 def _(spark, d):
+    return _lenient_json(V.table(spark, d, "events").where("event_id < 900"))
+
+
+def _lenient_json(rows):
     i = F.col("event_id").cast("string")
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n{\"k\": "), i, F.lit("}\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Result: {\"k\": "), i, F.lit(",}."))).otherwise(F.lit("no object here"))
-    return V.table(spark, d, "events").where("event_id < 900").select("event_id", T.lenient_json(raw).alias("json"))
+    return rows.select("event_id", T.lenient_json(raw).alias("json"))
+
+
+@query("sc13_lenient_json_all", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events")
+def _(spark, d):
+    return _lenient_json(V.table(spark, d, "events"))
 
 
 @query("sc14_vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(v[1:4], lambda x: printf('%.6f', x)), ',') || ']' AS literal FROM vectors")
@@ -71,6 +80,11 @@ def _(spark, d):
     return V.vectors(spark, d).select("vec_id", T.vector_literal(F.slice("v", 1, 4), 6).alias("literal"))
 
 
+@query("sc14_vector_literal_all", "SELECT vec_id, '[' || array_to_string(list_transform(v, lambda x: printf('%.8f', x)), ',') || ']' AS literal FROM vectors")
+def _(spark, d):
+    return V.vectors(spark, d).select("vec_id", T.vector_literal(F.col("v"), 8).alias("literal"))
+
+
 @query("sc15_content_hash", "SELECT page_id, sha256(html) AS sha FROM pages")
 def _(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
@@ -118,6 +132,16 @@ def _(spark, d):
     return V.table(spark, d, "events").where(F.abs(F.cos(v) + 1) > 1e-6).select("event_id", F.round(G.wrapped_modulo(v), 7).alias("wrapped"), F.round(G.wrapped_atan2(v), 7).alias("wrapped2"))
 
 
+_WRAPPED = "CASE WHEN round(atan2(sin(value), cos(value)), 7) <= -round(pi(), 7) THEN round(pi(), 7) ELSE round(atan2(sin(value), cos(value)), 7) END"
+
+
+@query("m15_angle_wrap_all", f"SELECT event_id, {_WRAPPED} AS wrapped, {_WRAPPED} AS wrapped2 FROM events")
+def _(spark, d):
+    v, pi = F.col("value"), F.round(F.pi(), 7)
+    one = lambda a: F.when(F.round(a, 7) <= -pi, pi).otherwise(F.round(a, 7))  # noqa: E731  # half a turn is pi, never -pi
+    return V.table(spark, d, "events").select("event_id", one(G.wrapped_modulo(v)).alias("wrapped"), one(G.wrapped_atan2(v)).alias("wrapped2"))
+
+
 @query("m16_score_ratio", "SELECT case_id, seq, price, CASE WHEN threshold > 0 THEN score / threshold ELSE CASE WHEN confidence > 0 THEN confidence END END AS ratio, CASE WHEN threshold > 0 AND score / threshold < 1.15 THEN 'weak' WHEN threshold > 0 AND score / threshold < 1.5 THEN 'moderate' WHEN threshold > 0 THEN 'strong' END AS band FROM results")
 def _(spark, d):
     ratio = F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold"))
@@ -154,9 +178,18 @@ def _(spark, d):
 
 @query("js02_list_or_object", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS keys FROM events WHERE event_id < 500")
 def _(spark, d):
+    return _list_or_object(V.table(spark, d, "events").where("event_id < 500"))
+
+
+def _list_or_object(rows):
     doc = F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.lit('{"keys": ["c"]}'))
     keys = F.coalesce(F.when(doc.startswith("["), F.from_json(doc, "array<string>")), F.from_json(doc, "keys array<string>")["keys"])
-    return V.table(spark, d, "events").where("event_id < 500").select("event_id", keys.alias("keys"))
+    return rows.select("event_id", keys.alias("keys"))
+
+
+@query("js02_list_or_object_all", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS keys FROM events")
+def _(spark, d):
+    return _list_or_object(V.table(spark, d, "events"))
 
 
 @query("js03_json_merge", "SELECT event_id, 'new' AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 3 AS size FROM events")
