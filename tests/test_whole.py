@@ -30,3 +30,14 @@ def test_half_a_turn_has_one_sign(spark, tmp_path):
     spark.createDataFrame([(1, math.pi), (2, -math.pi), (3, 3 * math.pi), (4, 0.5)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: (r["wrapped"], r["wrapped2"]) for r in Q["m15_angle_wrap_all"](spark, str(tmp_path)).collect()}
     assert got == {1: (3.1415927,) * 2, 2: (3.1415927,) * 2, 3: (3.1415927,) * 2, 4: (0.5, 0.5)}
+
+
+@pytest.mark.parametrize("name", ["m02_cosine_top_k_all", "m03_knn_mean_distance_all", "a23_identity_margin_all", "r01_identity_decision_all"])
+def test_any_vector_is_found(name, spark, tmp_path):
+    """The nearest vector of 0 is 25, whose id is a query's in the older queries."""
+    rows = [(0, [1.0, 0.0], 1), (25, [1.0, 0.1], 2), (7, [0.0, 1.0], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["query_id"]: r for r in Q[name](spark, str(tmp_path)).collect() if r.asDict().get("rank", 1) == 1}
+    assert set(got) == {0}
+    want = {"m02_cosine_top_k_all": ("other_id", 25), "m03_knn_mean_distance_all": ("knn_1", 0.1), "a23_identity_margin_all": ("label", 2), "r01_identity_decision_all": ("label", 2)}[name]
+    assert got[0][want[0]] == pytest.approx(want[1])
