@@ -5,7 +5,8 @@ number whose places keep their kind of character, and a keyed permutation of all
 the surrogate.  So one entity has one surrogate everywhere, and two entities never share one.
 Names have surrogates from lists by gender and script.  A distributed check over the distinct entities
 finds what a permutation can't rule out (names that meet, surrogates that are someone's real data)
-and gives those another try.
+and gives those another try, until none is left.  Each try has a larger domain of names, by a syllable
+a family name; e-mails and IP addresses whose own form is used up get a longer or freer one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 from watchplan.llm.common import texts, workspace, written
 
+#: Tries within the own form of an e-mail or IP address; further ones leave it.
+FORM_TRIES = 4
+
 #: Titles by gender, first names by gender and script, syllables of family names by script.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа"], "n": ["Dr", "Prof", "Mx"]}
 FIRST = {
@@ -129,12 +133,15 @@ class Surrogates:
         tweak = f"{kind}/{again}"
         if kind == "email":
             stem, dot, top = canonical.rpartition(".")
-            return self._spelled(stem, [_ALPHABET.get(c) for c in stem], tweak) + dot + top
+            new = self._spelled(stem, [_ALPHABET.get(c) for c in stem], tweak)
+            for k in range(again - FORM_TRIES + 1):  # in front of the @
+                new = new.replace("@", _LETTERS[1][self._number(tweak, canonical, k) % 26] + "@")
+            return new + dot + top
         if kind == "secret":
             return self._spelled(canonical, ["0123456789abcdef"] * len(canonical), tweak)
         if kind == "ip":
             own = [int(p) for p in canonical.split(".")]
-            ranges = [(0, 10) if p < 10 else (10, 90) if p < 100 else (100, 156) for p in own]
+            ranges = [(0, 256) if again >= FORM_TRIES else (0, 10) if p < 10 else (10, 90) if p < 100 else (100, 156) for p in own]
             x = size = 0
             size = 1
             for p, (low, n) in zip(own, ranges, strict=True):
@@ -164,7 +171,7 @@ class Surrogates:
                 out.append(FIRST[script, gender][at].lower())
                 continue
             word = ""
-            for _ in range(3):
+            for _ in range(3 + again):
                 x, at = divmod(x, len(SYLLABLES[script]))
                 word += SYLLABLES[script][at]
             out.append(word)
@@ -202,7 +209,8 @@ def entities(docs: DataFrame) -> DataFrame:
 def retries(found: DataFrame, key: bytes, folder: str, most: int = 6) -> DataFrame:
     """(kind, canonical, again) of entities that need another try: their surrogate is another's, or is real data here.
 
-    Joins and counts over the distinct entities; each round tries again what met, all but the first of equals.
+    Joins and counts over the distinct entities; each round tries again what met, all but the first of equals, until
+    nothing meets.  If `most` rounds in a row leave as much as before (a form whose every value is real data), it is an error.
     """
 
     @F.pandas_udf("string")
@@ -212,13 +220,19 @@ def retries(found: DataFrame, key: bytes, folder: str, most: int = 6) -> DataFra
 
     real = found.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     state = written(found.select("kind", "canonical", F.lit(0).alias("again")).withColumn("surrogate", surrogate("kind", "canonical", "again")), folder, "try-0")
-    for k in range(1, most):
+    k, least, idle = 0, None, 0
+    while True:
+        k += 1
         taken = state.groupBy("kind", "surrogate").agg(F.min("canonical").alias("first"))
         seen = state.join(taken, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         meets = F.coalesce("real", F.lit(False)) | (F.col("first") != F.col("canonical"))
         marked = written(seen.select("kind", "canonical", "again", "surrogate", meets.alias("meets")), folder, f"met-{k}")
-        if marked.where("meets").isEmpty():
+        left = marked.where("meets").count()
+        if not left:
             break
+        least, idle = (left, 0) if least is None or left < least else (least, idle + 1)
+        if idle == most:
+            raise RuntimeError(f"{left} entities still have no surrogate of their own after {k} tries")
         moved = marked.where("meets").select("kind", "canonical", (F.col("again") + 1).alias("again")).withColumn("surrogate", surrogate("kind", "canonical", "again"))
         state = written(marked.where("not meets").drop("meets").unionByName(moved), folder, f"try-{k}")
     return state.where("again > 0").select("kind", "canonical", "again")
