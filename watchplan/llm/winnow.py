@@ -2,7 +2,8 @@
 
 All k-grams of code points are hashed by doubling (two halves make a whole); of each window of w
 hashes the least is chosen, the rightmost of equals, and its position is kept.  Two texts that share
-k + w - 1 code points in a row therefore share a fingerprint entry.
+k + w - 1 code points in a row therefore share a fingerprint entry.  By default k and w follow from a text's
+length n, such that a shared half of n, rounded up, is enough even for short texts (see densities).
 """
 
 from __future__ import annotations
@@ -17,12 +18,42 @@ from pyspark.sql import functions as F
 
 from watchplan.llm.common import texts
 
-#: Any run of GRAM + WINDOW - 1 = 79 shared code points shares an entry.
+#: Any run of GRAM + WINDOW - 1 = 79 shared code points shares an entry; the widest window (see densities).
 GRAM, WINDOW = 16, 64
 
 
-def fingerprint(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) chosen in text, in order.  A text shorter than a gram is one gram; an empty one has none."""
+def densities(n: int) -> list[tuple[int, int]]:
+    """(gram, window) of a text of n code points, half = n / 2 rounded up.
+
+    From 157 code points on GRAM and WINDOW; from 31 on GRAM and a window of half - 15, so that gram + window - 1 is
+    half.  A shorter text has all grams of p and of 2 p code points, p being the greatest power of 2 up to half.  Windows
+    of different widths agree, as what is least in the wider one is so in the narrower; and texts of n and of half to n
+    code points always have a size of gram in common that half of n holds.  So they share an entry if they share half
+    of the longer, or GRAM + WINDOW - 1, code points in a row.
+    """
+    half = (n + 1) // 2
+    if half >= GRAM:
+        return [(GRAM, min(WINDOW, half - GRAM + 1))]
+    p = 1 << max(0, half.bit_length() - 1)
+    return [(g, 1) for g in (p, 2 * p) if g <= max(1, n)]
+
+
+def fingerprint(text: str, gram: int | None = None, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) chosen in text, in order, by the densities of its length unless gram and window are given.
+
+    A text shorter than a given gram is one gram; an empty one has none.
+    """
+    if gram is None and window is None:
+        parts = [_chosen(text, g, w) for g, w in densities(len(text))]
+        if len(parts) == 1:
+            return parts[0]
+        h, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(p, kind="stable")
+        return h[order], p[order]
+    return _chosen(text, gram or GRAM, window or WINDOW)
+
+
+def _chosen(text: str, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if not points.size:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -105,7 +136,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return placed.select("bucket", "doc_id", "text", (F.col("k") == 0).alias("own")).repartition(n // 4, "bucket").sortWithinPartitions("bucket", F.col("own").desc(), "doc_id", F.hash("text"), "text")
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def fingerprints(docs: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and how like the edited and the next text are.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Null texts
