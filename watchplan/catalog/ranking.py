@@ -53,8 +53,7 @@ def _(spark, d):
 
 @query("t10_peaks")
 def _(spark, d):
-    lists = V.scores(spark, d).groupBy("user_id", "event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "score"))), lambda x: x["score"] - 60).alias("v"))
-    return lists.select("user_id", "event_type", O.peaks(F.col("v"), 4).alias("peaks"))
+    return O.track_peaks(V.scores(spark, d), ["user_id", "event_type"], ["ts", "event_id", "score"], F.col("score") - 60, 4, "user_id long, event_type string")
 
 
 @query("t11_best_model", "SELECT event_type, k, bic FROM (SELECT event_type, user_id % 7 AS k, round(avg(score), 9) AS bic, row_number() OVER (PARTITION BY event_type ORDER BY avg(score), user_id % 7) AS n FROM scores GROUP BY 1, 2) WHERE n = 1")
@@ -66,8 +65,7 @@ def _(spark, d):
 
 @query("t12_even_sample", "SELECT user_id, list_transform(range(5), lambda i: ids[CAST(round_even(i * (len(ids) - 1) / 4.0::DOUBLE, 0) AS BIGINT) + 1]) AS keys FROM (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1) WHERE len(ids) > 5")
 def _(spark, d):
-    ids = V.table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    return ids.where(F.size("ids") > 5).select("user_id", O.even_sample(F.col("ids"), 5).alias("keys"))
+    return O.even_samples(V.table(spark, d, "events"), "user_id", "event_id", 5)
 
 
 @query("u01_bag_union", "SELECT * FROM ((SELECT 'employee' AS kind, employee_name AS name FROM people WHERE employee_name IS NOT NULL ORDER BY 2 LIMIT 20) UNION ALL (SELECT 'visitor', visitor_name FROM people WHERE visitor_name IS NOT NULL ORDER BY 2 LIMIT 20) UNION ALL (SELECT 'enrolled', name FROM people WHERE name IS NOT NULL ORDER BY 2 LIMIT 20))")

@@ -38,6 +38,34 @@ def peaks(values: Column, most: int) -> Column:
     return F.aggregate(good, F.array().cast("array<int>"), add)
 
 
+def even_samples(df: DataFrame, by: str, key: str, limit: int) -> DataFrame:
+    """even_sample of each group with more than `limit` (at least 2) rows, as by and keys; rows are numbered in order, and only the places wanted are gathered."""
+    n = df.groupBy(by).agg(F.count(key).alias("_n")).where(F.col("_n") > limit)
+    numbered = df.where(F.col(key).isNotNull()).select(by, key, F.row_number().over(Window.partitionBy(by).orderBy(key)).alias("_r"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(float(limit - 1))) + 1)
+    kept = numbered.join(n, by).where(F.array_contains(at, F.col("_r").cast("double")))
+    return kept.groupBy(by).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("_r", key))), lambda s: s[key])).alias("keys"))  # `limit` rows
+
+
+def track_peaks(df: DataFrame, by: list[str], order: list[str], value: Column, most: int, key_types: str) -> DataFrame:
+    """peaks of each track in its order, as by and peaks; the rows above 0 are streamed, greatest first, and only the chosen held.
+
+    A row beside a greater one can be chosen (where that one is itself beside a chosen one), so all rows above 0 take part.
+    """
+    from watchplan.operators.windows import fold
+
+    def step(chosen, row):
+        i = row[-1]
+        if len(chosen) < most and all(abs(i - j) > 1 for j in chosen):
+            return [*chosen, i], [*row[: len(by)], len(chosen), i]
+        return chosen, None
+
+    high = df.select(*by, value.alias("_x"), (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).alias("_i")).where("_x > 0")
+    found = fold(high, by, [F.desc("_x"), F.desc("_i")], f"{key_types}, _n int, _i int", list, step, ["_x", "_i"])
+    lists = found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_i"))), lambda s: s["_i"]).alias("peaks"))  # at most `most` rows
+    return df.select(*by).distinct().join(lists, by, "left").select(*by, F.coalesce("peaks", F.array().cast("array<int>")).alias("peaks"))
+
+
 def enough_of_each(df: DataFrame, by: str, least: int, take: int, order: list[str]) -> DataFrame:
     """`take` rows of every group that has at least `least`."""
     w = Window.partitionBy(by)
