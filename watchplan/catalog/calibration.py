@@ -1,4 +1,4 @@
-"""Queries of calibration and motion (M-4..M-7, M-10..M-12, J-20, W-13 live)."""
+"""Queries of calibration and motion (M-4..M-7, M-10, J-20, W-13 live)."""
 
 from __future__ import annotations
 
