@@ -104,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
     Weights go to at most `most` features: those more than 3 times as frequent among positives that a share
     of them has (copies of one text lend their words no weight), the most significant first.  They are found
     by a distributed count over the sample; only they, and the sample's sets of them, reach the driver.
+    With fewer than 200 positives in the sample, features need z >= 2 instead of 3, and l2 is 1e-3 instead of 7e-4.
     """
     spark, rows = docs.sparkSession, texts(docs).where("doc_id is not null and text <> ''")
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
