@@ -18,8 +18,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import bound_batches
-
 #: A pack is closed beyond so many code points or conversations.
 PACK_CHARS, PACK_CONVERSATIONS = 1 << 16, 2048
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -116,7 +114,6 @@ def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, pack_conversat
     A conversation is gathered in one task, nothing larger is: the order is cut by range over (path,
     conv_id), so that a first turn or a whole conversation that a third of all share spreads over tasks.
     """
-    bound_batches(conversations.sparkSession)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

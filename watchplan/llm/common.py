@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def workspace(spark: SparkSession) -> str:
     """A folder of this call's own under spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set and used.
+    Where the session names none, a local master (all on one machine) gets a temporary folder; elsewhere it is an
+    error, as executors would write where others can't read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="watchplan-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/watchplan-{uuid.uuid4().hex}"
@@ -56,26 +59,30 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once by bytes, unless the session has its own bound."""
+    """Bounds what a Python worker gets at once by bytes, unless the session has its own bound.
+
+    It changes the session, so queries and pipeline stages call it, not the operators: a user of those sets
+    spark.sql.execution.arrow.maxBytesPerBatch to their own liking.
+    """
     if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, null texts as empty; further columns, whatever their names, are left out.  Arrow batches get their bound."""
-    bound_batches(docs.sparkSession)
+    """doc_id and text alone, null texts as empty; further columns, whatever their names, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): a row (node, root) for each node but the roots, root the smallest node.
 
+    Rounds grow with the logarithm of the longest path, twice; should most_rounds not be enough, it is an error.
     Alternating large-star and small-star rounds: each is a pre-aggregated minimum per node and one
     join, whose skewed keys AQE can split; a round's edges are a written table, so lineage stays short.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = written(e, folder, f"{name}-0"), None
-    for k in range(1, most_rounds):
+    for k in range(1, most_rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are a table of their own, so that AQE can split the join where one node has a great part of all edges
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low")
@@ -88,4 +95,6 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
         if now == before or now[0] == 0:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

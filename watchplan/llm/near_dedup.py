@@ -2,8 +2,10 @@
 
 Two collections of t small groups of minhashes are computed; every pair (group i of the first, group j
 of the second) is one table's key, so t * t tables of 2 * r minhashes each cost 2 * t * r minhashes
-instead of 2 * t * t * r.  Documents that share a key become candidates; a task then compares the full
-shingle sets of a block of candidates, all pairs at once, and only true links count.
+instead of 2 * t * t * r.  Documents that share a key become candidates, and only links confirmed on full
+shingle sets count.  First each candidate meets its likest bucket leader: one comparison a document, which
+joins most of a large group of copies into one part.  Documents of a cluster that are still in different
+parts are then compared exactly, in blocks; documents of one part need not be.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import broadcast_if_small, components, texts, workspace, written
+from watchplan.llm.common import BROADCAST_BYTES, broadcast_if_small, components, texts, workspace, written
 
 #: Groups a collection, minhashes a group: 100 tables of 4 from 40 minhashes.  A pair of likeness 0.8
 #: is missed with probability 1 - (1 - (1 - 0.8**2)**10)**2 < 1e-4, more alike pairs far less often.
 GROUPS, GROUP_SIZE = 10, 2
-#: Candidates whose minhashes agree in a smaller share aren't joined to a bucket's first member.
+#: Candidates whose minhashes agree in a smaller share aren't joined to a bucket's first member (of 40 that agree with
+#: probability 0.8 each, fewer than 14 do with probability < 1e-9).
 LEAST_AGREEMENT = 0.35
 #: Documents of a verification block.
 BLOCK = 1024
@@ -57,15 +60,19 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """nid (a row's own number), doc_id, n_shingles, set_key, a, b (t group keys each), sig (a byte for each minhash)."""
+    """nid (a row's own number), doc_id, sha (of the text), n_shingles, set_key, a, b (t group keys each), sig (a byte for each minhash)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nid = TaskContext.get().partitionId() << 33
         salt = np.arange(2 * GROUPS, dtype=np.uint64)
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, text, sha in zip(pdf["doc_id"], pdf["text"], pdf["sha"], strict=True):
                 s = shingles(text, words)
                 if s.size:
                     m = minhashes(s)
@@ -73,15 +80,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     for k in range(GROUP_SIZE):
                         group = _mix(group * np.uint64(0xC2B2AE3D27D4EB4F) + m[k::GROUP_SIZE])
                     keys = group.view(np.int64).tolist()
-                    out.append((nid, doc_id, s.size, xxhash.xxh3_128_hexdigest(s.tobytes()), keys[:GROUPS], keys[GROUPS:], (m >> np.uint64(56)).astype(np.uint8).tobytes()))
+                    out.append((nid, doc_id, sha, s.size, xxhash.xxh3_128_hexdigest(s.tobytes()), keys[:GROUPS], keys[GROUPS:], (m >> np.uint64(56)).astype(np.uint8).tobytes()))
                 else:
-                    out.append((nid, doc_id, 0, None, None, None, None))
+                    out.append((nid, doc_id, sha, 0, None, None, None, None))
                 nid += 1
-            frame = pd.DataFrame(out, columns=["nid", "doc_id", "n_shingles", "set_key", "a", "b", "sig"])
+            frame = pd.DataFrame(out, columns=["nid", "doc_id", "sha", "n_shingles", "set_key", "a", "b", "sig"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return texts(docs).mapInPandas(run, "nid long, doc_id long, n_shingles long, set_key string, a array<long>, b array<long>, sig binary")
+    return _hashed(docs).mapInPandas(run, "nid long, doc_id long, sha string, n_shingles long, set_key string, a array<long>, b array<long>, sig binary")
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -92,7 +99,7 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def candidate_edges(classes: DataFrame, folder: str) -> DataFrame:
-    """Edges (a, b): each member of a table's bucket with the bucket's first member, if their minhashes agree enough.
+    """Edges (a, b, agreement): each member of a table's bucket with the bucket's first member, if their minhashes agree enough.
 
     A class has one row in each of t * t buckets, so that even a third of all documents in one bucket
     of every table is no more than that share of a task's rows; the window streams from sorted, spillable rows.
@@ -102,7 +109,8 @@ def candidate_edges(classes: DataFrame, folder: str) -> DataFrame:
     stars = written(rows.withColumn("first", first).where("first <> nid").select("first", "nid").distinct(), folder, "stars")
     sig = classes.select("nid", "sig")
     both = stars.join(sig, "nid").join(sig.select(F.col("nid").alias("first"), F.col("sig").alias("first_sig")), "first")
-    return both.where(F.pandas_udf(_agreement, "double")("sig", "first_sig") >= LEAST_AGREEMENT).select(F.col("first").alias("a"), F.col("nid").alias("b"))
+    edges = both.select(F.col("first").alias("a"), F.col("nid").alias("b"), F.pandas_udf(_agreement, "double")("sig", "first_sig").alias("agreement"))
+    return written(edges.where(F.col("agreement") >= LEAST_AGREEMENT), folder, "edges")
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -147,35 +155,72 @@ def _forest(match: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(k, int(label[k])) for k in np.unique(np.concatenate([a, b])).tolist() if label[k] != k]
 
 
-def verified_edges(clusters: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all true links between documents of one cluster.
+def sure_edges(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between each candidate and its likest leader that are links on full sets: one comparison a candidate.
+
+    Leaders' sets are broadcast if their bytes allow it; else rows join them by leader, which AQE splits where many
+    have the same one.
+    """
+    best = edges.groupBy("b").agg(F.max(F.struct("agreement", (-F.col("a")).alias("a"))).alias("t")).select("b", (-F.col("t.a")).alias("a"))
+    leaders = sets.join(best.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi").select(F.col("nid").alias("a"), F.col("words").alias("leader"))
+    size = leaders.agg(F.coalesce(F.sum(F.octet_length("leader") + 16), F.lit(0))).first()[0]
+    leaders = F.broadcast(leaders) if size <= BROADCAST_BYTES else leaders
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = np.intersect1d(x, y, assume_unique=True).size
+            out.append(100 * common >= percent * (x.size + y.size - common))
+        return pd.Series(out, dtype=bool)
+
+    both = best.join(sets.select(F.col("nid").alias("b"), "words"), "b").join(leaders, "a")
+    return both.where(alike("words", "leader")).select("a", "b")
+
+
+def blocks_of_parts(located: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Of located (nid, cluster, part, n_shingles): (cluster, band, lo, hi, block, role, part, nid), the groups in which documents meet.
 
-    Within a cluster, documents meet if their sizes allow a link (bands of a factor 100/percent, each
-    with the next) and in blocks of at most about BLOCK: every two blocks of a band are one task group, so
-    large clusters are spread and no task holds more than two blocks.
+    Documents of one cluster and different parts meet if their sizes allow a link (bands of a factor 100/percent,
+    each with the next).  A band of up to BLOCK rows is one block.  In a larger one the rows of its
+    largest part have blocks of their own, which meet the others' blocks and not each other: a group of n
+    copies with s stragglers costs n * s comparisons, not n * n, and no task holds more than two blocks.
     """
+    key = ["cluster", "band"]
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    rows = clusters.join(sets, "nid").withColumn("band", band)
     # role 0: in its own band; role 1: beside the band below
-    unit = rows.select("cluster", "nid", F.posexplode(F.array(F.col("band"), F.col("band") - 1)).alias("role", "band"))
+    unit = located.withColumn("own_band", band).select("cluster", "part", "nid", F.posexplode(F.array(F.col("own_band"), F.col("own_band") - 1)).alias("role", "band"))
     unit = written(unit, folder, "units")
-    sizes = unit.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == 0).cast("long")).alias("own")).where("own > 0 and n > 1")
-    sizes = sizes.select("cluster", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = unit.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other block once
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cluster", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "role", "nid").join(sets.select("nid", "words"), "nid")
+    per = unit.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == 0).cast("long")).alias("own"))
+    sizes = per.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top")).where("own > 0 and parts > 1")
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    small = F.col("n") <= BLOCK
+    sizes = sizes.select(*key, "n", F.col("top.part").alias("main"), F.when(small, 0).otherwise(of(F.col("top.n"))).alias("of_main"), F.when(small, 1).otherwise(of(F.col("n") - F.col("top.n"))).alias("of_rest"))
+    sizes = written(sizes, folder, "sizes")
+    # large bands are few and known everywhere; only small ones are joined by a shuffle, if they are too many to broadcast
+    large = broadcast_if_small(sizes.where(F.col("n") > BLOCK), 64)
+    placed = unit.join(large, key).unionByName(unit.join(large.select(*key), key, "left_anti").join(broadcast_if_small(sizes.where(small), 64), key))
+    in_main = (F.col("part") == F.col("main")) & (F.col("of_main") > 0)
+    hashed = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
+    placed = placed.withColumn("block", F.when(in_main, hashed(F.greatest(F.col("of_main"), F.lit(1)))).otherwise(F.col("of_main") + hashed(F.col("of_rest"))))
+    met = placed.withColumn("other", F.explode(F.sequence(F.when(in_main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)))
+    return met.select(*key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "role", "part", "nid")
+
+
+def verified_edges(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between parts that links on full sets connect, of the groups that blocks_of_parts makes."""
     key = ["cluster", "band", "lo", "hi"]
-    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.repartition(n, *key).sortWithinPartitions(*key, "nid")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.join(sets.select("nid", "words"), "nid").repartition(n, *key).sortWithinPartitions(*key, "nid")
 
     def group(rows: list[tuple]) -> list[tuple[int, int]]:
-        nid, role, block = (np.array([r[k] for r in rows]) for k in (6, 5, 4))
+        part, role, block = (np.array([r[k] for r in rows]) for k in (6, 5, 4))
         if len(rows) < 2:
             return []
         sets_ = [np.frombuffer(r[7], np.uint64) for r in rows]
         lo, hi = rows[0][2], rows[0][3]
-        out = []
+        out: set[tuple[int, int]] = set()
         everything = np.arange(len(rows))
         for own, other in ((lo, hi), (hi, lo)) if lo != hi else ((lo, hi),):
             left, right = everything[(role == 0) & (block == own)], everything[block == other]
@@ -184,9 +229,9 @@ def verified_edges(clusters: DataFrame, sets: DataFrame, folder: str, percent: i
             if not left.size or not right.size:
                 continue
             match = _linked(sets_, left, right, percent)
-            match &= left[:, None] != right[None, :]
-            out += [(int(nid[a]), int(nid[b])) for a, b in _forest(match, left, right)]
-        return out
+            match &= part[left][:, None] != part[right][None, :]
+            out |= {(int(part[a]), int(part[b])) for a, b in _forest(match, left, right)}
+        return sorted(p for p in out if p[0] != p[1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -201,7 +246,39 @@ def verified_edges(clusters: DataFrame, sets: DataFrame, folder: str, percent: i
         if rows:
             yield pd.DataFrame(group(rows), columns=["a", "b"], dtype="int64")
 
-    return dealt.select(*key, "block", "role", "nid", "words").mapInPandas(run, "a long, b long")
+    return dealt.select(*key, "block", "role", "part", "words").mapInPandas(run, "a long, b long")
+
+
+def _roots(docs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str, words: int, percent: int) -> DataFrame:
+    """(nid, root) of the classes that links join with a lesser one."""
+    edges = candidate_edges(classes, folder)
+    clusters = components(edges, folder, "clusters")
+    clusters = written(clusters.select(F.col("node").alias("nid"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("nid"), F.col("root").alias("cluster")).distinct()), folder, "candidates")
+    # full sets, for candidates alone
+    owner = rows.join(clusters.select("nid"), "nid", "left_semi").select("nid", "doc_id", "sha")
+    sets = written(_full_sets(docs, written(owner, folder, "owner"), words), folder, "sets")
+    parts = written(components(sure_edges(edges, sets, percent), folder, "parts"), folder, "parted")
+    located = written(clusters.join(parts.select(F.col("node").alias("nid"), "root"), "nid", "left").select("nid", "cluster", F.coalesce("root", "nid").alias("part")), folder, "located")
+    # clusters of one part are done
+    open_ = located.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("cluster")
+    open_ = broadcast_if_small(written(open_, folder, "open"), 16)
+    rest = located.join(open_, "cluster").join(sets.select("nid", "n_shingles"), "nid")
+    more = components(verified_edges(blocks_of_parts(rest, folder, percent), sets, percent), folder, "links")
+    out = located.select("nid", "part").join(more.select(F.col("node").alias("part"), "root"), "part", "left")
+    return out.select("nid", F.coalesce("root", "part").alias("root")).where("nid <> root")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A row per row of docs: doc_id, sha (of its text), n_shingles, component_id, and root, which tells groups apart (null without shingles)."""
+    folder = workspace(docs.sparkSession)
+    rows = written(signatures(docs, words), folder, "signatures")
+    classes = rows.where("set_key is not null").groupBy("set_key", "n_shingles", "a", "b", "sig").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least_doc"))
+    classes = written(classes, folder, "classes")
+    named = classes.join(_roots(docs, rows, classes, folder, words, percent), "nid", "left").select("set_key", "least_doc", F.coalesce("root", "nid").alias("root"))
+    named = written(named, folder, "named")
+    least = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    final = named.join(least, "root").select("set_key", "root", "component_id")
+    return rows.select("doc_id", "sha", "n_shingles", "set_key").join(final, "set_key", "left").select("doc_id", "sha", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -211,46 +288,41 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     have no shingle and are linked with nothing, not even each other: their component_id is their own
     doc_id.  Rows with equal sets (copies, repeated rows) are one class before anything is compared.
     """
-    folder = workspace(docs.sparkSession)
-    rows = written(signatures(docs, words), folder, "signatures")
-    classes = rows.where("set_key is not null").groupBy("set_key", "n_shingles", "a", "b", "sig").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least_doc"))
-    classes = written(classes, folder, "classes")
-    edges = candidate_edges(classes, folder)
-    clusters = components(edges, folder, "clusters")
-    clusters = written(clusters.select(F.col("node").alias("nid"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("nid"), F.col("root").alias("cluster")).distinct()), folder, "candidates")
-    # full sets, for candidates alone
-    wanted = written(classes.join(clusters.select("nid"), "nid", "left_semi").select("nid", "set_key"), folder, "wanted")
-    owner = rows.join(wanted.select("nid"), "nid", "left_semi").select("nid", "doc_id", "set_key")
-    sets = written(_full_sets(docs, owner, words), folder, "sets")
-    links = components(verified_edges(clusters, sets, folder, percent), folder, "links")
-    named = classes.join(links.select(F.col("node").alias("nid"), "root"), "nid", "left").select("set_key", "least_doc", F.coalesce("root", "nid").alias("root"))
-    named = written(named, folder, "named")
-    least = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    final = named.join(least, "root").select("set_key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = _grouped(docs, words, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def _full_sets(docs: DataFrame, owner: DataFrame, words: int) -> DataFrame:
-    """nid, n_shingles, words (the set's hashes packed) of the owners, made from their texts again."""
+    """nid, n_shingles, words (the set's hashes packed) of the owners (nid, doc_id, sha), made from their texts again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for nid, key, text in zip(pdf["nid"], pdf["set_key"], pdf["text"], strict=True):
-                s = shingles(text, words)
-                if s.size and xxhash.xxh3_128_hexdigest(s.tobytes()) == key:  # another row may have the doc_id
-                    out.append((nid, s.size, s.tobytes()))
-            yield pd.DataFrame(out, columns=["nid", "n_shingles", "words"])
+            sets = [shingles(text, words) for text in pdf["text"]]
+            yield pd.DataFrame({"nid": pdf["nid"], "n_shingles": [s.size for s in sets], "words": [s.tobytes() for s in sets]})
 
-    few = broadcast_if_small(owner, 80)
-    joined = texts(docs).join(few.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")))
-    return joined.select("nid", "set_key", "text").mapInPandas(run, "nid long, n_shingles long, words binary").dropDuplicates(["nid"])
+    few = broadcast_if_small(owner.select("nid", F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha")), 100)
+    joined = _hashed(docs).join(few, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")))
+    return joined.select("nid", "text").mapInPandas(run, "nid long, n_shingles long, words binary").dropDuplicates(["nid"])
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates, all columns kept."""
-    out = near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written(out, workspace(docs.sparkSession), "gone")
-    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """docs with one row of each group of near-duplicates, all columns kept.
+
+    It is the row with the least doc_id (null ids last), of several such the one with the least text digest, of
+    equal ones any.  Decisions go by doc_id and text together, so rows that repeat a doc_id with another text are told apart.  Rows
+    without words are in no group and all stay.
+    """
+    rows = written(_grouped(docs, words, percent), workspace(docs.sparkSession), "grouped")
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "sha")
+    top = rows.where("root is not null").groupBy("root").agg(F.min(first).alias("top"), F.count(F.lit(1)).alias("n"))
+    both = rows.join(top.where("n > 1"), "root").withColumn("stays", (first == F.col("top")))
+    gone = written(both.groupBy("doc_id", "sha").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), workspace(docs.sparkSession), "gone")
+    gone_side = gone.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    left = docs.join(broadcast_if_small(gone_side, 150), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    twice = gone.where("stays").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    if twice.isEmpty():
+        return left
+    again = docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha"))
+    twice = broadcast_if_small(twice, 150)
+    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -56,6 +56,20 @@ class Model:
         return score
 
 
+def risk(f: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, estimate of the clean part, gradient by f of what a step goes down) at outputs f; is_p: confirmed positives, the rest unlabelled.
+
+    While the clean part's estimate is not negative, the step goes down the whole risk; else back up that estimate alone.
+    """
+    n_p, n_u = max(1, int(is_p.sum())), max(1, int((~is_p).sum()))
+    up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # d loss(-) / d f;  d loss(+) / d f = up - 1
+    minus = np.logaddexp(0, f)
+    toxic = prior * np.logaddexp(0, -f)[is_p].sum() / n_p
+    clean = minus[~is_p].sum() / n_u - prior * minus[is_p].sum() / n_p
+    of_clean = np.where(is_p, -prior * up / n_p, up / n_u)
+    return toxic, clean, np.where(is_p, prior * (up - 1) / n_p, 0) + of_clean if clean >= 0 else -of_clean
+
+
 def fit(ids: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 7e-4) -> Model:
     """A linear model over sets of the features ids, with the non-negative risk above and logistic loss.
 
@@ -64,7 +78,7 @@ def fit(ids: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray
     if not positive:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     prior = min(max(prior, 1e-4), 0.9)
-    np_, nu = len(positive), max(1, len(unlabelled))
+    np_ = len(positive)
     rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k, f in enumerate([*positive, *unlabelled]):
         cols.append(np.searchsorted(ids, np.sort(f)))
@@ -75,14 +89,7 @@ def fit(ids: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray
     m, v = np.zeros(ids.size + 1), np.zeros(ids.size + 1)
     for step in range(1, rounds + 1):
         f = b + np.bincount(row, w[col], n)
-        up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # d loss(-) / d f;  d loss(+) / d f = up - 1
-        minus = np.logaddexp(0, f)
-        clean = minus[~is_p].sum() / nu - prior * minus[is_p].mean()
-        grad = np.where(is_p, prior * (up - 1) / np_, 0)
-        if clean >= 0:
-            grad += np.where(is_p, -prior * up / np_, up / nu)
-        else:  # step back from the negative estimate
-            grad = -np.where(is_p, -prior * up / np_, up / nu)
+        grad = risk(f, is_p, prior)[2]
         g = np.append(np.bincount(col, grad[row], ids.size) + l2 * w, grad.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -96,24 +103,19 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most: int = 10_000, share: float = 0.01) -> Model:
-    """Fits on at most most_positive confirmed toxic and most_unlabelled unlabelled texts, each the first by a hash of doc_id.
+    """Fits on at most most_positive confirmed toxic and most_unlabelled unlabelled texts, each the first distinct ids by a hash of doc_id.
 
     prior: the share of toxic texts; None: that among the labelled rows which aren't held out.  Labels,
-    toxic or not, of held-out rows are never read.
+    toxic or not, of held-out rows are never read.  An id counts once, with one text (the least by digest, if rows
+    repeat the id with other texts), so the sample never exceeds its bounds; more rows would be an error.
 
     Weights go to at most `most` features: those more than 3 times as frequent among positives that a share
     of them has (copies of one text lend their words no weight), the most significant first.  They are found
     by a distributed count over the sample; only they, and the sample's sets of them, reach the driver.
-    With fewer than 200 positives in the sample, features need z >= 2 instead of 3, and l2 is 1e-3 instead of 7e-4.
+    Features and penalty follow the number n of positives smoothly: z >= 3 - 200 / (200 + n), l2 = 7e-4 + 0.06 / (200 + n).
     """
     spark, rows = docs.sparkSession, texts(docs).where("doc_id is not null and text <> ''")
-    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
-    if prior is None:
-        prior = seen.agg(F.avg("toxic")).first()[0] or 0.1
-    by = F.xxhash64("doc_id", F.lit(17))
-    toxic = seen.where("toxic = 1").select("doc_id").distinct().orderBy(by, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("own"))
-    other = rows.where(~held_out()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(18)), "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("own"))
-    chosen = [tuple(r) for r in toxic.unionByName(other).collect()]  # bounded by the two limits
+    chosen, prior = sampled(rows, labels, prior, most_positive, most_unlabelled)
     sample = spark.createDataFrame(chosen, "doc_id long, own int")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,14 +124,19 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "own": pdf["own"], "features": sets})
 
     folder = workspace(spark)
-    got = written(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "own", "text").mapInPandas(featurise, "doc_id long, own int, features array<int>"), folder, "sample")
+    # one text an id, chosen by digest before the texts are read again: texts themselves aren't shuffled
+    mine = rows.join(F.broadcast(sample), "doc_id").withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    one = written(mine.groupBy("doc_id", "own").agg(F.min("sha").alias("sha")), folder, "chosen")
+    took = mine.join(F.broadcast(one), ["doc_id", "own", "sha"]).select("doc_id", "own", "text")
+    got = written(took.mapInPandas(featurise, "doc_id long, own int, features array<int>").dropDuplicates(["doc_id", "own"]), folder, "sample")
     n = {r["own"]: r["n"] for r in got.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = n.get(1, 0), max(1, n.get(0, 0))
+    if n_p > most_positive or n.get(0, 0) > most_unlabelled:
+        raise RuntimeError(f"a sample of {n_p} and {n_u} texts, beyond {most_positive} and {most_unlabelled}")
     each = got.select("doc_id", "own", F.explode("features").alias("f"))
-    few = n_p < 200  # weaker features are let in, and weigh less
     usual = n_p * (F.col("cu") + 0.5) / n_u
     told = each.groupBy("f").agg(F.sum("own").alias("cp"), F.sum(1 - F.col("own")).alias("cu")).withColumn("z", (F.col("cp") - usual) / F.sqrt(usual + 1))
-    told = told.where((F.col("cp") >= max(2.0, share * n_p)) & (F.col("cp") > 3 * usual) & (F.col("z") >= (2.0 if few else 3.0))).orderBy(F.desc("z"), "f").limit(most)
+    told = told.where((F.col("cp") >= max(2.0, share * n_p)) & (F.col("cp") > 3 * usual) & (F.col("z") >= 3 - 200 / (200 + n_p))).orderBy(F.desc("z"), "f").limit(most)
     ids = np.array(sorted(r["f"] for r in told.select("f").collect()), np.int64)
     chosen_f = spark.createDataFrame([(int(f),) for f in ids], "f int")
     sets = each.join(F.broadcast(chosen_f), "f").groupBy("own", "doc_id").agg(F.sort_array(F.collect_list("f")).alias("f")).orderBy("own", "doc_id").collect()
@@ -137,7 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
     for r in sets:
         own[r["own"]].append(np.array(r["f"], np.int64))
     none = np.zeros(0, np.int64)
-    return fit(ids, own[1] + [none] * (n_p - len(own[1])), own[0] + [none] * (n.get(0, 0) - len(own[0])), prior, l2=1e-3 if few else 7e-4)
+    return fit(ids, own[1] + [none] * (n_p - len(own[1])), own[0] + [none] * (n.get(0, 0) - len(own[0])), prior, l2=7e-4 + 0.06 / (200 + n_p))
+
+
+def sampled(rows: DataFrame, labels: DataFrame, prior: float | None, most_positive: int, most_unlabelled: int) -> tuple[list[tuple[int, int]], float]:
+    """(doc_id, 1 for confirmed toxic or 0 for unlabelled) of the sample, ids distinct within each, and the prior."""
+    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
+    if prior is None:
+        prior = seen.agg(F.avg("toxic")).first()[0] or 0.1
+    first = lambda df, seed, most, own: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id", F.lit(own).alias("own"))
+    both = first(seen.where("toxic = 1"), 17, most_positive, 1).unionByName(first(rows.where(~held_out()), 18, most_unlabelled, 0))
+    return [tuple(r) for r in both.collect()], prior  # bounded by the two limits
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
