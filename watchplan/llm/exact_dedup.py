@@ -1,9 +1,11 @@
 """Exact dedup by a log-structured merge index over text digests.
 
 Each task fills a memtable, comparing bytes when a digest is met again, and flushes it as a sorted
-run of digests, cut into segments, each with a filter.  Compaction takes one segment of all runs:
-filters, added up, leave only digests that at least two runs may hold; those are merged, keeping
-one identifier.  Digests that several runs do hold are hits, whose texts are then compared byte by byte.
+run of digests, cut into segments, each with a filter.  Compaction goes in levels: FAN runs of a level become
+one of the next, segment by segment, and each segment is cut into FAN as it grows by FAN, so that what a
+task holds at once never grows with the corpus.  Filters tell which digests another of the FAN runs may
+hold; only those are merged, keeping one identifier, the others go on as they are.  Digests that several runs
+did hold are hits, whose texts are then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchplan.llm.common import broadcast_if_small, texts, workspace, written
 
 #: A memtable is flushed beyond so many bytes of text or rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 48 << 20, 400_000
+#: Runs that one compaction merges, and segments of a run at least: a task holds at most about FAN * MEMTABLE_ROWS / SEGMENTS keys.
+FAN, SEGMENTS = 16, 16
 _FILTER_BITS, _FILTER_HASHES = 12, 3
-_RUN = "kind int, doc_id long, rid long, sha string, best_id long, best_rid long, n long, segment int, run long, keys binary, filter binary, bests binary"
-_ROW = np.dtype([("id", "<i8"), ("rid", "<i8"), ("n", "<i8")])
+_RUN = "kind int, doc_id long, rid long, sha string, best_id long, best_rid long, n long, segment long, run long, keys binary, filter binary, bests binary"
+_ROW = np.dtype([("id", "<i8"), ("rid", "<i8"), ("n", "<i8"), ("runs", "<i8")])
 _NO_ID = -(1 << 63)
 
 
@@ -38,7 +42,13 @@ def _pair(doc_id: int | None, rid: int, smallest: bool) -> tuple[int, int]:
     return (_NO_ID if doc_id is None else -doc_id if smallest else doc_id, -rid)
 
 
-def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, smallest: bool, filter_bits: int) -> Iterator[pd.DataFrame]:
+def _packed_filter(keys: np.ndarray, bits: int) -> bytes:
+    out = np.zeros(bits, np.uint8)
+    out[_filter(keys, bits).ravel()] = 1
+    return np.packbits(out).tobytes()
+
+
+def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, smallest: bool, bits: int) -> Iterator[pd.DataFrame]:
     task = TaskContext.get().partitionId()
     rid, run = task << 33, task << 20
     table: dict[bytes, list[list]] = {}
@@ -48,19 +58,16 @@ def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, s
     def flush() -> Iterator[pd.DataFrame]:
         nonlocal size, run
         rows = [(0, i, r, sha, e[1], e[2], e[3], None, None, None, None, None) for i, r, sha, e in held]
-        keys = sorted(table)
         by: dict[int, list[bytes]] = {}
-        for k in keys:
+        for k in sorted(table):
             by.setdefault(int.from_bytes(k[:4], "big") % segments, []).append(k)
         for segment, own in by.items():
-            blob = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1)
-            bits = np.zeros(filter_bits, np.uint8)
-            bits[_filter(blob, filter_bits).ravel()] = 1
             best = np.zeros(len(own), _ROW)
             for at, k in enumerate(own):
                 top = max(table[k], key=lambda e: e[0])
-                best[at] = (_NO_ID if top[1] is None else top[1], top[2], sum(e[3] for e in table[k]))
-            rows.append((1, None, None, None, None, None, None, segment, run, blob.tobytes(), np.packbits(bits).tobytes(), best.tobytes()))
+                best[at] = (_NO_ID if top[1] is None else top[1], top[2], sum(e[3] for e in table[k]), 1)
+            blob = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), 32)
+            rows.append((1, None, None, None, None, None, None, segment, run, blob.tobytes(), _packed_filter(blob, bits), best.tobytes()))
         frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _RUN.split(", ")])
         for c in ("doc_id", "rid", "best_id", "best_rid", "n", "segment", "run"):
             frame[c] = frame[c].astype("Int64")
@@ -93,25 +100,73 @@ def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, s
         yield from flush()
 
 
-def _compact(pdf: pd.DataFrame, smallest: bool) -> pd.DataFrame:
-    """Of one segment of all runs: the keys that at least two runs hold, their best row and their rows in all."""
-    bits = sum(np.unpackbits(np.frombuffer(f, np.uint8)).astype(np.int32) for f in pdf["filter"])
-    runs = [np.frombuffer(k, np.uint8).reshape(-1, 32) for k in pdf["keys"]]
-    keys = np.concatenate(runs)
-    best = np.concatenate([np.frombuffer(b, _ROW) for b in pdf["bests"]])
-    maybe = (bits[_filter(keys, bits.size)] >= 2).all(1)  # another run's filter has it too
-    keys, best = keys[maybe], best[maybe]
-    out = pd.DataFrame({"key": pd.Series(dtype=object), "best_id": pd.Series(dtype="Int64"), "best_rid": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-    if not len(keys):
-        return out
-    values, inverse, count = np.unique(np.ascontiguousarray(keys).view("V32").ravel(), return_inverse=True, return_counts=True)
-    ids = np.where(best["id"] == _NO_ID, np.iinfo(np.int64).max if smallest else _NO_ID, best["id"])
-    order = np.lexsort((best["rid"] if smallest else -best["rid"], ids, inverse))
-    last = np.cumsum(count) - 1
-    top, total = order[last - count + 1 if smallest else last], np.bincount(inverse, best["n"]).astype(np.int64)
-    hit = np.flatnonzero(count >= 2)
-    found = best["id"][top[hit]]
-    return pd.DataFrame({"key": pd.Series([values[k].tobytes().hex() for k in hit], dtype=object), "best_id": pd.arrays.IntegerArray(found.copy(), found == _NO_ID), "best_rid": best["rid"][top[hit]], "n": total[hit]})
+def merged(runs: list[tuple[bytes, bytes, bytes]], smallest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and their entries, of one segment of some runs given as (keys, filter, entries) packed."""
+    count = sum(np.unpackbits(np.frombuffer(f, np.uint8)) for _, f, _ in runs)  # at most FAN
+    keys = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, 32) for k, _, _ in runs])
+    best = np.concatenate([np.frombuffer(b, _ROW) for _, _, b in runs])
+    maybe = (count[_filter(keys, count.size)] >= 2).all(1)  # another run's filter has it too
+    alone_k, alone_b, keys, best = keys[~maybe], best[~maybe], keys[maybe], best[maybe]
+    if len(keys):
+        values, inverse, counts = np.unique(np.ascontiguousarray(keys).view("V32").ravel(), return_inverse=True, return_counts=True)
+        ids = np.where(best["id"] == _NO_ID, np.iinfo(np.int64).max if smallest else _NO_ID, best["id"])
+        order = np.lexsort((best["rid"] if smallest else -best["rid"], ids, inverse))
+        last = np.cumsum(counts) - 1
+        top = best[order[last - counts + 1 if smallest else last]].copy()
+        for c in ("n", "runs"):
+            top[c] = np.round(np.bincount(inverse, best[c])).astype(np.int64)
+        keys, best = values.view(np.uint8).reshape(-1, 32), top
+    keys, best = np.concatenate([alone_k, keys]), np.concatenate([alone_b, best])
+    order = np.argsort(np.ascontiguousarray(keys).view("V32").ravel(), kind="stable")
+    return keys[order], best[order]
+
+
+def compacted(runs: DataFrame, level: int, smallest: bool, bits: int) -> DataFrame:
+    """(segment, run, keys, filter, bests) of the next level: FAN runs, which are numbered 0, 1, ..., become one, a segment becomes FAN."""
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.withColumn("group", F.floor(F.col("run") / FAN)).repartition(n, "group", "segment").sortWithinPartitions("group", "segment", "run").select("group", "segment", "keys", "filter", "bests")
+
+    def of(key: tuple, held: list[tuple[bytes, bytes, bytes]]) -> list[tuple]:
+        keys, best = merged(held, smallest)
+        sub = keys[:, 4 + level].astype(np.int64) % FAN
+        return [(key[1] * FAN + s, key[0], keys[sub == s].tobytes(), _packed_filter(keys[sub == s], bits), best[sub == s].tobytes()) for s in np.unique(sub).tolist()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, key, held = ["segment", "run", "keys", "filter", "bests"], None, []
+        for pdf in batches:
+            out = []
+            for group, segment, keys, own, bests in pdf.itertuples(index=False, name=None):
+                if held and (group, segment) != key:
+                    out += of(key, held)
+                    held = []
+                key = (group, segment)
+                held.append((keys, own, bests))
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(of(key, held), columns=names)
+
+    return dealt.mapInPandas(run, "segment long, run long, keys binary, filter binary, bests binary")
+
+
+def hits_of(runs: DataFrame, folder: str, smallest: bool, bits: int) -> DataFrame:
+    """(key, best_id, best_rid, n) of the digests that at least two of the runs (segment, run, keys, filter, bests) hold."""
+    found = written(runs.select("run").distinct(), folder, "run-ids")  # a row for each flush of a memtable
+    number = found.count()
+    names = broadcast_if_small(found.select("run", (F.row_number().over(Window.orderBy("run")) - 1).cast("long").alias("number")), 32, number)
+    table, level = runs.join(names, "run").select("segment", F.col("number").alias("run"), "keys", "filter", "bests"), 0
+    while number > 1:
+        table = written(compacted(table, level, smallest, bits), folder, f"level-{level + 1}")
+        number, level = -(-number // FAN), level + 1
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for keys, bests in zip(pdf["keys"], pdf["bests"], strict=True):
+                best = np.frombuffer(bests, _ROW)
+                hit = np.flatnonzero(best["runs"] >= 2)
+                ids = best["id"][hit]
+                yield pd.DataFrame({"key": pd.Series([keys[32 * k : 32 * k + 32].hex() for k in hit.tolist()], dtype=object), "best_id": pd.arrays.IntegerArray(ids.copy(), ids == _NO_ID), "best_rid": best["rid"][hit], "n": best["n"][hit]})
+
+    return table.select("keys", "bests").mapInPandas(several, "key string, best_id long, best_rid long, n long")
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256) -> DataFrame:
@@ -127,11 +182,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256) ->
     """
     spark, smallest, key_bytes = docs.sparkSession, keep == "smallest", key_bits // 8
     folder, rows = workspace(spark), texts(docs)
-    segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a run has some thousands of rows at least, spread over the segments
-    filter_bits = 1 << max(6, (_FILTER_BITS * MEMTABLE_ROWS // 16 // segments).bit_length())
-    runs = written(rows.mapInPandas(lambda b: _memtables(b, segments, key_bytes, smallest, filter_bits), _RUN), folder, "runs")
-    hits = written(runs.where("kind = 1").select("segment", "keys", "filter", "bests").groupBy("segment").applyInPandas(lambda p: _compact(p, smallest), "key string, best_id long, best_rid long, n long"), folder, "hits")
+    segments = max(SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a block, one segment of one run, has some thousands of rows at least in all segments together, at every level
+    bits = 1 << max(6, (_FILTER_BITS * MEMTABLE_ROWS // 16 // segments).bit_length())
+    runs = written(rows.mapInPandas(lambda b: _memtables(b, segments, key_bytes, smallest, bits), _RUN), folder, "runs")
+    hits = written(hits_of(runs.where("kind = 1").select("segment", "run", "keys", "filter", "bests"), folder, smallest, bits), folder, "hits")
     held = runs.where("kind = 0").select("doc_id", "rid", "sha", "best_id", "best_rid", "n").withColumn("key", _key("sha", key_bytes))
     # byte verification of hits: one row for each digest and text, summed within a task first
     few = broadcast_if_small(hits.select("key"), 150)
