@@ -3,7 +3,8 @@
 A text is cut into pieces; within a piece, a segment tree over the ranks of adjacent pairs has the
 leftmost lowest-rank merge at its root.  A merge rewrites three leaves and the nodes above them,
 and the loop ends when no pair can merge.  Many pieces run side by side: row r of each array is one
-piece, so a step is a few numpy operations over all pieces that still merge.
+piece, so a step is a few numpy operations over all pieces that still merge.  A very long piece has a
+tree of its own, and a step takes all leaves of the root's rank at once, leftmost first.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHE_PIECES = 300_000
 #: Characters whose pieces are encoded at once.
 SLICE_CHARS = 2 << 20
+#: Pieces of so many bytes have a tree of their own.
+LONG_PIECE = 2048
 _NONE = np.iinfo(np.int64).max
 
 
@@ -92,7 +95,12 @@ class Vocabulary:
             self.made.append(new)
             self.left[new], self.right[new], self.rank[new] = a, b, rank
         self.made = np.array([*self.made, -1], np.int32)
-        self.pairs = PairTable(ranks)
+        self.pairs, self.ranks = PairTable(ranks), ranks
+        # whether every pair with a merged token ranks behind that token's own merges, as trained vocabularies have it
+        least: dict[int, int] = {}
+        for (a, b), rank in ranks.items():
+            least[a], least[b] = min(rank, least.get(a, rank)), min(rank, least.get(b, rank))
+        self.ordered = all(least.get(new, len(ranks)) > rank for rank, new in enumerate(self.made[:-1].tolist()))
 
 
 def split(text: str, vocabulary: Vocabulary) -> list[str | int]:
@@ -138,6 +146,10 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
     """Token ids of each piece as packed int32."""
     out: list[bytes] = [b""] * len(pieces)
     for width, own in blocks_by_length(pieces):
+        if width > LONG_PIECE and v.ordered:
+            for k in own:
+                out[k] = _encode_long(pieces[k], v).astype("<i4").tobytes()
+            continue
         ids, counts = _encode_block([pieces[k] for k in own], width, v)
         ends = np.cumsum(counts) * 4
         packed = ids.astype("<i4").tobytes()
@@ -196,6 +208,53 @@ def _encode_block(pieces: list[bytes], width: int, v: Vocabulary) -> tuple[np.nd
     return token[keep], keep.sum(1)
 
 
+def _encode_long(piece: bytes, v: Vocabulary) -> np.ndarray:
+    """Token ids of one piece.  A merge makes pairs of higher ranks only (v.ordered), so all leaves of the root's rank may merge in one step."""
+    n = len(piece)
+    bits = max(1, (n - 1).bit_length())
+    width = 1 << bits
+    token = v.of_byte[np.frombuffer(piece, np.uint8)].astype(np.int64)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    none = np.iinfo(np.int32).max
+    tree = np.full(2 * width, none, np.int32)  # the least rank below each node; leaf p: that of the pair which begins at p
+    rank = v.pairs.get(token[:-1], token[1:])
+    tree[width : width + n - 1] = np.where(rank >= 0, rank, none)
+    level = width
+    while level > 1:
+        tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+        level //= 2
+    while (root := tree[1]) < none:
+        nodes = np.ones(1, np.int64)
+        for _ in range(bits):  # down to all leaves of this rank, from left to right
+            nodes = (2 * nodes[:, None] + np.arange(2)).ravel()
+            nodes = nodes[tree[nodes] == root]
+        p = nodes - width
+        # of pairs that overlap (equal tokens in a row) every second one merges
+        joined = np.concatenate(([False], after[p[:-1]] == p[1:]))
+        at = np.arange(p.size)
+        p = p[(at - np.maximum.accumulate(np.where(joined, 0, at))) % 2 == 0]
+        q = after[p]
+        follow = after[q]
+        token[p], token[q], after[p] = v.made[root], -1, follow
+        inner = follow < n
+        before[follow[inner]] = p[inner]
+        left = before[p]
+        left = left[left >= 0]
+        changed = np.concatenate([p, left])  # pairs that begin here have other tokens now
+        right = after[changed]
+        rank = np.full(changed.size, -1, np.int64)
+        has = right < n
+        rank[has] = v.pairs.get(token[changed[has]], token[right[has]])
+        tree[width + q] = none
+        tree[width + changed] = np.where(rank >= 0, rank, none)
+        nodes = np.concatenate([changed, q]) + width
+        for _ in range(bits):
+            nodes = nodes >> 1
+            nodes = nodes[np.concatenate(([True], nodes[1:] != nodes[:-1]))]
+            tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+    return token[token >= 0]
+
+
 class Encoder:
     """Token ids of texts; pieces met before come from a bounded cache."""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from watchplan.llm import bpe, chat, exact_dedup, mixing, near_dedup, pii, sharding, token_counts, toxicity, winnow
-from watchplan.llm.common import table
+from watchplan.llm.common import bound_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -16,11 +17,32 @@ TOKEN_LIMIT = 512
 MIX = {"budget_share": 0.6, "max_epochs": 3.0, "weights": {"domain": {"domain0": 1.5}, "lang": {"en": 2.0}}, "seed": 7}
 
 
+#: Where a session names the secret key of surrogates; without one, each run draws its own.
+PII_KEY = "spark.watchplan.pii.key"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; Python workers get it in batches bounded by bytes."""
+    bound_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
+    """Near-duplicates of all documents on 2-word shingles at 80 %: doc_id, n_shingles, component_id, kept.
+
+    Null and empty texts and texts without words are linked with nothing; repeated rows and equal sets are one class;
+    an empty table gives no rows; further columns are left out.
+    """
+    return near_dedup.near_groups(_documents(spark, sf_dir), words=2, percent=80)
 
 
 def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 in packs of shared turns, read back from them.
+
+    Null roles and texts count as empty; repeated rows and rows of one turn number are turns each, in a fixed order; rows without
+    conv_id are one conversation; an empty table gives conversation -7 alone.
+    """
+    bound_batches(spark)
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -7L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -28,35 +50,56 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(spark, sf_dir)
+    """doc_id, held_out, score, predicted of every document, learned from labels of rows that aren't held out.
+
+    Null and empty texts get the score of no features; rows that repeat a doc_id are scored each and count once as a sample;
+    rows without doc_id aren't held out and never learned from; without labels every score is 0.
+    """
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
+    """The documents that a budget of 60 % of all words takes, by weights of domains and languages.
+
+    Null lang or source is 'none'; null and empty texts are never taken; repeated rows count each; an empty table gives no rows.
+    """
+    return mixing.mix(_documents(spark, sf_dir), **MIX)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; null counts as empty and has no ids; a row for each row."""
+    return bpe.token_digests(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
+    """doc_id, n_bytes, n_tokens, over_limit, chars_in_limit of every whole text; null counts as empty; a row for each row."""
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"), parts=16)
+    """All documents in 16 shards of near-equal bytes; rows of equal texts, null and empty alike, share a shard; a row for each row."""
+    return sharding.shards(_documents(spark, sf_dir), parts=16)
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and its edited text; null counts as empty, rows without doc_id come last; a row for each row."""
+    return winnow.fingerprints(_documents(spark, sf_dir))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(table(spark, sf_dir, "documents"))
+    """Every document with surrogates for personal data; null and empty texts come back empty; a row for each row.
+
+    The key is the session's spark.watchplan.pii.key; without one each run has a random key of its own, so that no
+    published default can undo surrogates.
+    """
+    named = spark.conf.get(PII_KEY, None)
+    return pii.replaced(_documents(spark, sf_dir), named.encode() if named else secrets.token_bytes(32))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+    """Every document with the row that stays of its text, the one with the largest doc_id; null counts as empty; repeated rows are copies."""
+    return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
