@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ GATE = gates.Gate(threshold=1.0, sigma=1.0, n=2, m=3, cooldown=4.0)
 
 def rows(spark):
     score = [0, 2, 3, 3, 0, 0, 0, 4, 4, 4, 0, 0, 3, 3, 3]
-    return spark.createDataFrame([(t, k, float(k), float(s if t == "a" else 1.5 * s)) for t in "ab" for k, s in enumerate(score)], "track string, seq long, at double, score double")
+    return spark.createDataFrame([(t, k, 1.7e9 + k, float(s if t == "a" else 1.5 * s)) for t in "ab" for k, s in enumerate(score)], "track string, seq long, at double, score double")
 
 
 def drained(stream, tmp_path, name, mode="append"):
@@ -25,29 +26,61 @@ def drained(stream, tmp_path, name, mode="append"):
     return spark.read.parquet(out)
 
 
-def test_live_gate_equals_its_batch_twin(spark, tmp_path):
-    df = rows(spark)
+def three_files(spark, df, tmp_path):
     for part in range(3):  # three files, three batches
         df.where((F.col("seq") >= 5 * part) & (F.col("seq") < 5 * part + 5)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = readers.files(spark, str(tmp_path / "in"), df.schema)
-    live = drained(gates.live(stream, GATE), tmp_path, "live")
+    return readers.files(spark, str(tmp_path / "in"), df.schema)
+
+
+def test_live_gate_equals_its_batch_twin(spark, tmp_path):
+    df = rows(spark)
+    live = drained(gates.live(three_files(spark, df, tmp_path), GATE), tmp_path, "live")
     key = lambda d: sorted((r["track"], r["seq"], round(r["smooth"], 9), r["lasting"], r["emits"]) for r in d.collect())
     assert key(live) == key(gates.batch(df, GATE)) and any(r["emits"] for r in live.collect())
 
 
+def test_live_buffers_equal_their_batch_twins(spark, tmp_path):
+    df = rows(spark)
+    stream = three_files(spark, df, tmp_path)
+    key = lambda d, c: sorted((r["track"], r["seq"], list(r[c])) for r in d.collect())
+    windows = gates.Tubelets(length=4, stride=3)
+    want = key(gates.tubelets(df, windows), "scores")
+    assert key(drained(gates.live_tubelets(stream, windows), tmp_path, "tubelets"), "scores") == want and [s for t, s, _ in want if t == "a"] == [3, 6, 9, 12]
+    want = key(gates.frame_buffers(df, 3, "score >= 4"), "frames")
+    assert key(drained(gates.live_frame_buffers(stream, 3, 4.0), tmp_path, "frames"), "frames") == want and ("a", 7, [5, 6, 7]) in want
+
+
 def test_edge_counts_while_cooldown_holds_it_back():
     g = gates.Gate(threshold=0.5, sigma=0, n=1, m=1, cooldown=10.0)
     state, emits = g.fresh(), []
     for k, s in enumerate([1, 0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 1]):
-        state, (_, _, e) = g.step(state, k, float(k), float(s))
+        state, (_, _, e) = g.step(state, float(k), float(s))
         emits.append(e)
     assert [k for k, e in enumerate(emits) if e] == [0, 11]
 
 
-def test_stale_state_is_dropped():
-    g = gates.Gate(threshold=0.5, sigma=0, n=2, m=3, cooldown=0.0, stale=75)
-    state, _ = g.step(g.fresh(), 0, 0.0, 1.0)
-    assert g.step(state, 75, 75.0, 1.0)[1][1] and not g.step(state, 76, 76.0, 1.0)[1][1]
+def test_a_gap_empties_the_buffer_and_not_the_gate():
+    """A track that comes back 77 samples after its last one was dropped at the sample before; after 76 it wasn't."""
+    w = gates.Tubelets(length=2, stride=1)
+    assert w.step(w.step(w.fresh(), 0, 1.0)[0], 76, 2.0)[1] == [1.0, 2.0] and w.step(w.step(w.fresh(), 0, 1.0)[0], 77, 2.0)[1] is None
+    g = gates.Gate(threshold=0.5, sigma=0, n=2, m=3, cooldown=0.0)
+    state, _ = g.step(g.fresh(), 0.0, 1.0)
+    assert g.step(state, 1000.0, 1.0)[1][1]
+
+
+def test_scores_that_are_no_numbers_count_as_nothing():
+    g = gates.Gate(threshold=0.5, sigma=0)
+    assert [g.step(g.fresh(), 0.0, x)[1][0] for x in (float("nan"), float("inf"), None, 2.0)] == [0.0, 0.0, 0.0, 2.0]
+
+
+def test_windows_by_stride_of_the_index():
+    w = gates.Tubelets(length=3, stride=4)
+    state, out = w.fresh(), []
+    for seq in (0, 2, 4, 6, 8, 9):
+        state, made = w.step(state, seq, float(seq))
+        if made:
+            out.append((seq, made))
+    assert out == [(4, [0.0, 2.0, 4.0]), (8, [4.0, 6.0, 8.0])]
 
 
 def test_ttl_dedup_is_not_renewed_by_a_hit():
@@ -83,6 +116,12 @@ def test_sources(spark, tmp_path):
     assert [list(r["v"]) for r in readers.matrices(spark, str(tmp_path)).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
     (tmp_path / "c.json").write_text('{"recommended": {"threshold": 0.3}}')
     assert readers.config(spark, str(tmp_path / "c.json"), {"t": ["threshold", "recommended.threshold"], "k": ["k"]}, {"k": 5}) == {"t": 0.3, "k": 5}
+    (tmp_path / "bucket").mkdir()
+    (tmp_path / "bucket" / "a.bin").write_bytes(b"face")
+    got = readers.objects(spark, ["s3://bucket/a.bin"], f"file://{tmp_path}/")
+    assert bytes(got.first()["content"]) == b"face"
+    with pytest.raises(ValueError):
+        readers.objects(spark, ["http://x/y"])
     assert readers.listing(spark, str(tmp_path), "*.npy").count() == 1
     spark.range(1).createOrReplaceTempView("one_row")
     assert readers.catalog_tables(spark).where("table = 'one_row'").count() == 1
@@ -94,7 +133,7 @@ def test_sinks(spark, tmp_path):
     values = {r["key"]: json.loads(r["value"]) for r in writers.kafka_values(df, "id").collect()}
     assert values["1"] == {"id": 1} and values["3"] == {"id": 3, "v": 1.5}
     put = writers.once(str(tmp_path / "t"), "id")
-    for epoch in (0, 1):
+    for epoch in (0, 0, 1):  # the first batch twice, then its rows in another one
         put(df, epoch)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     for kind in ("csv", "json", "parquet"):

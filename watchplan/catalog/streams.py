@@ -1,14 +1,17 @@
-"""Batch twins of the streaming operators (S-*)."""
+"""Batch twins of the streaming operators (S-*); their SQL goes from row to row by recursion."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
+from watchplan.operators.windows import weights
 from watchplan.plans import views as V
 from watchplan.streaming import alerts, gates
 
-GATE = gates.Gate(threshold=60.0, sigma=1.0, cooldown=86400.0, stale=10**9)
+GATE = gates.Gate(threshold=60.0, sigma=1.0, cooldown=86400.0)
+TUBELETS = gates.Tubelets(length=6, stride=400, stale=600)
+_BY = "PARTITION BY user_id, event_type ORDER BY event_id"
 
 
 def samples(spark, d):
@@ -16,12 +19,37 @@ def samples(spark, d):
     return e.select(F.concat_ws("/", "user_id", "event_type").alias("track"), F.col("event_id").alias("seq"), "at", "score")
 
 
-@query("s02_gate_state")
+def _gate_sql(cooldown: float, out: str) -> str:
+    """Smoothing and persistence as windows; only what emits goes from one edge to the next."""
+    lag = lambda k: f"lag(score, {k}) OVER w" if k else "score"
+    x = weights(1.0, 3)
+    smooth = "(" + " + ".join(f"coalesce({lag(k)} * {v!r}::DOUBLE, 0)" for k, v in enumerate(x)) + ") / (" + " + ".join(f"CASE WHEN {lag(k)} IS NOT NULL THEN {v!r}::DOUBLE ELSE 0 END" for k, v in enumerate(x)) + ")"
+    return f"""WITH RECURSIVE a AS (SELECT user_id, event_type, event_id, epoch_us(ts) / 1e6 AS tm, {smooth} AS smooth FROM scores WINDOW w AS ({_BY})),
+    b AS (SELECT *, sum(CASE WHEN smooth > 60 THEN 1 ELSE 0 END) OVER ({_BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS lasting FROM a),
+    c AS (SELECT *, lasting AND NOT coalesce(lag(lasting) OVER ({_BY}), false) AS edge FROM b),
+    e AS (SELECT user_id, event_type, event_id, tm, row_number() OVER ({_BY}) AS n FROM c WHERE edge),
+    r AS (SELECT user_id, event_type, event_id, n, tm AS last, true AS emits FROM e WHERE n = 1 UNION ALL
+          SELECT e.user_id, e.event_type, e.event_id, e.n, CASE WHEN e.tm - r.last >= {cooldown} THEN e.tm ELSE r.last END, e.tm - r.last >= {cooldown} FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1),
+    g AS (SELECT c.user_id || '/' || c.event_type AS track, c.event_id AS seq, round(c.smooth, 7) AS smooth, c.lasting, coalesce(r.emits, false) AS emits FROM c LEFT JOIN r ON r.event_id = c.event_id) {out}"""
+
+
+@query("s01_tubelets", f"""WITH RECURSIVE h AS (SELECT user_id, event_type, event_id, score, row_number() OVER ({_BY}) AS n, event_id - lag(event_id) OVER ({_BY}) > 601 AS anew FROM scores),
+    r AS (SELECT user_id, event_type, event_id, n, [score] AS held, CAST(NULL AS BIGINT) AS last, false AS due FROM h WHERE n = 1 UNION ALL
+          SELECT user_id, event_type, event_id, n, held, CASE WHEN due THEN event_id ELSE last END, due FROM (SELECT *, len(held) = 6 AND (last IS NULL OR event_id - last >= 400) AS due FROM (
+              SELECT h.user_id, h.event_type, h.event_id, h.n, CASE WHEN h.anew THEN [h.score] WHEN len(r.held) = 6 THEN list_append(r.held[2:6], h.score) ELSE list_append(r.held, h.score) END AS held, CASE WHEN h.anew THEN NULL ELSE r.last END AS last
+              FROM r JOIN h ON h.user_id = r.user_id AND h.event_type = r.event_type AND h.n = r.n + 1)))
+    SELECT user_id || '/' || event_type AS track, event_id AS seq, held AS scores FROM r WHERE due""")
 def _(spark, d):
-    return gates.batch(samples(spark, d), gates.Gate(threshold=60.0, sigma=1.0, stale=10**9))
+    return gates.tubelets(samples(spark, d), TUBELETS)
 
 
-@query("s03_emitted_events")
+@query("s02_gate_state", _gate_sql(5.0, "SELECT * FROM g"))
+def _(spark, d):
+    out = gates.batch(samples(spark, d), gates.Gate(threshold=60.0, sigma=1.0))
+    return out.withColumn("smooth", F.round("smooth", 7))
+
+
+@query("s03_emitted_events", _gate_sql(86400.0, "SELECT track, seq FROM g WHERE emits"))
 def _(spark, d):
     return gates.batch(samples(spark, d), GATE).where("emits").select("track", "seq")
 
@@ -31,10 +59,26 @@ def _(spark, d):
     return gates.route(samples(spark, d), 2).select("track", "seq")
 
 
-@query("s06_ttl_dedup")
+@query("s06_ttl_dedup", """WITH RECURSIVE h AS (SELECT label, vec_id, vec_id / 10 AS tm, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM vectors),
+    r AS (SELECT label, vec_id, n, [{'tm': tm, 'v': v}] AS held, true AS fresh FROM h WHERE n = 1 UNION ALL
+          SELECT label, vec_id, n, CASE WHEN fresh THEN list_append(near, {'tm': tm, 'v': v}) ELSE near END, fresh FROM (SELECT *, len(list_filter(near, lambda u: list_cosine_similarity(u.v, v) >= 0.3)) = 0 AS fresh FROM (
+              SELECT h.label, h.vec_id, h.n, h.tm, h.v, list_filter(r.held, lambda u: h.tm - u.tm < 30) AS near FROM r JOIN h ON h.label = r.label AND h.n = r.n + 1)))
+    SELECT label, vec_id FROM r WHERE fresh""")
 def _(spark, d):
     v = V.vectors(spark, d).select("label", (F.col("vec_id") / 10).alias("at"), "v", "vec_id")
-    return gates.deduplicated(v, gates.Recent(ttl=30.0, least=0.3), "label", "at", "v", "vec_id")
+    return gates.deduplicated(v, gates.Recent(ttl=30.0, least=0.3, most=1000), "label", "at", "v", "vec_id")
+
+
+@query("s10_scheduled_detection", "SELECT event_id FROM events WHERE value > 95 OR (user_id % 50 = 0 AND value > 20) OR event_id % 5 = 0")
+def _(spark, d):
+    e = V.table(spark, d, "events")
+    due = gates.scheduled(F.col("event_id"), F.col("value") > 95, (F.col("user_id") % 50 == 0) & (F.col("value") > 20), 5)
+    return e.where(due).select("event_id")
+
+
+@query("s14_frame_buffer", f"SELECT track, seq, frames FROM (SELECT user_id || '/' || event_type AS track, event_id AS seq, score, list(event_id) OVER ({_BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS frames FROM scores) WHERE score >= 90")
+def _(spark, d):
+    return gates.frame_buffers(samples(spark, d), 5, "score >= 90")
 
 
 @query("s11_frequency_alerts", """WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, user_id % 25 AS camera_id FROM events),

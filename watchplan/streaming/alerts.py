@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchplan.operators.joins import small
+
 
 def windowed(events: DataFrame, ts: str, by: str, length: str, slide: str, late: str) -> DataFrame:
     if events.isStreaming:
@@ -25,8 +27,9 @@ def frequency_alerts(events: DataFrame, rules: DataFrame, ts: str = "ts", by: st
     w = windowed(events, ts, by, length, slide, late)
     own = rules.where(F.col(by).isNotNull()).select("rule_id", F.col(by).alias("_c"), "threshold")
     every = rules.where(F.col(by).isNull()).select("rule_id", "threshold")
-    out = w.join(F.broadcast(own), w[by] == own["_c"]).drop("_c").select(*w.columns, "rule_id", "threshold")
-    out = out.unionByName(w.crossJoin(F.broadcast(every)).select(*w.columns, "rule_id", "threshold"))  # rules are few
+    out = w.join(small(own), w[by] == own["_c"]).drop("_c").select(*w.columns, "rule_id", "threshold")
+    # rules of all cameras meet every window: a constant is their key, and their side is broadcast if it is small
+    out = out.unionByName(w.withColumn("_k", F.lit(0)).join(small(every.withColumn("_k", F.lit(0))), "_k").select(*w.columns, "rule_id", "threshold"))
     return out.where(F.col("n") > F.col("threshold")).withColumn("text", F.format_string("camera %s: %d events (threshold: %d)", F.col(by).cast("string"), "n", "threshold"))
 
 

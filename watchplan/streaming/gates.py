@@ -8,34 +8,36 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TUBELETS = "track string, seq long, scores array<double>"
 SCHEMA = "track string, seq long, smooth double, lasting boolean, emits boolean"
 
 
 @dataclass(frozen=True)
 class Gate:
-    """Parameters of a gate: sigma of the causal smoothing, threshold, n of the last m, cooldown, samples until stale."""
+    """Parameters of a gate: sigma of the causal smoothing, threshold, n of the last m, cooldown in seconds.
+
+    A gate's state outlives gaps of its track; what gaps empty is the buffer of samples (Tubelets).
+    """
 
     threshold: float
     sigma: float = 2.0
     n: int = 3
     m: int = 5
     cooldown: float = 5.0
-    stale: int = 75
 
     def fresh(self) -> dict:
-        return {"scores": [], "hits": [], "active": False, "emitted": None, "seq": None}
+        return {"scores": [], "hits": [], "active": False, "emitted": None}
 
-    def step(self, state: dict, seq: int, at: float, score: float) -> tuple[dict, tuple[float, bool, bool]]:
-        """The next state and (smoothed score, persistent, emits).  The edge counts even while the cooldown holds it back."""
-        if state["seq"] is not None and seq - state["seq"] > self.stale:
-            state = self.fresh() | {"emitted": state["emitted"]}
+    def step(self, state: dict, at: float, score: float | None) -> tuple[dict, tuple[float, bool, bool]]:
+        """The next state and (smoothed score, persistent, emits).  The edge counts even while the cooldown holds it back; a score that is no number counts as 0."""
+        score = float(score) if score is not None and math.isfinite(score) else 0.0
         radius = math.ceil(3 * self.sigma)
         scores = [*state["scores"], score][-(radius + 1) :]
         weights = [math.exp(-(k * k) / (2 * self.sigma**2)) if self.sigma > 0 else float(k == 0) for k in range(len(scores) - 1, -1, -1)]
@@ -44,7 +46,31 @@ class Gate:
         lasting = sum(hits) >= self.n
         ready = state["emitted"] is None or at - state["emitted"] >= self.cooldown
         emits = lasting and not state["active"] and ready
-        return {"scores": scores, "hits": hits, "active": lasting, "emitted": at if emits else state["emitted"], "seq": seq}, (smooth, lasting, emits)
+        return {"scores": scores, "hits": hits, "active": lasting, "emitted": at if emits else state["emitted"]}, (smooth, lasting, emits)
+
+
+@dataclass(frozen=True)
+class Tubelets:
+    """A track's buffer of samples: once `length` are there, one window is emitted for each `stride` of the sample index.
+
+    The camera looks for tracks to drop at each of its samples, after the sample's own tracks: one is dropped when its last
+    sample is more than `stale` samples old, so a track that comes back after more than stale + 1 begins anew.
+    """
+
+    length: int
+    stride: int
+    stale: int = 75
+
+    def fresh(self) -> dict:
+        return {"rows": [], "seq": None, "emitted": None}
+
+    def step(self, state: dict, seq: int, value: float) -> tuple[dict, list | None]:
+        """The next state, and the values of the window that the sample completes."""
+        if state["seq"] is not None and seq - state["seq"] > self.stale + 1:
+            state = self.fresh()
+        rows = [*state["rows"], value][-self.length :]
+        due = len(rows) == self.length and (state["emitted"] is None or seq - state["emitted"] >= self.stride)
+        return {"rows": rows, "seq": seq, "emitted": seq if due else state["emitted"]}, rows if due else None
 
 
 def batch(samples: DataFrame, gate: Gate) -> DataFrame:
@@ -53,31 +79,94 @@ def batch(samples: DataFrame, gate: Gate) -> DataFrame:
 
     def step(state, row):
         track, seq, at, score = row
-        state, out = gate.step(state, int(seq), at, score)
+        state, out = gate.step(state, at, score)
         return state, [track, seq, *out]
 
     return fold(samples, ["track"], ["seq"], SCHEMA, gate.fresh, step, ["seq", "at", "score"])
 
 
-def live(samples: DataFrame, gate: Gate, idle_ms: int = 600_000) -> DataFrame:
-    """The same over a stream: the state (a bounded list) is kept by track and dropped when a track is idle."""
+def _stateful(samples: DataFrame, schema: str, fresh: Callable[[], dict], step: Callable[[dict, tuple], tuple[dict, list[tuple]]], columns: list[str], late: str) -> DataFrame:
+    """A fold by track over a stream: step(state, row) gives the next state and rows to emit.
+
+    State is JSON kept by the engine.  Samples that come later than `late` behind the newest are dropped.  State is dropped when the watermark of event time (column ts) has passed a track's last sample
+    by `late` twice: a timeout that a stream which ends (availableNow) comes to an end with, as one of processing time does not.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    names = [c.split()[0] for c in schema.split(", ")]
+    seconds = pd.Timedelta(late).total_seconds()
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = json.loads(state.get[0]) if state.exists else gate.fresh()
+        now = json.loads(state.get[0]) if state.exists else fresh()
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
-        for seq, at, score in zip(rows["seq"], rows["at"], rows["score"], strict=True):
-            now, made = gate.step(now, int(seq), float(at), float(score))
-            out.append((key[0], int(seq), *made))
+        for row in rows[columns].itertuples(index=False, name=None):
+            now, made = step(now, (key[0], *row))
+            out += made
         state.update((json.dumps(now),))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["track", "seq", "smooth", "lasting", "emits"])
+        last = int(rows["at"].max() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(2000 * seconds))
+        yield pd.DataFrame(out, columns=names)
+
+    timed = samples.withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("ts", late)
+    return timed.select("track", "ts", "at", *(c for c in columns if c != "at")).groupBy("track").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return samples.select("track", "seq", "at", "score").groupBy("track").applyInPandasWithState(run, SCHEMA, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def live(samples: DataFrame, gate: Gate, late: str = "10 minutes") -> DataFrame:
+    """batch() over a stream: the state (a bounded list) is kept by track and dropped when a track is idle."""
+
+    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
+        track, seq, at, score = row
+        state, made = gate.step(state, float(at), float(score))
+        return state, [(track, int(seq), *made)]
+
+    return _stateful(samples, SCHEMA, gate.fresh, step, ["seq", "at", "score"], late)
+
+
+def tubelets(samples: DataFrame, windows: Tubelets) -> DataFrame:
+    """(track, seq, scores) of the windows of each track of samples (track, seq, at, score), in order of seq."""
+    from watchplan.operators.windows import fold
+
+    def step(state, row):
+        state, made = windows.step(state, int(row[1]), float(row[3]))
+        return state, None if made is None else [row[0], row[1], made]
+
+    return fold(samples, ["track"], ["seq"], TUBELETS, windows.fresh, step, ["seq", "at", "score"])
+
+
+def live_tubelets(samples: DataFrame, windows: Tubelets, late: str = "10 minutes") -> DataFrame:
+    """tubelets() over a stream."""
+
+    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
+        state, made = windows.step(state, int(row[1]), float(row[3]))
+        return state, [] if made is None else [(row[0], int(row[1]), made)]
+
+    return _stateful(samples, TUBELETS, windows.fresh, step, ["seq", "at", "score"], late)
+
+
+def frame_buffers(samples: DataFrame, frames: int, hit: str) -> DataFrame:
+    """(track, seq, frames): the last `frames` samples, the hit's own among them, at each sample for which the condition `hit` holds."""
+    w = Window.partitionBy("track").orderBy("seq").rowsBetween(-(frames - 1), 0)
+    return samples.withColumn("frames", F.collect_list("seq").over(w)).where(hit).select("track", "seq", "frames")
+
+
+def live_frame_buffers(samples: DataFrame, frames: int, least: float, late: str = "10 minutes") -> DataFrame:
+    """frame_buffers() over a stream, for scores of at least `least`; the state is a bounded list."""
+
+    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
+        held = [*state["frames"], int(row[1])][-frames:]
+        return {"frames": held}, [(row[0], int(row[1]), held)] if float(row[3]) >= least else []
+
+    return _stateful(samples, "track string, seq long, frames array<long>", lambda: {"frames": []}, step, ["seq", "at", "score"], late)
+
+
+def scheduled(frame: Column, motion: Column, tracks: Column, quiet_every: int) -> Column:
+    """Whether a frame is searched: there is motion or a live track, or it is one of every quiet_every-th (0: none)."""
+    every = F.lit(False) if quiet_every <= 0 else F.pmod(frame, F.lit(quiet_every)) == 0
+    return F.coalesce(motion, F.lit(False)) | F.coalesce(tracks, F.lit(False)) | every
 
 
 @dataclass(frozen=True)
@@ -108,13 +197,6 @@ def deduplicated(vectors: DataFrame, recent: Recent, by: str, at: str, vector: s
     return fold(vectors, [by], [at, id_column], f"{by} long, {id_column} long", list, step, [at, vector, id_column])
 
 
-def tubelets(samples: DataFrame, length: int, stride: int) -> DataFrame:
-    """Fixed-length windows per track (track, seq, ...): a row each `stride` samples once `length` are there."""
-    from watchplan.operators.windows import strided
-
-    return strided(samples, ["track"], ["seq"], length, stride, ["seq", "score"])
-
-
 def route(samples: DataFrame, step: int) -> DataFrame:
     """Every step-th sample."""
     return samples.where(F.col("seq") % step == 0)
