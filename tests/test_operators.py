@@ -79,7 +79,7 @@ def test_nearest_in_many_blocks(spark, monkeypatch):
     v = rng.normal(size=(120, 6))
     v[7] = v[3]
     df = spark.createDataFrame([(k, r.tolist(), k % 4) for k, r in enumerate(v)], "vec_id long, v array<double>, label long").repartition(3)
-    monkeypatch.setattr(M, "BLOCK", 10)  # 120 queries: the shuffled way
+    monkeypatch.setattr(M, "BLOCK", 10)  # 120 queries: two chunks of blocks
     got = {(r["query_id"], r["rank"]): r["other_id"] for r in M.nearest(df, df, 4).collect()}
     n = v / np.linalg.norm(v, axis=1)[:, None]
     s = np.round(n @ n.T, 12)
@@ -115,8 +115,9 @@ def test_peaks_and_even_sample(spark):
 
 def test_motion_features(spark):
     f = motion.macro_features(np.arange(5.0), np.arange(5.0), np.zeros(5))
-    assert f["mean_speed"] == 1 and f["straightness"] == 1 and f["turning"] == 0 and f["stationary"] == 0
-    assert motion.macro_features(np.arange(3.0), np.array([0.0, 100, 0]), np.zeros(3))["path_length"] == 0  # impossible speeds
+    assert f["mean_speed"] == 1 and f["straightness"] == 1 and f["direction_change"] == 0 and f["stationary"] == 0
+    still = motion.macro_features(np.arange(3.0), np.array([0.0, 100, 0]), np.zeros(3))  # impossible speeds
+    assert still["mean_speed"] == 0 and still["stationary"] == 1
     assert np.allclose(motion.savgol(np.arange(9.0) ** 2), np.arange(9.0) ** 2)
     assert motion.median_filtered(np.array([1.0, 9, 1, 1, 1]))[1] == 1
     boxes = [(1, f_, 10 * f_ + k, 30.0 * k + f_, 0.0, 30.0 * k + f_ + 10, 10.0) for f_ in range(3) for k in range(2)]

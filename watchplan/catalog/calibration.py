@@ -1,10 +1,11 @@
-"""Queries of calibration and motion (M-4..M-7, M-10, J-20, W-13 live)."""
+"""Queries of calibration and motion (M-4..M-7, M-9..M-11, M-20, J-20)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
+from watchplan.functions import geometry as G
 from watchplan.operators import calibration as O
 from watchplan.operators import motion as M
 from watchplan.operators import windows as W
@@ -44,13 +45,53 @@ def _(spark, d):
     return O.projected(rows, ["x", "y", "z"], means, comp).select("id", "pc1", "pc2")
 
 
+_H = [[0.8, 0.05, 1.0], [-0.1, 0.6, 2.0], [0.001, 0.002, 1.0]]
+
+
+@query("m09_homography_ransac", "SELECT 40 AS pairs, 34 AS inliers, true AS same, true AS worst_outside FROM region LIMIT 1")
+def _(spark, d):
+    """Points of a known homography, every seventh of them misplaced; the fit finds the homography and tells those apart."""
+    rows = spark.range(40).select("id", (F.col("id") % 8 * 1.25).alias("x"), (F.floor(F.col("id") / 8) * 1.5 + F.col("id") % 3 * 0.1).alias("y"))
+    u, v = G.projected(_H, F.col("x"), F.col("y"))
+    points = rows.select("x", "y", (u + F.when(F.col("id") % 7 == 3, 3.0).otherwise(0.0)).alias("u"), v.alias("v")).orderBy("id").collect()  # a handful
+    h, off = G.homography([(r["x"], r["y"]) for r in points], [(r["u"], r["v"]) for r in points], ransac=0.05)
+    same = all(abs(a - b) < 1e-6 for ra, rb in zip(h, _H, strict=True) for a, b in zip(ra, rb, strict=True))
+    return spark.createDataFrame([(len(points), off["inliers"], same, off["max"] > 2.9)], "pairs int, inliers int, same boolean, worst_outside boolean")
+
+
+def _windows(spark, d, values: list[str], rows):
+    w = W.strided(rows, ["user_id", "event_type"], ["ts", "event_id"], 8, 4, values)
+    return w.withColumn("start_index", F.col("start_index").cast("long"))
+
+
+_KEYS = {"user_id": "long", "event_type": "string", "start_index": "long"}
+
+
 @query("m10_macro_features")
 def _(spark, d):
     rows = V.scores(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
-    w = W.strided(rows, ["user_id", "event_type"], ["ts", "event_id"], 8, 4, ["t", "score", "event_id"])
+    w = _windows(spark, d, ["t", "score", "event_id"], rows)
     pick = lambda c, scale: F.transform("rows", lambda r: r[c].cast("double") / scale)
-    w = w.select("user_id", "event_type", F.col("start_index").cast("long").alias("start_index"), pick("t", 1).alias("t"), pick("score", 50).alias("x"), pick("event_id", 1000).alias("y"))
-    return M.window_features(w, {"user_id": "long", "event_type": "string", "start_index": "long"})
+    w = w.select(*_KEYS, pick("t", 1).alias("t"), pick("score", 50).alias("x"), pick("event_id", 1000).alias("y"))
+    return M.window_features(w, _KEYS)
+
+
+def _poses(spark, d):
+    """Windows of 17 made-up points with confidences: t and flat."""
+    rows = V.scores(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
+    w = _windows(spark, d, ["t", "score", "event_id"], rows)
+    point = lambda r: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda k: F.array(((r["score"] * (k + 1)) % 10) / 10 + (k % 5) / 5, ((r["event_id"] * (k + 3)) % 13) / 26 + k / 17, ((r["event_id"] + k * 7) % 10) / 10)))
+    return w.select(*_KEYS, F.transform("rows", lambda r: r["t"].cast("double")).alias("t"), F.flatten(F.transform("rows", point)).alias("flat"))
+
+
+@query("m11_pose_features")
+def _(spark, d):
+    return M.pose_windows(_poses(spark, d), _KEYS)
+
+
+@query("m20_pose_energy")
+def _(spark, d):
+    return M.pose_energies(_poses(spark, d), _KEYS)
 
 
 @query("j20_iou_tracks")

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
+from watchplan.operators import motion as M
 from watchplan.operators import windows as O
+from watchplan.operators.motion import savgol_weights
 from watchplan.plans import views as V
 
 BY, ORDER = ["user_id", "event_type"], ["ts", "event_id"]
@@ -98,7 +100,10 @@ def _(spark, d):
     return s.select(*BY, F.col("start_index").cast("long").alias("start_index"), F.transform("rows", lambda r: r["event_id"]).alias("ids"), F.round(total, 6).alias("total"))
 
 
-@query("w10a_live_stride")
+@query("w10a_live_stride", f"""WITH RECURSIVE h AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM scores),
+    r AS (SELECT user_id, event_type, event_id, n, CAST(NULL AS BIGINT) AS last, false AS emit FROM h WHERE n = 1 UNION ALL
+          SELECT h.user_id, h.event_type, h.event_id, h.n, CASE WHEN h.n >= 8 AND (r.last IS NULL OR h.event_id - r.last >= 200) THEN h.event_id ELSE r.last END, h.n >= 8 AND (r.last IS NULL OR h.event_id - r.last >= 200)
+          FROM r JOIN h ON h.user_id = r.user_id AND h.event_type = r.event_type AND h.n = r.n + 1) SELECT user_id, event_type, event_id FROM r WHERE emit""")
 def _(spark, d):
     return O.strided_by_gap(V.scores(spark, d).withColumn("index", F.col("event_id")), BY, ["index", "event_id"], "index", 8, 200, "event_id", "user_id long, event_type string")
 
@@ -138,6 +143,66 @@ def _(spark, d):
     return V.scores(spark, d).select("event_id", F.round(mid, 9).alias("smooth"))
 
 
+def _savgol_sql() -> str:
+    x = savgol_weights(5, 2)
+    near = lambda k: "score" if not k else f"lead(score, {k}) OVER w" if k > 0 else f"lag(score, {-k}) OVER w"
+    rows = [" + ".join(f"{near(m - j)} * {float(x[j, m])!r}::DOUBLE" for m in range(5)) for j in range(5)]
+    return f"CASE WHEN n < 5 THEN score WHEN i = 0 THEN {rows[0]} WHEN i = 1 THEN {rows[1]} WHEN i = n - 1 THEN {rows[4]} WHEN i = n - 2 THEN {rows[3]} ELSE {rows[2]} END"
+
+
+@query("w15b_savgol", f"SELECT event_id, round({_savgol_sql()}, 7) AS smooth FROM (SELECT *, row_number() OVER {_W}) - 1 AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM scores) WINDOW w AS {_W})")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = O.track(BY, ORDER)
+    rows = V.scores(spark, d).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*BY)))
+    return rows.select("event_id", F.round(M.savgol_column("score", w, F.col("_i"), F.col("_n")), 7).alias("smooth"))
+
+
+#: Boxes made up from events, a track's one after another.
+_BOX = "SELECT event_id, user_id, event_type, ts, value % 50 AS x1, user_id % 7 + value / 10 AS y1, value % 50 + 20 + event_id % 5 AS x2, user_id % 7 + value / 10 + 30 + event_id % 7 AS y2 FROM events"
+_SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _boxes(spark, d):
+    e, v, i = V.table(spark, d, "events"), F.col("value"), F.col("event_id")
+    x1, y1 = v % 50, F.col("user_id") % 7 + v / 10
+    return e.select(i.alias("event_id"), "user_id", "event_type", "ts", x1.alias("x1"), y1.alias("y1"), (x1 + 20 + i % 5).alias("x2"), (y1 + 30 + i % 7).alias("y2"))
+
+
+_STABLE = f"""b AS ({_BOX}), c AS (SELECT *, greatest(1.0, x2 - x1) AS bw, greatest(1.0, y2 - y1) AS bh FROM b), m AS (SELECT *, x1 + bw / 2 AS cx, y1 + bh / 2 AS cy FROM c),
+    s AS (SELECT *, median(cx) OVER f AS s_cx, median(cy) OVER f AS s_cy, median(bw) OVER f AS s_bw, median(bh) OVER f AS s_bh FROM m WINDOW f AS {_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+
+
+@query("m12_stable_boxes", f"WITH {_STABLE} SELECT event_id, round(s_cx, 7) AS cx, round(s_cy, 7) AS cy, round(s_bw, 7) AS bw, round(s_bh, 7) AS bh FROM s")
+def _(spark, d):
+    s = M.stabilised(_boxes(spark, d), BY, O.track(BY, ORDER), _SIDES)
+    return s.select("event_id", *(F.round(f"s_{c}", 7).alias(c) for c in ("cx", "cy", "bw", "bh")))
+
+
+@query("m12_box_jitter", f"""WITH {_STABLE}, j AS (SELECT user_id, event_type, bw, bh, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) AS a, sqrt((s_cx - lag(s_cx) OVER w) ** 2 + (s_cy - lag(s_cy) OVER w) ** 2) AS b,
+    abs(bw * bh - lag(bw * bh) OVER w) / lag(bw * bh) OVER w AS c FROM s WINDOW w AS {_W}))
+    SELECT user_id, event_type, round(coalesce(quantile_cont(a, 0.95), 0) + 1e-10, 6) AS centre_raw, round(coalesce(quantile_cont(b, 0.95), 0) + 1e-10, 6) AS centre_smooth, round(coalesce(quantile_cont(c, 0.95), 0) + 1e-10, 6) AS size_change, round(stddev_pop(bw) / avg(bw) + 1e-10, 6) AS width_cv, round(stddev_pop(bh) / avg(bh) + 1e-10, 6) AS height_cv FROM j GROUP BY 1, 2""")
+def _(spark, d):
+    w = O.track(BY, ORDER)
+    j = M.jitter(M.stabilised(_boxes(spark, d), BY, w, _SIDES), BY, w)
+    return j.select(*BY, *(F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("centre_raw", "centre_smooth", "size_change", "width_cv", "height_cv")))
+
+
+@query("m20_box_transitions", f"""WITH b AS (SELECT *, greatest(1.0, x2 - x1) AS bw, greatest(1.0, y2 - y1) AS bh, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM ({_BOX})),
+    p AS (SELECT *, lag(bw) OVER w AS pw, lag(bh) OVER w AS ph, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM b WINDOW w AS {_W}))
+    SELECT event_id, round(CASE WHEN pw IS NULL THEN 0 ELSE sqrt((cx - px) ** 2 + (cy - py) ** 2) / greatest(1.0, sqrt(pw * pw + ph * ph)) + 0.5 * (abs(bw - pw) / pw + abs(bh - ph) / ph) + 0.25 * abs(bw / bh - pw / ph) END, 7) AS change FROM p""")
+def _(spark, d):
+    return _boxes(spark, d).select("event_id", F.round(M.box_transition(_SIDES, O.track(BY, ORDER)), 7).alias("change"))
+
+
+@query("m20_trajectory_change", f"""WITH p AS (SELECT event_id, x1 - lag(x1) OVER w AS dx, y1 - lag(y1) OVER w AS dy, lag(x1) OVER w - lag(x1, 2) OVER w AS ex, lag(y1) OVER w - lag(y1, 2) OVER w AS ey FROM ({_BOX}) WINDOW w AS {_W})),
+    q AS (SELECT *, sqrt(dx * dx + dy * dy) AS s, sqrt(ex * ex + ey * ey) AS e FROM p)
+    SELECT event_id, round(CASE WHEN s IS NULL THEN 0 WHEN e IS NULL THEN s ELSE s + sqrt((dx - ex) ** 2 + (dy - ey) ** 2) + CASE WHEN s > 1e-9 AND e > 1e-9 THEN acos(least(1.0, greatest(-1.0, (dx * ex + dy * ey) / (s * e)))) ELSE 0 END END, 6) AS change FROM q""")
+def _(spark, d):
+    return _boxes(spark, d).select("event_id", F.round(M.trajectory_change("x1", "y1", O.track(BY, ORDER)), 6).alias("change"))
+
+
 @query("w16_first_seen_order", f"SELECT user_id, list(event_type ORDER BY tm, event_type) AS seen FROM (SELECT user_id, event_type, min(ts) AS tm FROM scores GROUP BY 1, 2) GROUP BY 1")
 def _(spark, d):
     first = V.scores(spark, d).groupBy("user_id", "event_type").agg(F.min("ts").alias("at"))
@@ -150,7 +215,10 @@ def _(spark, d):
     return V.scores(spark, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "ts", "score").orderBy("ts", "event_id")
 
 
-@query("s07_debounced")
+@query("s07_debounced", f"""WITH RECURSIVE h AS (SELECT user_id, event_type, event_id, score > 40 AS hit, row_number() OVER {_W}) AS n FROM scores),
+    r AS (SELECT user_id, event_type, event_id, n, CASE WHEN hit THEN 1 ELSE 0 END AS level, false AS fires FROM h WHERE n = 1 UNION ALL
+          SELECT h.user_id, h.event_type, h.event_id, h.n, CASE WHEN h.hit THEN CASE WHEN r.level + 1 >= 4 THEN 0 ELSE r.level + 1 END ELSE greatest(0, r.level - 1) END, h.hit AND r.level + 1 >= 4
+          FROM r JOIN h ON h.user_id = r.user_id AND h.event_type = r.event_type AND h.n = r.n + 1) SELECT user_id, event_type, event_id FROM r WHERE fires""")
 def _(spark, d):
     rows = V.scores(spark, d).withColumn("hit", F.col("score") > 40).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     return O.debounced(rows, BY, ["at", "event_id"], "hit", 4, "event_id", "user_id long, event_type string")

@@ -44,18 +44,43 @@ def projected(h: list[list[float]], x: Column, y: Column, eps: float = 1e-12) ->
     return tuple(F.when(good, (x * r[0] + y * r[1] + r[2]) / den) for r in h[:2])
 
 
-def homography(image: list[tuple[float, float]], world: list[tuple[float, float]]) -> tuple[list[list[float]], dict[str, float]]:
-    """The homography of at least four point pairs (a handful, so on the driver) and its residuals."""
-    if len(image) < 4 or len(image) != len(world):
-        raise ValueError("at least four pairs")
+def _solved(image: np.ndarray, world: np.ndarray) -> np.ndarray:
     rows = []
     for (x, y), (u, v) in zip(image, world, strict=True):
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
     h = np.linalg.svd(np.array(rows, float))[2][-1].reshape(3, 3)
-    h = h / h[2, 2]
-    p = np.c_[np.array(image, float), np.ones(len(image))] @ h.T
-    off = np.hypot(*(p[:, :2] / p[:, 2:] - np.array(world, float)).T)
-    return h.tolist(), {"mean": float(off.mean()), "median": float(np.median(off)), "max": float(off.max())}
+    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
+
+
+def _off(h: np.ndarray, image: np.ndarray, world: np.ndarray) -> np.ndarray:
+    """Distance of each projected point from where it belongs; infinite where it has no projection."""
+    p = np.c_[image, np.ones(len(image))] @ h.T
+    good = np.abs(p[:, 2]) > 1e-12
+    return np.where(good, np.hypot(*(p[:, :2] / np.where(good, p[:, 2], 1.0)[:, None] - world).T), np.inf)
+
+
+def homography(image: list[tuple[float, float]], world: list[tuple[float, float]], ransac: float | None = None, tries: int = 500, seed: int = 0) -> tuple[list[list[float]], dict[str, float]]:
+    """The homography of at least four point pairs (a handful, so on the driver) and its residuals over all pairs.
+
+    ransac: pairs further off than this are outliers; of `tries` seeded fits to four pairs the one with the most others within
+    it is chosen, and fitted anew to those.  `inliers` counts them (all pairs without ransac).
+    """
+    if len(image) < 4 or len(image) != len(world):
+        raise ValueError("at least four pairs")
+    a, b = np.array(image, float), np.array(world, float)
+    inside = np.ones(len(a), bool)
+    if ransac is not None:
+        rng, best = np.random.default_rng(seed), -1
+        for _ in range(tries):
+            four = rng.choice(len(a), 4, replace=False)
+            near = _off(_solved(a[four], b[four]), a, b) <= ransac
+            if near.sum() > best:
+                best, inside = int(near.sum()), near
+        if best < 4:
+            raise ValueError("no four pairs agree")
+    h = _solved(a[inside], b[inside])
+    off = _off(h, a, b)
+    return h.tolist(), {"mean": float(off.mean()), "median": float(np.median(off)), "max": float(off.max()), "inliers": int((off <= ransac).sum()) if ransac is not None else len(a)}
 
 
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
