@@ -22,22 +22,59 @@ def _(spark, d):
     return V.results(spark, d).select(*KEY, O.final_decision(a, F.when(F.col("part") % 7 == 0, "yes")).alias("decision"))
 
 
-_G = f"""SELECT *, decision = 'YES' AND coalesce({_RATIO} < 1.0, true) AS g1, decision = 'YES' AND part % 2 = 1 AS g2, decision = 'YES' AND gate = 'homography_macro' AS g3 FROM results"""
+#: What the reasoning says, made up from the columns there are.
+_SAID = f"""SELECT *, upper(coalesce(decision, 'UNCERTAIN')) AS d, upper(severity) AS s, CASE WHEN confidence = 0 THEN 0.3::DOUBLE ELSE least(confidence, 1.0::DOUBLE) END AS c, CASE seq % 3 WHEN 0 THEN 'save_for_dataset' WHEN 1 THEN 'alert_operator' ELSE 'review_only' END AS a,
+    supp % 50 = 1 AS no_rules, part % 13 = 0 AS vlm_error, part % 17 = 0 AS llm_error, supp % 7 = 0 AS other_facts, part % 2 = 1 AS no_trigger, gate = 'homography_macro' AS not_concrete, supp % 5 = 0 AS unusable, seq % 4 = 0 AS suppressed, coalesce({_RATIO} < 1.15, false) AS weak FROM results"""
+
+
+def _guard_sql() -> str:
+    """One step for each guardrail, in order, as the decision goes from one to the next."""
+    steps = [
+        ("no_rules", "NO_ACTIVE_ANOMALY_RULES", 0.35, False), ("vlm_error", "VLM_PARSE_FALLBACK", 0.30, False), ("llm_error", "LLM_PARSE_FALLBACK", 0.30, False), ("other_facts", "LLM_USED_NON_VLM_FACTS", 0.40, False),
+        ("no_trigger", "YES_WITHOUT_LLM_TRIGGER_RULE", 0.45, True), ("not_concrete", "YES_WITHOUT_CONCRETE_VISUAL_FACTS", 0.45, True), ("unusable", "YES_WITH_UNUSABLE_IMAGE_QUALITY", 0.40, True), ("suppressed", "YES_WITH_LLM_SUPPRESS_RULE", 0.50, True),
+    ]
+    out, last = [f"g0 AS (SELECT *, CAST([] AS VARCHAR[]) AS guards FROM ({_SAID}))"], "g0"
+    for k, (flag, name, cap, yes) in enumerate(steps, 1):
+        hit = f"({flag} AND d = 'YES')" if yes else flag
+        out.append(f"g{k} AS (SELECT * REPLACE (CASE WHEN {hit} THEN 'UNCERTAIN' ELSE d END AS d, CASE WHEN {hit} THEN 'LOW' ELSE s END AS s, CASE WHEN {hit} THEN 'review_only' ELSE a END AS a, CASE WHEN {hit} THEN least(c, {cap}::DOUBLE) ELSE c END AS c, CASE WHEN {hit} THEN list_append(guards, '{name}') ELSE guards END AS guards) FROM {last})")
+        last = f"g{k}"
+    out.append(f"w AS (SELECT * REPLACE (CASE WHEN weak AND d = 'YES' THEN least(c, 0.7::DOUBLE) ELSE c END AS c, CASE WHEN weak AND d = 'YES' THEN list_append(guards, 'WEAK_RATIO_CONFIDENCE_CAP') ELSE guards END AS guards) FROM {last})")
+    out.append("v AS (SELECT * REPLACE (CASE WHEN d = 'NO' THEN 'NONE' WHEN d = 'UNCERTAIN' AND s IN ('HIGH', 'CRITICAL') THEN 'MEDIUM' WHEN d = 'YES' AND s = 'NONE' THEN 'LOW' ELSE s END AS s) FROM w)")
+    out.append("n AS (SELECT *, CASE WHEN d IN ('NO', 'UNCERTAIN') AND a = 'save_for_dataset' THEN a WHEN d = 'NO' THEN 'ignore' WHEN d = 'UNCERTAIN' THEN 'review_only' WHEN s IN ('HIGH', 'CRITICAL') THEN 'urgent_alert' ELSE 'alert_operator' END AS normal FROM v)")
+    return "WITH " + ", ".join(out) + " SELECT case_id, seq, price, CASE WHEN a <> normal THEN list_append(guards, 'RECOMMENDED_ACTION_NORMALIZED') ELSE guards END AS guards, c AS guarded_confidence, d AS guarded_decision, s AS guarded_severity, normal AS guarded_action FROM n"
+
+
+@query("r04_guardrails", _guard_sql())
+def _(spark, d):
+    c = F.col
+    checks = {
+        "NO_ACTIVE_ANOMALY_RULES": c("supp") % 50 == 1, "VLM_PARSE_FALLBACK": c("part") % 13 == 0, "LLM_PARSE_FALLBACK": c("part") % 17 == 0, "LLM_USED_NON_VLM_FACTS": c("supp") % 7 == 0,
+        "YES_WITHOUT_LLM_TRIGGER_RULE": c("part") % 2 == 1, "YES_WITHOUT_CONCRETE_VISUAL_FACTS": c("gate") == "homography_macro", "YES_WITH_UNUSABLE_IMAGE_QUALITY": c("supp") % 5 == 0,
+        "YES_WITH_LLM_SUPPRESS_RULE": c("seq") % 4 == 0, "WEAK_RATIO_CONFIDENCE_CAP": _ratio() < O.WEAK_RATIO,
+    }
+    rows = V.results(spark, d).withColumn("action", F.when(c("seq") % 3 == 0, "save_for_dataset").when(c("seq") % 3 == 1, "alert_operator").otherwise("review_only"))
+    return O.guarded(rows, "decision", "confidence", "severity", "action", checks).select(*KEY, "guards", "guarded_confidence", "guarded_decision", "guarded_severity", "guarded_action")
+
 
+_SAID_TYPES = ("Alert", " ignore ", "detection", "benign", "negative", "TRIGGER_RULE", "suppress_rule", "context", "?", "")
 
-@query("r04_guardrails", f"""SELECT case_id, seq, price, list_filter([CASE WHEN g1 THEN 'no_trigger' END, CASE WHEN g2 THEN 'no_visual_evidence' END, CASE WHEN g3 THEN 'context_gate' END], lambda x: x IS NOT NULL) AS guards,
-    least(confidence, CASE WHEN g1 THEN 0.45::DOUBLE ELSE 9 END, CASE WHEN g2 THEN 0.4::DOUBLE ELSE 9 END, CASE WHEN g3 THEN 0.3::DOUBLE ELSE 9 END) AS guarded_confidence,
-    CASE WHEN coalesce(g1 OR g2 OR g3, false) THEN 'UNCERTAIN' ELSE decision END AS guarded_decision,
-    CASE WHEN decision = 'YES' AND NOT (g1 OR g2 OR g3) THEN upper(severity) WHEN severity = 'HIGH' THEN 'MEDIUM' ELSE upper(severity) END AS guarded_severity,
-    CASE WHEN decision = 'YES' AND NOT (g1 OR g2 OR g3) THEN 'NOTIFY' WHEN decision = 'NO' THEN 'DISMISS' WHEN decision IS NULL THEN 'RETRY' ELSE 'REVIEW' END AS action FROM ({_G})""")
+
+@query("r05_rule_types", """SELECT * FROM (VALUES ('Alert', 'trigger', 'MEDIUM/alert_operator'), (' ignore ', 'suppress', 'NO/NONE/ignore'), ('detection', 'trigger', 'MEDIUM/alert_operator'), ('benign', 'suppress', 'NO/NONE/ignore'),
+    ('negative', 'suppress', 'NO/NONE/ignore'), ('TRIGGER_RULE', 'trigger', 'MEDIUM/alert_operator'), ('suppress_rule', 'suppress', 'NO/NONE/ignore'), ('context', 'trigger', 'MEDIUM/alert_operator'), ('?', 'trigger', 'MEDIUM/alert_operator'), ('', 'trigger', 'MEDIUM/alert_operator')) AS t(said, kind, effect)""")
 def _(spark, d):
-    checks = [("no_trigger", F.coalesce(_ratio() < 1.0, F.lit(True)), 0.45), ("no_visual_evidence", F.col("part") % 2 == 1, 0.4), ("context_gate", F.col("gate") == "homography_macro", 0.3)]
-    return O.guarded(V.results(spark, d), "decision", "confidence", "severity", checks).select(*KEY, "guards", "guarded_confidence", "guarded_decision", "guarded_severity", "action")
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _SAID_TYPES))).alias("said")).withColumn("kind", O.rule_type(F.col("said")))
+    return rows.withColumn("effect", O.default_effect(F.col("kind")))
 
 
-@query("r05_rule_types", "SELECT * FROM (VALUES ('Alert', 'trigger'), (' ignore ', 'suppress'), ('whitelist', 'suppress'), ('note', 'context'), ('?', 'context')) AS t(said, kind)")
+@query("m18_severities_and_actions", """WITH x AS (SELECT case_id, seq, price, coalesce(decision, 'UNCERTAIN') AS d, CASE part % 6 WHEN 0 THEN 'NONE' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' WHEN 4 THEN 'CRITICAL' ELSE 'odd' END AS s FROM results),
+    y AS (SELECT *, CASE WHEN d = 'NO' THEN 'NONE' WHEN d = 'UNCERTAIN' AND s IN ('HIGH', 'CRITICAL') THEN 'MEDIUM' WHEN d = 'YES' AND s = 'NONE' THEN 'LOW' ELSE s END AS capped FROM x)
+    SELECT case_id, seq, price, CASE s WHEN 'NONE' THEN 0 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 1 END AS rank, CASE WHEN s IN ('HIGH', 'CRITICAL') THEN s ELSE 'MEDIUM' END AS raised, capped,
+    CASE WHEN d = 'NO' THEN 'ignore' WHEN d = 'UNCERTAIN' THEN 'review_only' WHEN capped IN ('HIGH', 'CRITICAL') THEN 'urgent_alert' ELSE 'alert_operator' END AS action FROM y""")
 def _(spark, d):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, ("Alert", " ignore ", "whitelist", "note", "?")))).alias("said")).withColumn("kind", O.rule_type(F.col("said")))
+    six = F.col("part") % 6
+    s = F.when(six == 0, "NONE").when(six == 1, "LOW").when(six == 2, "MEDIUM").when(six == 3, "HIGH").when(six == 4, "CRITICAL").otherwise("odd")
+    rows = V.results(spark, d).withColumn("said", F.coalesce("decision", F.lit("UNCERTAIN"))).withColumn("s", s).withColumn("capped", O.severity_of_decision(F.col("said"), F.col("s")))
+    return rows.select(*KEY, O.severity_rank(F.col("s")).alias("rank"), O.severity_at_least(F.col("s"), "MEDIUM").alias("raised"), "capped", O.action_of(F.col("said"), F.col("capped")).alias("action"))
 
 
 @query("r06_event_type_of_rules", "SELECT case_id, coalesce(min_by(gate, seq * 1000000 + price) FILTER (WHERE decision = 'YES'), 'unclassified') AS event FROM results GROUP BY 1")
@@ -61,37 +98,19 @@ def _(spark, d):
     return r.select("split", O.suitability(figures).alias("verdict"))
 
 
-@query("r10_split_evidence", "SELECT case_id, seq, price, ['person near door'] || CASE WHEN part % 2 = 0 THEN ['bag left'] ELSE [] END AS visual, ['score above threshold'] AS risk FROM results WHERE case_id % 40 = 0")
+@query("r10_split_evidence", "SELECT case_id, seq, price, ['person near door'] || CASE WHEN part % 2 = 0 THEN ['bag left'] ELSE [] END AS visual, ['score above threshold'] AS risk FROM results")
 def _(spark, d):
-    return _split_evidence(V.results(spark, d).where("case_id % 40 = 0"))
-
-
-def _split_evidence(rows):
     said = F.concat(F.array(F.lit("person near door"), F.lit("score above threshold")), F.when(F.col("part") % 2 == 0, F.array(F.lit("bag left"))).otherwise(F.array().cast("array<string>")))
     visual, risk = O.split_evidence(said)
-    return rows.select(*KEY, visual.alias("visual"), risk.alias("risk"))
+    return V.results(spark, d).select(*KEY, visual.alias("visual"), risk.alias("risk"))
 
 
-@query("r10_split_evidence_all", "SELECT case_id, seq, price, ['person near door'] || CASE WHEN part % 2 = 0 THEN ['bag left'] ELSE [] END AS visual, ['score above threshold'] AS risk FROM results")
+@query("r11_evidence_keys", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a/peak_2.jpg', 'a/peak_10.png'] ELSE ['a/x_9.jpg', 'a/x_1.jpg'] END AS keys FROM events")
 def _(spark, d):
-    return _split_evidence(V.results(spark, d))
-
-
-@query("r11_evidence_keys", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a/peak_2.jpg', 'a/peak_10.png'] ELSE ['a/x_9.jpg', 'a/x_1.jpg'] END AS keys FROM events WHERE event_id < 600")
-def _(spark, d):
-    return _evidence_keys(V.table(spark, d, "events").where("event_id < 600"))
-
-
-def _evidence_keys(rows):
     with_role = F.array(*map(F.lit, ("a/peak_10.png", "a/peak_2.jpg", "a/other.txt", "a/peak_10.png", "a/x_1.jpg")))
     without = F.array(*map(F.lit, ("a/x_9.jpg", "a/x_1.jpg", "a/clip.mp4", "a/x_9.jpg")))
     keys = F.when(F.col("event_id") % 3 == 0, with_role).otherwise(without)
-    return rows.select("event_id", O.evidence_keys(keys, ["peak"], 4).alias("keys"))
-
-
-@query("r11_evidence_keys_all", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a/peak_2.jpg', 'a/peak_10.png'] ELSE ['a/x_9.jpg', 'a/x_1.jpg'] END AS keys FROM events")
-def _(spark, d):
-    return _evidence_keys(V.table(spark, d, "events"))
+    return V.table(spark, d, "events").select("event_id", O.evidence_keys(keys, ["peak"], 4).alias("keys"))
 
 
 @query("r13_candidate_choice", """WITH c AS (SELECT case_id, seq, price, score / 50 AS iou, confidence / 4 AS dist, confidence AS conf, (part % 10) / 10 AS valid FROM results),

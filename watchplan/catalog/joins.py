@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
+from watchplan.functions import text as T
+from watchplan.operators import decisions as D
 from watchplan.operators import joins as O
 from watchplan.plans import rules as R
 from watchplan.plans import views as V
@@ -42,21 +44,12 @@ def _(spark, d):
     return a.join(r, a["id"] == r["case_id"]).join(c, F.col("camera_id") == F.col("cid"), "left").select("id", "seq", "part", "supp", "gate", "camera")
 
 
-@query("j05_evidence_media", "SELECT l.l_orderkey AS case_id, l.l_linenumber AS seq, l.l_suppkey AS supp, p.p_name AS media, p.p_size AS bytes FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size > 25 WHERE l.l_orderkey % 50 = 0")
+@query("j05_evidence_media", "SELECT l.l_orderkey AS case_id, l.l_linenumber AS seq, l.l_suppkey AS supp, p.p_name AS media, p.p_size AS bytes FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size > 25")
 def _(spark, d):
-    return _evidence_media(spark, d, V.table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-def _evidence_media(spark, d, line):
-    part = V.table(spark, d, "part").where("p_size > 25")
+    line, part = V.table(spark, d, "lineitem"), V.table(spark, d, "part").where("p_size > 25")
     return line.join(part, line["l_partkey"] == part["p_partkey"], "left").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("supp"), F.col("p_name").alias("media"), F.col("p_size").alias("bytes"))
 
 
-@query("j05_evidence_media_all", "SELECT l.l_orderkey AS case_id, l.l_linenumber AS seq, l.l_suppkey AS supp, p.p_name AS media, p.p_size AS bytes FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size > 25")
-def _(spark, d):
-    return _evidence_media(spark, d, V.table(spark, d, "lineitem"))
-
-
 @query("j06_any_of_three_ids", "WITH ev AS (SELECT id, id % 97 AS s, id % 89 AS p, CASE WHEN id % 5 <> 0 THEN id % 97 + 1 END AS e FROM cases) SELECT ev.id, g.event_id AS score_id, g.score FROM ev JOIN scores g ON g.event_id IN (ev.s, ev.p, ev.e)")
 def _(spark, d):
     ev = V.cases(spark, d).select("id", (F.col("id") % 97).alias("s"), (F.col("id") % 89).alias("p"), F.when(F.col("id") % 5 != 0, F.col("id") % 97 + 1).alias("e"))
@@ -114,36 +107,38 @@ def _(spark, d):
     return O.duplicate_rules(R.rules(spark))
 
 
-@query("j16_rule_matching", f"""WITH rules AS ({R.SQL}), place AS (SELECT id, CASE WHEN camera_id % 3 = 0 THEN 'Main Lobby' WHEN camera_id % 3 = 1 THEN 'Garage' ELSE 'Roof' END AS site, severity, score FROM cases WHERE severity = 'critical')
-    SELECT p.id, r.id AS rule FROM place p JOIN rules r ON lower(r.place) = 'all' OR contains(lower(p.site), lower(r.place)) OR contains(lower(r.place), lower(p.site))""")
-def _(spark, d):
-    site = F.when(F.col("camera_id") % 3 == 0, "Main Lobby").when(F.col("camera_id") % 3 == 1, "Garage").otherwise("Roof")
-    rows = V.cases(spark, d).where("severity = 'critical'").select("id", F.lower(site).alias("site"))
-    # sites are few: rules are matched with distinct sites, and cases get theirs by an equi-join
-    r = R.rules(spark).select(F.col("id").alias("rule"), F.lower("place").alias("place"))
-    sites = rows.select("site").distinct()
-    pairs = sites.join(F.broadcast(r), (F.col("place") == "all") | F.contains("site", "place") | F.contains("place", "site")).select("site", "rule")
-    return rows.join(pairs, "site").select("id", "rule")
+#: What is seen of a result, by the part number: seen events, and evidence.
+_EVENTS = ["running", "fighting", "suspicious_motion", "normal_activity", "unsafe_equipment_interaction", "fall_or_collapse", "loitering"]
+_EVIDENCE = ["two men fight beside the gate", "someone delivers a box", "a man runs through the hall", ""]
 
 
-@query("j17_rule_conditions", f"""WITH rules AS ({R.SQL}), x AS (SELECT case_id, seq, part, supp, price, CASE WHEN gate = 'homography_macro' THEN 'homography' ELSE gate END AS gate, CASE WHEN threshold > 0 THEN score / threshold END AS ratio, part % 2 = 0 AS evidence FROM results WHERE case_id % 20 = 0)
-    SELECT x.case_id, x.seq, x.part, x.supp, x.price, r.id AS rule FROM x JOIN rules r ON list_contains(string_split(r.gates, ','), x.gate) AND (r.min_ratio IS NULL OR x.ratio >= r.min_ratio) AND (r.max_ratio IS NULL OR x.ratio <= r.max_ratio) AND (NOT r.needs_evidence OR x.evidence)""")
+@query("j16_rule_matching", f"""WITH rules AS ({R.SQL}), names AS (SELECT * FROM (VALUES ('fighting', 'fight_detection'), ('fall_or_collapse', 'fall_detected'), ('suspicious_motion', 'intrusion'), ('suspicious_motion', 'loitering'), ('suspicious_motion', 'after_hours'), ('unsafe_equipment_interaction', 'other'), ('unsafe_equipment_interaction', 'equipment')) AS m(seen, said)),
+    x AS (SELECT case_id, seq, part, supp, price, decision, CASE WHEN supp % 29 = 0 THEN 'UNUSABLE' ELSE 'FAIR' END AS quality, CASE supp % 4 WHEN 0 THEN 'Main Lobby' WHEN 1 THEN 'Garage' WHEN 2 THEN 'Roof' END AS site, {_EVENTS!r}[part % 7 + 1] AS event, {_EVIDENCE!r}[part % 4 + 1] AS evidence FROM results),
+    w AS (SELECT evidence, list_filter(regexp_extract_all(lower(evidence), '[a-z_]{{3,}}'), lambda v: NOT list_contains({T.STOPWORDS!r}, v)) AS words FROM (SELECT DISTINCT evidence FROM x)),
+    r AS (SELECT id, lower(place) AS place, event, rule_type = 'suppress' AS mutes, list_filter(regexp_extract_all(lower(text || ' ' || event), '[a-z_]{{3,}}'), lambda v: NOT list_contains({T.STOPWORDS!r}, v)) AS words FROM rules),
+    f AS (SELECT k.*, r.id AS rule, r.mutes FROM (SELECT DISTINCT site, event, x.evidence, w.words FROM x JOIN w ON w.evidence = x.evidence) k JOIN r ON (r.place = 'all' OR k.site IS NULL OR contains(lower(k.site), r.place) OR contains(r.place, lower(k.site)))
+        AND ((r.event = 'other' AND k.event <> 'normal_activity') OR (r.event <> 'other' AND (r.event = k.event OR EXISTS (SELECT 1 FROM names m WHERE m.seen = k.event AND m.said = r.event))) OR len(list_intersect(k.words, r.words)) > 0))
+    SELECT x.case_id, x.seq, x.part, x.supp, x.price, f.rule, CASE WHEN f.mutes THEN 'suppress' ELSE 'trigger' END AS kind FROM x JOIN f ON f.site IS NOT DISTINCT FROM x.site AND f.event = x.event AND f.evidence = x.evidence AND x.quality <> 'UNUSABLE' AND (f.mutes OR (x.evidence <> '' AND x.decision IN ('YES', 'UNCERTAIN')))""")
 def _(spark, d):
-    return _rule_conditions(spark, V.results(spark, d).where("case_id % 20 = 0"))
+    four, pick = F.col("supp") % 4, lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    rows = V.results(spark, d).select("case_id", "seq", "part", "supp", "price", "decision", F.when(F.col("supp") % 29 == 0, "UNUSABLE").otherwise("FAIR").alias("quality"), F.when(four == 0, "Main Lobby").when(four == 1, "Garage").when(four == 2, "Roof").alias("site"), pick(_EVENTS, F.col("part") % 7).alias("event"), F.nullif(pick(_EVIDENCE, F.col("part") % 4), F.lit("")).alias("said"))
+    # what is seen repeats: rules are matched with the distinct sights, and results get theirs by an equi-join
+    sight = ["site", "event", "decision", "quality", "said"]
+    seen = rows.select(*sight).distinct().withColumn("evidence", F.array_compact(F.array("said")))
+    rules = R.rules(spark).select(F.col("id").alias("rule"), "rule_type", "event", "place", "text", F.lit(True).alias("active"))
+    found = D.matched_rules(seen, rules).select(*(F.col(c).alias(f"s_{c}") for c in sight), "rule", F.col("rule_type").alias("kind"))
+    on = [rows[c].eqNullSafe(F.col(f"s_{c}")) for c in sight]
+    return rows.join(O.small(found), on).select("case_id", "seq", "part", "supp", "price", "rule", "kind")
 
 
-def _rule_conditions(spark, rows):
+@query("j17_rule_conditions", f"""WITH rules AS ({R.SQL}), x AS (SELECT case_id, seq, part, supp, price, CASE WHEN gate = 'homography_macro' THEN 'homography' ELSE gate END AS gate, CASE WHEN threshold > 0 THEN score / threshold END AS ratio, part % 2 = 0 AS evidence FROM results)
+    SELECT x.case_id, x.seq, x.part, x.supp, x.price, r.id AS rule FROM x JOIN (SELECT *, unnest(string_split(gates, ',')) AS own FROM rules) r ON r.own = x.gate AND (r.min_ratio IS NULL OR x.ratio >= r.min_ratio) AND (r.max_ratio IS NULL OR x.ratio <= r.max_ratio) AND (NOT r.needs_evidence OR x.evidence)""")
+def _(spark, d):
     gate = F.when(F.col("gate") == "homography_macro", "homography").otherwise(F.col("gate"))
-    x = rows.select("case_id", "seq", "part", "supp", "price", gate.alias("gate"), F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold")).alias("ratio"), (F.col("part") % 2 == 0).alias("evidence"))
+    x = V.results(spark, d).select("case_id", "seq", "part", "supp", "price", gate.alias("gate"), F.when(F.col("threshold") > 0, F.col("score") / F.col("threshold")).alias("ratio"), (F.col("part") % 2 == 0).alias("evidence"))
     r = R.rules(spark).select(F.col("id").alias("rule"), F.explode(F.split("gates", ",")).alias("gate"), "min_ratio", "max_ratio", "needs_evidence")
     fits = (F.col("min_ratio").isNull() | (F.col("ratio") >= F.col("min_ratio"))) & (F.col("max_ratio").isNull() | (F.col("ratio") <= F.col("max_ratio"))) & (~F.col("needs_evidence") | F.col("evidence"))
-    return x.join(F.broadcast(r), "gate").where(fits).select("case_id", "seq", "part", "supp", "price", "rule")
-
-
-@query("j17_rule_conditions_all", f"""WITH rules AS ({R.SQL}), x AS (SELECT case_id, seq, part, supp, price, CASE WHEN gate = 'homography_macro' THEN 'homography' ELSE gate END AS gate, CASE WHEN threshold > 0 THEN score / threshold END AS ratio, part % 2 = 0 AS evidence FROM results)
-    SELECT x.case_id, x.seq, x.part, x.supp, x.price, r.id AS rule FROM x JOIN (SELECT *, unnest(string_split(gates, ',')) AS own FROM rules) r ON r.own = x.gate AND (r.min_ratio IS NULL OR x.ratio >= r.min_ratio) AND (r.max_ratio IS NULL OR x.ratio <= r.max_ratio) AND (NOT r.needs_evidence OR x.evidence)""")
-def _(spark, d):
-    return _rule_conditions(spark, V.results(spark, d))
+    return x.join(O.small(r), "gate").where(fits).select("case_id", "seq", "part", "supp", "price", "rule")
 
 
 @query("j18_first_matching_key", """WITH look AS (SELECT c_name AS key, min(c_mktsegment) AS seg FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1),
@@ -160,9 +155,7 @@ def _(spark, d):
     SELECT a.event_id AS a, b.event_id AS b FROM f a JOIN f b ON a.frame = b.frame AND a.event_id < b.event_id AND abs(a.x - b.x) <= 1 AND abs(a.value - b.value) < 5""")
 def _(spark, d):
     f = V.table(spark, d, "events").select("event_id", F.date_trunc("hour", "ts").alias("frame"), (F.col("user_id") % 10).alias("x"), "value")
-    g = f.select("frame", F.col("event_id").alias("b"), F.col("x").alias("bx"), F.col("value").alias("bv"))
-    near = (F.abs(F.col("x") - F.col("bx")) <= 1) & (F.abs(F.col("value") - F.col("bv")) < 5) & (F.col("event_id") < F.col("b"))
-    return f.join(g, "frame").where(near).select(F.col("event_id").alias("a"), "b")
+    return O.close_pairs(f, "event_id", ["frame"], {"x": (1, True), "value": (5, False)}).select("a", "b")
 
 
 @query("j21_resume_unprocessed", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")

@@ -22,7 +22,7 @@ def _(spark, d):
     return V.table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.squeezed(ascii_).cast("binary")).alias("h"))
 
 
-@query("sc04_keywords", "SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z_]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'was', 'that', 'this', 'from')))) AS words FROM benchmark")
+@query("sc04_keywords", "SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z_]{3,}'), lambda x: NOT list_contains(" + repr(T.STOPWORDS) + ", x)))) AS words FROM benchmark")
 def _(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", F.array_sort(T.keywords(F.col("text"))).alias("words"))
 
@@ -59,30 +59,25 @@ def _(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.when(F.col("url").contains("/en/"), 0).when(F.col("url").startswith("https://"), 1).alias("label"))
 
 
-@query("sc13_lenient_json", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events WHERE event_id < 900")
+@query("sc13_lenient_json", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events")
 def _(spark, d):
-    return _lenient_json(V.table(spark, d, "events").where("event_id < 900"))
-
-
-def _lenient_json(rows):
     i = F.col("event_id").cast("string")
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n{\"k\": "), i, F.lit("}\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Result: {\"k\": "), i, F.lit(",}."))).otherwise(F.lit("no object here"))
-    return rows.select("event_id", T.lenient_json(raw).alias("json"))
+    return V.table(spark, d, "events").select("event_id", T.lenient_json(raw).alias("json"))
 
 
-@query("sc13_lenient_json_all", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events")
+@query("sc14_vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(v, lambda x: printf('%.8f', x)), ',') || ']' AS literal FROM vectors")
 def _(spark, d):
-    return _lenient_json(V.table(spark, d, "events"))
+    return V.vectors(spark, d).select("vec_id", T.vector_literal(F.col("v"), 8).alias("literal"))
 
 
-@query("sc14_vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(v[1:4], lambda x: printf('%.6f', x)), ',') || ']' AS literal FROM vectors")
-def _(spark, d):
-    return V.vectors(spark, d).select("vec_id", T.vector_literal(F.slice("v", 1, 4), 6).alias("literal"))
+_KEYS = ("ev/7/frames/frame_001.jpg", "/EV/8/Annotated_Frame.jpg", "ev/9/tubelet_montage.jpg", "event_metadata.json", "ev/9/clip.mp4", "ev/frames/frame_x.jpg")
 
 
-@query("sc14_vector_literal_all", "SELECT vec_id, '[' || array_to_string(list_transform(v, lambda x: printf('%.8f', x)), ',') || ']' AS literal FROM vectors")
+@query("sc07_evidence_role", "SELECT event_id, ['tubelet_frame', 'annotated_frame', 'tubelet_montage', 'event_metadata', 'other', 'other'][event_id % 6 + 1] AS role FROM events")
 def _(spark, d):
-    return V.vectors(spark, d).select("vec_id", T.vector_literal(F.col("v"), 8).alias("literal"))
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % 6 + 1).cast("int"))
+    return V.table(spark, d, "events").select("event_id", T.evidence_role(key).alias("role"))
 
 
 @query("sc15_content_hash", "SELECT page_id, sha256(html) AS sha FROM pages")
@@ -126,16 +121,10 @@ def _(spark, d):
     return V.table(spark, d, "events").select("event_id", *(x.alias(n) for x, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True)), G.bottom_centre(a)[0].alias("cx"))
 
 
-@query("m15_angle_wrap", "SELECT event_id, round(atan2(sin(value), cos(value)), 7) AS wrapped, round(atan2(sin(value), cos(value)), 7) AS wrapped2 FROM events WHERE abs(cos(value) + 1) > 1e-6")
-def _(spark, d):
-    v = F.col("value")
-    return V.table(spark, d, "events").where(F.abs(F.cos(v) + 1) > 1e-6).select("event_id", F.round(G.wrapped_modulo(v), 7).alias("wrapped"), F.round(G.wrapped_atan2(v), 7).alias("wrapped2"))
-
-
 _WRAPPED = "CASE WHEN round(atan2(sin(value), cos(value)), 7) <= -round(pi(), 7) THEN round(pi(), 7) ELSE round(atan2(sin(value), cos(value)), 7) END"
 
 
-@query("m15_angle_wrap_all", f"SELECT event_id, {_WRAPPED} AS wrapped, {_WRAPPED} AS wrapped2 FROM events")
+@query("m15_angle_wrap", f"SELECT event_id, {_WRAPPED} AS wrapped, {_WRAPPED} AS wrapped2 FROM events")
 def _(spark, d):
     v, pi = F.col("value"), F.round(F.pi(), 7)
     one = lambda a: F.when(F.round(a, 7) <= -pi, pi).otherwise(F.round(a, 7))  # noqa: E731  # half a turn is pi, never -pi
@@ -176,20 +165,11 @@ def _(spark, d):
     return V.table(spark, d, "events").select("event_id", F.get_json_object(doc, "$.a.b").cast("long").alias("b"))
 
 
-@query("js02_list_or_object", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS keys FROM events WHERE event_id < 500")
+@query("js02_list_or_object", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS keys FROM events")
 def _(spark, d):
-    return _list_or_object(V.table(spark, d, "events").where("event_id < 500"))
-
-
-def _list_or_object(rows):
     doc = F.when(F.col("event_id") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.lit('{"keys": ["c"]}'))
     keys = F.coalesce(F.when(doc.startswith("["), F.from_json(doc, "array<string>")), F.from_json(doc, "keys array<string>")["keys"])
-    return rows.select("event_id", keys.alias("keys"))
-
-
-@query("js02_list_or_object_all", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS keys FROM events")
-def _(spark, d):
-    return _list_or_object(V.table(spark, d, "events"))
+    return V.table(spark, d, "events").select("event_id", keys.alias("keys"))
 
 
 @query("js03_json_merge", "SELECT event_id, 'new' AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 3 AS size FROM events")
@@ -204,7 +184,32 @@ def _(spark, d):
     return V.table(spark, d, "events").groupBy("user_id").agg(F.array_contains(F.collect_set("event_type"), "error").alias("has_error"))
 
 
-@query("r12_write_intent", "SELECT * FROM (VALUES ('delete the camera', true), ('who was deleted yesterday', false), ('show all logs', false), ('add a rule', true), ('when was the rule added', false)) AS t(question, writes)")
+@query("js07_stripped", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, false AS has_vector, 2 AS fields FROM events")
+def _(spark, d):
+    doc = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("kind"), F.array(F.col("value"), F.lit(0.5)).alias("embedding"), F.lit("[0.1,0.2]").alias("vector")))
+    left = T.without_keys(doc, ["embedding", "vector"])
+    return V.table(spark, d, "events").select("event_id", F.get_json_object(left, "$.k").cast("long").alias("k"), left.rlike("embedding|vector").alias("has_vector"), F.json_array_length(F.to_json(F.map_keys(F.from_json(left, "map<string,string>")))).alias("fields"))
+
+
+@query("js08_nested_job", """SELECT a.id, 'pose' AS gate, a.status, CAST(r.seq AS BIGINT) AS seq, r.decision FROM cases a JOIN (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, seq DESC, price DESC) AS n FROM results) r ON r.case_id = a.id AND r.n = 1""")
+def _(spark, d):
+    from watchplan.operators.joins import latest_by_max
+
+    r = latest_by_max(V.results(spark, d), ["case_id"], ["ts", "seq", "price"], ["decision"])
+    a = V.cases(spark, d)
+    job = F.to_json(F.struct(F.lit("pose").alias("gate"), F.struct("id", "status").alias("case"), F.struct("seq", "decision").alias("result")))
+    rows = a.join(r, a["id"] == r["case_id"]).select(job.alias("job"))  # one object for each job, case and result inside
+    get = lambda p: F.get_json_object("job", p)
+    return rows.select(get("$.case.id").cast("long").alias("id"), get("$.gate").alias("gate"), get("$.case.status").alias("status"), get("$.result.seq").cast("long").alias("seq"), get("$.result.decision").alias("decision"))
+
+
+_QUESTIONS = (
+    "delete employee 5", "who was deleted yesterday", "show all logs", "add a new camera", "when was the rule added", "insert into employees values 1", "drop the anomaly_rules table", "when was Ahmed first inserted?",
+    "how many times was Lina logged in?", "set threshold to 5", "Remove the schedule", "update rule 3", "what did we set", "add a rule", "delete the row that was added", "grant access to me", "clear everything", "create a table of visits",
+)
+
+
+@query("r12_write_intent", f"""WITH q AS (SELECT unnest({list(_QUESTIONS)!r}) AS question)
+    SELECT question, NOT regexp_matches(question, '{T.PAST_PATTERN}', 'i') AND ({" OR ".join(f"regexp_matches(question, '{p}', 'i')" for p in T.WRITE_PATTERNS)}) AS writes FROM q""")
 def _(spark, d):
-    q = ("delete the camera", "who was deleted yesterday", "show all logs", "add a rule", "when was the rule added")
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, q))).alias("question")).withColumn("writes", T.write_intent(F.col("question")))
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, _QUESTIONS))).alias("question")).withColumn("writes", T.write_intent(F.col("question")))

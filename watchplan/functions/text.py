@@ -6,7 +6,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that don't count as keywords of a rule.
-STOPWORDS = ["the", "and", "for", "with", "was", "that", "this", "from"]
+STOPWORDS = [
+    "a", "an", "the", "if", "is", "are", "was", "were", "be", "being", "been",
+    "person", "people", "someone", "subject", "there", "visible", "video", "frame",
+    "scene", "alert", "notify", "tell", "me", "when", "with", "and", "or", "to",
+    "in", "on", "near", "at", "from", "of", "for", "any", "all", "rule",
+]
+#: Patterns of questions that ask for a change, and of words that speak of a past one.
+WRITE_PATTERNS = [
+    r"\b(delete|drop|truncate|wipe)\b\s+\w",
+    r"\b(update|alter|modify)\b\s+\w",
+    r"\b(clear|remove)\s+(all|the|every)\b",
+    r"\b(remove|drop)\s+(table|tables|database|db|records?|data|logs?)\b",
+    r"\b(remove|drop)\s+(the\s+)?(anomaly|entry|employee|visitor|camera|rule|schedule)\b",
+    r"\b(clear|wipe)\s+(the\s+)?(database|table|log|records?|data|entries|everything)\b",
+    r"\binsert\s+into\b",
+    r"\badd\s+(a\s+)?(new\s+)?(record|row|entry|employee|visitor|camera)\b",
+    r"\bcreate\s+(a\s+)?table\b",
+    r"\b(grant|revoke)\b\s+\w",
+    r"\b(reset|set)\s+\w+\s+(to|=)\b",
+]
+PAST_PATTERN = r"\b(inserted|added|created|logged)\b"
+#: Words that name something to be seen.
+VISUAL_WORDS = [
+    "person", "people", "subject", "body", "torso", "head", "arm", "arms", "hand", "hands",
+    "leg", "legs", "knee", "knees", "foot", "feet", "limb", "posture", "floor", "ground",
+    "lying", "prone", "sitting", "standing", "walking", "running", "sprinting", "stumbling",
+    "fall", "falling", "collapsed", "collapse", "contact", "touching", "holding", "grabbing",
+    "pushing", "shoving", "pulling", "hitting", "kicking", "grappling", "wrestling",
+    "door", "window", "gate", "cabinet", "equipment", "machine", "panel", "object", "chair",
+    "knife", "gun", "weapon", "fire", "smoke", "flame", "blocked", "covered", "camera",
+]
 
 
 def squeezed(c: Column) -> Column:
@@ -14,7 +44,8 @@ def squeezed(c: Column) -> Column:
 
 
 def keywords(c: Column, stop: list[str] = STOPWORDS) -> Column:
-    """Distinct lower-case words of three letters or more that aren't stopwords."""
+    """Distinct lower-case words of three letters or more that aren't stopwords; none of a null text."""
+    c = F.coalesce(c, F.lit(""))
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-zA-Z_]{3,}"), F.lit(0))), F.array(*map(F.lit, stop)))
 
 
@@ -69,7 +100,30 @@ def finite(c: Column) -> Column:
 
 
 def write_intent(c: Column) -> Column:
-    """Whether a question asks for a change; words about past changes don't."""
-    asks = c.rlike(r"(?i)\b(delete|remove|drop|update|insert|create|change|set|add)\b")
-    past = c.rlike(r"(?i)\b(was|were|been|has|have|had|who|when)\b.*\b(deleted|removed|updated|created|changed|added)\b")
-    return asks & ~past
+    """Whether a question is a command to change something; a word of a past change anywhere makes it a question."""
+    asks = F.lit(False)
+    for pattern in WRITE_PATTERNS:
+        asks |= c.rlike("(?i)" + pattern)
+    return asks & ~c.rlike("(?i)" + PAST_PATTERN)
+
+
+def evidence_role(c: Column) -> Column:
+    """The role of an object key by its name: annotated_frame, tubelet_montage, event_metadata, tubelet_frame, other."""
+    low = F.regexp_replace(F.lower(F.trim(c)), "^/+", "")
+    name = F.substring_index(low, "/", -1)
+    frame = low.rlike(r"(^|/)frames/frame_\d+\.(jpg|jpeg|png|webp)$")
+    return F.when(name == "annotated_frame.jpg", "annotated_frame").when(name == "tubelet_montage.jpg", "tubelet_montage").when(name == "event_metadata.json", "event_metadata").when(frame, "tubelet_frame").otherwise("other")
+
+
+def without_keys(c: Column, keys: list[str]) -> Column:
+    """A JSON object without the given top-level keys; null stays null."""
+    fields = F.from_json(c, "map<string,string>")
+    return F.to_json(F.map_filter(fields, lambda k, _: ~k.isin(*keys)))
+
+
+def concrete_visual(items: Column) -> Column:
+    """Whether sentences, other than those of scores only, name something to be seen."""
+    words = lambda s: F.transform(F.split(F.lower(s), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,!?;:()\[\]{}\"']+|[.,!?;:()\[\]{}\"']+$", ""))
+    seen = lambda s: F.arrays_overlap(words(s), F.array(*map(F.lit, VISUAL_WORDS)))
+    # a sentence that names something is no sentence of scores only, whatever else it says
+    return F.coalesce(F.exists(items, seen), F.lit(False))

@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Severities and the actions of decisions.
-SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
-ACTIONS = {"YES": "NOTIFY", "NO": "DISMISS", "UNCERTAIN": "REVIEW", "FAILED": "RETRY"}
-#: Rule types by their other names.
-RULE_TYPES = {"trigger": ["trigger", "alert", "anomaly"], "suppress": ["suppress", "ignore", "exception", "whitelist"], "context": ["context", "info", "note"]}
+from watchplan.functions import text as T
+from watchplan.operators.joins import small
+
+#: Severities in order, rule types by their other names, caps of the guardrails in their order.
+SEVERITIES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
+RULE_TYPES = {
+    "trigger": ["trigger", "alert", "detect", "detection", "positive", "trigger_rule"],
+    "suppress": ["suppress", "ignore", "benign", "normal", "negative", "suppress_rule"],
+}
+CAPS = {
+    "NO_ACTIVE_ANOMALY_RULES": 0.35,
+    "VLM_PARSE_FALLBACK": 0.30,
+    "LLM_PARSE_FALLBACK": 0.30,
+    "LLM_USED_NON_VLM_FACTS": 0.40,
+    "YES_WITHOUT_LLM_TRIGGER_RULE": 0.45,
+    "YES_WITHOUT_CONCRETE_VISUAL_FACTS": 0.45,
+    "YES_WITH_UNUSABLE_IMAGE_QUALITY": 0.40,
+    "YES_WITH_LLM_SUPPRESS_RULE": 0.50,
+    "WEAK_RATIO_CONFIDENCE_CAP": 0.70,
+}
+#: Of these, the first FORCED hold whatever the decision is; the last one alone keeps a YES.
+FORCED, KEEPS = 4, "WEAK_RATIO_CONFIDENCE_CAP"
+WEAK_RATIO = 1.15
+#: What a seen event may be called in rules, and seen events that are none.
+EVENT_NAMES = {
+    "fall_or_collapse": ["fall_detected"],
+    "person_on_floor": ["fall_detected"],
+    "physical_altercation": ["fight_detection"],
+    "fighting": ["fight_detection"],
+    "pushing_or_shoving": ["fight_detection"],
+    "grappling_or_wrestling": ["fight_detection"],
+    "aggressive_contact": ["fight_detection"],
+    "rapid_unusual_movement": ["sudden_movement"],
+    "suspicious_motion": ["intrusion", "loitering", "after_hours"],
+    "possible_intrusion_or_security_event": ["intrusion", "after_hours", "unauthorized_access", "restricted_entry", "weapon", "weapon_detection", "theft", "stealing"],
+    "unsafe_equipment_interaction": ["other", "equipment", "unsafe_equipment_interaction"],
+    "deep_semantic_spatiotemporal_anomaly": ["other"],
+}
+BENIGN_EVENTS = ["normal_activity", "benign_object_movement", "benign_posture_change", "camera_or_detection_artifact"]
+EVERYWHERE = ["", "all", "any", "anywhere"]
 
 
 def final_decision(*places: Column) -> Column:
@@ -24,39 +61,83 @@ def chosen(value: Column, mapping: dict[str, str], default: str) -> Column:
     return out
 
 
-def rule_type(c: Column, default: str = "context") -> Column:
-    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    out = F.lit(default)
-    for name, others in RULE_TYPES.items():
-        out = F.when(low.isin(*others), F.lit(name)).otherwise(out)
-    return out
+def rule_type(c: Column) -> Column:
+    """trigger or suppress, by any of its names; trigger where it is none of them or missing."""
+    return F.when(F.lower(F.trim(c)).isin(*RULE_TYPES["suppress"]), "suppress").otherwise("trigger")
+
+
+def default_effect(kind: Column) -> Column:
+    """What a rule of a type does unless it says otherwise."""
+    return F.when(kind == "suppress", F.lit("NO/NONE/ignore")).otherwise(F.lit("MEDIUM/alert_operator"))
 
 
 def severity_rank(c: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.upper(c)).cast("int"), F.lit(0))
+    """0 to 4; unknown severities count as LOW."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.upper(c)), F.lit(0)).cast("int") - 1, F.lit(1))
 
 
-def severity_at_most(c: Column, cap: str) -> Column:
-    return F.when(severity_rank(c) > SEVERITIES.index(cap) + 1, F.lit(cap)).otherwise(F.upper(c))
+def severity_at_least(c: Column, least: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.greatest(severity_rank(c), F.lit(SEVERITIES.index(least))) + 1)
 
 
-def guarded(df: DataFrame, decision: str, confidence: str, severity: str, checks: list[tuple[str, Column, float]]) -> DataFrame:
-    """Ordered guardrails: a check that holds turns YES to UNCERTAIN, caps the confidence and is listed in `guards`.
+def severity_of_decision(decision: Column, severity: Column) -> Column:
+    """NONE for a NO, at most MEDIUM for what is uncertain, at least LOW for a YES."""
+    high = severity.isin("HIGH", "CRITICAL")
+    return F.when(decision == "NO", "NONE").when((decision == "UNCERTAIN") & high, "MEDIUM").when((decision == "YES") & (severity == "NONE"), "LOW").otherwise(severity)
 
-    Every check sees the first decision; caps add up to the least; a decision that isn't YES any more
-    has at most MEDIUM severity and the action that goes with it.
+
+def action_of(decision: Column, severity: Column) -> Column:
+    return F.when(decision == "NO", "ignore").when(decision == "UNCERTAIN", "review_only").when(severity.isin("HIGH", "CRITICAL"), "urgent_alert").otherwise("alert_operator")
+
+
+def guarded(df: DataFrame, decision: str, confidence: str, severity: str, action: str, checks: dict[str, Column]) -> DataFrame:
+    """Guardrails in the order of CAPS: `guards` lists those that hold, the rest is guarded_decision, _confidence, _severity and _action.
+
+    checks: a condition by the name of its guardrail; missing ones never hold.  Forced ones make any decision UNCERTAIN
+    and LOW; the others look at a decision that is still YES and take it back, so that of these at most one holds;
+    the weak ratio only caps the confidence of a YES that stays.  Caps add up to the least.  Missing decisions count as UNCERTAIN,
+    missing severities as LOW, missing or zero confidences as 0.3; an action other than the normal one is listed.
+    """
+    said = F.upper(F.coalesce(F.col(decision), F.lit("UNCERTAIN")))
+    holds = lambda name: F.coalesce(checks[name], F.lit(False)) if name in checks else F.lit(False)
+    still, hits = said == "YES", []
+    for k, name in enumerate(CAPS):
+        hit = holds(name) if k < FORCED else still & holds(name)
+        hits.append((name, hit))
+        if name != KEEPS:
+            still = still & ~hit
+    down = reduce(lambda a, b: a | b, (hit for name, hit in hits if name != KEEPS))
+    start = F.coalesce(F.nullif(F.col(confidence), F.lit(0.0)), F.lit(0.3))
+    capped = F.least(F.greatest(start, F.lit(0.0)), F.lit(1.0), *(F.when(hit, F.lit(CAPS[name])).otherwise(1.0) for name, hit in hits))
+    out = df.withColumn("guarded_decision", F.when(down, "UNCERTAIN").otherwise(said)).withColumn("guarded_confidence", capped)
+    first = F.when(down, "LOW").otherwise(F.upper(F.coalesce(F.col(severity), F.lit("LOW"))))
+    out = out.withColumn("guarded_severity", severity_of_decision(F.col("guarded_decision"), first))
+    wanted = F.when(down, "review_only").otherwise(F.coalesce(F.col(action), F.lit("review_only")))
+    kept = F.col("guarded_decision").isin("NO", "UNCERTAIN") & (wanted == "save_for_dataset")
+    normal = F.when(kept, wanted).otherwise(action_of(F.col("guarded_decision"), F.col("guarded_severity")))
+    listed = [*(F.when(hit, F.lit(name)) for name, hit in hits), F.when(wanted != normal, F.lit("RECOMMENDED_ACTION_NORMALIZED"))]
+    return out.withColumn("guards", F.array_compact(F.array(*listed))).withColumn("guarded_action", normal)
+
+
+def matched_rules(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """seen with each rule (rule, rule_type) that fits it, no model asked.
+
+    seen: site, event, decision, quality, evidence (sentences); rules: rule, rule_type, event, place, text, active.  A
+    rule fits if its place is in the site's name or the other way round (or is everywhere, or the site unknown), and
+    its event is the seen one or a name of it, or its words and the evidence's share a keyword.  A rule without event, or
+    of 'other', fits any event that isn't benign.  Triggers need evidence and a decision that isn't NO; nothing fits
+    an unusable image.  The rules are the small side; their size is checked before they are broadcast.
     """
-    yes = F.col(decision) == "YES"
-    hits = [(name, yes & F.coalesce(when, F.lit(False)), cap) for name, when, cap in checks]
-    down = F.lit(False)
-    new = F.col(confidence)
-    for _, hit, cap in hits:
-        down |= hit
-        new = F.when(hit, F.least(new, F.lit(cap))).otherwise(new)
-    out = df.withColumn("guards", F.filter(F.array(*(F.when(hit, F.lit(name)) for name, hit, _ in hits)), lambda x: x.isNotNull()))
-    out = out.withColumn("guarded_confidence", new).withColumn("guarded_decision", F.when(down, "UNCERTAIN").otherwise(F.col(decision)))
-    out = out.withColumn("guarded_severity", F.when(F.col("guarded_decision") == "YES", F.upper(severity)).otherwise(severity_at_most(F.col(severity), "MEDIUM")))
-    return out.withColumn("action", chosen(F.col("guarded_decision"), ACTIONS, "RETRY"))
+    r = rules.where("active").select("rule", rule_type(F.col("rule_type")).alias("rule_type"), F.lower(F.trim(F.coalesce("event", F.lit("")))).alias("r_event"), F.lower(F.trim(F.coalesce("place", F.lit("")))).alias("r_place"), T.keywords(F.concat_ws(" ", "text", "text", "event")).alias("r_words"))
+    names = F.create_map(*(F.lit(x) for k, v in EVENT_NAMES.items() for x in (k, v)))
+    site, event = F.lower(F.trim(F.coalesce("site", F.lit("")))), F.lower(F.trim(F.coalesce("event", F.lit(""))))
+    s = seen.where("quality <> 'UNUSABLE'").withColumn("_site", site).withColumn("_event", event).withColumn("_names", F.coalesce(names[event], F.array().cast("array<string>"))).withColumn("_words", T.keywords(F.concat_ws(" ", "evidence")))
+    place = F.col("r_place").isin(*EVERYWHERE) | (F.col("_site") == "") | F.contains("_site", "r_place") | F.contains("r_place", "_site")
+    any_event = F.col("r_event").isin("", "other")
+    same = (any_event & ~F.col("_event").isin(*BENIGN_EVENTS)) | (~any_event & ((F.col("r_event") == F.col("_event")) | F.array_contains("_names", F.col("r_event"))))
+    ready = (F.col("rule_type") == "suppress") | ((F.size("evidence") > 0) & F.col("decision").isin("YES", "UNCERTAIN"))
+    fits = place & (same | F.arrays_overlap("r_words", "_words")) & ready
+    return s.join(small(r), fits).drop("_site", "_event", "_names", "_words", "r_event", "r_place", "r_words")
 
 
 def queue_reason(gate: Column, lasting: Column, ratio: Column, evidence: Column, least_ratio: float, gates: list[str]) -> Column:

@@ -22,9 +22,9 @@ def star(fact: DataFrame, dims: list[tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def latest(df: DataFrame, by: list[str], order: list[Column], name: str = "latest") -> DataFrame:
-    """One row per key: the first in the given order (LATERAL ... LIMIT 1).
+    """One row per key: the first in the given order (LATERAL ... LIMIT 1), by a window, which moves every row to its key.
 
-    A maximum of a struct per key is summed up within tasks first; a window would move every row.
+    Where all orders descend and nulls come last, latest_by_max does the same with a maximum that tasks make first.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name)
@@ -65,6 +65,24 @@ def _seconds(width: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
+def close_pairs(df: DataFrame, key: str, by: list[str], within: dict[str, tuple[float, bool]]) -> DataFrame:
+    """Pairs (a, b), a < b, of rows alike in `by` and no further apart than given in each column of `within`: (distance, whether it counts itself).
+
+    Each column is cut into cells of that distance, and a row meets those of its own and the neighbouring cells alone.
+    """
+    cells = list(within)
+    cell = lambda c: F.floor(F.col(c) / within[c][0]).cast("long")
+    left = df.select(*by, F.col(key).alias("a"), *(F.col(c).alias(f"_a{c}") for c in cells), *(cell(c).alias(f"_c{c}") for c in cells))
+    right = df.select(*by, F.col(key).alias("b"), *(F.col(c).alias(f"_b{c}") for c in cells), *(cell(c).alias(f"_c{c}") for c in cells))
+    for c in cells:
+        right = right.withColumn(f"_c{c}", F.explode(F.array(F.col(f"_c{c}") - 1, F.col(f"_c{c}"), F.col(f"_c{c}") + 1)))
+    both = left.join(right, [*by, *(f"_c{c}" for c in cells)]).where("a < b")
+    for c, (most, itself) in within.items():
+        apart = F.abs(F.col(f"_a{c}") - F.col(f"_b{c}"))
+        both = both.where(apart <= most if itself else apart < most)
+    return both.select(*by, "a", "b")
+
+
 def any_id(events: DataFrame, ids: list[str], other: DataFrame, key: str) -> DataFrame:
     """events joined to other where key is among the ids: once per (event, row), as SQL's IN; an equi-join on exploded distinct ids."""
     one = events.withColumn("_id", F.explode(F.array_distinct(F.array_compact(F.array(*ids)))))
