@@ -30,7 +30,14 @@ _CASES: dict[str, tuple[dict, str | None]] = {
     "unknown_face_details": ({"event_id": 0}, f"SELECT id, ts, camera, quality, processing_ms FROM ({_SEEN}) WHERE detected_id IS NULL AND id = 0"),
     "similar_unknown_faces": ({"event_id": 12, "threshold": 0.2}, f"SELECT vec_id, round(s, 6) AS similarity FROM ({_SIM}) WHERE s >= 0.2 ORDER BY round(s, 12) DESC, vec_id LIMIT 10"),
     "possible_identity_match": ({"event_id": 12, "threshold": 0.2}, f"SELECT x.vec_id, x.label, coalesce(p.employee_name, p.visitor_name, p.name) AS person, round(s, 6) AS similarity FROM (SELECT * FROM ({_SIM}) WHERE s >= 0.2 ORDER BY round(s, 12) DESC, vec_id LIMIT 5) x LEFT JOIN people p ON p.id = x.label"),
-    "investigate_unknown_face": ({"event_id": 12}, None),
+    "investigate_unknown_face": ({"event_id": 0, "threshold": 0.2}, """WITH s AS (SELECT g.vec_id, g.label, list_cosine_similarity(q.v, g.v) AS s FROM vectors g, (SELECT v FROM vectors WHERE vec_id = 0) q WHERE g.vec_id <> 0)
+        SELECT * FROM ((SELECT 'similar' AS kind, vec_id AS id, round(s, 6) AS similarity FROM s WHERE s >= 0.2 ORDER BY round(s, 12) DESC, vec_id LIMIT 10) UNION ALL (SELECT 'identity', label, round(s, 6) FROM s WHERE s >= 0.2 ORDER BY round(s, 12) DESC, vec_id LIMIT 5)
+        UNION ALL SELECT 'event', id, NULL FROM logs WHERE id = 0 AND detected_id IS NULL)"""),
+    "pending_unknowns": ({"limit": 25, "offset": 5}, "SELECT id, ts, camera_id, quality, event_type FROM logs WHERE detected_id IS NULL AND authorized IS NULL ORDER BY ts DESC, id DESC LIMIT 25 OFFSET 5"),
+    "recent_logs": ({"limit": 30, "offset": 10}, "SELECT l.id, l.ts, l.detected_id, p.name AS identity, l.camera_id, l.authorized, l.similarity, l.margin FROM (SELECT * FROM logs ORDER BY ts DESC, id DESC LIMIT 30 OFFSET 10) l LEFT JOIN people p ON p.id = l.detected_id"),
+    "log_by_id": ({"log_id": 3}, "SELECT l.id, l.ts, l.detected_id, p.name AS identity, l.camera_id, l.quality FROM logs l LEFT JOIN people p ON p.id = l.detected_id WHERE l.id = 3"),
+    "max_similarity_for_identity": ({"event_id": 7, "label": 3}, "SELECT g.label, round(max(list_cosine_similarity(q.v, g.v)), 6) AS similarity FROM vectors g, (SELECT v FROM vectors WHERE vec_id = 7) q WHERE g.vec_id <> 7 AND g.label = 3 GROUP BY 1"),
+    "joined_jobs": ({"status": "succeeded", "decision": "YES", "limit": 40}, "SELECT r.case_id, r.seq, 'succeeded' AS status, r.decision, a.status AS case_status, a.camera_id, r.ts, r.price FROM (SELECT * FROM results WHERE decision = 'YES' ORDER BY ts DESC, price DESC LIMIT 40) r JOIN cases a ON a.id = r.case_id"),
     "vad_cases": ({"status": "open", "severity": "HIGH"}, "SELECT x.id, x.status, x.severity, x.start_ts, c.name AS camera FROM (SELECT * FROM cases WHERE status = 'open' AND severity = 'high' ORDER BY start_ts DESC, id DESC LIMIT 20) x LEFT JOIN cameras c ON c.id = x.camera_id"),
     "vad_case_details": ({"case_id": 7}, "SELECT a.id, a.status, a.severity, r.decision, r.gate, r.ts, r.price FROM (SELECT * FROM cases WHERE id = 7) a LEFT JOIN (SELECT * FROM results WHERE case_id = 7 ORDER BY ts DESC, seq DESC, price DESC LIMIT 1) r ON r.case_id = a.id"),
     "vad_gate_events": ({"gate": "homography", "limit": 20}, "SELECT case_id, seq, gate, score, ts, price FROM results WHERE contains(gate, 'homography') ORDER BY ts DESC, price DESC LIMIT 20"),
@@ -46,7 +53,8 @@ _CASES: dict[str, tuple[dict, str | None]] = {
     "edge_devices": ({}, "SELECT s_suppkey AS id, s_name AS name, s_acctbal > 0 AS online FROM supplier ORDER BY 1 LIMIT 100"),
     "anomaly_rules": ({"place": "lobby"}, f"SELECT id, rule_type, event, place, text FROM ({R.SQL}) WHERE contains(lower(place), 'lobby')"),
     "reasoning_rules": ({"gate": "pose"}, f"SELECT id, gates, min_ratio, max_ratio, needs_evidence FROM ({R.SQL}) WHERE list_contains(string_split(gates, ','), 'pose')"),
-    "rule_conflicts": ({}, None),
+    "rule_conflicts": ({}, f"""WITH rules AS ({R.SQL}) SELECT a.id AS a, b.id AS b FROM rules a JOIN rules b ON a.id < b.id AND (a.rule_type <> b.rule_type OR a.rule_type = 'other' OR b.rule_type = 'other') AND (a.event = b.event OR a.event = 'other' OR b.event = 'other')
+        AND (lower(trim(a.place)) = lower(trim(b.place)) OR lower(trim(a.place)) = 'all' OR lower(trim(b.place)) = 'all') ORDER BY 1, 2 LIMIT 50"""),
     "schedules": ({}, "SELECT detected_id, min(hour(ts))::INT AS from_hour, max(hour(ts))::INT AS to_hour FROM logs WHERE detected_id IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 50"),
     "audit_logs": ({"action": "signup", "limit": 40}, "SELECT id, ts, upper(event_type) AS action FROM logs WHERE event_type = 'signup' ORDER BY ts DESC, id DESC LIMIT 40"),
     "table_counts": ({}, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())),

@@ -8,23 +8,17 @@ from watchplan.catalog.registry import query
 from watchplan.operators import matching as O
 from watchplan.plans import views as V
 
-_Q = "vec_id % 25 = 0"
+#: The stated set of queries, which meets all other vectors.
+_Q = "vec_id % 50 = 0"
 _SIM = "round(list_cosine_similarity(q.v, g.v), 12)"
 
 
-#: Of the queries ..._all: these vectors against all others.
-_Q_ALL = "vec_id % 50 = 0"
-_PAIRS_ALL = f"FROM vectors q, vectors g WHERE q.{_Q_ALL} AND g.vec_id <> q.vec_id"
+_PAIRS = f"FROM vectors q, vectors g WHERE q.{_Q} AND g.vec_id <> q.vec_id"
 
 
 def _parts(spark, d):
     v = V.vectors(spark, d)
-    return v.where(_Q), v.where(f"NOT ({_Q})")
-
-
-def _parts_all(spark, d):
-    v = V.vectors(spark, d)
-    return v.where(_Q_ALL), v
+    return v.where(_Q), v
 
 
 @query("j11_similar_to_one", f"SELECT g.vec_id, round(list_cosine_similarity(q.v, g.v), 6) AS similarity FROM vectors g, (SELECT v FROM vectors WHERE vec_id = 7) q WHERE g.vec_id <> 7 ORDER BY {_SIM} DESC, g.vec_id LIMIT 50")
@@ -41,7 +35,7 @@ def _(spark, d):
     return V.vectors(spark, d).select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + F.abs(x)), 8).alias("l1"))
 
 
-@query("m02_cosine_top_k", f"SELECT query_id, other_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, {_SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND NOT (g.{_Q})) WHERE rank <= 10")
+@query("m02_cosine_top_k", f"SELECT query_id, other_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, {_SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank {_PAIRS}) WHERE rank <= 10")
 def _(spark, d):
     return _top_k(*_parts(spark, d))
 
@@ -50,32 +44,17 @@ def _top_k(q, g):
     return O.nearest(q, g, 10).select("query_id", "other_id", F.round("value", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("m02_cosine_top_k_all", f"SELECT query_id, other_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, {_SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank {_PAIRS_ALL}) WHERE rank <= 10")
-def _(spark, d):
-    return _top_k(*_parts_all(spark, d))
-
-
-@query("m03_knn_mean_distance", f"SELECT query_id, round(avg(s) FILTER (WHERE rank <= 1), 6) AS knn_1, round(avg(s) FILTER (WHERE rank <= 5), 6) AS knn_5, round(avg(s), 6) AS knn_10 FROM (SELECT q.vec_id AS query_id, list_distance(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, g.v), 12), g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND NOT (g.{_Q})) WHERE rank <= 10 GROUP BY 1")
+@query("m03_knn_mean_distance", f"SELECT query_id, round(avg(s) FILTER (WHERE rank <= 1), 6) AS knn_1, round(avg(s) FILTER (WHERE rank <= 5), 6) AS knn_5, round(avg(s), 6) AS knn_10 FROM (SELECT q.vec_id AS query_id, list_distance(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, g.v), 12), g.vec_id) AS rank {_PAIRS}) WHERE rank <= 10 GROUP BY 1")
 def _(spark, d):
     return _knn(*_parts(spark, d))
 
 
-@query("m03_knn_mean_distance_all", f"SELECT query_id, round(avg(s) FILTER (WHERE rank <= 1), 6) AS knn_1, round(avg(s) FILTER (WHERE rank <= 5), 6) AS knn_5, round(avg(s), 6) AS knn_10 FROM (SELECT q.vec_id AS query_id, list_distance(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, g.v), 12), g.vec_id) AS rank {_PAIRS_ALL}) WHERE rank <= 10 GROUP BY 1")
-def _(spark, d):
-    return _knn(*_parts_all(spark, d))
-
-
 def _knn(q, g):
     m = O.mean_distance(O.nearest(q, g, 10, "euclidean"), [1, 5, 10])
     return m.select("query_id", *(F.round(f"knn_{k}", 6).alias(f"knn_{k}") for k in (1, 5, 10)))
 
 
-_TOP = f"""WITH top AS (SELECT query_id, label, max(s) AS best FROM (SELECT q.vec_id AS query_id, g.label, list_cosine_similarity(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND NOT (g.{_Q})) WHERE rank <= 50 GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, label) AS n FROM top),
-    two AS (SELECT query_id, max(label) FILTER (WHERE n = 1) AS label, max(best) FILTER (WHERE n = 1) AS similarity, max(label) FILTER (WHERE n = 2) AS second, max(best) FILTER (WHERE n = 1) - max(best) FILTER (WHERE n = 2) AS margin FROM r GROUP BY 1)"""
-
-
-_TOP_ALL = f"""WITH top AS (SELECT query_id, label, max(s) AS best FROM (SELECT q.vec_id AS query_id, g.label, list_cosine_similarity(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank {_PAIRS_ALL}) WHERE rank <= 50 GROUP BY 1, 2),
+_TOP = f"""WITH top AS (SELECT query_id, label, max(s) AS best FROM (SELECT q.vec_id AS query_id, g.label, list_cosine_similarity(q.v, g.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank {_PAIRS}) WHERE rank <= 50 GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, label) AS n FROM top),
     two AS (SELECT query_id, max(label) FILTER (WHERE n = 1) AS label, max(best) FILTER (WHERE n = 1) AS similarity, max(label) FILTER (WHERE n = 2) AS second, max(best) FILTER (WHERE n = 1) - max(best) FILTER (WHERE n = 2) AS margin FROM r GROUP BY 1)"""
 
@@ -89,11 +68,6 @@ def _(spark, d):
     return _margin(_two(*_parts(spark, d)))
 
 
-@query("a23_identity_margin_all", _TOP_ALL + " SELECT query_id, label, round(similarity, 6) AS similarity, second, round(margin, 6) AS margin FROM two")
-def _(spark, d):
-    return _margin(_two(*_parts_all(spark, d)))
-
-
 def _margin(two):
     return two.select("query_id", "label", F.round("similarity", 6).alias("similarity"), "second", F.round("margin", 6).alias("margin"))
 
@@ -103,12 +77,10 @@ def _(spark, d):
     return O.decision(_two(*_parts(spark, d)), 0.35, 0.03).select("query_id", "label", "decision")
 
 
-@query("r01_identity_decision_all", _TOP_ALL + " SELECT query_id, label, CASE WHEN similarity >= 0.35 AND coalesce(margin >= 0.03, true) THEN 'match' ELSE 'unknown' END AS decision FROM two")
-def _(spark, d):
-    return O.decision(_two(*_parts_all(spark, d)), 0.35, 0.03).select("query_id", "label", "decision")
-
-
-@query("r02_auto_learn")
+@query("r02_auto_learn", """WITH RECURSIVE h AS (SELECT detected_id, id, epoch_us(ts) / 1e6 AS tm, similarity, row_number() OVER (PARTITION BY detected_id ORDER BY ts, id) AS n FROM logs WHERE detected_id IS NOT NULL AND similarity >= 0.75),
+    r AS (SELECT detected_id, id, n, 1 AS learned, tm AS last, true AS learns FROM h WHERE n = 1 UNION ALL
+          SELECT detected_id, id, n, learned + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN tm ELSE last END, ok FROM (SELECT h.detected_id, h.id, h.n, h.tm, r.learned, r.last, r.learned < 5 AND h.tm - r.last >= 86400 AS ok FROM r JOIN h ON h.detected_id = r.detected_id AND h.n = r.n + 1))
+    SELECT detected_id, id FROM r WHERE learns""")
 def _(spark, d):
     rows = V.logs(spark, d).where("detected_id is not null").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return O.auto_learned(rows, "detected_id", ["at", "id"], "at", "similarity", 0.75, 86400.0, 5, "id")

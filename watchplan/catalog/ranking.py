@@ -51,7 +51,12 @@ def _(spark, d):
     return V.scores(spark, d).orderBy(F.desc("score"), "event_id").limit(15).select("event_id", "score")
 
 
-@query("t10_peaks")
+@query("t10_peaks", """WITH RECURSIVE h AS (SELECT user_id, event_type, score, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id, score) - 1 AS i FROM scores),
+    c AS (SELECT user_id, event_type, i, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score DESC, i DESC) AS n FROM h WHERE score > 60),
+    r AS (SELECT user_id, event_type, n, [i] AS peaks FROM c WHERE n = 1 UNION ALL
+          SELECT c.user_id, c.event_type, c.n, CASE WHEN len(r.peaks) < 4 AND len(list_filter(r.peaks, lambda p: abs(p - c.i) <= 1)) = 0 THEN list_append(r.peaks, c.i) ELSE r.peaks END FROM r JOIN c ON c.user_id = r.user_id AND c.event_type = r.event_type AND c.n = r.n + 1),
+    l AS (SELECT user_id, event_type, arg_max(peaks, n) AS peaks FROM r GROUP BY 1, 2)
+    SELECT t.user_id, t.event_type, coalesce(l.peaks, []) AS peaks FROM (SELECT DISTINCT user_id, event_type FROM scores) t LEFT JOIN l ON l.user_id = t.user_id AND l.event_type = t.event_type""")
 def _(spark, d):
     return O.track_peaks(V.scores(spark, d), ["user_id", "event_type"], ["ts", "event_id", "score"], F.col("score") - 60, 4, "user_id long, event_type string")
 
@@ -83,6 +88,15 @@ def _(spark, d):
     return a.unionByName(V.cases(spark, d).where("severity = 'critical'").select(F.lit("case").alias("kind"), "id", F.col("start_ts").alias("ts"), F.col("score").alias("ratio")))
 
 
+@query("u03_splits_together", """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY substr(md5('42|' || user_id), 1, 12), user_id) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT user_id FROM scores)),
+    s AS (SELECT event_id, score, CASE WHEN n <= greatest(1, round_even(total * 0.7::DOUBLE, 0)) THEN 'train' WHEN n <= greatest(1, round_even(total * 0.7::DOUBLE, 0)) + greatest(1, round_even(total * 0.15::DOUBLE, 0)) THEN 'calibration' ELSE 'test' END AS split FROM scores JOIN g ON scores.user_id = g.user_id)
+    SELECT event_id, split, CASE WHEN split = 'calibration' THEN score END AS fitted FROM s WHERE split <> 'train'""")
+def _(spark, d):
+    s = O.group_split(V.scores(spark, d), "user_id", (0.7, 0.15), 42)
+    calibration = s.where("split = 'calibration'").select("event_id", "split", F.col("score").alias("fitted"))
+    return calibration.unionByName(s.where("split = 'test'").select("event_id", "split"), allowMissingColumns=True)
+
+
 @query("u04_token_overlap", "SELECT doc_id, len(list_intersect(list_distinct(string_split(lower(text), ' ')), ['the', 'and', 'der', 'die', 'que', 'les'])) AS shared FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
     words = F.split(F.lower("text"), " ")

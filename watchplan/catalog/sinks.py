@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchplan.catalog.registry import query
 from watchplan.functions import text as T
 from watchplan.operators import mutations as O
+from watchplan.plans import rules as R
 from watchplan.plans import views as V
 
 
@@ -73,3 +74,26 @@ def _(spark, d):
 def _(spark, d):
     odd = F.when(F.col("event_id") % 3 == 0, F.col("value")).when(F.col("event_id") % 3 == 1, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
     return V.table(spark, d, "events").select("event_id", T.finite(odd).alias("value"))
+
+
+@query("snk01_returned_ids", "SELECT event_id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY event_id) AS id FROM events WHERE event_type = 'error'")
+def _(spark, d):
+    new = V.table(spark, d, "events").where("event_type = 'error'").select("event_id")
+    return O.inserted(V.cases(spark, d).select("id"), new, "id", "event_id").select("event_id", "id")
+
+
+@query("snk11_session_heartbeat", """WITH b AS (SELECT user_id % 25 AS camera_id, ts, event_id, event_type AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT user_id % 25, ts, event_id, 'last_event', CAST(event_id AS VARCHAR) FROM events)
+    SELECT camera_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, name ORDER BY ts DESC, event_id DESC) AS n FROM b) WHERE n = 1""")
+def _(spark, d):
+    e = V.table(spark, d, "events").withColumn("fields", F.create_map(F.col("event_type"), F.get_json_object("props", "$.k"), F.lit("last_event"), F.col("event_id").cast("string")))
+    return O.heartbeats(e.withColumn("camera_id", F.col("user_id") % 25), ["camera_id"], ["ts", "event_id"], "fields").select("camera_id", "name", "value")
+
+
+@query("snk12_rules", f"""WITH rules AS ({R.SQL}), c AS (SELECT * FROM (VALUES (2, 'deactivate', 1), (2, 'reactivate', 4), (3, 'deactivate', 2), (5, 'delete', 3), (7, 'deactivate', 1), (99, 'delete', 1)) AS c(id, op, tm)),
+    l AS (SELECT id, arg_max(op, tm) AS op, bool_or(op = 'delete') AS gone FROM c GROUP BY 1), k AS (SELECT r.id, r.text, coalesce(l.op <> 'deactivate', true) AS active FROM rules r LEFT JOIN l ON l.id = r.id WHERE NOT coalesce(l.gone, false))
+    SELECT * FROM k UNION ALL SELECT (SELECT max(id) FROM rules) + n, text, true FROM (VALUES (1, 'No parking at the gate'), (2, 'Nobody on the roof')) AS a(n, text)""")
+def _(spark, d):
+    rules = R.rules(spark).select("id", "text", F.lit(True).alias("active"))
+    changes = spark.sql("SELECT * FROM VALUES (2L, 'deactivate', 1), (2L, 'reactivate', 4), (3L, 'deactivate', 2), (5L, 'delete', 3), (7L, 'deactivate', 1), (99L, 'delete', 1) AS c(id, op, at)")
+    new = spark.sql("SELECT * FROM VALUES (1, 'No parking at the gate'), (2, 'Nobody on the roof') AS a(n, text)").withColumn("active", F.lit(True))
+    return O.rules_changed(rules, changes).unionByName(O.inserted(rules, new, "id", "n").select("id", "text", "active"))

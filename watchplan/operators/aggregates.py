@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchplan.operators.joins import small
+
 
 def domain(spark: SparkSession, column: str, values: list) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(column))
@@ -41,9 +43,10 @@ def percentile_key(point: float) -> str:
 def sweep(df: DataFrame, by: list[str], track: list[str], order: list[str], column: str, thresholds: DataFrame) -> DataFrame:
     """For each threshold (by, point, threshold): rows, hits, rate in percent, longest run of hits within a track.
 
-    Thresholds (points x groups) are broadcast; rows are ordered within tracks, never as a whole.
+    Thresholds (points x groups) are broadcast if they are few; rows are ordered within tracks, never as a whole.
     """
-    rows = df.join(F.broadcast(thresholds), by) if by else df.crossJoin(F.broadcast(thresholds))
+    thresholds = small(thresholds)
+    rows = df.join(thresholds, by) if by else df.crossJoin(thresholds)
     rows = rows.withColumn("hit", F.col(column) > F.col("threshold"))
     w = Window.partitionBy(*by, "point", *track).orderBy(*order)
     runs = rows.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*by, "point", *track, "hit").orderBy(*order)))

@@ -8,14 +8,15 @@ a block go on to the merge.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block.
-BLOCK = 2048
+#: Vectors of a block, and blocks of queries that are broadcast at once.
+BLOCK, CHUNK = 2048, 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,16 +63,16 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosin
     """query_id, other_id, value, rank: the k nearest of the gallery for each query, itself left out.
 
     cosine: greatest similarity first; euclidean: least distance first; ties by id.  Exact: every pair is
-    compared.  Queries are broadcast as packed blocks if they are few, and else joined to the gallery's blocks by number.
+    compared.  Queries are broadcast as packed blocks, CHUNK at a time: each chunk is one more scan of the gallery, which
+    itself is never shuffled, and memory is a chunk and a gallery block, however many queries there are.
     """
     n = queries.count()
     q_blocks = max(1, -(-n // BLOCK))
     q = _packed(queries, key, vector, "q", q_blocks)
     g = _packed(gallery, key, vector, "g", 1)
-    if n <= 8 * BLOCK:
-        pairs = g.drop("g_block").crossJoin(F.broadcast(q.drop("q_block")))  # a bounded set of queries against all rows
-    else:  # every gallery block is sent to each query block's number
-        pairs = g.drop("g_block").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(q, "q_block").drop("q_block")
+    # a stated set of queries, in bounded chunks, against all rows
+    chunks = [g.drop("g_block").crossJoin(F.broadcast(q.where(F.floor(F.col("q_block") / CHUNK) == k).drop("q_block"))) for k in range(-(-q_blocks // CHUNK))]
+    pairs = reduce(DataFrame.unionByName, chunks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

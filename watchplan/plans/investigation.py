@@ -137,12 +137,59 @@ def possible_identity_match(spark, d, event_id: int, threshold: float = 0.55, li
 
 
 @tool
-def investigate_unknown_face(spark, d, event_id: int):
-    a = similar_unknown_faces(spark, d, event_id).select(F.lit("similar").alias("kind"), F.col("vec_id").alias("id"), "similarity")
-    b = possible_identity_match(spark, d, event_id).select(F.lit("identity").alias("kind"), F.col("label").alias("id"), "similarity")
+def investigate_unknown_face(spark, d, event_id: int, threshold: float | None = None):
+    """The event, faces like it and who it may be; threshold: for both searches, if not their own."""
+    own = {} if threshold is None else {"threshold": threshold}
+    a = similar_unknown_faces(spark, d, event_id, **own).select(F.lit("similar").alias("kind"), F.col("vec_id").alias("id"), "similarity")
+    b = possible_identity_match(spark, d, event_id, **own).select(F.lit("identity").alias("kind"), F.col("label").alias("id"), "similarity")
     return a.unionByName(b).unionByName(unknown_face_details(spark, d, event_id).select(F.lit("event").alias("kind"), "id", F.lit(None).cast("double").alias("similarity")))
 
 
+def _page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+@tool
+def pending_unknowns(spark, d, limit: int = 50, offset: int = 0):
+    """Unknown faces that nobody has decided on, newest first."""
+    rows = V.logs(spark, d).where("detected_id is null and authorized is null")
+    return _page(rows, [F.desc("ts"), F.desc("id")], limit, offset).select("id", "ts", "camera_id", "quality", "event_type")
+
+
+@tool
+def recent_logs(spark, d, limit: int = 50, offset: int = 0):
+    """The last recognitions with their identity, newest first."""
+    p = V.people(spark, d).select(F.col("id").alias("pid"), F.col("name").alias("identity"))
+    rows = _page(V.logs(spark, d), [F.desc("ts"), F.desc("id")], limit, offset)
+    return rows.join(p, F.col("detected_id") == F.col("pid"), "left").select("id", "ts", "detected_id", "identity", "camera_id", "authorized", "similarity", "margin")
+
+
+@tool
+def log_by_id(spark, d, log_id: int):
+    p = V.people(spark, d).select(F.col("id").alias("pid"), F.col("name").alias("identity"))
+    rows = V.logs(spark, d).where(F.col("id") == log_id)
+    return rows.join(p, F.col("detected_id") == F.col("pid"), "left").select("id", "ts", "detected_id", "identity", "camera_id", "quality")
+
+
+@tool
+def max_similarity_for_identity(spark, d, event_id: int, label: int):
+    """The greatest similarity of a vector with any other of an identity; no row for an identity without one."""
+    v = V.vectors(spark, d)
+    one = v.where(F.col("vec_id") == event_id).select(F.col("v").alias("q"))
+    rows = v.where((F.col("label") == label) & (F.col("vec_id") != event_id)).crossJoin(F.broadcast(one))  # one row
+    return rows.groupBy("label").agg(F.round(F.max(cosine(F.col("q"), F.col("v"))), 6).alias("similarity"))
+
+
+@tool
+def joined_jobs(spark, d, status: str | None = None, decision: str | None = None, case_id: int | None = None, limit: object = 50):
+    """Reasoning jobs with their case and result, newest first."""
+    a = V.cases(spark, d).select("id", F.col("status").alias("case_status"), "camera_id")
+    rows = V.results(spark, d).withColumn("status", F.when(F.col("decision").isNull(), "failed").otherwise("succeeded"))
+    rows = rows.where(O.all_of([O.equals("status", status), O.equals("decision", decision), O.equals("case_id", case_id)]))
+    top = _limited(rows, [F.desc("ts"), F.desc("price")], limit, 50, 500)
+    return top.join(a, top["case_id"] == a["id"]).select("case_id", "seq", "status", "decision", "case_status", "camera_id", "ts", "price")
+
+
 def _with_camera(df: DataFrame, spark, d) -> DataFrame:
     c = V.cameras(spark, d).select(F.col("id").alias("cid"), F.col("name").alias("camera"))
     return df.join(c, F.col("camera_id") == F.col("cid"), "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from functools import reduce
 
 import numpy as np
@@ -67,6 +68,19 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.orderBy(natural_key(F.col("path")), "path")
 
 
+def objects(spark: SparkSession, references: list[str], root: str = "s3a://", most: int = 10_000) -> DataFrame:
+    """(path, length, content) of objects by reference (s3://bucket/key); root takes the place of s3://.
+
+    References are named one by one, so nothing else is listed or read; more than `most` are an error (join a listing instead).
+    """
+    if len(references) > most:
+        raise ValueError(f"{len(references)} references, more than {most}")
+    bad = [r for r in references if not re.fullmatch(r"s3://[^/]+/.+", r)]
+    if bad:
+        raise ValueError(f"no references: {bad[:3]}")
+    return spark.read.format("binaryFile").load([root + r.removeprefix("s3://") for r in references]).select("path", "length", "content")
+
+
 def natural_key(c: Column) -> Column:
     """Sorts 'clip_2' before 'clip_10': numbers are padded."""
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")

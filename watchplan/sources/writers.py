@@ -27,16 +27,21 @@ def kafka_values(df: DataFrame, key: str) -> DataFrame:
 
 
 def once(path: str, key: str):
-    """A foreachBatch function that appends rows whose key isn't there yet, so that a repeated batch adds nothing."""
+    """A foreachBatch function that keeps rows whose key no other batch has; each batch has a partition of its own.
 
-    def put(batch: DataFrame, _epoch: int) -> None:
+    A batch that is repeated writes its partition anew, so that a failure half way leaves nothing twice; of the target only
+    the keys are read.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
         try:
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+            held = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != epoch).select(key)
+            new = new.join(held, key, "left_anti")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        new.write.mode("append").parquet(path)
+        new.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return put
