@@ -48,7 +48,7 @@ def _packed_filter(keys: np.ndarray, bits: int) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, smallest: bool, bits: int) -> Iterator[pd.DataFrame]:
+def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, smallest: bool, bits: int, most_rows: int) -> Iterator[pd.DataFrame]:
     task = TaskContext.get().partitionId()
     rid, run = task << 33, task << 20
     table: dict[bytes, list[list]] = {}
@@ -94,7 +94,7 @@ def _memtables(batches: Iterator[pd.DataFrame], segments: int, key_bytes: int, s
             entry[3] += 1
             held.append((doc_id, rid, digest.hexdigest(), entry))
             rid += 1
-            if size >= MEMTABLE_BYTES or len(held) >= MEMTABLE_ROWS:
+            if size >= MEMTABLE_BYTES or len(held) >= most_rows:
                 yield from flush()
     if held:
         yield from flush()
@@ -121,15 +121,15 @@ def merged(runs: list[tuple[bytes, bytes, bytes]], smallest: bool) -> tuple[np.n
     return keys[order], best[order]
 
 
-def compacted(runs: DataFrame, level: int, smallest: bool, bits: int) -> DataFrame:
-    """(segment, run, keys, filter, bests) of the next level: FAN runs, which are numbered 0, 1, ..., become one, a segment becomes FAN."""
+def compacted(runs: DataFrame, level: int, smallest: bool, bits: int, fan: int = FAN) -> DataFrame:
+    """(segment, run, keys, filter, bests) of the next level: fan runs, which are numbered 0, 1, ..., become one, a segment becomes fan."""
     n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.withColumn("group", F.floor(F.col("run") / FAN)).repartition(n, "group", "segment").sortWithinPartitions("group", "segment", "run").select("group", "segment", "keys", "filter", "bests")
+    dealt = runs.withColumn("group", F.floor(F.col("run") / fan)).repartition(n, "group", "segment").sortWithinPartitions("group", "segment", "run").select("group", "segment", "keys", "filter", "bests")
 
     def of(key: tuple, held: list[tuple[bytes, bytes, bytes]]) -> list[tuple]:
         keys, best = merged(held, smallest)
-        sub = keys[:, 4 + level].astype(np.int64) % FAN
-        return [(key[1] * FAN + s, key[0], keys[sub == s].tobytes(), _packed_filter(keys[sub == s], bits), best[sub == s].tobytes()) for s in np.unique(sub).tolist()]
+        sub = keys[:, 4 + level].astype(np.int64) % fan
+        return [(key[1] * fan + s, key[0], keys[sub == s].tobytes(), _packed_filter(keys[sub == s], bits), best[sub == s].tobytes()) for s in np.unique(sub).tolist()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, key, held = ["segment", "run", "keys", "filter", "bests"], None, []
@@ -148,15 +148,15 @@ def compacted(runs: DataFrame, level: int, smallest: bool, bits: int) -> DataFra
     return dealt.mapInPandas(run, "segment long, run long, keys binary, filter binary, bests binary")
 
 
-def hits_of(runs: DataFrame, folder: str, smallest: bool, bits: int) -> DataFrame:
+def hits_of(runs: DataFrame, folder: str, smallest: bool, bits: int, fan: int = FAN) -> DataFrame:
     """(key, best_id, best_rid, n) of the digests that at least two of the runs (segment, run, keys, filter, bests) hold."""
     found = written(runs.select("run").distinct(), folder, "run-ids")  # a row for each flush of a memtable
     number = found.count()
     names = broadcast_if_small(found.select("run", (F.row_number().over(Window.orderBy("run")) - 1).cast("long").alias("number")), 32, number)
     table, level = runs.join(names, "run").select("segment", F.col("number").alias("run"), "keys", "filter", "bests"), 0
     while number > 1:
-        table = written(compacted(table, level, smallest, bits), folder, f"level-{level + 1}")
-        number, level = -(-number // FAN), level + 1
+        table = written(compacted(table, level, smallest, bits, fan), folder, f"level-{level + 1}")
+        number, level = -(-number // fan), level + 1
 
     def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -169,13 +169,14 @@ def hits_of(runs: DataFrame, folder: str, smallest: bool, bits: int) -> DataFram
     return table.select("keys", "bests").mapInPandas(several, "key string, best_id long, best_rid long, n long")
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS, fan: int = FAN) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; exactly one row of equal texts is kept.
 
     Of equal texts the row with the largest (keep="smallest": smallest) doc_id stays, of equal ids
     the first read; rows without doc_id stay only among themselves.  Null texts count as empty, and
     empty texts are equal.  key_bits below 256 shortens the index keys, so that different texts
-    share them; the byte comparison then still tells them apart.
+    share them; the byte comparison then still tells them apart.  memtable_rows and fan: when a memtable is
+    flushed at the latest, and how many runs one compaction merges.
 
     Texts leave a task only where their digest is a hit; then equal texts of a task are one row
     before they are shuffled.  Hits are broadcast if few, else joined.
@@ -185,8 +186,8 @@ def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256) ->
     segments = max(SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a block, one segment of one run, has some thousands of rows at least in all segments together, at every level
     bits = 1 << max(6, (_FILTER_BITS * MEMTABLE_ROWS // 16 // segments).bit_length())
-    runs = written(rows.mapInPandas(lambda b: _memtables(b, segments, key_bytes, smallest, bits), _RUN), folder, "runs")
-    hits = written(hits_of(runs.where("kind = 1").select("segment", "run", "keys", "filter", "bests"), folder, smallest, bits), folder, "hits")
+    runs = written(rows.mapInPandas(lambda b: _memtables(b, segments, key_bytes, smallest, bits, memtable_rows), _RUN), folder, "runs")
+    hits = written(hits_of(runs.where("kind = 1").select("segment", "run", "keys", "filter", "bests"), folder, smallest, bits, fan), folder, "hits")
     held = runs.where("kind = 0").select("doc_id", "rid", "sha", "best_id", "best_rid", "n").withColumn("key", _key("sha", key_bytes))
     # byte verification of hits: one row for each digest and text, summed within a task first
     few = broadcast_if_small(hits.select("key"), 150)
