@@ -73,6 +73,21 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def forest_roots(parents: DataFrame, folder: str, name: str, most_rounds: int = 60) -> DataFrame:
+    """Of parents (node, parent), one smaller parent a node: (node, root) for each node.
+
+    Every round doubles how far each node looks up: the logarithm of the depth, one join each.
+    """
+    state = written(parents.select("node", F.col("parent").alias("root")), folder, f"{name}-0")
+    for k in range(1, most_rounds + 1):
+        up = state.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        state = written(state.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")), folder, f"{name}-{k}")
+        moved, state = state.where("_moved").isEmpty(), state.drop("_moved")
+        if moved:
+            return state
+    raise RuntimeError(f"roots have not settled after {most_rounds} rounds")
+
+
 def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): a row (node, root) for each node but the roots, root the smallest node.
 
@@ -82,6 +97,8 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = written(e, folder, f"{name}-0"), None
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for k in range(1, most_rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are a table of their own, so that AQE can split the join where one node has a great part of all edges

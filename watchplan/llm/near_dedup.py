@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import BROADCAST_BYTES, broadcast_if_small, components, texts, workspace, written
+from watchplan.llm.common import broadcast_if_small, components, forest_roots, texts, workspace, written
 
 #: Groups a collection, minhashes a group: 100 tables of 4 from 40 minhashes.  A pair of likeness 0.8
 #: is missed with probability 1 - (1 - (1 - 0.8**2)**10)**2 < 1e-4, more alike pairs far less often.
@@ -28,7 +28,7 @@ GROUPS, GROUP_SIZE = 10, 2
 #: probability 0.8 each, fewer than 14 do with probability < 1e-9).
 LEAST_AGREEMENT = 0.35
 #: Documents of a verification block.
-BLOCK = 1024
+BLOCK = 512
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 2 * GROUPS * GROUP_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -155,28 +155,46 @@ def _forest(match: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(k, int(label[k])) for k in np.unique(np.concatenate([a, b])).tolist() if label[k] != k]
 
 
-def sure_edges(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between each candidate and its likest leader that are links on full sets: one comparison a candidate.
+def owners(edges: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """(nid, doc_id, sha, leader, salt, salts) of the candidates: the likest leader of each (null: none), and how many tasks its own followers are dealt to (0: none)."""
+    best = edges.groupBy("b").agg(F.max(F.struct("agreement", (-F.col("a")).alias("a"))).alias("t")).select(F.col("b").alias("nid"), (-F.col("t.a")).alias("leader"))
+    best = written(best, folder, "best")
+    leads = written(best.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")), folder, "leads")
+    n, leads_n = best.count(), leads.count()
+    of_leader = broadcast_if_small(leads.withColumnRenamed("salts", "of_leader"), 24, leads_n)
+    members = best.join(of_leader, "leader").select("nid", "leader", F.pmod(F.xxhash64("nid"), F.col("of_leader")).cast("int").alias("salt"))
+    all_ = members.unionByName(leads.select(F.col("leader").alias("nid")).join(best.select("nid"), "nid", "left_anti").select("nid", F.lit(None).cast("long").alias("leader"), F.lit(0).alias("salt")))
+    all_ = all_.join(broadcast_if_small(leads.withColumnRenamed("leader", "nid"), 24, leads_n), "nid", "left").withColumn("salts", F.coalesce("salts", F.lit(0)))
+    out = classes.select("nid", "own.doc_id", "own.sha").join(broadcast_if_small(all_, 40, n + leads_n), "nid")
+    return written(out, folder, "owners")
 
-    Leaders' sets are broadcast if their bytes allow it; else rows join them by leader, which AQE splits where many
-    have the same one.
+
+def sure_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (node, parent) between each candidate and its likest leader that are links on full sets: one comparison a candidate.
+
+    Rows go to their leader, in one shuffle; the followers of a leader with many are dealt to several tasks, and the leader to
+    each of them.
     """
-    best = edges.groupBy("b").agg(F.max(F.struct("agreement", (-F.col("a")).alias("a"))).alias("t")).select("b", (-F.col("t.a")).alias("a"))
-    leaders = sets.join(best.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi").select(F.col("nid").alias("a"), F.col("words").alias("leader"))
-    size = leaders.agg(F.coalesce(F.sum(F.octet_length("leader") + 16), F.lit(0))).first()[0]
-    leaders = F.broadcast(leaders) if size <= BROADCAST_BYTES else leaders
+    mine = sets.where("leader is not null").select(F.col("leader").alias("at"), "salt", F.lit(1).alias("follows"), "nid", "words")
+    own = sets.where("salts > 0").select(F.col("nid").alias("at"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("follows"), "nid", "words")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mine.unionByName(own).repartition(n, "at", "salt").sortWithinPartitions("at", "salt", "follows")
 
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = np.intersect1d(x, y, assume_unique=True).size
-            out.append(100 * common >= percent * (x.size + y.size - common))
-        return pd.Series(out, dtype=bool)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, leader = None, None
+        for pdf in batches:
+            out = []
+            for where, salt, follows, nid, words in pdf.itertuples(index=False, name=None):
+                s = np.frombuffer(words, np.uint64)
+                if not follows:
+                    at, leader = (where, salt), s
+                elif at == (where, salt):
+                    common = np.intersect1d(s, leader, assume_unique=True).size
+                    if 100 * common >= percent * (s.size + leader.size - common):
+                        out.append((nid, where))
+            yield pd.DataFrame(out, columns=["node", "parent"], dtype="int64")
 
-    both = best.join(sets.select(F.col("nid").alias("b"), "words"), "b").join(leaders, "a")
-    return both.where(alike("words", "leader")).select("a", "b")
+    return dealt.mapInPandas(run, "node long, parent long")
 
 
 def blocks_of_parts(located: DataFrame, folder: str, percent: int) -> DataFrame:
@@ -249,32 +267,33 @@ def verified_edges(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*key, "block", "role", "part", "words").mapInPandas(run, "a long, b long")
 
 
-def _roots(docs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str, words: int, percent: int) -> DataFrame:
+def _roots(docs: DataFrame, classes: DataFrame, folder: str, words: int, percent: int) -> DataFrame:
     """(nid, root) of the classes that links join with a lesser one."""
     edges = candidate_edges(classes, folder)
-    clusters = components(edges, folder, "clusters")
-    clusters = written(clusters.select(F.col("node").alias("nid"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("nid"), F.col("root").alias("cluster")).distinct()), folder, "candidates")
     # full sets, for candidates alone
-    owner = rows.join(clusters.select("nid"), "nid", "left_semi").select("nid", "doc_id", "sha")
-    sets = written(_full_sets(docs, written(owner, folder, "owner"), words), folder, "sets")
-    parts = written(components(sure_edges(edges, sets, percent), folder, "parts"), folder, "parted")
-    located = written(clusters.join(parts.select(F.col("node").alias("nid"), "root"), "nid", "left").select("nid", "cluster", F.coalesce("root", "nid").alias("part")), folder, "located")
-    # clusters of one part are done
-    open_ = located.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("cluster")
-    open_ = broadcast_if_small(written(open_, folder, "open"), 16)
-    rest = located.join(open_, "cluster").join(sets.select("nid", "n_shingles"), "nid")
-    more = components(verified_edges(blocks_of_parts(rest, folder, percent), sets, percent), folder, "links")
-    out = located.select("nid", "part").join(more.select(F.col("node").alias("part"), "root"), "part", "left")
-    return out.select("nid", F.coalesce("root", "part").alias("root")).where("nid <> root")
+    sets = _full_sets(docs, owners(edges, classes, folder), words, folder)
+    parts = forest_roots(sure_edges(sets, percent), folder, "parts")
+    # candidates that are still apart: edges between parts, and the clusters of parts that these make
+    up = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"{c}_part"))
+    apart = edges.select("a", "b").join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).where("a <> b")
+    clusters = components(apart, folder, "clusters")
+    clusters = clusters.select(F.col("node").alias("part"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("part"), F.col("root").alias("cluster")).distinct())
+    clusters = broadcast_if_small(written(clusters, folder, "open"), 24)
+    located = written(sets.select("nid", "n_shingles").join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "n_shingles", F.coalesce("root", "nid").alias("part")).join(clusters, "part"), folder, "located")
+    met = written(blocks_of_parts(located, folder, percent), folder, "met")
+    mine = sets.join(broadcast_if_small(met.select("nid").distinct(), 16), "nid", "left_semi")
+    more = components(verified_edges(met, mine, percent), folder, "links").select(F.col("node").alias("part"), F.col("root").alias("more"))
+    out = parts.withColumnRenamed("root", "part").unionByName(more.select(F.col("part").alias("node"), "part"))  # parts' own roots may go on, too
+    return out.join(more, "part", "left").select(F.col("node").alias("nid"), F.coalesce("more", "part").alias("root")).where("nid <> root")
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """A row per row of docs: doc_id, sha (of its text), n_shingles, component_id, and root, which tells groups apart (null without shingles)."""
     folder = workspace(docs.sparkSession)
     rows = written(signatures(docs, words), folder, "signatures")
-    classes = rows.where("set_key is not null").groupBy("set_key", "n_shingles", "a", "b", "sig").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least_doc"))
+    classes = rows.where("set_key is not null").groupBy("set_key", "n_shingles", "a", "b", "sig").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least_doc"), F.min_by(F.struct("doc_id", "sha"), "nid").alias("own"))
     classes = written(classes, folder, "classes")
-    named = classes.join(_roots(docs, rows, classes, folder, words, percent), "nid", "left").select("set_key", "least_doc", F.coalesce("root", "nid").alias("root"))
+    named = classes.join(_roots(docs, classes, folder, words, percent), "nid", "left").select("set_key", "least_doc", F.coalesce("root", "nid").alias("root"))
     named = written(named, folder, "named")
     least = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     final = named.join(least, "root").select("set_key", "root", "component_id")
@@ -292,17 +311,24 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _full_sets(docs: DataFrame, owner: DataFrame, words: int) -> DataFrame:
-    """nid, n_shingles, words (the set's hashes packed) of the owners (nid, doc_id, sha), made from their texts again."""
+def _full_sets(docs: DataFrame, owner: DataFrame, words: int, folder: str) -> DataFrame:
+    """nid, n_shingles, leader, salt, salts, words (the set's hashes packed) of the owners, made from their texts again."""
+    names = ["nid", "n_shingles", "leader", "salt", "salts", "words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()  # a row that repeats an owner's doc_id and text makes the same set
         for pdf in batches:
-            sets = [shingles(text, words) for text in pdf["text"]]
-            yield pd.DataFrame({"nid": pdf["nid"], "n_shingles": [s.size for s in sets], "words": [s.tobytes() for s in sets]})
-
-    few = broadcast_if_small(owner.select("nid", F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha")), 100)
-    joined = _hashed(docs).join(few, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")))
-    return joined.select("nid", "text").mapInPandas(run, "nid long, n_shingles long, words binary").dropDuplicates(["nid"])
+            new = pdf[[not (i in met or met.add(i)) for i in pdf["nid"].tolist()]]
+            sets = [shingles(text, words) for text in new["text"]]
+            leader = new["leader"].astype("Int64")
+            yield pd.DataFrame({"nid": new["nid"], "n_shingles": [s.size for s in sets], "leader": leader.where(new["has"]), "salt": new["salt"], "salts": new["salts"], "words": [s.tobytes() for s in sets]}, columns=names)
+
+    # a null leader goes as 0 with has false: pandas would make floats of the column
+    few = owner.select("nid", F.coalesce("leader", F.lit(0)).alias("leader"), F.col("leader").isNotNull().alias("has"), "salt", "salts", F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha"))
+    joined = _hashed(docs).join(broadcast_if_small(few, 150), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")))
+    sets = written(joined.select("nid", "leader", "has", "salt", "salts", "text").mapInPandas(run, "nid long, n_shingles long, leader long, salt int, salts int, words binary"), folder, "sets")
+    twice = sets.groupBy("nid").count().where("count > 1")  # made by several tasks; ids alone are shuffled to see it
+    return sets if twice.isEmpty() else written(sets.dropDuplicates(["nid"]), folder, "sets-once")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
