@@ -18,6 +18,8 @@ from watchplan.llm.common import broadcast_if_small, workspace, written
 
 #: Groups of a bucket, about, and the most buckets, so that their combination stays one small task.
 BUCKET_GROUPS, MOST_BUCKETS = 20_000, 50_000
+#: Groups of more rows than this are few, and known everywhere, so that no join has all rows of one text in one task.
+HEAVY_ROWS = 10_000
 
 
 def difference(items: list[list[int]], parts: int) -> list[list[int]]:
@@ -68,16 +70,16 @@ def shards(docs: DataFrame, parts: int = 16) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("sha"))
     rows = written(rows, folder, "rows")
-    groups = written(rows.groupBy("sha").agg(F.sum("size").alias("bytes")), folder, "groups")
+    groups = written(rows.groupBy("sha").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), folder, "groups")
     buckets = min(MOST_BUCKETS, -(-groups.count() // BUCKET_GROUPS)) or 1
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "sha"], ascending=[False, True])
         goes = difference([[b] + [0] * (parts - 1) for b in pdf["bytes"].tolist()], parts)
-        return pd.DataFrame({"sha": pdf["sha"], "bytes": pdf["bytes"], "bucket": pdf["bucket"], "part": [g[0] for g in goes]})
+        return pd.DataFrame({"sha": pdf["sha"], "bytes": pdf["bytes"], "n": pdf["n"], "bucket": pdf["bucket"], "part": [g[0] for g in goes]})
 
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("sha"), F.lit(buckets)).cast("int"))
-    solved = written(dealt.groupBy("bucket").applyInPandas(solve, "sha string, bytes long, bucket int, part int"), folder, "solved")
+    solved = written(dealt.groupBy("bucket").applyInPandas(solve, "sha string, bytes long, n long, bucket int, part int"), folder, "solved")
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = pdf.pivot(index="bucket", columns="part", values="bytes").reindex(columns=range(parts)).fillna(0).astype("int64")
@@ -86,8 +88,10 @@ def shards(docs: DataFrame, parts: int = 16) -> DataFrame:
 
     partial = solved.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).withColumn("one", F.lit(0))
     places = partial.groupBy("one").applyInPandas(lambda p: combine(p), "bucket int, part int, shard int")  # at most MOST_BUCKETS * parts rows
-    of_group = written(solved.join(F.broadcast(places), ["bucket", "part"]).select("sha", "shard"), folder, "shards")
-    placed = written(rows.join(of_group, "sha").select("doc_id", "size", "text_crc32", "shard"), folder, "placed")
+    of_group = written(solved.join(F.broadcast(places), ["bucket", "part"]).select("sha", "n", "shard"), folder, "shards")
+    heavy = broadcast_if_small(of_group.where(F.col("n") > HEAVY_ROWS), 100)
+    whole = rows.join(heavy, "sha").unionByName(rows.join(heavy.select("sha"), "sha", "left_anti").join(of_group.where(F.col("n") <= HEAVY_ROWS), "sha"))
+    placed = written(whole.select("doc_id", "size", "text_crc32", "shard"), folder, "placed")
     # slots: rows are numbered in small chunks of a shard, and chunks begin where those before them end
     chunks = max(1, rows.count() // (parts * 1000))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).cast("int"))
