@@ -16,6 +16,25 @@ def _two(spark, d):
     return V.logs(spark, d).where("quality is not null").select("id", (F.col("value") / 100).alias("x"), (F.col("k") / 50).alias("y"))
 
 
+_TWO_SQL = "t AS (SELECT id, value / 100 AS x, k / 50 AS y FROM logs WHERE quality IS NOT NULL)"
+#: One component's mean and covariance, as the fit ends with them.
+_ONE_SQL = f"{_TWO_SQL}, g AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) + 1e-6 AS a, covar_pop(x, y) AS b, covar_pop(y, y) + 1e-6 AS c FROM t), s AS (SELECT t.id, g.n, 0.5 * ((g.c * (x - mx) ** 2 - 2 * g.b * (x - mx) * (y - my) + g.a * (y - my) ** 2) / (g.a * g.c - g.b * g.b) + ln(g.a * g.c - g.b * g.b) + 2 * ln(2 * pi())) AS nll FROM t, g)"
+
+
+@query("m04a_gaussian_scores", f"WITH {_ONE_SQL} SELECT id, round(nll, 6) AS nll FROM s")
+def _(spark, d):
+    rows = _two(spark, d)
+    return O.negative_log_likelihood(rows, ["x", "y"], O.fit_mixture(rows, ["x", "y"], 1)[0]).select("id", F.round("nll", 6).alias("nll"))
+
+
+@query("m05a_gaussian_criteria", f"WITH {_ONE_SQL} SELECT round(5 * ln(max(n)) + 2 * sum(nll), 3) AS bic, round(10 + 2 * sum(nll), 3) AS aic FROM s")
+def _(spark, d):
+    rows = _two(spark, d)
+    model, ll = O.fit_mixture(rows, ["x", "y"], 1)
+    n = rows.count()
+    return spark.createDataFrame([(round(O.bic(ll, n, model.parameters()), 3), round(O.aic(ll, n, model.parameters()), 3))], "bic double, aic double")
+
+
 @query("m04_mixture_scores")
 def _(spark, d):
     rows = _two(spark, d)
@@ -38,11 +57,24 @@ def _(spark, d):
     return O.robust_scaled(V.scores(spark, d), ["score"]).select("event_id", F.round("score", 9).alias("score"))
 
 
-@query("m07_principal_components")
+def _components_sql() -> str:
+    """z = x - y makes the covariance singular, so a square root gives the other two eigenvalues, and a cross product of rows each one's vector."""
+    out = f"""WITH {_TWO_SQL}, p AS (SELECT id, x, y, x - y AS z FROM t),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM p),
+    e AS (SELECT *, xx + yy + zz AS tr, xx * yy - xy * xy + xx * zz - xz * xz + yy * zz - yz * yz AS minors FROM m),
+    l AS (SELECT *, (tr + sqrt(tr * tr - 4 * minors)) / 2 AS l1, (tr - sqrt(tr * tr - 4 * minors)) / 2 AS l2 FROM e)"""
+    for k in (1, 2):
+        out += f""",
+    v{k} AS (SELECT xy * yz - xz * (yy - l{k}) AS a, xz * xy - (xx - l{k}) * yz AS b, (xx - l{k}) * (yy - l{k}) - xy * xy AS c FROM l),
+    u{k} AS (SELECT a / n * g AS a, b / n * g AS b, c / n * g AS c FROM (SELECT *, sqrt(a * a + b * b + c * c) AS n, CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN sign(a) WHEN abs(b) >= abs(c) THEN sign(b) ELSE sign(c) END AS g FROM v{k}))"""
+    return out + " SELECT id, " + ", ".join(f"round((x - mx) * u{k}.a + (y - my) * u{k}.b + (z - mz) * u{k}.c, 6) AS pc{k}" for k in (1, 2)) + " FROM p, m, u1, u2"
+
+
+@query("m07_principal_components", _components_sql())
 def _(spark, d):
     rows = _two(spark, d).withColumn("z", F.col("x") - F.col("y"))
     means, comp, _var = O.principal_components(rows, ["x", "y", "z"], 2)
-    return O.projected(rows, ["x", "y", "z"], means, comp).select("id", "pc1", "pc2")
+    return O.projected(rows, ["x", "y", "z"], means, comp).select("id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
 _H = [[0.8, 0.05, 1.0], [-0.1, 0.6, 2.0], [0.001, 0.002, 1.0]]
