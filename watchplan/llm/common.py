@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Sides with fewer bytes than this (an upper estimate from a row count) may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Rows of a few numbers that one task may write.
+TASK_ROWS = 250_000
 #: Bytes of an Arrow batch where the session sets no bound: documents vary too much in length for a bound in rows.
 BATCH_BYTES = 4 << 20
 
@@ -45,9 +47,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df as a written table in the shared folder: later reads neither recompute it nor depend on an executor."""
+def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """df as a written table in the shared folder: later reads neither recompute it nor depend on an executor.
+
+    rows: a bound of its rows, narrow ones, if there is one: then it gets a file for each TASK_ROWS of them at most, not one
+    for each shuffle partition.
+    """
     path = f"{folder}/{name}"
+    df = df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,9 +86,10 @@ def forest_roots(parents: DataFrame, folder: str, name: str, most_rounds: int =
     Every round doubles how far each node looks up: the logarithm of the depth, one join each.
     """
     state = written(parents.select("node", F.col("parent").alias("root")), folder, f"{name}-0")
+    n = state.count()
     for k in range(1, most_rounds + 1):
-        up = state.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        state = written(state.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")), folder, f"{name}-{k}")
+        up = broadcast_if_small(state.select(F.col("node").alias("root"), F.col("root").alias("_up")), 32, n)
+        state = written(state.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")), folder, f"{name}-{k}", n)
         moved, state = state.where("_moved").isEmpty(), state.drop("_moved")
         if moved:
             return state
@@ -93,25 +101,26 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
 
     Rounds grow with the logarithm of the longest path, twice; should most_rounds not be enough, it is an error.
     Alternating large-star and small-star rounds: each is a pre-aggregated minimum per node and one
-    join, whose skewed keys AQE can split; a round's edges are a written table, so lineage stays short.
+    join, a broadcast one while the nodes are few, else one whose skewed keys AQE can split; a round's edges are a
+    written table, so lineage stays short.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = written(e, folder, f"{name}-0"), None
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for k in range(1, most_rounds + 1):
+    n = e.count()
+    for k in range(1, most_rounds + 1 if n else 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are a table of their own, so that AQE can split the join where one node has a great part of all edges
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, folder, f"{name}-{k}-large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{k}-low2")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), folder, f"{name}-{k}")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low", 2 * n)
+        large = both.where("v > u").join(broadcast_if_small(low, 32, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, folder, f"{name}-{k}-large", n)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{k}-low2", n)
+        small = large.join(broadcast_if_small(low, 32, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), folder, f"{name}-{k}", 2 * n)
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
         if now == before or now[0] == 0:
             break
-        before = now
+        before, n = now, max(n, now[0])
     else:
-        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
+        if n:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -158,9 +158,10 @@ def _forest(match: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 def owners(edges: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """(nid, doc_id, sha, leader, salt, salts) of the candidates: the likest leader of each (null: none), and how many tasks its own followers are dealt to (0: none)."""
     best = edges.groupBy("b").agg(F.max(F.struct("agreement", (-F.col("a")).alias("a"))).alias("t")).select(F.col("b").alias("nid"), (-F.col("t.a")).alias("leader"))
-    best = written(best, folder, "best")
-    leads = written(best.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")), folder, "leads")
-    n, leads_n = best.count(), leads.count()
+    best = written(best, folder, "best", edges.count())
+    n = best.count()
+    leads = written(best.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")), folder, "leads", n)
+    leads_n = leads.count()
     of_leader = broadcast_if_small(leads.withColumnRenamed("salts", "of_leader"), 24, leads_n)
     members = best.join(of_leader, "leader").select("nid", "leader", F.pmod(F.xxhash64("nid"), F.col("of_leader")).cast("int").alias("salt"))
     all_ = members.unionByName(leads.select(F.col("leader").alias("nid")).join(best.select("nid"), "nid", "left_anti").select("nid", F.lit(None).cast("long").alias("leader"), F.lit(0).alias("salt")))
