@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from watchplan.llm import bpe, chat, exact_dedup, mixing, near_dedup, pii, sharding, token_counts, toxicity, winnow
+from watchplan.llm import bpe, chat, decontamination, exact_dedup, mixing, near_dedup, pii, resampling, sharding, token_counts, toxicity, twins, vector_codes, winnow
 from watchplan.llm.common import bound_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -102,12 +102,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside windows of 10 words of the benchmark's items: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words; a row for each row; without items nothing is hit; items of one item_id are one item.
+    """
+    return decontamination.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), words=10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by 16 codebooks of 64 entries after two rounds: vec_id, code, error, label_error, codebooks_sha256.
+
+    Null vectors and those with null or non-finite components go; a row for each other row; null labels are one label.
+    """
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and the twentieth of them that is drawn: doc_id, n_features, weight, score, rank.
+
+    Null and empty texts have no features and weight 0; a row for each row; documents below 20 words are never drawn.
+    """
+    return resampling.resampled(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), buckets=10_000, longest=3, least_words=20, percent=5, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat_prefix_tree, op3_toxicity, op4_mixing, op5_bpe, op6_token_counts, op7_sharding, op8_winnowing, op9_pii_surrogates, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat_prefix_tree, op3_toxicity, op4_mixing, op5_bpe, op6_token_counts, op7_sharding, op8_winnowing, op9_pii_surrogates, op10_exact_dedup, op11_decontamination, op12_vector_codes, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_decontamination": twins.DECONTAMINATION,
+        "op12_vector_codes": twins.VECTOR_CODES,
+        "op13_resampling": twins.RESAMPLING,
         "op4_mixing": _MIXING_SQL,
         "op10_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
