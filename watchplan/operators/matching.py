@@ -8,6 +8,7 @@ a block go on to the merge.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -59,44 +60,72 @@ def _packed(df: DataFrame, key: str, vector: str, side: str, blocks: int) -> Dat
     return dealt.mapInPandas(run, f"{side}_block int, {side}_ids array<long>, {side}_vectors binary")
 
 
-def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "v") -> DataFrame:
+def costs(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(value, cost) of each row of a with each row of b; the least cost is the best."""
+    if metric == "cosine":
+        na, nb = (np.linalg.norm(x, axis=1) for x in (a, b))
+        scale = np.outer(na, nb)
+        value = np.divide(a @ b.T, scale, out=np.zeros((len(a), len(b))), where=scale > 0)
+        return value, -value
+    value = np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
+    return value, value
+
+
+def best_of(query_ids: np.ndarray, ids: np.ndarray, value: np.ndarray, cost: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, other_id, value of the k least costs of each row, itself left out; ties by id."""
+    cost = np.where(query_ids[:, None] == ids[None, :], np.inf, cost)
+    order = np.lexsort((np.broadcast_to(ids, cost.shape), np.round(cost, 12)), axis=1)[:, : min(k, len(ids))]
+    rows, cols = np.repeat(np.arange(len(query_ids)), order.shape[1]), order.ravel()
+    ok = np.isfinite(cost[rows, cols])
+    return pd.DataFrame({"query_id": query_ids[rows][ok], "other_id": ids[cols][ok], "value": value[rows, cols][ok]})
+
+
+def ranked(best: DataFrame, k: int, metric: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The k best of each query, by rank; ties by id."""
+    near = F.round(F.col("value"), 12)
+    w = Window.partitionBy(*by).orderBy(near.desc() if metric == "cosine" else near.asc(), "other_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "v", first: str | None = None) -> DataFrame:
     """query_id, other_id, value, rank: the k nearest of the gallery for each query, itself left out.
 
     cosine: greatest similarity first; euclidean: least distance first; ties by id.  Exact: every pair is
     compared.  Queries are broadcast as packed blocks, CHUNK at a time: each chunk is one more scan of the gallery, which
     itself is never shuffled, and memory is a chunk and a gallery block, however many queries there are.
+
+    first: a boolean column of the gallery.  Then a query's neighbours are the k nearest of the rows for which it is true, and
+    of all rows only where it has none of those; a further column `first` says which.  Both searches share one pass.
     """
     n = queries.count()
     q_blocks = max(1, -(-n // BLOCK))
     q = _packed(queries, key, vector, "q", q_blocks)
     g = _packed(gallery, key, vector, "g", 1)
+    if first is not None:  # blocks of one kind each
+        kinds = [(True, gallery.where(F.coalesce(first, F.lit(False)))), (False, gallery.where(~F.coalesce(first, F.lit(False))))]
+        g = reduce(DataFrame.unionByName, [_packed(rows, key, vector, "g", 1).withColumn("g_first", F.lit(kind)) for kind, rows in kinds])
     # a stated set of queries, in bounded chunks, against all rows
     chunks = [g.drop("g_block").crossJoin(F.broadcast(q.where(F.floor(F.col("q_block") / CHUNK) == k).drop("q_block"))) for k in range(-(-q_blocks // CHUNK))]
     pairs = reduce(DataFrame.unionByName, chunks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qi, qv, gi, gv in zip(pdf["q_ids"], pdf["q_vectors"], pdf["g_ids"], pdf["g_vectors"], strict=True):
+            for qi, qv, gi, gv, *kind in pdf.itertuples(index=False, name=None):
                 a, b = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((qv, qi), (gv, gi)))
-                qi, gi = np.asarray(qi), np.asarray(gi)
-                if metric == "cosine":
-                    na, nb = (np.linalg.norm(x, axis=1) for x in (a, b))
-                    scale = np.outer(na, nb)
-                    value = np.divide(a @ b.T, scale, out=np.zeros((len(a), len(b))), where=scale > 0)
-                    cost = -value
-                else:
-                    cost = value = np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
-                cost = np.where(qi[:, None] == gi[None, :], np.inf, cost)
-                order = np.lexsort((np.broadcast_to(gi, cost.shape), np.round(cost, 12)), axis=1)[:, : min(k, len(gi))]
-                rows = np.repeat(np.arange(len(qi)), order.shape[1])
-                cols = order.ravel()
-                ok = np.isfinite(cost[rows, cols])
-                yield pd.DataFrame({"query_id": qi[rows][ok], "other_id": gi[cols][ok], "value": value[rows, cols][ok]})
-
-    best = pairs.select("q_ids", "q_vectors", "g_ids", "g_vectors").mapInPandas(run, "query_id long, other_id long, value double")
-    near = F.round(F.col("value"), 12)
-    w = Window.partitionBy("query_id").orderBy(near.desc() if metric == "cosine" else near.asc(), "other_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                out = best_of(np.asarray(qi), np.asarray(gi), *costs(a, b, metric), k)
+                yield out.assign(first=kind[0]) if kind else out
+
+    columns, schema = ["q_ids", "q_vectors", "g_ids", "g_vectors"], "query_id long, other_id long, value double"
+    if first is None:
+        return ranked(pairs.select(*columns).mapInPandas(run, schema), k, metric)
+    best = pairs.select(*columns, "g_first").mapInPandas(run, schema + ", first boolean")
+    return ranked(_staged(best), k, metric)
+
+
+def _staged(best: DataFrame) -> DataFrame:
+    """Of a query's neighbours those of the first stage, or, where it has none, all; `first` says which stage it is."""
+    stage = F.max("first").over(Window.partitionBy("query_id"))
+    return best.withColumn("_stage", stage).where(F.col("first") | ~F.col("_stage")).drop("first").withColumnRenamed("_stage", "first")
 
 
 def identities(top: DataFrame, labels: DataFrame) -> DataFrame:
@@ -111,10 +140,25 @@ def identities(top: DataFrame, labels: DataFrame) -> DataFrame:
     return got.select("query_id", (-first["neg"]).alias("label"), first["sim"].alias("similarity"), (-second["neg"]).alias("second"), (first["sim"] - second["sim"]).alias("margin"))
 
 
-def decision(found: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """found with `decision`: match, or unknown; a null margin passes."""
+def decision(found: DataFrame, similarity: float, margin: float, least_quality: float | None = None, spaces: DataFrame | None = None) -> DataFrame:
+    """found with `decision`: match, or unknown; a null margin passes, unless a second identity should have been there.
+
+    least_quality: found has `quality`, which must reach it where it isn't null.  spaces: (first, identities), how many identities
+    the searched stage has, which found names in `first`; where there are two, a second one must have been found.
+    """
     ok = (F.col("similarity") >= similarity) & F.coalesce(F.col("margin") >= margin, F.lit(True))
-    return found.withColumn("decision", F.when(ok, "match").otherwise("unknown"))
+    if least_quality is not None:
+        ok &= F.coalesce(F.col("quality") >= least_quality, F.lit(True))
+    if spaces is not None:
+        found = found.join(F.broadcast(spaces), "first", "left")  # two rows
+        ok &= F.col("second").isNotNull() | (F.coalesce("identities", F.lit(0)) < 2)
+    return found.withColumn("decision", F.when(F.coalesce(ok, F.lit(False)), "match").otherwise("unknown"))
+
+
+def stage_identities(gallery: DataFrame, first: str, label: str = "label") -> DataFrame:
+    """(first, identities): identities in the first stage's rows, and in all rows."""
+    n = gallery.agg(F.countDistinct(F.when(F.col(first), F.col(label))).alias("a"), F.countDistinct(label).alias("b"))
+    return n.select(F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("a").alias("identities")), F.struct(F.lit(False).alias("first"), F.col("b").alias("identities")))).alias("s")).select("s.*")
 
 
 def mean_distance(near: DataFrame, ks: list[int]) -> DataFrame:
@@ -122,15 +166,69 @@ def mean_distance(near: DataFrame, ks: list[int]) -> DataFrame:
     return near.groupBy("query_id").agg(*(F.avg(F.when(F.col("rank") <= k, F.col("value"))).alias(f"knn_{k}") for k in ks))
 
 
-def auto_learned(df: DataFrame, identity: str, order: list[str], seconds: str, similarity: str, least: float, wait: float, cap: int, id_column: str) -> DataFrame:
-    """Rows that an identity learns from: similar enough, `wait` seconds after the last learned, at most `cap` of them."""
+@dataclass(frozen=True)
+class Learner:
+    """An identity's stored vectors, as it learns from confident matches.
+
+    A candidate is learned if its similarity to the authoritative vectors (to all, where there are none) reaches `least`,
+    `wait` seconds have passed since the last that was learned, and no stored vector is as near as `near`.  Beyond `cap` vectors the
+    oldest that aren't authoritative are pruned, the learned one itself if there is no other.
+    """
+
+    least: float = 0.75
+    wait: float = 60.0
+    near: float = 0.98
+    cap: int = 100
+
+    def fresh(self) -> dict:
+        return {"ids": [], "own": [], "units": None, "last": None}
+
+    def step(self, state: dict, vec_id: int, at: float, v: np.ndarray, authoritative: bool, allowed: bool) -> tuple[dict, tuple[str, float | None, float | None, list[int]]]:
+        """The next state and (outcome, similarity, similarity to the nearest stored vector, pruned ids)."""
+        size = float(np.sqrt(v @ v))
+        unit = v / size if size > 0 else np.zeros(len(v))
+        if authoritative:
+            return self._stored(state, vec_id, unit, True), ("enrolled", None, None, [])
+        if not state["ids"]:
+            return state, ("unknown", None, None, [])
+        sims = state["units"] @ unit
+        own = np.array(state["own"])
+        best, nearest = float(sims[own].max() if own.any() else sims.max()), float(sims.max())
+        if not allowed or best < self.least:
+            return state, ("refused", best, nearest, [])
+        if state["last"] is not None and at - state["last"] < self.wait:
+            return state, ("cooldown", best, nearest, [])
+        if nearest >= self.near:
+            return state, ("duplicate", best, nearest, [])
+        state = self._stored(state, vec_id, unit, False) | {"last": at}
+        state, gone = self._pruned(state)
+        return state, ("learned", best, nearest, gone)
+
+    def _stored(self, state: dict, vec_id: int, unit: np.ndarray, own: bool) -> dict:
+        units = unit[None] if state["units"] is None else np.concatenate([state["units"], unit[None]])
+        return state | {"ids": [*state["ids"], vec_id], "own": [*state["own"], own], "units": units}
+
+    def _pruned(self, state: dict) -> tuple[dict, list[int]]:
+        oldest = [k for k, own in enumerate(state["own"]) if not own][: max(0, len(state["ids"]) - self.cap)]
+        keep = [k for k in range(len(state["ids"])) if k not in oldest]
+        gone = [state["ids"][k] for k in oldest]
+        return state | {"ids": [state["ids"][k] for k in keep], "own": [state["own"][k] for k in keep], "units": state["units"][keep]}, gone
+
+
+def learned(rows: DataFrame, learner: Learner, identity: str = "label", at: str = "at", key: str = "vec_id", vector: str = "v", authoritative: str = "authoritative", allowed: str = "allowed") -> DataFrame:
+    """identity, id, outcome, similarity, nearest, pruned of each row: enrolled, unknown, refused, cooldown, duplicate or learned.
+
+    Rows of an identity are taken in order of time, then id; what is learned counts for those after it.  The state is an
+    identity's authoritative vectors and at most cap others.  An identity is one task's, as each outcome depends on those before
+    it, but its rows are streamed, not gathered.  Rows without identity or vector are left out.
+    """
     from watchplan.operators.windows import fold
 
     def step(state, row):
-        n, last = state
-        if row[-2] >= least and n < cap and (last is None or row[-3] - last >= wait):
-            return (n + 1, row[-3]), [row[0], row[-1]]
-        return state, None
+        _, now, vec_id, v, own, may = row
+        state, (outcome, best, near, gone) = learner.step(state, int(vec_id), float(now), np.asarray(v, np.float64), bool(own), bool(may))
+        return state, [row[0], vec_id, outcome, best, near, gone]
 
-    extra = [c for c in order if c not in (seconds, id_column)]
-    return fold(df, [identity], order, f"{identity} long, {id_column} long", lambda: (0, None), step, [*extra, seconds, similarity, id_column])
+    some = rows.where(F.col(identity).isNotNull() & F.col(vector).isNotNull()).withColumn(authoritative, F.coalesce(authoritative, F.lit(False))).withColumn(allowed, F.coalesce(allowed, F.lit(False)))
+    out = fold(some, [identity], [at, key], f"{identity} long, {key} long, outcome string, similarity double, nearest double, pruned array<long>", learner.fresh, step, [at, key, vector, authoritative, allowed])
+    return out
