@@ -120,10 +120,6 @@ def test_motion_features(spark):
     assert still["mean_speed"] == 0 and still["stationary"] == 1
     assert np.allclose(motion.savgol(np.arange(9.0) ** 2), np.arange(9.0) ** 2)
     assert motion.median_filtered(np.array([1.0, 9, 1, 1, 1]))[1] == 1
-    boxes = [(1, f_, 10 * f_ + k, 30.0 * k + f_, 0.0, 30.0 * k + f_ + 10, 10.0) for f_ in range(3) for k in range(2)]
-    df = spark.createDataFrame(boxes, "cam long, frame long, det long, x1 double, y1 double, x2 double, y2 double")
-    tracks = {r["det"]: r["track"] for r in motion.iou_tracks(df, "cam").collect()}
-    assert tracks == {0: 1, 10: 1, 20: 1, 1: 2, 11: 2, 21: 2}
 
 
 def test_upsert_keeps_last_value_that_is_there(spark):

@@ -10,6 +10,7 @@ from watchplan.operators import calibration as O
 from watchplan.operators import motion as M
 from watchplan.operators import windows as W
 from watchplan.plans import views as V
+from watchplan.streaming import processors
 
 
 def _two(spark, d):
@@ -131,4 +132,4 @@ def _(spark, d):
     i = F.col("event_id")
     boxes = V.table(spark, d, "events").select((F.col("user_id") % 25).alias("camera"), F.floor(i / 40).alias("frame"), i.alias("det"), (F.col("value") % 50).alias("x1"), (F.col("user_id") % 7).cast("double").alias("y1"))
     boxes = boxes.withColumn("x2", F.col("x1") + 20).withColumn("y2", F.col("y1") + 20)
-    return M.iou_tracks(boxes, "camera")
+    return processors.tracks(boxes, processors.Tracker())

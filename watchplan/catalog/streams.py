@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchplan.catalog.registry import query
 from watchplan.operators.windows import weights
 from watchplan.plans import views as V
-from watchplan.streaming import alerts, gates
+from watchplan.streaming import alerts, gates, processors
 
 GATE = gates.Gate(threshold=60.0, sigma=1.0, cooldown=86400.0)
 TUBELETS = gates.Tubelets(length=6, stride=400, stale=600)
@@ -62,7 +62,7 @@ def _(spark, d):
 @query("s06_ttl_dedup", """WITH RECURSIVE h AS (SELECT label, vec_id, vec_id / 10 AS tm, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM vectors),
     r AS (SELECT label, vec_id, n, [{'tm': tm, 'v': v}] AS held, true AS fresh FROM h WHERE n = 1 UNION ALL
           SELECT label, vec_id, n, CASE WHEN fresh THEN list_append(near, {'tm': tm, 'v': v}) ELSE near END, fresh FROM (SELECT *, len(list_filter(near, lambda u: list_cosine_similarity(u.v, v) >= 0.3)) = 0 AS fresh FROM (
-              SELECT h.label, h.vec_id, h.n, h.tm, h.v, list_filter(r.held, lambda u: h.tm - u.tm < 30) AS near FROM r JOIN h ON h.label = r.label AND h.n = r.n + 1)))
+              SELECT h.label, h.vec_id, h.n, h.tm, h.v, list_filter(r.held, lambda u: h.tm - u.tm <= 30) AS near FROM r JOIN h ON h.label = r.label AND h.n = r.n + 1)))
     SELECT label, vec_id FROM r WHERE fresh""")
 def _(spark, d):
     v = V.vectors(spark, d).select("label", (F.col("vec_id") / 10).alias("at"), "v", "vec_id")
@@ -90,6 +90,33 @@ def _(spark, d):
     return a.select("camera_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "rule_id")
 
 
+#: Rules by camera from the nations, and, later, for all cameras from the regions; the second of them changes the first nations' rules.
+_RULES = """SELECT CAST(n_nationkey AS BIGINT) AS camera_id, 1704067200.0 + n_nationkey * 40000 AS tm, CAST(n_regionkey AS BIGINT) AS rule_id, CAST(CASE WHEN n_nationkey % 6 <> 5 THEN 1 + n_nationkey % 3 END AS BIGINT) AS threshold, CAST(21600 + 3600 * (n_nationkey % 4) AS DOUBLE) AS seconds FROM nation
+    UNION ALL SELECT NULL, 1704067200.0 + 900000 + r_regionkey * 50000, CAST(r_regionkey AS BIGINT), CAST(2 + r_regionkey % 2 AS BIGINT), CAST(28800 AS DOUBLE) FROM region"""
+
+
+@query("s11b_alerts_that_remember", f"""WITH RECURSIVE given AS ({_RULES}),
+    rules AS (SELECT camera_id, tm, rule_id, threshold, seconds FROM given WHERE camera_id IS NOT NULL UNION ALL SELECT c.id, tm, rule_id, threshold, seconds FROM given, cameras c WHERE camera_id IS NULL),
+    versions AS (SELECT *, coalesce(lead(tm) OVER (PARTITION BY camera_id, rule_id ORDER BY tm), 1e18) AS till FROM rules),
+    e AS (SELECT user_id % 25 AS camera_id, epoch_us(ts) / 1e6 AS tm, event_id, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS k FROM events),
+    c AS (SELECT e.camera_id, v.rule_id, e.tm, e.k, e.k - (SELECT count(*) FROM e x WHERE x.camera_id = e.camera_id AND e.tm - x.tm >= v.seconds) AS n, v.threshold
+          FROM e JOIN versions v ON v.camera_id = e.camera_id AND e.tm >= v.tm AND e.tm < v.till),
+    h AS (SELECT *, row_number() OVER (PARTITION BY camera_id, rule_id ORDER BY k) AS i FROM c WHERE n > threshold),
+    r AS (SELECT camera_id, rule_id, i, tm AS last, tm, n, threshold, true AS sends FROM h WHERE i = 1 UNION ALL
+          SELECT h.camera_id, h.rule_id, h.i, CASE WHEN h.tm - r.last >= 43200 THEN h.tm ELSE r.last END, h.tm, h.n, h.threshold, h.tm - r.last >= 43200 FROM r JOIN h ON h.camera_id = r.camera_id AND h.rule_id = r.rule_id AND h.i = r.i + 1)
+    SELECT camera_id, rule_id, round(tm, 3) AS tm, CAST(n AS BIGINT) AS n, threshold FROM r WHERE sends""")
+def _(spark, d):
+    nation, region = V.table(spark, d, "nation"), V.table(spark, d, "region")
+    key = F.col("n_nationkey")
+    own = nation.select(key.cast("long").alias("camera_id"), (1704067200.0 + key * 40000).alias("at"), F.col("n_regionkey").cast("long").alias("rule_id"), F.when(key % 6 != 5, 1 + key % 3).cast("long").alias("threshold"), (21600 + 3600 * (key % 4)).cast("double").alias("seconds"))
+    key = F.col("r_regionkey")
+    every = region.select(F.lit(None).cast("long").alias("camera_id"), (1704067200.0 + 900000 + key * 50000).alias("at"), key.cast("long").alias("rule_id"), (2 + key % 2).cast("long").alias("threshold"), F.lit(28800.0).alias("seconds"))
+    events = V.table(spark, d, "events").select((F.col("user_id") % 25).alias("camera_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    rows = processors.changes_and_events(events, own.unionByName(every), V.cameras(spark, d).select(F.col("id").alias("camera_id")))
+    out = processors.alerts(rows, processors.Frequency(quiet=43200.0, longest=86400.0))
+    return out.select("camera_id", "rule_id", F.round("at", 3).alias("tm"), "n", "threshold")
+
+
 @query("s13_heartbeat", "SELECT user_id || '/' || event_type AS track, count(*) AS samples, round((count(*) - 1) / nullif(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 0), 12) AS fps FROM scores GROUP BY 1")
 def _(spark, d):
     return gates.heartbeat(samples(spark, d), "track").select("track", "samples", F.round("fps", 12).alias("fps"))

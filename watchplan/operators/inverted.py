@@ -129,7 +129,7 @@ def _probed(queries: DataFrame, index: Index, probes: int, bound: str | None = N
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or np.isneginf(radius).all():  # nothing to search
                 continue
             at = _located(_matrix(pdf["v"]), metric)
             far = np.concatenate([costs(at, centres, "euclidean")[1], np.full((len(at), 1), np.inf)], 1)

@@ -240,33 +240,3 @@ def jitter(df: DataFrame, by: list[str], w: WindowSpec) -> DataFrame:
     p95 = lambda c: F.coalesce(F.percentile(c, 0.95), F.lit(0.0))
     spread = lambda c: F.stddev_pop(c) / F.greatest(F.avg(c), F.lit(1e-6))
     return rows.groupBy(*by).agg(p95("_raw").alias("centre_raw"), p95("_smooth").alias("centre_smooth"), p95("_size").alias("size_change"), spread("bw").alias("width_cv"), spread("bh").alias("height_cv"))
-
-
-def iou_tracks(df: DataFrame, by: str, least: float = 0.3, most_missed: int = 5) -> DataFrame:
-    """Tracks of detections (by, frame, det, x1, y1, x2, y2): greedily the box with the greatest IoU, in order of tracks.
-
-    A fold per camera: the open tracks alone are held.
-    """
-    from watchplan.operators.windows import fold
-
-    def step(state, row):
-        frame, tracks, used, following = state
-        _, f, det, *box = row
-        if f != frame:
-            tracks = {k: (b, m + (k not in used)) for k, (b, m) in tracks.items() if m + (k not in used) <= most_missed}
-            used, frame = set(), f
-        best, at = least, None
-        for k in sorted(tracks):
-            if k in used:
-                continue
-            b = tracks[k][0]
-            w, h = max(0.0, min(b[2], box[2]) - max(b[0], box[0])), max(0.0, min(b[3], box[3]) - max(b[1], box[1]))
-            area = (b[2] - b[0]) * (b[3] - b[1]) + (box[2] - box[0]) * (box[3] - box[1]) - w * h
-            if area > 0 and w * h / area > best:
-                best, at = w * h / area, k
-        if at is None:
-            at, following = following, following + 1
-        tracks = tracks | {at: (box, 0)}
-        return (frame, tracks, used | {at}, following), [row[0], f, det, at]
-
-    return fold(df, [by], ["frame", "det"], f"{by} long, frame long, det long, track long", lambda: (None, {}, set(), 1), step, ["frame", "det", "x1", "y1", "x2", "y2"])

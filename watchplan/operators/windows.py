@@ -110,29 +110,41 @@ def repaired(value: str, w: WindowSpec) -> Column:
     return F.coalesce(back, ahead, F.lit(0.0))
 
 
-def fold(df: DataFrame, by: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, list | None]], columns: list[str]) -> DataFrame:
-    """A sequential fold over each track: step(state, row) gives the next state and an output row or None.
+def fold_many(df: DataFrame, by: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, list]], finish: Callable[[object], list], columns: list[str]) -> DataFrame:
+    """A sequential fold over each track: step(state, row) gives the next state and output rows, finish(state) those of the track's end.
 
     Tracks are dealt by key and streamed in order, whatever their length; the state alone is held.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split()[0] for c in schema.split(",")]
+        names = [c.strip().split()[0] for c in schema.split(", ")]
         key, state = None, None
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False, name=None):
                 own = row[: len(by)]
                 if own != key:
+                    out += finish(state) if key is not None else []
                     key, state = own, start()
                 state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
+                out += made
             yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame(finish(state), columns=names)
 
     return df.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
+def fold(df: DataFrame, by: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, list | None]], columns: list[str]) -> DataFrame:
+    """fold_many where a row gives one output row or None, and a track's end none."""
+
+    def one(state: object, row: tuple) -> tuple[object, list]:
+        state, made = step(state, row)
+        return state, [] if made is None else [made]
+
+    return fold_many(df, by, order, schema, start, one, lambda state: [], columns)
+
+
 def cooldown(df: DataFrame, by: list[str], order: list[str], seconds: str, gap: float, id_column: str, key_types: str) -> DataFrame:
     """Rows that emit an event: those at least `gap` seconds after the track's last emitted one."""
 

@@ -171,14 +171,14 @@ def scheduled(frame: Column, motion: Column, tracks: Column, quiet_every: int) -
 
 @dataclass(frozen=True)
 class Recent:
-    """Similarity dedup: a vector like one of the last `most` within ttl seconds is dropped, and a hit doesn't renew the time."""
+    """Similarity dedup: a vector like one of the last `most`, at most ttl seconds old, is dropped, and a hit doesn't renew the time."""
 
     ttl: float = 3.0
     least: float = 0.72
     most: int = 50
 
     def step(self, held: list, at: float, v: list[float]) -> tuple[list, bool]:
-        held = [(t, u) for t, u in held if at - t < self.ttl]
+        held = [(t, u) for t, u in held if at - t <= self.ttl]
         size = lambda x: math.sqrt(sum(i * i for i in x))
         like = lambda u: sum(a * b for a, b in zip(u, v, strict=True)) / (size(u) * size(v)) if size(u) and size(v) else 0.0
         if any(like(u) >= self.least for _, u in held):
