@@ -81,15 +81,24 @@ def _(spark, d):
 _H = [[0.8, 0.05, 1.0], [-0.1, 0.6, 2.0], [0.001, 0.002, 1.0]]
 
 
-@query("m09_homography_ransac", "SELECT 40 AS pairs, 34 AS inliers, true AS same, true AS worst_outside FROM region LIMIT 1")
+@query("m09_homography_ransac", """WITH p AS (SELECT o_custkey AS customer, o_orderkey, (o_orderkey * 7919 % 1009) / 100 AS x, (o_orderkey * 15485863 % 997) / 100 AS y, o_orderkey % 9 = 4 AS moved FROM orders),
+    q AS (SELECT *, 0.001 * x + 0.002 * y + 1 AS w FROM p), g AS (SELECT customer, count(*) AS pairs, count(*) FILTER (WHERE NOT moved) AS inliers, max(CASE WHEN moved THEN 3.0 + o_orderkey % 11 ELSE 0 END) AS worst,
+        avg((0.8 * x + 0.05 * y + 1.0) / w) AS mean_u, avg((-0.1 * x + 0.6 * y + 2.0) / w) AS mean_v FROM q GROUP BY 1)
+    SELECT customer, pairs, inliers, round(worst, 5) AS worst, round(mean_u, 5) AS mean_u, round(mean_v, 5) AS mean_v FROM g WHERE pairs >= 9 AND inliers >= 8""")
 def _(spark, d):
-    """Points of a known homography, every seventh of them misplaced; the fit finds the homography and tells those apart."""
-    rows = spark.range(40).select("id", (F.col("id") % 8 * 1.25).alias("x"), (F.floor(F.col("id") / 8) * 1.5 + F.col("id") % 3 * 0.1).alias("y"))
+    """A homography for each customer from its orders as point pairs, some of them misplaced by 3 and more: it is found, and tells those apart.
+
+    mean_u, mean_v: the mean of the pairs' points under the homography that was found, which the twin takes from the true one.
+    """
+    o, key = V.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(F.col("o_custkey").alias("customer"), key.alias("n"), (key * 7919 % 1009 / 100).alias("x"), (key * 15485863 % 997 / 100).alias("y"))
     u, v = G.projected(_H, F.col("x"), F.col("y"))
-    points = rows.select("x", "y", (u + F.when(F.col("id") % 7 == 3, 3.0).otherwise(0.0)).alias("u"), v.alias("v")).orderBy("id").collect()  # a handful
-    h, off = G.homography([(r["x"], r["y"]) for r in points], [(r["u"], r["v"]) for r in points], ransac=0.05)
-    same = all(abs(a - b) < 1e-6 for ra, rb in zip(h, _H, strict=True) for a, b in zip(ra, rb, strict=True))
-    return spark.createDataFrame([(len(points), off["inliers"], same, off["max"] > 2.9)], "pairs int, inliers int, same boolean, worst_outside boolean")
+    pairs = rows.withColumns({"u": u + F.when(F.col("n") % 9 == 4, 3.0 + F.col("n") % 11).otherwise(0.0), "v": v})
+    found = O.homographies(pairs, "customer", ("x", "y"), ("u", "v"), 0.05, "n", least=9).where("inliers >= 8")
+    h = F.col("h")
+    w = h[6] * F.col("x") + h[7] * F.col("y") + h[8]
+    back = rows.join(found, "customer").groupBy("customer", "pairs", "inliers", "max").agg(F.avg((h[0] * F.col("x") + h[1] * F.col("y") + h[2]) / w).alias("mean_u"), F.avg((h[3] * F.col("x") + h[4] * F.col("y") + h[5]) / w).alias("mean_v"))
+    return back.select("customer", "pairs", "inliers", F.round("max", 5).alias("worst"), F.round("mean_u", 5).alias("mean_u"), F.round("mean_v", 5).alias("mean_v"))
 
 
 def _windows(spark, d, values: list[str], rows):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from watchplan.catalog.registry import query
 from watchplan.operators import aggregates as A
 from watchplan.plans import investigation as I
-from watchplan.plans import rules as R
 from watchplan.plans import views as V
 
 _SEEN = "SELECT l.id, l.ts, coalesce(p.employee_name, p.visitor_name, p.name) AS person, coalesce(c.name, 'Camera ' || l.camera_id) AS camera, p.id AS person_id, l.detected_id, l.camera_id, l.quality, l.processing_ms, concat_ws('~', p.employee_name, p.visitor_name, p.name) AS said FROM logs l LEFT JOIN people p ON l.detected_id = p.id LEFT JOIN cameras c ON l.camera_id = c.id"
@@ -51,9 +50,9 @@ _CASES: dict[str, tuple[dict, str | None]] = {
     "vad_stream_sessions": ({"camera_id": 2}, "SELECT camera_id, CAST(ts AS DATE) AS day, min(ts) AS started, max(ts) AS ended, count(*) AS frames FROM logs WHERE camera_id = 2 GROUP BY 1, 2 ORDER BY started DESC LIMIT 50"),
     "cameras": ({}, "SELECT id, name, site FROM cameras ORDER BY id LIMIT 100"),
     "edge_devices": ({}, "SELECT s_suppkey AS id, s_name AS name, s_acctbal > 0 AS online FROM supplier ORDER BY 1 LIMIT 100"),
-    "anomaly_rules": ({"place": "lobby"}, f"SELECT id, rule_type, event, place, text FROM ({R.SQL}) WHERE contains(lower(place), 'lobby')"),
-    "reasoning_rules": ({"gate": "pose"}, f"SELECT id, gates, min_ratio, max_ratio, needs_evidence FROM ({R.SQL}) WHERE list_contains(string_split(gates, ','), 'pose')"),
-    "rule_conflicts": ({}, f"""WITH rules AS ({R.SQL}) SELECT a.id AS a, b.id AS b FROM rules a JOIN rules b ON a.id < b.id AND (a.rule_type <> b.rule_type OR a.rule_type = 'other' OR b.rule_type = 'other') AND (a.event = b.event OR a.event = 'other' OR b.event = 'other')
+    "anomaly_rules": ({"place": "brand#1"}, "SELECT id, rule_type, event, place, text FROM rules WHERE contains(lower(place), 'brand#1') ORDER BY id LIMIT 50"),
+    "reasoning_rules": ({"gate": "pose"}, "SELECT id, gates, min_ratio, max_ratio, needs_evidence FROM rules WHERE list_contains(string_split(gates, ','), 'pose') ORDER BY id LIMIT 50"),
+    "rule_conflicts": ({}, """SELECT a.id AS a, b.id AS b FROM rules a JOIN rules b ON a.id < b.id AND (a.rule_type <> b.rule_type OR a.rule_type = 'other' OR b.rule_type = 'other') AND (a.event = b.event OR a.event = 'other' OR b.event = 'other')
         AND (lower(trim(a.place)) = lower(trim(b.place)) OR lower(trim(a.place)) = 'all' OR lower(trim(b.place)) = 'all') ORDER BY 1, 2 LIMIT 50"""),
     "schedules": ({}, "SELECT detected_id, min(hour(ts))::INT AS from_hour, max(hour(ts))::INT AS to_hour FROM logs WHERE detected_id IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 50"),
     "audit_logs": ({"action": "signup", "limit": 40}, "SELECT id, ts, upper(event_type) AS action FROM logs WHERE event_type = 'signup' ORDER BY ts DESC, id DESC LIMIT 40"),

@@ -95,16 +95,16 @@ def _(spark, d):
     return r.join(a, r["case_id"] == a["id"], "left").select("case_id", "seq", "supp", "part", "status")
 
 
-@query("j14_rule_conflicts", f"""WITH rules AS ({R.SQL}) SELECT a.id AS a, b.id AS b FROM rules a JOIN rules b ON a.id < b.id
+@query("j14_rule_conflicts", """SELECT a.id AS a, b.id AS b FROM rules a JOIN rules b ON a.id < b.id
     AND (a.rule_type <> b.rule_type OR a.rule_type = 'other' OR b.rule_type = 'other') AND (a.event = b.event OR a.event = 'other' OR b.event = 'other')
     AND (lower(trim(a.place)) = lower(trim(b.place)) OR lower(trim(a.place)) = 'all' OR lower(trim(b.place)) = 'all')""")
 def _(spark, d):
-    return O.conflicting_rules(R.rules(spark))
+    return O.conflicting_rules(V.rules(spark, d))
 
 
-@query("j15_rule_duplicates", f"WITH rules AS ({R.SQL}), n AS (SELECT id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t, lower(rule_type) AS y, event, lower(place) AS p FROM rules) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND a.t = b.t AND a.y = b.y AND a.event = b.event AND a.p = b.p")
+@query("j15_rule_duplicates", "WITH n AS (SELECT id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t, lower(rule_type) AS y, event, lower(place) AS p FROM rules) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND a.t = b.t AND a.y = b.y AND a.event = b.event AND a.p = b.p")
 def _(spark, d):
-    return O.duplicate_rules(R.rules(spark))
+    return O.duplicate_rules(V.rules(spark, d))
 
 
 #: What is seen of a result, by the part number: seen events, and evidence.

@@ -27,14 +27,18 @@ def _(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", F.array_sort(T.keywords(F.col("text"))).alias("words"))
 
 
-@query("sc05_word_set", "SELECT item_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]\"'']+|[.,;:!?()\\[\\]\"'']+$', '', 'g')), lambda w: w <> ''))) AS words FROM benchmark")
+@query("sc05_word_set", "SELECT item_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]{}\"'']+|[.,;:!?()\\[\\]{}\"'']+$', '', 'g')), lambda w: w <> ''))) AS words FROM benchmark")
 def _(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", F.array_sort(T.word_set(F.col("text"))).alias("words"))
 
 
-@query("sc06_frame_index", "SELECT page_id, CASE WHEN regexp_extract(url, '([0-9]+)[^0-9]*$', 1) = '' THEN 1000000000 ELSE CAST(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) AS BIGINT) END AS idx FROM pages")
+_FRAME_KEY = "CASE page_id % 5 WHEN 0 THEN url || '/frames/frame_' || page_id || '.jpg' WHEN 1 THEN 'Frames/FRAME_0' || page_id || '.WebP' WHEN 2 THEN url || '/tubelet_montage_' || page_id || '.jpg' WHEN 3 THEN 'frames/frame_' || page_id || '.mp4' ELSE url END"
+
+
+@query("sc06_frame_index", f"""WITH k AS (SELECT page_id, {_FRAME_KEY} AS key FROM pages), p AS (SELECT page_id, string_split(lower(key), '/') AS parts FROM k),
+    n AS (SELECT page_id, parts[-1] AS name, parts[-2] AS folder FROM p) SELECT page_id, CASE WHEN folder = 'frames' AND regexp_full_match(name, 'frame_[0-9]+[.](jpg|jpeg|png|webp)') THEN CAST(string_split(substr(name, 7), '.')[1] AS BIGINT) ELSE 1000000000 END AS idx FROM n""")
 def _(spark, d):
-    return V.table(spark, d, "pages").select("page_id", T.frame_index(F.col("url")).alias("idx"))
+    return V.table(spark, d, "pages").select("page_id", T.frame_index(F.expr(_FRAME_KEY)).alias("idx"))
 
 
 @query("sc08_object_reference", "SELECT page_id, split_part(substr(r, 6), '/', 1) AS bucket, substr(r, 7 + length(split_part(substr(r, 6), '/', 1))) AS key FROM (SELECT page_id, 's3://evidence-' || page_id % 3 || '/faces/' || page_id || '.jpg' AS r FROM pages)")
@@ -54,9 +58,17 @@ def _(spark, d):
     return V.cases(spark, d).select("id", F.format_string("session:%d:pose:track:%d:%d-%d", "camera_id", "track_id", "id", F.col("id") + 7).alias("key"))
 
 
-@query("sc12_label_from_path", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 0 WHEN starts_with(url, 'https://') THEN 1 END AS label FROM pages")
+#: Ids and paths of videos, with the words in places that count and in places that don't.
+_VIDEO = "CASE page_id % 7 WHEN 0 THEN ' Anomaly__' || page_id WHEN 1 THEN 'normal__' || page_id ELSE 'clip_' || page_id END"
+_PATH = "CASE page_id % 6 WHEN 0 THEN '/data/anomaly_dataset/dataset/normal/' || page_id WHEN 1 THEN 'D:\\\\Dataset\\\\Anomaly\\\\' || page_id WHEN 2 THEN '/normal/' || page_id WHEN 3 THEN url || '/anomalous_' || page_id WHEN 4 THEN '/x/Normals/' || page_id ELSE url END"
+
+
+@query("sc12_label_from_path", f"""WITH x AS (SELECT page_id, lower(trim({_VIDEO})) AS v, lower(replace({_PATH.replace(chr(92) * 2, chr(92))}, chr(92), '/')) AS p FROM pages), s AS (SELECT *, string_split(p, '/') AS parts FROM x)
+    SELECT page_id, CASE WHEN v LIKE 'anomaly!_!_%' ESCAPE '!' THEN 1 WHEN v LIKE 'normal!_!_%' ESCAPE '!' THEN 0 WHEN p LIKE '%/dataset/anomaly/%' THEN 1 WHEN p LIKE '%/dataset/normal/%' THEN 0 END AS label,
+    CASE WHEN list_has_any(parts, ['anomaly', 'anomalous']) THEN 1 WHEN list_contains(parts, 'normal') THEN 0 WHEN p LIKE '%anomaly%' OR p LIKE '%anomalous%' THEN 1 WHEN p LIKE '%normal%' THEN 0 END AS loose FROM s""")
 def _(spark, d):
-    return V.table(spark, d, "pages").select("page_id", F.when(F.col("url").contains("/en/"), 0).when(F.col("url").startswith("https://"), 1).alias("label"))
+    rows = V.table(spark, d, "pages").select("page_id", F.expr(_VIDEO).alias("v"), F.expr(_PATH).alias("p"))
+    return rows.select("page_id", T.label_of(F.col("v"), F.col("p")).alias("label"), T.loose_label_of(F.col("p")).alias("loose"))
 
 
 @query("sc13_lenient_json", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"k\": ' || event_id || '}' END AS json FROM events")
@@ -92,9 +104,12 @@ def _(spark, d):
     return V.table(spark, d, "events").select("event_id", D.duration_ms(said).alias("ms"))
 
 
-@query("d08_relative_dates", "SELECT * FROM (VALUES ('today', DATE '2024-01-31'), ('Yesterday', DATE '2024-01-30'), ('2024-01-05', DATE '2024-01-05'), ('soon', DATE '2024-01-31')) AS t(said, day)")
+_SAID_DAY = "CASE o_orderkey % 5 WHEN 0 THEN 'today' WHEN 1 THEN 'Yesterday' WHEN 2 THEN o_orderpriority WHEN 3 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) ELSE NULL END"
+
+
+@query("d08_relative_dates", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN DATE '2024-01-30' WHEN 3 THEN CAST(o_orderdate AS DATE) ELSE DATE '2024-01-31' END AS day FROM orders")
 def _(spark, d):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, ("today", "Yesterday", "2024-01-05", "soon")))).alias("said")).withColumn("day", D.relative_date(F.col("said"), "2024-01-31"))
+    return V.table(spark, d, "orders").select("o_orderkey", D.relative_date(F.expr(_SAID_DAY), "2024-01-31").alias("day"))
 
 
 @query("d10_frame_seconds", "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_id / CAST(event_id % 4 AS DOUBLE) END AS sec FROM events")
@@ -203,13 +218,16 @@ def _(spark, d):
     return rows.select(get("$.case.id").cast("long").alias("id"), get("$.gate").alias("gate"), get("$.case.status").alias("status"), get("$.result.seq").cast("long").alias("seq"), get("$.result.decision").alias("decision"))
 
 
+#: Questions about a part: commands, and questions of past changes.
 _QUESTIONS = (
-    "delete employee 5", "who was deleted yesterday", "show all logs", "add a new camera", "when was the rule added", "insert into employees values 1", "drop the anomaly_rules table", "when was Ahmed first inserted?",
-    "how many times was Lina logged in?", "set threshold to 5", "Remove the schedule", "update rule 3", "what did we set", "add a rule", "delete the row that was added", "grant access to me", "clear everything", "create a table of visits",
+    "delete {x}", "who deleted {x} yesterday", "show all logs of {x}", "add a new camera for {x}", "when was the rule of {x} added", "insert into employees values {x}", "drop the {x} table", "when was {x} first inserted?",
+    "how many times was {x} logged in?", "set {x} to 5", "Remove the schedule of {x}", "UPDATE {x}", "what did we set for {x}", "add {x}", "delete the {x} that was added", "grant {x} to me", "clear everything of {x}", "create a table of {x}",
 )
 
 
-@query("r12_write_intent", f"""WITH q AS (SELECT unnest({list(_QUESTIONS)!r}) AS question)
-    SELECT question, NOT regexp_matches(question, '{T.PAST_PATTERN}', 'i') AND ({" OR ".join(f"regexp_matches(question, '{p}', 'i')" for p in T.WRITE_PATTERNS)}) AS writes FROM q""")
+@query("r12_write_intent", f"""WITH q AS (SELECT p_partkey, replace(({list(_QUESTIONS)!r})[p_partkey % {len(_QUESTIONS)} + 1], '{{x}}', p_name) AS question FROM part)
+    SELECT p_partkey, question, NOT regexp_matches(question, '{T.PAST_PATTERN}', 'i') AND ({" OR ".join(f"regexp_matches(question, '{p}', 'i')" for p in T.WRITE_PATTERNS)}) AS writes FROM q""")
 def _(spark, d):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _QUESTIONS))).alias("question")).withColumn("writes", T.write_intent(F.col("question")))
+    part = V.table(spark, d, "part")
+    question = F.replace(F.element_at(F.array(*map(F.lit, _QUESTIONS)), (F.col("p_partkey") % len(_QUESTIONS) + 1).cast("int")), F.lit("{x}"), F.col("p_name"))
+    return part.select("p_partkey", question.alias("question")).withColumn("writes", T.write_intent(F.col("question")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
 from watchplan.functions import text as T
 from watchplan.operators import mutations as O
-from watchplan.plans import rules as R
 from watchplan.plans import views as V
 
 
@@ -89,11 +90,13 @@ def _(spark, d):
     return O.heartbeats(e.withColumn("camera_id", F.col("user_id") % 25), ["camera_id"], ["ts", "event_id"], "fields").select("camera_id", "name", "value")
 
 
-@query("snk12_rules", f"""WITH rules AS ({R.SQL}), c AS (SELECT * FROM (VALUES (2, 'deactivate', 1), (2, 'reactivate', 4), (3, 'deactivate', 2), (5, 'delete', 3), (7, 'deactivate', 1), (99, 'delete', 1)) AS c(id, op, tm)),
+@query("snk12_rules", """WITH c AS (SELECT id, 'deactivate' AS op, 1 AS tm FROM rules WHERE id % 4 = 0 UNION ALL SELECT id, 'reactivate', 4 FROM rules WHERE id % 8 = 0 UNION ALL SELECT id, 'delete', 2 + id % 3 FROM rules WHERE id % 9 = 0 UNION ALL SELECT id + 1000000000, 'delete', 1 FROM rules WHERE id % 5 = 0),
     l AS (SELECT id, arg_max(op, tm) AS op, bool_or(op = 'delete') AS gone FROM c GROUP BY 1), k AS (SELECT r.id, r.text, coalesce(l.op <> 'deactivate', true) AS active FROM rules r LEFT JOIN l ON l.id = r.id WHERE NOT coalesce(l.gone, false))
-    SELECT * FROM k UNION ALL SELECT (SELECT max(id) FROM rules) + n, text, true FROM (VALUES (1, 'No parking at the gate'), (2, 'Nobody on the roof')) AS a(n, text)""")
+    SELECT * FROM k UNION ALL SELECT (SELECT max(id) FROM rules) + row_number() OVER (ORDER BY s_suppkey), s_name, true FROM supplier""")
 def _(spark, d):
-    rules = R.rules(spark).select("id", "text", F.lit(True).alias("active"))
-    changes = spark.sql("SELECT * FROM VALUES (2L, 'deactivate', 1), (2L, 'reactivate', 4), (3L, 'deactivate', 2), (5L, 'delete', 3), (7L, 'deactivate', 1), (99L, 'delete', 1) AS c(id, op, at)")
-    new = spark.sql("SELECT * FROM VALUES (1, 'No parking at the gate'), (2, 'Nobody on the roof') AS a(n, text)").withColumn("active", F.lit(True))
+    base = V.rules(spark, d)
+    rules, k = base.select("id", "text", F.lit(True).alias("active")), F.col("id")
+    said = [(k % 4 == 0, k, "deactivate", F.lit(1)), (k % 8 == 0, k, "reactivate", F.lit(4)), (k % 9 == 0, k, "delete", 2 + k % 3), (k % 5 == 0, k + 1_000_000_000, "delete", F.lit(1))]
+    changes = reduce(lambda a, b: a.unionByName(b), (base.where(where).select(i.alias("id"), F.lit(op).alias("op"), at.cast("int").alias("at")) for where, i, op, at in said))
+    new = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("n"), F.col("s_name").alias("text"), F.lit(True).alias("active"))
     return O.rules_changed(rules, changes).unionByName(O.inserted(rules, new, "id", "n").select("id", "text", "active"))

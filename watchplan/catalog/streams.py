@@ -19,7 +19,7 @@ def samples(spark, d):
     return e.select(F.concat_ws("/", "user_id", "event_type").alias("track"), F.col("event_id").alias("seq"), "at", "score")
 
 
-def _gate_sql(cooldown: float, out: str) -> str:
+def gate_sql(cooldown: float, out: str) -> str:
     """Smoothing and persistence as windows; only what emits goes from one edge to the next."""
     lag = lambda k: f"lag(score, {k}) OVER w" if k else "score"
     x = weights(1.0, 3)
@@ -43,13 +43,13 @@ def _(spark, d):
     return gates.tubelets(samples(spark, d), TUBELETS)
 
 
-@query("s02_gate_state", _gate_sql(5.0, "SELECT * FROM g"))
+@query("s02_gate_state", gate_sql(5.0, "SELECT * FROM g"))
 def _(spark, d):
     out = gates.batch(samples(spark, d), gates.Gate(threshold=60.0, sigma=1.0))
     return out.withColumn("smooth", F.round("smooth", 7))
 
 
-@query("s03_emitted_events", _gate_sql(86400.0, "SELECT track, seq FROM g WHERE emits"))
+@query("s03_emitted_events", gate_sql(86400.0, "SELECT track, seq FROM g WHERE emits"))
 def _(spark, d):
     return gates.batch(samples(spark, d), GATE).where("emits").select("track", "seq")
 

@@ -59,6 +59,24 @@ def _off(h: np.ndarray, image: np.ndarray, world: np.ndarray) -> np.ndarray:
     return np.where(good, np.hypot(*(p[:, :2] / np.where(good, p[:, 2], 1.0)[:, None] - world).T), np.inf)
 
 
+def _solved_all(image: np.ndarray, world: np.ndarray) -> np.ndarray:
+    """_solved for many sets of pairs, (n, pairs, 2)."""
+    (x, y), (u, v), one = np.moveaxis(image, -1, 0), np.moveaxis(world, -1, 0), np.ones(image.shape[:2])
+    zero = 0 * one
+    rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)], 1)
+    h = np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
+    last = h[:, 2:, 2:]
+    return h / np.where(np.abs(last) > 1e-12, last, 1.0)
+
+
+def _off_all(h: np.ndarray, image: np.ndarray, world: np.ndarray) -> np.ndarray:
+    """_off for many homographies, (n, pairs)."""
+    p = np.c_[image, np.ones(len(image))] @ h.transpose(0, 2, 1)
+    good = np.abs(p[..., 2]) > 1e-12
+    d = p[..., :2] / np.where(good, p[..., 2], 1.0)[..., None] - world
+    return np.where(good, np.hypot(d[..., 0], d[..., 1]), np.inf)
+
+
 def homography(image: list[tuple[float, float]], world: list[tuple[float, float]], ransac: float | None = None, tries: int = 500, seed: int = 0) -> tuple[list[list[float]], dict[str, float]]:
     """The homography of at least four point pairs (a handful, so on the driver) and its residuals over all pairs.
 
@@ -70,13 +88,11 @@ def homography(image: list[tuple[float, float]], world: list[tuple[float, float]
     a, b = np.array(image, float), np.array(world, float)
     inside = np.ones(len(a), bool)
     if ransac is not None:
-        rng, best = np.random.default_rng(seed), -1
-        for _ in range(tries):
-            four = rng.choice(len(a), 4, replace=False)
-            near = _off(_solved(a[four], b[four]), a, b) <= ransac
-            if near.sum() > best:
-                best, inside = int(near.sum()), near
-        if best < 4:
+        rng = np.random.default_rng(seed)
+        four = rng.random((tries, len(a))).argsort(1)[:, :4]  # four pairs for each try, all tries at once
+        near = _off_all(_solved_all(a[four], b[four]), a, b) <= ransac
+        inside = near[near.sum(1).argmax()]
+        if inside.sum() < 4:
             raise ValueError("no four pairs agree")
     h = _solved(a[inside], b[inside])
     off = _off(h, a, b)

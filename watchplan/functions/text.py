@@ -37,6 +37,14 @@ VISUAL_WORDS = [
     "door", "window", "gate", "cabinet", "equipment", "machine", "panel", "object", "chair",
     "knife", "gun", "weapon", "fire", "smoke", "flame", "blocked", "covered", "camera",
 ]
+#: Words of scores, and words of concrete things that make a sentence evidence all the same.
+SCORE_WORDS = ["score", "threshold", "ratio", "percentile", "embedding", "distance", "gmm", "knn", "statistical", "statistically", "deviation"]
+CONCRETE_WORDS = [
+    "hand", "hands", "arm", "arms", "leg", "legs", "head", "torso",
+    "floor", "knees", "body", "contact", "push", "shove", "grapple",
+    "fight", "hit", "pull", "hold", "restrain", "collapse", "fall",
+    "stumble", "lean", "chair", "table", "equipment", "door", "object",
+]
 
 
 def squeezed(c: Column) -> Column:
@@ -50,15 +58,38 @@ def keywords(c: Column, stop: list[str] = STOPWORDS) -> Column:
 
 
 def word_set(c: Column) -> Column:
-    """Words at white space, punctuation stripped from their ends, empty ones left out."""
-    words = F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?()\[\]\"']+|[.,;:!?()\[\]\"']+$", ""))
+    """Words at white space, punctuation and brackets stripped from their ends, empty ones left out."""
+    words = F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?()\[\]{}\"']+|[.,;:!?()\[\]{}\"']+$", ""))
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
 def frame_index(c: Column) -> Column:
-    """The number behind 'frame' or before the extension; 10**9 where there is none, so that such keys sort last."""
-    n = F.regexp_extract(c, r"(\d+)(?=\D*$)", 1)
-    return F.when(n == "", F.lit(10**9)).otherwise(F.try_to_number(n, F.lit("999999999999")).cast("long"))
+    """N of a key that ends in frames/frame_N and an image's extension; 10**9 for any other, so that such keys sort last."""
+    n = F.regexp_extract(F.lower(c), r"(?:^|/)frames/frame_([0-9]+)\.(?:jpg|jpeg|png|webp)$", 1)
+    return F.when(n == "", F.lit(10**9)).otherwise(n.try_cast("long"))
+
+
+def score_only(c: Column) -> Column:
+    """Whether a sentence speaks of scores and names no concrete thing to be seen; by whole words."""
+    has = lambda words: F.lower(F.trim(c)).rlike(r"\b(" + "|".join(words) + r")\b")
+    return F.coalesce(has(SCORE_WORDS) & ~has(CONCRETE_WORDS), F.lit(False))
+
+
+def label_of(video: Column, path: Column) -> Column:
+    """1 for an anomaly, 0 for normal: by the id's prefix, else by the path's folder below dataset; null where neither says so.
+
+    The word anywhere in a path says nothing: folders above may have it in their names.
+    """
+    v, p = F.lower(F.trim(F.coalesce(video, F.lit("")))), F.lower(F.trim(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))))
+    return F.when(v.startswith("anomaly__"), 1).when(v.startswith("normal__"), 0).when(p.contains("/dataset/anomaly/"), 1).when(p.contains("/dataset/normal/"), 0)
+
+
+def loose_label_of(c: Column) -> Column:
+    """As label_of, by any whole part of a path, then by the word anywhere in it; anomaly before normal each time."""
+    s = F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    parts = F.split(s, "/")
+    whole = lambda w: F.array_contains(parts, w)
+    return F.when(whole("anomaly") | whole("anomalous"), 1).when(whole("normal"), 0).when(s.contains("anomaly") | s.contains("anomalous"), 1).when(s.contains("normal"), 0)
 
 
 def object_reference(c: Column) -> tuple[Column, Column]:

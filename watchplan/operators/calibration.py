@@ -133,3 +133,29 @@ def projected(df: DataFrame, columns: list[str], means: np.ndarray, components:
 
 def hits(score: Column, threshold: Column) -> Column:
     return F.coalesce(score > threshold, F.lit(False))
+
+
+def homographies(points: DataFrame, by: str, image: tuple[str, str], world: tuple[str, str], ransac: float, order: str, least: int = 4) -> DataFrame:
+    """by, h (nine numbers by row), pairs, inliers, mean, median, max of the residuals over all pairs: one homography for each group.
+
+    A group is the pairs of one calibration, a handful; groups below `least` pairs have none, nor have those in which no four pairs agree.
+    """
+    from watchplan.functions.geometry import homography
+
+    row = F.struct(order, *(F.col(c).cast("double").alias(n) for c, n in zip((*image, *world), "xyuv", strict=True)))
+    held = points.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("p")).where(F.size("p") >= least)
+    flat = held.select(by, *(F.col(f"p.{n}").alias(n) for n in "xyuv"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, x, y, u, v in pdf.itertuples(index=False, name=None):
+                try:
+                    h, off = homography(np.c_[x, y], np.c_[u, v], ransac)
+                except ValueError:  # no four pairs agree
+                    continue
+                out.append((key, [c for r in h for c in r], len(x), off["inliers"], off["mean"], off["median"], off["max"]))
+            yield pd.DataFrame(out, columns=[by, "h", "pairs", "inliers", "mean", "median", "max"])
+
+    kind = points.schema[by].dataType.simpleString()
+    return flat.mapInPandas(run, f"{by} {kind}, h array<double>, pairs long, inliers long, mean double, median double, max double")

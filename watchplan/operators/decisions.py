@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,23 +98,26 @@ def guarded(df: DataFrame, decision: str, confidence: str, severity: str, action
     """
     said = F.upper(F.coalesce(F.col(decision), F.lit("UNCERTAIN")))
     holds = lambda name: F.coalesce(checks[name], F.lit(False)) if name in checks else F.lit(False)
-    still, hits = said == "YES", []
-    for k, name in enumerate(CAPS):
-        hit = holds(name) if k < FORCED else still & holds(name)
-        hits.append((name, hit))
-        if name != KEEPS:
-            still = still & ~hit
-    down = reduce(lambda a, b: a | b, (hit for name, hit in hits if name != KEEPS))
+    names = list(CAPS)
+    forced = F.array_compact(F.array(*(F.when(holds(n), F.lit(n)) for n in names[:FORCED])))
+    # of those that take a YES back, the first one that holds: after it there is no YES to look at
+    taken = F.coalesce(*(F.when(holds(n), F.lit(n)) for n in names[FORCED:] if n != KEEPS))
+    out = df.withColumns({"_said": said, "_forced": forced}).withColumn("_taken", F.when((F.col("_said") == "YES") & (F.size("_forced") == 0), taken))
+    out = out.withColumn("_down", (F.size("_forced") > 0) | F.col("_taken").isNotNull())
+    keeps = F.when((F.col("_said") == "YES") & ~F.col("_down") & holds(KEEPS), F.lit(KEEPS))
+    out = out.withColumn("_hits", F.array_compact(F.concat("_forced", F.array("_taken", keeps))))
+    caps = F.create_map(*(F.lit(x) for pair in CAPS.items() for x in pair))
     start = F.coalesce(F.nullif(F.col(confidence), F.lit(0.0)), F.lit(0.3))
-    capped = F.least(F.greatest(start, F.lit(0.0)), F.lit(1.0), *(F.when(hit, F.lit(CAPS[name])).otherwise(1.0) for name, hit in hits))
-    out = df.withColumn("guarded_decision", F.when(down, "UNCERTAIN").otherwise(said)).withColumn("guarded_confidence", capped)
-    first = F.when(down, "LOW").otherwise(F.upper(F.coalesce(F.col(severity), F.lit("LOW"))))
+    least = F.array_min(F.transform("_hits", lambda n: F.element_at(caps, n)))  # null without any
+    out = out.withColumn("guarded_confidence", F.least(F.greatest(start, F.lit(0.0)), F.lit(1.0), least))
+    out = out.withColumn("guarded_decision", F.when(F.col("_down"), "UNCERTAIN").otherwise(F.col("_said")))
+    first = F.when(F.col("_down"), "LOW").otherwise(F.upper(F.coalesce(F.col(severity), F.lit("LOW"))))
     out = out.withColumn("guarded_severity", severity_of_decision(F.col("guarded_decision"), first))
-    wanted = F.when(down, "review_only").otherwise(F.coalesce(F.col(action), F.lit("review_only")))
-    kept = F.col("guarded_decision").isin("NO", "UNCERTAIN") & (wanted == "save_for_dataset")
-    normal = F.when(kept, wanted).otherwise(action_of(F.col("guarded_decision"), F.col("guarded_severity")))
-    listed = [*(F.when(hit, F.lit(name)) for name, hit in hits), F.when(wanted != normal, F.lit("RECOMMENDED_ACTION_NORMALIZED"))]
-    return out.withColumn("guards", F.array_compact(F.array(*listed))).withColumn("guarded_action", normal)
+    out = out.withColumn("_wanted", F.when(F.col("_down"), "review_only").otherwise(F.coalesce(F.col(action), F.lit("review_only"))))
+    kept = F.col("guarded_decision").isin("NO", "UNCERTAIN") & (F.col("_wanted") == "save_for_dataset")
+    out = out.withColumn("guarded_action", F.when(kept, F.col("_wanted")).otherwise(action_of(F.col("guarded_decision"), F.col("guarded_severity"))))
+    changed = F.when(F.col("_wanted") != F.col("guarded_action"), F.lit("RECOMMENDED_ACTION_NORMALIZED"))
+    return out.withColumn("guards", F.array_compact(F.concat("_hits", F.array(changed)))).drop("_said", "_forced", "_taken", "_down", "_hits", "_wanted")
 
 
 def matched_rules(seen: DataFrame, rules: DataFrame) -> DataFrame:
@@ -140,9 +141,48 @@ def matched_rules(seen: DataFrame, rules: DataFrame) -> DataFrame:
     return s.join(small(r), fits).drop("_site", "_event", "_names", "_words", "r_event", "r_place", "r_words")
 
 
-def queue_reason(gate: Column, lasting: Column, ratio: Column, evidence: Column, least_ratio: float, gates: list[str]) -> Column:
-    """Why a case isn't queued, the first reason; null if it is."""
-    return F.when(~gate.isin(*gates), "gate_not_enabled").when(~F.coalesce(lasting, F.lit(False)), "not_persistent").when(ratio.isNull() | (ratio < least_ratio), "low_ratio").when(~F.coalesce(evidence, F.lit(False)), "no_evidence")
+def event_type_of(decision: Column, applied: Column) -> Column:
+    """The event type that a final decision is shown by.
+
+    applied: rules in order, structs of applied (false: not applied; null counts as applied), event_type and event_types.  A YES takes
+    the first rule's that was applied and names one; without any it is rule_matched_alert.  A NO is no_rule_alert, all else
+    requires_human_review.
+    """
+    named = lambda r: F.coalesce(F.nullif(F.trim(r["event_type"]), F.lit("")), F.nullif(F.trim(F.get(r["event_types"], F.lit(0))), F.lit("")))
+    first = F.get(F.filter(F.transform(F.filter(applied, lambda r: F.coalesce(r["applied"], F.lit(True))), named), lambda n: n.isNotNull()), F.lit(0))
+    said = F.upper(F.coalesce(decision, F.lit("UNCERTAIN")))
+    return F.when(said == "YES", F.coalesce(first, F.lit("rule_matched_alert"))).when(said == "NO", "no_rule_alert").otherwise("requires_human_review")
+
+
+def queue_reason(enabled: Column, gate: Column, wanted: str, lasting: Column, score: Column, threshold: Column, keys: Column, least_ratio: float, needs_evidence: bool = True) -> Column:
+    """queued, or why an event isn't: the first reason in order of switch, gate, persistence, threshold, ratio, evidence.
+
+    wanted: the gate whose queue this is.  A threshold that is missing, zero or below is invalid, as it has no ratio; keys: object keys of the evidence.
+    """
+    ratio = F.when(threshold > 0, score / threshold)
+    return (
+        F.when(~F.coalesce(enabled, F.lit(False)), f"{wanted}_reasoning_disabled").when(~F.coalesce(gate == wanted, F.lit(False)), f"not_{wanted}_gate").when(~F.coalesce(lasting, F.lit(False)), "event_not_persistent")
+        .when(ratio.isNull(), "invalid_threshold").when(ratio < least_ratio, "ratio_below_minimum")
+        .when(F.lit(needs_evidence) & (F.coalesce(F.size(keys), F.lit(0)) < 1), "evidence_required_but_missing").otherwise("queued")
+    )
+
+
+#: The event type of a gate's events.
+GATE_EVENTS = {"pose": "rare_pose_articulation", "deep": "deep_semantic_spatiotemporal_anomaly", "homography_macro": "rare_macro_floor_motion"}
+
+
+def gate_events(rows: DataFrame, track: list[str], seq: str, at: str, session: str, gate: str, smooth: str, emits: str, length: int) -> DataFrame:
+    """Events of a gate's rows that emit, from the window of `length` samples that ends there: key, case_key, severity, event_type, start, peak, peak_score.
+
+    The window begins at the track's first sample where there are fewer.  The peak is the window's last sample, its score the smoothed one;
+    severity is medium for the deep gate, else low.
+    """
+    w = Window.partitionBy(*track).orderBy(seq).rowsBetween(-(length - 1), 0)
+    windows = rows.withColumns({"first_seq": F.first(seq).over(w), "start": F.first(at).over(w)}).where(emits)
+    key = F.concat(F.lit("session:"), F.col(session).cast("string"), F.lit(":"), gate, F.lit(":track:"), F.concat_ws("/", *track), F.lit(":"), F.col("first_seq").cast("string"), F.lit("-"), F.col(seq).cast("string"))
+    kinds = F.create_map(*(F.lit(x) for pair in GATE_EVENTS.items() for x in pair))
+    out = windows.withColumns({"key": key, "severity": F.when(F.col(gate) == "deep", "medium").otherwise("low"), "event_type": F.coalesce(kinds[F.col(gate)], F.lit("other")), "peak": F.col(at), "peak_score": F.col(smooth)})
+    return out.withColumn("case_key", F.concat(F.lit("case:"), "key"))
 
 
 def best_candidate(df: DataFrame, by: list[str], iou: str, distance: str, confidence: str, valid: str, order: str) -> DataFrame:
@@ -157,17 +197,16 @@ def best_candidate(df: DataFrame, by: list[str], iou: str, distance: str, confid
     return top.withColumn("verdict", F.when(F.col(iou) < 0.20, "low_iou").when(unsure, "ambiguous").otherwise("accepted"))
 
 
-def split_evidence(sentences: Column, pattern: str = r"(?i)\b(score|threshold|ratio|gate|confidence)\b") -> tuple[Column, Column]:
-    """(visual sentences, sentences that speak of scores only)."""
-    return F.filter(sentences, lambda s: ~s.rlike(pattern)), F.filter(sentences, lambda s: s.rlike(pattern))
+def split_evidence(sentences: Column) -> tuple[Column, Column]:
+    """(sentences that may stand as visual evidence, sentences of scores only): see functions.text.score_only."""
+    return F.filter(sentences, lambda s: ~T.score_only(s)), F.filter(sentences, T.score_only)
 
 
 def evidence_keys(keys: Column, roles: list[str], most: int) -> Column:
-    """Distinct image keys of the given roles by frame number; the first `most` images if no key has such a role."""
+    """Distinct image keys of the given roles by frame number, then in order; the first `most` images if no key has such a role."""
     images = F.filter(F.array_distinct(keys), lambda k: k.rlike(r"(?i)\.(jpg|jpeg|png|webp)$"))
-    frame = lambda k: F.coalesce(F.regexp_extract(k, r"(\d+)\D*$", 1).try_cast("long"), F.lit(10**9))
-    good = F.filter(images, lambda k: F.regexp_extract(k, r"([^/]+)$", 1).rlike("(?i)" + "|".join(roles)))
-    ordered = F.transform(F.array_sort(F.transform(good, lambda k: F.struct(frame(k).alias("n"), k.alias("k")))), lambda s: s["k"])
+    good = F.filter(images, lambda k: T.evidence_role(k).isin(*roles))
+    ordered = F.transform(F.array_sort(F.transform(good, lambda k: F.struct(T.frame_index(k).alias("n"), k.alias("k")))), lambda s: s["k"])
     return F.when(F.size(good) > 0, F.slice(ordered, 1, most)).otherwise(F.slice(images, 1, most))
 
 

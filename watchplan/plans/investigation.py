@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from watchplan.operators import filters as O
 from watchplan.operators import joins as J
 from watchplan.operators.matching import cosine
-from watchplan.plans import rules as R
 from watchplan.plans import views as V
 
 CATALOGUE: dict[str, Callable[..., DataFrame]] = {}
@@ -279,19 +278,19 @@ def edge_devices(spark, d, limit: object = 100):
 
 @tool
 def anomaly_rules(spark, d, place: str | None = None, limit: object = 50):
-    rows = R.rules(spark).where(O.all_of([None if place is None else F.lower("place").contains(place.lower())]))
+    rows = V.rules(spark, d).where(O.all_of([None if place is None else F.lower("place").contains(place.lower())]))
     return _limited(rows, [F.asc("id")], limit, 50, 200).select("id", "rule_type", "event", "place", "text")
 
 
 @tool
 def reasoning_rules(spark, d, gate: str | None = None, limit: object = 50):
-    rows = R.rules(spark).where(O.all_of([None if gate is None else F.array_contains(F.split("gates", ","), gate)]))
+    rows = V.rules(spark, d).where(O.all_of([None if gate is None else F.array_contains(F.split("gates", ","), gate)]))
     return _limited(rows, [F.asc("id")], limit, 50, 200).select("id", "gates", "min_ratio", "max_ratio", "needs_evidence")
 
 
 @tool
 def rule_conflicts(spark, d, limit: object = 50):
-    return _limited(J.conflicting_rules(R.rules(spark)), [F.asc("a"), F.asc("b")], limit, 50, 200)
+    return _limited(J.conflicting_rules(V.rules(spark, d)), [F.asc("a"), F.asc("b")], limit, 50, 200)
 
 
 @tool

@@ -67,6 +67,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
 
 
+#: Kinds, events and gates of rules.
+RULE_TYPES = ["trigger", "suppress", "Alert", " ignore ", "other", "detection", "benign", "TRIGGER_RULE", "trigger", "context"]
+RULE_EVENTS = ["loitering", "running", "fighting", "other", "intrusion", "theft", "weapon"]
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each part: its place is the brand, now and then everywhere; texts repeat."""
+    key, pick = F.col("p_partkey"), lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    place = F.when(key % 499 == 0, "All").when(key % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("id"), pick(RULE_TYPES, key).alias("rule_type"), pick(RULE_EVENTS, F.col("p_size")).alias("event"), place.alias("place"), F.when(key % 4 == 0, F.upper("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("  "))).alias("text"),
+        F.when(key % 2 == 0, "pose,deep").when(key % 3 == 0, "deep").otherwise("pose,homography").alias("gates"), F.when(key % 4 > 0, 1 + (key % 20) / 20).alias("min_ratio"), F.when(key % 5 > 0, 2 + (key % 30) / 20).alias("max_ratio"), (key % 3 == 1).alias("needs_evidence"),
+    )
+
+
 #: The same in SQL.
 VIEWS = {
     "logs": """SELECT event_id AS id, ts, CASE WHEN event_type <> 'error' THEN user_id END AS detected_id, user_id % 25 AS camera_id,
@@ -86,6 +101,9 @@ VIEWS = {
         CASE WHEN l_linestatus = 'O' THEN 'HIGH' ELSE 'low' END AS severity,
         CASE l_partkey % 3 WHEN 0 THEN 'pose' WHEN 1 THEN 'deep' ELSE 'homography_macro' END AS gate, l_discount * 10 AS confidence,
         l_quantity AS score, CAST(CASE WHEN l_suppkey % 9 <> 0 THEN 18 + l_linenumber ELSE 0 END AS DOUBLE) AS threshold, l_shipdate AS ts, l_extendedprice AS price FROM lineitem""",
+    "rules": f"""SELECT p_partkey AS id, ({RULE_TYPES!r})[p_partkey % {len(RULE_TYPES)} + 1] AS rule_type, ({RULE_EVENTS!r})[p_size % {len(RULE_EVENTS)} + 1] AS event, CASE WHEN p_partkey % 499 = 0 THEN 'All' WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS place,
+        CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE replace(p_name, ' ', '  ') END AS text, CASE WHEN p_partkey % 2 = 0 THEN 'pose,deep' WHEN p_partkey % 3 = 0 THEN 'deep' ELSE 'pose,homography' END AS gates,
+        CASE WHEN p_partkey % 4 > 0 THEN 1 + (p_partkey % 20) / 20 END AS min_ratio, CASE WHEN p_partkey % 5 > 0 THEN 2 + (p_partkey % 30) / 20 END AS max_ratio, p_partkey % 3 = 1 AS needs_evidence FROM part""",
     "scores": "SELECT event_id, user_id, event_type, ts, value AS score FROM events",
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS label FROM embeddings",
 }
@@ -93,7 +111,7 @@ VIEWS = {
 
 def with_views(sql: str) -> str:
     """sql preceded by the views that it names."""
-    used = [f"{name} AS ({text})" for name, text in VIEWS.items() if re.search(rf"\b{name}\b", sql)]
+    used = [f"{name} AS ({text})" for name, text in VIEWS.items() if re.search(rf"\b{name}\b", sql) and not re.search(rf"\b{name} AS \(", sql)]
     if not used:
         return sql
     sql = sql.strip()
