@@ -139,3 +139,53 @@ def test_sinks(spark, tmp_path):
     for kind in ("csv", "json", "parquet"):
         writers.report(df, str(tmp_path / kind), kind)
     assert readers.parsed(spark.createDataFrame([("k", '{"event_id": "e", "camera_id": 3}'), ("k", "?")], "key string, value string"), readers.FACE_EVENT).where("event_id is not null").count() == 1
+
+
+def test_suppressed_samples_leave_the_state_alone(spark, tmp_path):
+    df = rows(spark).withColumn("reason", F.when(F.col("seq") % 4 == 2, "low_confidence"))
+    got = {(r["track"], r["seq"]): r for r in gates.guarded(df, GATE).collect()}
+    kept = {(r["track"], r["seq"]): r for r in gates.batch(df.where("reason IS NULL"), GATE).collect()}
+    score = {(r["track"], r["seq"]): r["score"] for r in df.collect()}
+    for key, r in got.items():
+        if key in kept:
+            assert (r["smooth"], r["lasting"], r["emits"], r["reason"]) == (kept[key]["smooth"], kept[key]["lasting"], kept[key]["emits"], None)
+        else:
+            assert (r["smooth"], r["lasting"], r["emits"], r["reason"]) == (score[key], False, False, "low_confidence")
+    with_all = {(r["track"], r["seq"]): r["smooth"] for r in gates.batch(df, GATE).collect()}
+    assert any(with_all[k] != r["smooth"] for k, r in kept.items())  # they would have counted
+    live = drained(gates.live_guarded(three_files(spark, df, tmp_path), GATE), tmp_path, "guarded")
+    assert {(r["track"], r["seq"]): tuple(r) for r in live.collect()} == {k: tuple(r) for k, r in got.items()}
+
+
+def test_heartbeat_of_a_live_query(spark, tmp_path):
+    import time
+
+    from watchplan.streaming import heartbeat
+
+    df = rows(spark)
+    stream = heartbeat.observed(three_files(spark, df, tmp_path))
+    listener = heartbeat.Heartbeats()
+    spark.streams.addListener(listener)
+    try:
+        q = stream.writeStream.queryName("camera-1").format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        for _ in range(100):  # events come by a thread of their own
+            if listener.beats().get("camera-1", heartbeat.Beat()).ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    beat = listener.beats()["camera-1"]
+    want = gates.heartbeat(df.withColumn("all", F.lit(1)), "all").first()
+    assert (beat.samples, beat.first, beat.last, beat.batches, beat.error) == (want["samples"], want["first"], want["last"], 3, None)
+    assert beat.fps == pytest.approx(want["fps"]) and beat.ended
+    assert beat.after(beat.newest, 99, 0.0, 9e9) == beat  # a batch that is reported again
+    assert heartbeat.Beat().fps is None and heartbeat.Beat().after(0, 1, 5.0, 5.0).fps is None
+
+
+def test_silent_sessions():
+    from watchplan.streaming import heartbeat
+
+    h = heartbeat.Heartbeats()
+    h._beats = {"a": heartbeat.Beat(samples=1, last=10.0), "b": heartbeat.Beat(samples=1, last=99.0), "c": heartbeat.Beat(), "d": heartbeat.Beat(last=1.0, ended=True)}
+    assert h.stale(100.0, 30.0) == ["a", "c"]

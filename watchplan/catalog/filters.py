@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchplan.catalog import streams as S
 from watchplan.catalog.registry import query
 from watchplan.operators import filters as O
 from watchplan.plans import views as V
+from watchplan.streaming import gates
 
 NOW = "2024-01-31"
 
@@ -97,6 +99,21 @@ def _(spark, d):
     return V.logs(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("suppressed"))
 
 
+_POSE = "event_id * 37 % 100 / 400 + 0.755 AS frames, CASE WHEN event_id % 17 > 0 THEN event_id * 13 % 100 / 250 + 0.602 END AS confidence, event_id * 7 % 100 / 300 + 0.701 AS keypoints, event_id % 5 AS ambiguous, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS low_iou"
+
+
+@query("f15b_gate_with_suppression", S.gate_sql(5.0, "").replace("FROM scores WINDOW", "FROM judged WINDOW").replace("WITH RECURSIVE ", f"""WITH RECURSIVE posed AS (SELECT scores.*, {_POSE} FROM scores),
+    said AS (SELECT *, CASE WHEN frames < 0.85 THEN 'few_valid_frames' WHEN coalesce(confidence, 0) < 0.70 THEN 'low_confidence' WHEN keypoints < 0.80 THEN 'few_valid_keypoints' WHEN ambiguous >= 3 THEN 'ambiguous_poses' WHEN low_iou >= 3 THEN 'low_overlap' END AS reason FROM posed),
+    judged AS (SELECT * FROM said WHERE reason IS NULL), """) + " SELECT track, seq, smooth, lasting, emits, NULL AS reason FROM g UNION ALL SELECT user_id || '/' || event_type, event_id, round(score, 7), false, false, reason FROM said WHERE reason IS NOT NULL")
+def _(spark, d):
+    """The gate of s02 over pose windows, with those of too poor a quality kept out of its state."""
+    c, posed = F.col, S.samples(spark, d).withColumn("event_id", F.col("seq"))
+    for p in _POSE.split(", "):
+        posed = posed.withColumn(p.split(" AS ")[1], F.expr(p.split(" AS ")[0]))
+    rows = posed.withColumn("reason", O.pose_quality(c("frames"), c("confidence"), c("keypoints"), c("ambiguous"), c("low_iou")))
+    return gates.guarded(rows, gates.Gate(threshold=60.0, sigma=1.0)).withColumn("smooth", F.round("smooth", 7))
+
+
 @query("f16_match_accept", "SELECT id, coalesce(similarity >= 0.62, false) AND coalesce(margin >= 0.03, true) AND coalesce(quality >= 0.1, true) AS accepted FROM logs")
 def _(spark, d):
     return V.logs(spark, d).select("id", O.accepted(F.col("similarity"), F.col("margin"), F.col("quality"), (0.62, 0.03, 0.1)).alias("accepted"))

@@ -203,6 +203,63 @@ def _(spark, d):
     return _boxes(spark, d).select("event_id", F.round(M.trajectory_change("x1", "y1", O.track(BY, ORDER)), 6).alias("change"))
 
 
+_USER = "(PARTITION BY user_id ORDER BY ts, event_id)"
+_KEY_FRAMES = f"""WITH RECURSIVE b AS (SELECT *, greatest(1.0, x2 - x1) AS bw, greatest(1.0, y2 - y1) AS bh, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM ({_BOX})),
+    p AS (SELECT *, row_number() OVER w - 1 AS i, lag(bw) OVER w AS pw, lag(bh) OVER w AS ph, lag(cx) OVER w AS px, lag(cy) OVER w AS py, x1 - lag(x1) OVER w AS dx, y1 - lag(y1) OVER w AS dy, lag(x1) OVER w - lag(x1, 2) OVER w AS ex, lag(y1) OVER w - lag(y1, 2) OVER w AS ey FROM b WINDOW w AS {_USER}),
+    q AS (SELECT *, sqrt(dx * dx + dy * dy) AS s, sqrt(ex * ex + ey * ey) AS e FROM p),
+    f AS (SELECT user_id, i, event_id % 10 / 10 AS energy, event_id % 4 / 4 AS image,
+        round(CASE WHEN pw IS NULL THEN 0 ELSE sqrt((cx - px) ** 2 + (cy - py) ** 2) / greatest(1.0, sqrt(pw * pw + ph * ph)) + 0.5 * (abs(bw - pw) / pw + abs(bh - ph) / ph) + 0.25 * abs(bw / bh - pw / ph) END, 6) AS box,
+        round(CASE WHEN s IS NULL THEN 0 WHEN e IS NULL THEN s ELSE s + sqrt((dx - ex) ** 2 + (dy - ey) ** 2) + CASE WHEN s > 1e-9 AND e > 1e-9 THEN acos(least(1.0, greatest(-1.0, (dx * ex + dy * ey) / (s * e)))) ELSE 0 END END, 6) AS trajectory FROM q),
+    g AS (SELECT user_id * 100000 + i // 16 AS event, any_value(user_id) AS user_id, CASE WHEN (i // 16) % 3 = 2 THEN 6 ELSE 16 END AS total, list(energy ORDER BY i)[2:16] AS energy, list(box ORDER BY i)[2:16] AS box, list(image ORDER BY i)[2:16] AS image, list(trajectory ORDER BY i)[2:16] AS trajectory FROM f GROUP BY user_id, i // 16 HAVING count(*) = 16),
+    n AS (SELECT event, total, CASE user_id % 5 WHEN 0 THEN 'deep' WHEN 1 THEN 'pose' WHEN 2 THEN 'homography_macro' WHEN 3 THEN 'pose' END AS gate, CASE WHEN user_id % 5 = 3 OR user_id % 2 = 0 THEN NULL ELSE energy END AS energy, CASE WHEN user_id % 5 = 3 AND user_id % 3 = 0 THEN NULL ELSE box END AS box, image, CASE WHEN user_id % 3 > 0 THEN trajectory END AS trajectory FROM g),
+    c AS (SELECT event, total, gate, CASE WHEN gate IS NULL OR total <= 8 THEN NULL WHEN gate = 'deep' THEN image WHEN gate = 'homography_macro' THEN trajectory WHEN energy IS NOT NULL THEN energy WHEN list_max(box) > 0 THEN box ELSE image END AS x,
+        CASE WHEN gate = 'deep' THEN 'image' WHEN gate = 'homography_macro' THEN 'trajectory' WHEN energy IS NOT NULL THEN 'energy' WHEN list_max(box) > 0 THEN 'box' ELSE 'image' END AS basis FROM n),
+    v AS (SELECT event, total, gate, CASE WHEN gate = 'pose' AND NOT coalesce(list_max(x) > 0, false) THEN NULL ELSE x END AS x, CASE WHEN gate IS NULL THEN 'unknown_gate' WHEN total <= 8 THEN 'all_frames' WHEN gate = 'homography_macro' AND x IS NULL THEN 'no_trajectory' WHEN gate = 'pose' AND NOT coalesce(list_max(x) > 0, false) THEN 'nothing_moves' ELSE basis END AS basis FROM c),
+    o AS (SELECT event, t, row_number() OVER (PARTITION BY event ORDER BY score DESC, t DESC) AS k FROM (SELECT event, unnest(x) AS score, unnest(range(1, len(x) + 1)) AS t FROM v WHERE x IS NOT NULL) WHERE score > 0),
+    r AS (SELECT event, 0::BIGINT AS k, [0, 15]::BIGINT[] AS kept, []::BIGINT[] AS used FROM v WHERE x IS NOT NULL UNION ALL
+          SELECT r.event, o.k, CASE WHEN skip THEN r.kept ELSE list_concat(r.kept, list_filter([o.t - 1, o.t, o.t + 1], lambda y: y BETWEEN 0 AND 15 AND NOT list_contains(r.kept, y))[1:8 - len(r.kept)]) END, CASE WHEN skip THEN r.used ELSE list_append(r.used, o.t) END
+          FROM (SELECT r.*, o.t, len(r.kept) >= 8 OR len(list_filter(r.used, lambda y: abs(y - o.t) <= 1)) > 0 AS skip FROM r JOIN o ON o.event = r.event AND o.k = r.k + 1) r JOIN o ON o.event = r.event AND o.k = r.k + 1),
+    l AS (SELECT event, arg_max(kept, k) AS kept FROM r GROUP BY 1),
+    even AS (SELECT list(DISTINCT CAST(round_even(i * 15 / 7.0::DOUBLE, 0) AS BIGINT)) AS e FROM range(8) z(i)),
+    m AS (SELECT event, list_concat(kept, list_sort(list_filter(e, lambda y: NOT list_contains(kept, y)))[1:8 - len(kept)]) AS kept FROM l, even),
+    w AS (SELECT event, list_concat(kept, list_filter(range(16), lambda y: NOT list_contains(kept, y))[1:8 - len(kept)]) AS kept FROM m)
+    SELECT v.event, v.total, v.basis, CASE WHEN v.basis IN ('unknown_gate', 'no_trajectory', 'nothing_moves') THEN 'even_spacing' ELSE v.gate END AS selector, CASE WHEN v.total <= 8 THEN range(v.total) WHEN v.x IS NULL THEN list_sort(e) ELSE list_sort(w.kept) END AS frames
+    FROM v CROSS JOIN even LEFT JOIN w ON w.event = v.event"""
+
+
+@query("t10b_key_frames", _KEY_FRAMES)
+def _(spark, d):
+    from watchplan.operators import ranking as R
+
+    w, i, user = O.track(["user_id"], ORDER), F.col("event_id"), F.col("user_id")
+    rows = _boxes(spark, d).withColumns({"box": F.round(M.box_transition(_SIDES, w), 6), "trajectory": F.round(M.trajectory_change("x1", "y1", w), 6), "energy": i % 10 / 10, "image": i % 4 / 4})
+    windows = O.strided(rows, ["user_id"], ORDER, 16, 16, ["energy", "box", "image", "trajectory"])
+    of = lambda c: F.slice(F.transform("rows", lambda r: r[c]), 2, 15)
+    five, none = user % 5, F.lit(None).cast("array<double>")
+    number = F.floor(F.col("start_index") / 16)
+    events = windows.select(
+        (user * 100000 + number).alias("event"), F.when(five == 0, "deep").when(five == 1, "pose").when(five == 2, "homography").when(five == 3, "Pose ").otherwise("other").alias("gate"), F.when(number % 3 == 2, 6).otherwise(16).alias("total"),
+        F.when((five == 3) | (user % 2 == 0), none).otherwise(of("energy")).alias("energy"), F.when((five == 3) & (user % 3 == 0), none).otherwise(of("box")).alias("box"), of("image").alias("image"), F.when(user % 3 > 0, of("trajectory")).alias("trajectory"),
+    )
+    return R.key_frames(events, "event").select("event", "total", "basis", "selector", "frames")
+
+
+_ANKLES = "CASE WHEN event_id % 3 > 0 THEN x1 END AS lx, y1 AS ly, event_id % 10 / 10 AS lconf, x2 AS rx, CASE WHEN event_id % 7 > 0 THEN y1 + 1 END AS ry, event_id % 11 / 20 AS rconf, (x1 + x2) / 2 AS bx, y2 AS by_"
+
+
+@query("w13b_ground_points", f"""WITH RECURSIVE h AS (SELECT user_id, event_id, {_ANKLES}, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ({_BOX})),
+    g AS (SELECT *, lx IS NOT NULL AND lconf >= 0.8 AS l, ry IS NOT NULL AND rconf >= 0.8 AS r FROM (SELECT * REPLACE (2 * rconf AS rconf) FROM h)),
+    p AS (SELECT user_id, event_id, n, bx, by_, CASE WHEN l AND r THEN (lx + rx) / 2 WHEN l THEN lx WHEN r THEN rx END AS ax, CASE WHEN l AND r THEN (ly + ry) / 2 WHEN l THEN ly WHEN r THEN ry END AS ay, CASE WHEN l AND r THEN 'ankle_midpoint' WHEN l OR r THEN 'single_ankle' END AS said FROM g),
+    s AS (SELECT user_id, event_id, n, event_id AS last, coalesce(ax, bx) AS x, coalesce(ay, by_) AS y, coalesce(said, 'bbox_bottom') AS source FROM p WHERE n = 1 UNION ALL
+          SELECT user_id, event_id, n, CASE WHEN held THEN last ELSE event_id END, CASE WHEN held THEN x ELSE coalesce(ax, bx) END, CASE WHEN held THEN y ELSE coalesce(ay, by_) END, CASE WHEN held THEN 'freeze_last_valid' ELSE coalesce(said, 'bbox_bottom') END
+          FROM (SELECT p.*, s.last, s.x, s.y, said IS NULL AND p.event_id - s.last <= 300 AS held FROM s JOIN p ON p.user_id = s.user_id AND p.n = s.n + 1))
+    SELECT event_id, round(x, 6) AS x, round(y, 6) AS y, source FROM s""")
+def _(spark, d):
+    rows = _boxes(spark, d).selectExpr("user_id", "event_id", _ANKLES.split(" AS lx")[0] + " AS lx", *(p.strip() for p in _ANKLES.split(" AS lx, ")[1].split(", "))).withColumn("rconf", 2 * F.col("rconf"))
+    out = O.ground_points(rows, ["user_id"], "event_id", "user_id long", least=0.8, most_age=300)
+    return out.select("event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "source")
+
+
 @query("w16_first_seen_order", f"SELECT user_id, list(event_type ORDER BY tm, event_type) AS seen FROM (SELECT user_id, event_type, min(ts) AS tm FROM scores GROUP BY 1, 2) GROUP BY 1")
 def _(spark, d):
     first = V.scores(spark, d).groupBy("user_id", "event_type").agg(F.min("ts").alias("at"))

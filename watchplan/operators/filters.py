@@ -87,3 +87,15 @@ def one_of(column: Column, allowed: list[str], default: str) -> Column:
     """Upper-case and trimmed if allowed, else the default."""
     up = F.upper(F.trim(column))
     return F.when(up.isin(*allowed), up).otherwise(F.lit(default))
+
+
+def pose_quality(frames: Column, confidence: Column, keypoints: Column, ambiguous: Column, low_iou: Column) -> Column:
+    """Why a pose window is too poor to be judged, the first reason in this order; null if it isn't.  A missing share or confidence counts as 0.
+
+    frames, keypoints: shares of valid frames and keypoints; ambiguous, low_iou: frames rejected for either.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return (
+        F.when(zero(frames) < 0.85, "few_valid_frames").when(zero(confidence) < 0.70, "low_confidence").when(zero(keypoints) < 0.80, "few_valid_keypoints")
+        .when(zero(ambiguous) >= 3, "ambiguous_poses").when(zero(low_iou) >= 3, "low_overlap")
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +91,94 @@ def group_split(df: DataFrame, group: str, shares: tuple[float, float], seed: in
     n_train, n_cal = (F.greatest(F.lit(1), F.bround(F.col("_total") * s)) for s in shares)
     split = F.when(F.col("_place") <= n_train, "train").when(F.col("_place") <= n_train + n_cal, "calibration").otherwise("test")
     return df.join(place.select(group, split.alias("split")), group)
+
+
+def around_peaks(scores: np.ndarray, n: int, most: int) -> list[int]:
+    """Frames of n to keep, `most` at most: the first and last, then each peak with its neighbours, greatest first, then evenly spaced ones, then any.
+
+    scores[t] is the change from frame t to t + 1.  Peaks are above 0 and not beside one taken before; of equal ones the later is first.
+    """
+    if n <= most:
+        return list(range(n))
+    kept = list(dict.fromkeys([0, n - 1]))[:most]
+    peaks: list[int] = []
+
+    def keep(frames: Iterable[int]) -> None:
+        for f in frames:
+            if len(kept) < most and 0 <= f < n and f not in kept:
+                kept.append(f)
+
+    for t in np.lexsort((-np.arange(len(scores)), -np.where(np.isfinite(scores), scores, -np.inf))).tolist():
+        if len(kept) >= most or not np.isfinite(scores[t]) or scores[t] <= 0:
+            break
+        if all(abs(t + 1 - p) > 1 for p in peaks):
+            peaks.append(t + 1)
+            keep((t, t + 1, t + 2))
+    keep(evenly(n, most))
+    keep(range(n))
+    return sorted(kept)
+
+
+def evenly(n: int, most: int) -> list[int]:
+    """`most` of n places, evenly spaced, first and last among them; all if there are no more."""
+    if n <= most:
+        return list(range(n))
+    return [0] if most == 1 else sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
+
+
+#: Gates, their other names, and what the frames of their events are chosen by, in order of preference.
+_CHOSEN_BY = {"deep": ["image"], "pose": ["energy", "box", "image"], "homography_macro": ["trajectory"]}
+_ALIASES = {"homography": "homography_macro", "macro": "homography_macro", "homography macro": "homography_macro"}
+KEY_FRAMES = "frames array<int>, selector string, basis string, total int, peaks array<int>"
+
+
+def chosen_frames(gate: str | None, total: int, scores: dict[str, np.ndarray | None], most: int) -> tuple[list[int], str, str, list[int]]:
+    """(frames, selector, basis, peaks) of one event, by its gate; evenly spaced ones where the gate is unknown or nothing moves."""
+    name = (gate or "").strip().lower()
+    name = _ALIASES.get(name, name)
+    if total == 0:
+        return [], "even_spacing", "no_frames", []
+    if name not in _CHOSEN_BY:
+        return evenly(total, most), "even_spacing", "unknown_gate", []
+    if total <= most:
+        return list(range(total)), name, "all_frames", []
+    wanted = _CHOSEN_BY[name]
+    for k, basis in enumerate(wanted):
+        own = scores.get(basis)
+        # a pose's own energies decide as soon as there are any; else whatever moves
+        if own is None or (k + 1 < len(wanted) and basis != "energy" and not (own > 0).any()):
+            continue
+        if not (own > 0).any():
+            if name == "pose":
+                return evenly(total, most), "even_spacing", "nothing_moves", []
+        return around_peaks(own, total, most), name, basis, best_peaks(own)
+    return evenly(total, most), "even_spacing", "nothing_moves" if name == "pose" else f"no_{wanted[0]}", []
+
+
+def best_peaks(scores: np.ndarray, most: int = 5) -> list[int]:
+    """The frames of the greatest peaks, greatest first, none beside another."""
+    out: list[int] = []
+    for t in np.lexsort((-np.arange(len(scores)), -np.where(np.isfinite(scores), scores, -np.inf))).tolist():
+        if np.isfinite(scores[t]) and scores[t] > 0 and len(out) < most and all(abs(t + 1 - p) > 1 for p in out):
+            out.append(t + 1)
+    return out
+
+
+def key_frames(events: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """key, frames, selector, basis, total, peaks of each event: which of its frames are looked at, and why (the audit row).
+
+    events: key, gate, total (frames), and arrays of changes from frame to frame: energy, box, image, trajectory (null: not known).  An event is one row
+    with its few frames.  Most of the changes are window expressions: motion.box_transition, motion.trajectory_change, motion.energies.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, gate, total, *arrays in pdf.itertuples(index=False, name=None):
+                scores = {n: None if a is None else np.nan_to_num(np.array([np.nan if x is None else x for x in a], float), nan=0.0, posinf=np.inf, neginf=-np.inf) for n, a in zip(("energy", "box", "image", "trajectory"), arrays, strict=True)}
+                frames, selector, basis, peaks = chosen_frames(gate, int(total), scores, most)
+                out.append((k, frames, selector, basis, int(total), peaks))
+            yield pd.DataFrame(out, columns=[key, "frames", "selector", "basis", "total", "peaks"])
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.select(key, "gate", "total", "energy", "box", "image", "trajectory").mapInPandas(run, f"{key} {kind}, {KEY_FRAMES}")

@@ -178,3 +178,25 @@ def debounced(df: DataFrame, by: list[str], order: list[str], flag: str, fire_at
         return (0, [*row[: len(by)], row[-1]]) if n >= fire_at else (n, None)
 
     return fold(df, by, order, f"{key_types}, {id_column} long", lambda: 0, step, [c for c in order if c not in (flag, id_column)] + [flag, id_column])
+
+
+def ground_points(df: DataFrame, by: list[str], seq: str, key_types: str, least: float = 0.35, most_age: int = 12) -> DataFrame:
+    """by, seq, x, y, source of each row's ground point: the mean of its trusted ankles, the track's last point, or its box's bottom.
+
+    df: lx, ly, lconf, rx, ry, rconf (ankles, null where there is none), bx, by_ (the middle of the box's lower side).  An ankle counts
+    from a confidence of `least` on.  Without any, the last point stands for at most most_age of seq; beyond that the box's bottom does, and is
+    itself the last point then, so later rows depend on it: a fold.
+    """
+
+    def step(last, row):
+        at, *ankles, bx, by_ = row[len(by) :]
+        good = [(x, y) for x, y, c in (ankles[:3], ankles[3:]) if x == x and y == y and c == c and None not in (x, y, c) and c >= least and math.isfinite(x) and math.isfinite(y)]
+        if good:
+            point, source = (sum(x for x, _ in good) / len(good), sum(y for _, y in good) / len(good)), "ankle_midpoint" if len(good) == 2 else "single_ankle"
+        elif last is not None and at - last[1] <= most_age:
+            return last, [*row[: len(by)], at, *last[0], "freeze_last_valid"]
+        else:
+            point, source = (bx, by_), "bbox_bottom"
+        return (point, at), [*row[: len(by)], at, *point, source]
+
+    return fold(df, by, [seq], f"{key_types}, {seq} long, x double, y double, source string", lambda: None, step, [seq, "lx", "ly", "lconf", "rx", "ry", "rconf", "bx", "by_"])

@@ -85,6 +85,40 @@ def batch(samples: DataFrame, gate: Gate) -> DataFrame:
     return fold(samples, ["track"], ["seq"], SCHEMA, gate.fresh, step, ["seq", "at", "score"])
 
 
+GUARDED = "track string, seq long, smooth double, lasting boolean, emits boolean, reason string"
+
+
+def guarded_step(gate: Gate, state: dict, at: float, score: float | None, reason: str | None) -> tuple[dict, tuple[float, bool, bool, str | None]]:
+    """A sample with a reason against it goes by: its own score, nothing else, and the state stays as it is."""
+    if reason is not None and not pd.isna(reason):
+        return state, (float(score) if score is not None and math.isfinite(score) else 0.0, False, False, reason)
+    state, out = gate.step(state, at, score)
+    return state, (*out, None)
+
+
+def guarded(samples: DataFrame, gate: Gate) -> DataFrame:
+    """batch() of samples with `reason`: where it isn't null, the sample takes no part in smoothing, persistence or cooldown."""
+    from watchplan.operators.windows import fold
+
+    def step(state, row):
+        track, seq, at, score, reason = row
+        state, out = guarded_step(gate, state, at, score, reason)
+        return state, [track, seq, *out]
+
+    return fold(samples, ["track"], ["seq"], GUARDED, gate.fresh, step, ["seq", "at", "score", "reason"])
+
+
+def live_guarded(samples: DataFrame, gate: Gate, late: str = "10 minutes") -> DataFrame:
+    """guarded() over a stream."""
+
+    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
+        track, seq, at, score, reason = row
+        state, made = guarded_step(gate, state, float(at), float(score), reason)
+        return state, [(track, int(seq), *made)]
+
+    return _stateful(samples, GUARDED, gate.fresh, step, ["seq", "at", "score", "reason"], late)
+
+
 def _stateful(samples: DataFrame, schema: str, fresh: Callable[[], dict], step: Callable[[dict, tuple], tuple[dict, list[tuple]]], columns: list[str], late: str) -> DataFrame:
     """A fold by track over a stream: step(state, row) gives the next state and rows to emit.
 
