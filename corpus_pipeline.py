@@ -34,9 +34,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, the least doc_id; links are 80 % of five-word shingles; texts without words all stay."""
+    """One row of each group stays, the least doc_id; links are 80 % of two-word shingles, as in op1; texts without words all stay."""
     bound_batches(spark)
-    return near_dedup.keep_one(docs, words=5, percent=80)
+    return near_dedup.keep_one(docs, words=2, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
