@@ -124,7 +124,7 @@ def _pieces(text: str) -> list[str]:
     return _any_text(text) if _beyond(text) else _low_text(text)
 
 
-def blocks_by_length(pieces: list[bytes], cells: int = 1 << 19) -> Iterator[tuple[int, list[int]]]:
+def blocks_by_length(pieces: list[bytes], cells: int = 1 << 17) -> Iterator[tuple[int, list[int]]]:
     """(width, indices): pieces of similar length, width a power of two, width x indices at most cells or one piece."""
     by: dict[int, list[int]] = {}
     for k, p in enumerate(pieces):
@@ -281,8 +281,8 @@ class Encoder:
             at = end
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, text and ids array<int>: the token ids of each whole text; a null text counts as empty, an empty text has no ids.
+def encode(docs: DataFrame, tokenizer: str, with_text: bool = True) -> DataFrame:
+    """doc_id, text (unless with_text is false) and ids array<int>: the token ids of each whole text; a null text counts as empty, an empty text has no ids.
 
     The vocabulary (bounded by its file) is broadcast; each task streams Arrow batches, so memory is
     a batch, a slice's pieces and the cache, whatever the input.  Special strings inside texts become their ids.
@@ -295,9 +295,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = list(encoder(batch.column(1).to_pylist()))
             ends = np.cumsum([0, *map(len, ids)])
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "text", "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if with_text else []), lists], names=["doc_id", *(["text"] if with_text else []), "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>" if with_text else "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -316,7 +317,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode() and decode()."""
-    both = decode(encode(docs, tokenizer), tokenizer)
+    both = decode(encode(docs, tokenizer, with_text=False), tokenizer)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -65,6 +65,29 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Groups of more rows than this are known everywhere instead of being gathered by their key.
+HEAVY_ROWS = 2_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, row_bytes: int, how: str = "inner") -> DataFrame:
+    """rows joined to groups (one row for each key, `_n` its number of rows), without `_n`; how: inner or left.
+
+    Rows of a large group meet it in a broadcast join (there are at most rows / HEAVY_ROWS such groups, and their size is checked), so
+    that no task gets them all; the others are shuffled by key, which holds few of them each.
+    """
+    groups = groups.withColumnRenamed(key, "_key")
+    heavy = groups.where(F.col("_n") > HEAVY_ROWS)
+    n = heavy.count()
+    light = groups.where(F.col("_n") <= HEAVY_ROWS).drop("_n")
+    on = F.col(key) == F.col("_key")
+    if n == 0:
+        return rows.join(light, on, how).drop("_key")
+    known = broadcast_if_small(heavy.drop("_n"), row_bytes, n)
+    first = rows.join(known, on).drop("_key")
+    rest = rows.join(known.select("_key"), on, "left_anti")
+    return first.unionByName(rest.join(light, on, how).drop("_key"))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker gets at once by bytes, unless the session has its own bound.
 

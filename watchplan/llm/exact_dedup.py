@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import broadcast_if_small, texts, workspace, written
+from watchplan.llm.common import broadcast_if_small, join_groups, texts, workspace, written
 
 #: A memtable is flushed beyond so many bytes of text or rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 48 << 20, 400_000
@@ -190,14 +190,15 @@ def exact_groups(docs: DataFrame, keep: str = "largest", key_bits: int = 256, me
     hits = written(hits_of(runs.where("kind = 1").select("segment", "run", "keys", "filter", "bests"), folder, smallest, bits, fan), folder, "hits")
     held = runs.where("kind = 0").select("doc_id", "rid", "sha", "best_id", "best_rid", "n").withColumn("key", _key("sha", key_bytes))
     # byte verification of hits: one row for each digest and text, summed within a task first
-    few = broadcast_if_small(hits.select("key"), 150)
-    seen = rows.withColumn("key", _key(F.sha2(F.col("text").cast("binary"), 256), key_bytes)).join(few, "key", "left_semi").groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
+    keyed = rows.withColumn("key", _key(F.sha2(F.col("text").cast("binary"), 256), key_bytes))
+    seen = join_groups(keyed, hits.select("key", F.col("n").alias("_n")), "key", 150).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
     variants = written(seen.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")), folder, "variants")
-    good = hits.select("key", F.col("best_id").alias("top_id"), F.col("best_rid").alias("top_rid"), F.col("n").alias("total")).join(variants.where("texts = 1").select("key"), "key")
+    good = hits.select("key", F.col("best_id").alias("top_id"), F.col("best_rid").alias("top_rid"), F.col("n").alias("total"), F.col("n").alias("_n")).join(variants.where("texts = 1").select("key"), "key")
+    good = written(good, folder, "good")
     mixed = variants.where("texts > 1").select("key")
     if not mixed.isEmpty():
         held = _told_apart(rows, held, mixed, folder, smallest, key_bytes)
-    joined = held.join(good, "key", "left")
+    joined = join_groups(held, good, "key", 150, "left")
     return joined.select(
         "doc_id",
         F.when(F.col("total").isNull(), F.col("best_id")).otherwise(F.col("top_id")).alias("keep_id"),

@@ -105,7 +105,8 @@ def _mixed(docs: DataFrame, folder: str, budget_share: float, max_epochs: float,
     ends = broadcast_if_small(written(ends.select(*leaf, F.col("cut.bucket").alias("cut"), F.col("cut.begin").alias("begin")), folder, "ends"), 120)
     placed = rows.join(plan, leaf).join(ends, leaf).withColumn("bucket", bucket)
     sure = placed.where("bucket <> cut").withColumn("tail_tokens", F.when(F.col("bucket") < F.col("cut"), F.col("n_tokens")).otherwise(0))
-    inside = Window.partitionBy(*leaf).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [F.col("sha")] if with_sha else []  # rows of one doc_id with as many tokens: their texts tell them apart
+    inside = Window.partitionBy(*leaf).orderBy("place", "doc_id", "n_tokens", *ties).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("begin") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     cut = placed.where("bucket = cut").withColumn("tail_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("tail") - before)))
     out = sure.unionByName(cut).withColumn("tail_tokens", F.col("tail_tokens").cast("long"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import broadcast_if_small, components, forest_roots, texts, workspace, written
+from watchplan.llm.common import broadcast_if_small, components, forest_roots, join_groups, texts, workspace, written
 
 #: Groups a collection, minhashes a group: 100 tables of 4 from 40 minhashes.  A pair of likeness 0.8
 #: is missed with probability 1 - (1 - (1 - 0.8**2)**10)**2 < 1e-4, more alike pairs far less often.
@@ -296,8 +296,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = written(classes, folder, "classes")
     named = classes.join(_roots(docs, classes, folder, words, percent), "nid", "left").select("set_key", "least_doc", F.coalesce("root", "nid").alias("root"))
     named = written(named, folder, "named")
-    least = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    final = named.join(least, "root").select("set_key", "root", "component_id")
+    least = written(named.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.count(F.lit(1)).alias("_n")), folder, "least")
+    final = join_groups(named, least, "root", 60).select("set_key", "root", "component_id")
     return rows.select("doc_id", "sha", "n_shingles", "set_key").join(final, "set_key", "left").select("doc_id", "sha", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
@@ -341,8 +341,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = written(_grouped(docs, words, percent), workspace(docs.sparkSession), "grouped")
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "sha")
-    top = rows.where("root is not null").groupBy("root").agg(F.min(first).alias("top"), F.count(F.lit(1)).alias("n"))
-    both = rows.join(top.where("n > 1"), "root").withColumn("stays", (first == F.col("top")))
+    top = written(rows.where("root is not null").groupBy("root").agg(F.min(first).alias("top"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), workspace(docs.sparkSession), "tops")
+    both = join_groups(rows, top, "root", 200).withColumn("stays", (first == F.col("top")))
     gone = written(both.groupBy("doc_id", "sha").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), workspace(docs.sparkSession), "gone")
     gone_side = gone.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
