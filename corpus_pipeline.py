@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of every row; a null text counts as empty and has no ids."""
     bound_batches(spark)
-    ids = bpe.encode(docs, public_tokenizers.path(TOKENIZER))
+    ids = bpe.encode(docs, public_tokenizers.path(TOKENIZER), with_text=False)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
