@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
 from watchplan.operators import aggregates as O
+from watchplan.operators import quantiles as Q
 from watchplan.plans import views as V
 
 
@@ -159,7 +160,7 @@ _POINTS = [50.0, 90.0, 95.0, 99.0, 99.5]
 
 @query("a24_percentile_thresholds", "SELECT event_type, p AS point, round(quantile_cont(score, 0.0) * 0 + CASE p WHEN 50 THEN quantile_cont(score, 0.5) WHEN 90 THEN quantile_cont(score, 0.9) WHEN 95 THEN quantile_cont(score, 0.95) WHEN 99 THEN quantile_cont(score, 0.99) ELSE quantile_cont(score, 0.995) END, 6) AS threshold FROM scores, (SELECT unnest([50.0::DOUBLE, 90.0, 95.0, 99.0, 99.5]) AS p) GROUP BY event_type, p")
 def _(spark, d):
-    return O.percentiles(V.scores(spark, d), ["event_type"], "score", _POINTS).select("event_type", "point", F.round("threshold", 6).alias("threshold"))
+    return Q.percentiles(V.scores(spark, d), ["event_type"], "score", _POINTS).select("event_type", "point", F.round("threshold", 6).alias("threshold"))
 
 
 _SWEEP = """WITH t AS (SELECT event_type, p AS point, CASE p WHEN 90 THEN quantile_cont(score, 0.9) ELSE quantile_cont(score, 0.6) END AS threshold FROM scores, (SELECT unnest([60.0::DOUBLE, 90.0]) AS p) GROUP BY event_type, p),
@@ -171,14 +172,15 @@ _SWEEP = """WITH t AS (SELECT event_type, p AS point, CASE p WHEN 90 THEN quanti
 @query("a25_threshold_sweep", _SWEEP + " SELECT event_type, point, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE hit), 0) AS BIGINT) AS hits, round(coalesce(sum(n) FILTER (WHERE hit), 0) * 100.0::DOUBLE / sum(n), 6) AS rate, coalesce(max(n) FILTER (WHERE hit), 0) AS longest FROM n GROUP BY 1, 2")
 def _(spark, d):
     s = V.scores(spark, d)
-    t = O.percentiles(s, ["event_type"], "score", [60.0, 90.0])
+    t = Q.percentiles(s, ["event_type"], "score", [60.0, 90.0])
     return O.sweep(s, ["event_type"], ["user_id"], ["ts", "event_id"], "score", t).select("event_type", "point", "rows", "hits", F.round("rate", 6).alias("rate"), "longest")
 
 
 @query("a26_track_summary", "SELECT user_id, max(score) AS top, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.95), 9) AS p95, count(*) FILTER (WHERE score > 100) AS hits, bool_or(score > 100) AS any_hit, count(DISTINCT event_type) AS tracks, count(DISTINCT event_type) > 1 AS mixed FROM scores GROUP BY 1")
 def _(spark, d):
-    s = F.col("score")
-    return V.scores(spark, d).groupBy("user_id").agg(F.max(s).alias("top"), F.round(F.avg(s), 9).alias("mean"), F.round(F.percentile(s, 0.95), 9).alias("p95"), F.count_if(s > 100).alias("hits"), F.bool_or(s > 100).alias("any_hit"), F.count_distinct("event_type").alias("tracks"), (F.count_distinct("event_type") > 1).alias("mixed"))
+    s, rows = F.col("score"), V.scores(spark, d)
+    sums = rows.groupBy("user_id").agg(F.max(s).alias("top"), F.round(F.avg(s), 9).alias("mean"), F.count_if(s > 100).alias("hits"), F.bool_or(s > 100).alias("any_hit"), F.count_distinct("event_type").alias("tracks"), (F.count_distinct("event_type") > 1).alias("mixed"))
+    return Q.with_percentiles(sums, rows, ["user_id"], "score", {"p95": 95.0}).withColumn("p95", F.round("p95", 9))
 
 
 _CONF = "SELECT CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS part, value > 60 AS truth, quality > 0.1 AND k > 30 AS guess FROM logs WHERE quality IS NOT NULL"
@@ -214,7 +216,7 @@ def _(spark, d):
 
 @query("a31_describe", "SELECT event_type, count(score) AS count, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(stddev_pop(score), 6) AS std0, min(score) AS min, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS q2, round(quantile_cont(score, 0.75), 6) AS q3, max(score) AS max FROM scores GROUP BY 1")
 def _(spark, d):
-    x = V.scores(spark, d).groupBy("event_type").agg(*O.describe("score"))
+    x = O.described(V.scores(spark, d), ["event_type"], "score")
     return x.select("event_type", "count", *(F.round(c, 6).alias(c) for c in ("mean", "std", "std0")), "min", *(F.round(c, 6).alias(c) for c in ("q1", "q2", "q3")), "max")
 
 
@@ -240,7 +242,7 @@ def _(spark, d):
 @query("a35_normal_operating_points", "WITH t AS (SELECT quantile_cont(score, 0.95) AS x FROM scores WHERE user_id < 100) SELECT event_type, count(*) AS n, count(*) FILTER (WHERE score > x) AS hits FROM scores, t WHERE user_id >= 100 GROUP BY 1")
 def _(spark, d):
     s = V.scores(spark, d)
-    t = s.where("user_id < 100").agg(F.percentile("score", 0.95).alias("x"))
+    t = Q.percentiles(s.where("user_id < 100"), [], "score", [95.0]).select(F.col("threshold").alias("x"))
     return s.where("user_id >= 100").crossJoin(F.broadcast(t)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > F.col("x")).alias("hits"))
 
 
@@ -252,5 +254,7 @@ def _(spark, d):
 @query("a37_split_summary", "SELECT CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std0, round(quantile_cont(score, 0.99), 6) AS p99, round(quantile_cont(score, 0.995), 6) AS p99_5 FROM scores GROUP BY 1")
 def _(spark, d):
     split = F.when(F.col("user_id") % 3 == 0, "train").when(F.col("user_id") % 3 == 1, "calibration").otherwise("test")
-    q = F.percentile("score", F.array(F.lit(0.99), F.lit(0.995)))
-    return V.scores(spark, d).groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std0"), F.round(q[0], 6).alias("p99"), F.round(q[1], 6).alias(O.percentile_key(99.5)))
+    rows = V.scores(spark, d).withColumn("split", split)
+    sums = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std0"))
+    names = {O.percentile_key(p): p for p in (99.0, 99.5)}
+    return Q.with_percentiles(sums, rows, ["split"], "score", names).select("split", "n", "mean", "std0", *(F.round(c, 6).alias(c) for c in names))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchplan.catalog import streams as S
 from watchplan.catalog.registry import query
 from watchplan.operators import filters as O
+from watchplan.operators.joins import small
 from watchplan.plans import views as V
 from watchplan.streaming import gates
 
@@ -40,7 +41,7 @@ def _(spark, d):
 
 @query("f06_known", "SELECT l.id, p.employee_name IS NOT NULL OR p.visitor_name IS NOT NULL OR p.name IS NOT NULL AS known, l.detected_id IS NOT NULL AS has_id FROM logs l LEFT JOIN people p ON l.detected_id = p.id")
 def _(spark, d):
-    p = F.broadcast(V.people(spark, d).withColumnRenamed("id", "pid"))
+    p = small(V.people(spark, d).withColumnRenamed("id", "pid"))
     known = O.any_of(F.col(c).isNotNull() for c in ("employee_name", "visitor_name", "name"))
     return V.logs(spark, d).join(p, F.col("detected_id") == F.col("pid"), "left").select("id", known.alias("known"), F.col("detected_id").isNotNull().alias("has_id"))
 
@@ -69,7 +70,7 @@ def _(spark, d):
 @query("f11_label_search", "SELECT l.id FROM logs l LEFT JOIN people p ON l.detected_id = p.id LEFT JOIN cameras c ON l.camera_id = c.id WHERE contains(lower(coalesce(p.employee_name, p.visitor_name, p.name, 'Unknown')), '00012') OR contains(lower(coalesce(c.name, '')), '_12')")
 def _(spark, d):
     p, c = V.people(spark, d).withColumnRenamed("id", "pid").withColumnRenamed("name", "person"), V.cameras(spark, d).withColumnRenamed("id", "cid")
-    j = V.logs(spark, d).join(F.broadcast(p), F.col("detected_id") == F.col("pid"), "left").join(F.broadcast(c), F.col("camera_id") == F.col("cid"), "left")
+    j = V.logs(spark, d).join(small(p), F.col("detected_id") == F.col("pid"), "left").join(small(c), F.col("camera_id") == F.col("cid"), "left")
     label = F.lower(F.coalesce("employee_name", "visitor_name", "person", F.lit("Unknown")))
     return j.where(label.contains("00012") | F.lower(F.coalesce("name", F.lit(""))).contains("_12")).select("id")
 

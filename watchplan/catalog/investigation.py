@@ -59,6 +59,12 @@ _CASES: dict[str, tuple[dict, str | None]] = {
     "table_counts": ({}, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())),
     "daily_summary": ({"date": "2024-01-15"}, "SELECT * FROM (SELECT count(*) AS detections, count(*) FILTER (WHERE detected_id IS NULL) AS unknown, count(DISTINCT detected_id) AS people, round(avg(quality), 3) AS avg_quality FROM logs WHERE CAST(ts AS DATE) = DATE '2024-01-15'), (SELECT count(*) AS cases, count(*) FILTER (WHERE status = 'open') AS open_cases FROM cases)"),
     "camera_activity": ({}, f"SELECT x.camera_id, {_CAM} AS camera, x.n, x.unknown FROM (SELECT camera_id, count(*) AS n, count(*) FILTER (WHERE detected_id IS NULL) AS unknown FROM logs WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1) x LEFT JOIN cameras c ON c.id = x.camera_id ORDER BY x.n DESC, x.camera_id LIMIT 20"),
+    "identities": ({"limit": 40, "offset": 3}, "SELECT p.id, p.name, count(v.vec_id) AS embeddings, count(v.vec_id) FILTER (WHERE v.vec_id % 3 = 1) AS authoritative FROM (SELECT * FROM people ORDER BY id DESC LIMIT 40 OFFSET 3) p LEFT JOIN vectors v ON v.label = p.id % 12 GROUP BY 1, 2"),
+    "active_model": ({"gate": "deep"}, "SELECT id, gate, version, activated FROM (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'pose' WHEN 1 THEN 'deep' ELSE 'homography_macro' END AS gate, s_name AS version, s_acctbal > 0 AS active, CASE WHEN s_suppkey % 4 > 0 THEN CAST(floor(s_acctbal / 500) AS BIGINT) END AS activated FROM supplier) WHERE active AND gate = 'deep' ORDER BY activated DESC NULLS LAST, id DESC LIMIT 1"),
+    "primary_threshold": ({"model": 17}, "SELECT p_partkey AS id, p_partkey % 100 AS model, p_size AS percentile, p_retailprice AS value FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 100 = 17 ORDER BY 1 DESC LIMIT 1"),
+    "event_evidence": ({"event_id": 7}, "SELECT r.seq, p.p_name AS object_key, p.p_type AS role, r.price FROM results r JOIN part p ON p.p_partkey = r.part WHERE r.case_id = 7"),
+    "reasoning_jobs_of_event": ({"event_id": 7, "gate": "deep"}, "SELECT case_id, seq, gate, ts, price FROM results WHERE case_id = 7 AND gate = 'deep'"),
+    "reasoning_results_of_event": ({"event_id": 7}, "SELECT case_id, seq, decision, upper(severity) AS severity, price FROM results WHERE case_id = 7 AND decision IS NOT NULL"),
 }
 
 for _name, (_params, _sql) in _CASES.items():

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from watchplan.catalog.registry import query
+from watchplan.operators import chunks as C
 from watchplan.operators import motion as M
 from watchplan.operators import windows as O
 from watchplan.operators.motion import savgol_weights
@@ -49,9 +50,13 @@ def _(spark, d):
 _HITS = f"SELECT *, score > 60 AS hit, sum(CASE WHEN score > 60 THEN 1 ELSE 0 END) OVER {_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS lasting FROM scores"
 
 
+def _chunk():
+    return C.by_time("ts", 864000.0)  # a track's rows of ten days are one task's
+
+
 def _lasting(spark, d):
     rows = V.scores(spark, d).withColumn("hit", F.col("score") > 60)
-    return rows.withColumn("lasting", O.persistent(F.col("hit"), O.track(BY, ORDER), 3, 5))
+    return C.persistent(rows, BY, ORDER, "hit", 3, 5, _chunk(), "lasting")
 
 
 @query("w04_persistence", f"SELECT event_id, lasting FROM ({_HITS})")
@@ -62,7 +67,7 @@ def _(spark, d):
 @query("w05_persistence_current_hit", f"SELECT event_id, lasting AND hit AS lasting FROM ({_HITS})")
 def _(spark, d):
     rows = V.scores(spark, d).withColumn("hit", F.col("score") > 60)
-    return rows.select("event_id", O.persistent(F.col("hit"), O.track(BY, ORDER), 3, 5, now_too=True).alias("lasting"))
+    return C.persistent(rows, BY, ORDER, "hit", 3, 5, _chunk(), "lasting", now_too=True).select("event_id", "lasting")
 
 
 @query("w06_cooldown_events", f"""WITH RECURSIVE h AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS tm, row_number() OVER {_W}) AS n FROM scores WHERE score > 60),
@@ -77,19 +82,19 @@ def _(spark, d):
 @query("w07_gap_sessions", f"""WITH h AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER {_W})) <= 86400000000 THEN 0 ELSE 1 END AS new FROM scores WHERE score > 60),
     s AS (SELECT *, sum(new) OVER {_W}) AS session FROM h) SELECT user_id, event_type, min(ts) AS start, max(ts) AS "end", count(*) AS rows, max(score) AS top, round(avg(score), 9) AS mean FROM s GROUP BY user_id, event_type, session""")
 def _(spark, d):
-    s = O.gap_sessions(V.scores(spark, d).where("score > 60"), BY, ORDER, "ts", 86400.0, "score")
+    s = C.gap_sessions(V.scores(spark, d).where("score > 60"), BY, ORDER, "ts", 86400.0, "score", _chunk())
     return s.select(*BY, "start", "end", "rows", "top", F.round("mean", 9).alias("mean"))
 
 
 @query("w08_rising_edges", f"SELECT event_id FROM (SELECT event_id, lasting AND NOT coalesce(lag(lasting) OVER {_W}), false) AS rises FROM ({_HITS})) WHERE rises")
 def _(spark, d):
-    return _lasting(spark, d).withColumn("rises", O.rising_edge("lasting", O.track(BY, ORDER))).where("rises").select("event_id")
+    return C.rising_edges(_lasting(spark, d), BY, ORDER, "lasting", _chunk(), "rises").where("rises").select("event_id")
 
 
 @query("w09_longest_run", f"""WITH h AS ({_HITS}), i AS (SELECT user_id, event_type, hit, row_number() OVER {_W}) - row_number() OVER (PARTITION BY user_id, event_type, hit ORDER BY ts, event_id) AS run FROM h),
     n AS (SELECT user_id, event_type, hit, run, count(*) AS n FROM i GROUP BY ALL) SELECT user_id, event_type, coalesce(max(n) FILTER (WHERE hit), 0) AS longest FROM n GROUP BY 1, 2""")
 def _(spark, d):
-    return O.longest_run(V.scores(spark, d).withColumn("hit", F.col("score") > 60), BY, ORDER, "hit")
+    return C.longest_run(V.scores(spark, d).withColumn("hit", F.col("score") > 60), BY, ORDER, "hit", _chunk())
 
 
 @query("w10_strided_windows", f"""SELECT user_id, event_type, start_index, ids, total FROM (SELECT user_id, event_type, row_number() OVER {_W}) - 8 AS start_index, list(event_id) OVER {_W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS ids,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchplan.operators.joins import small
+from watchplan.operators.quantiles import with_percentiles
 
 
 def domain(spark: SparkSession, column: str, values: list) -> DataFrame:
@@ -28,14 +29,6 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.bround(F.try_divide(part * 100.0, whole)), F.lit(0.0)).cast("long")
 
 
-def percentiles(df: DataFrame, by: list[str], column: str, points: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation of finite values: (by, point, threshold)."""
-    x = F.col(column)
-    fine = df.where(x.isNotNull() & ~F.isnan(x) & ~x.isin(float("inf"), float("-inf")))
-    got = fine.groupBy(*by).agg(F.percentile(x, F.array(*(F.lit(p / 100) for p in points))).alias("_p"))
-    return got.select(*by, F.explode(F.map_from_arrays(F.array(*map(F.lit, points)), "_p")).alias("point", "threshold"))
-
-
 def percentile_key(point: float) -> str:
     return f"p{point:g}".replace(".", "_")
 
@@ -96,7 +89,8 @@ def abs_correlation(x: str, y: str) -> Column:
     return F.when(enough, F.abs(F.corr(x, y)))
 
 
-def describe(column: str) -> list[Column]:
-    """count, mean, sample and population standard deviation, least, quartiles, most."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.stddev_pop(column).alias("std0"), F.min(column).alias("min"), *(q[k].alias(f"q{k + 1}") for k in range(3)), F.max(column).alias("max")]
+def described(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by, count, mean, std (sample), std0 (population), min, q1, q2, q3, max of each group; quartiles are exact, whatever a group's size."""
+    sums = df.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.stddev_pop(column).alias("std0"), F.min(column).alias("min"), F.max(column).alias("max"))
+    out = with_percentiles(sums, df, by, column, {"q1": 25.0, "q2": 50.0, "q3": 75.0})
+    return out.select(*by, "count", "mean", "std", "std0", "min", "q1", "q2", "q3", "max")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchplan.operators.quantiles import percentiles
+
 
 @dataclass
 class Mixture:
@@ -103,8 +106,11 @@ def aic(mean_ll: float, rows: int, parameters: int) -> float:
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / interquartile range with exact percentiles; without a range, x - median."""
-    q = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(q))  # one row
+    found = []
+    for c in columns:
+        quartiles = F.array(*(F.max(F.when(F.col("point") == p, F.col("threshold"))) for p in (25.0, 50.0, 75.0)))
+        found.append(percentiles(df, [], c, [25.0, 50.0, 75.0]).agg(quartiles.alias(f"_{c}")))
+    out = df.crossJoin(F.broadcast(reduce(lambda a, b: a.crossJoin(b), found)))  # one row
     for c in columns:
         width = F.col(f"_{c}")[2] - F.col(f"_{c}")[0]
         out = out.withColumn(c, (F.col(c) - F.col(f"_{c}")[1]) / F.when(width > 0, width).otherwise(1.0))

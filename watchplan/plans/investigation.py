@@ -325,3 +325,61 @@ def camera_activity(spark, d, days_back: int = 7, limit: object = 20, now: str =
     n = V.logs(spark, d).where(O.all_of([O.since("ts", now, days_back)])).groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("detected_id").isNull()).alias("unknown"))
     rows = _with_camera(n, spark, d).select("camera_id", F.coalesce("camera", F.format_string("Camera %d", "camera_id")).alias("camera"), "n", "unknown")
     return _limited(rows, [F.desc("n"), F.asc("camera_id")], limit, 20, 100)
+
+
+@tool
+def identities(spark, d, limit: object = 50, offset: int = 0):
+    """People with their stored vectors, and how many of these are authoritative; vectors are counted by label before the join."""
+    n = V.vectors(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("embeddings"), F.count_if(F.col("vec_id") % 3 == 1).alias("authoritative"))
+    page = V.people(spark, d).orderBy(F.desc("id")).offset(int(offset)).limit(O.clamp(limit, 50, 500) or 500)
+    return page.join(n, F.col("id") % 12 == F.col("label"), "left").select("id", "name", F.coalesce("embeddings", F.lit(0)).alias("embeddings"), F.coalesce("authoritative", F.lit(0)).alias("authoritative"))
+
+
+def _models(spark, d):
+    key = F.col("s_suppkey")
+    gate = F.when(key % 3 == 0, "pose").when(key % 3 == 1, "deep").otherwise("homography_macro")
+    return V.table(spark, d, "supplier").select(key.alias("id"), gate.alias("gate"), F.col("s_name").alias("version"), (F.col("s_acctbal") > 0).alias("active"), F.when(key % 4 > 0, F.floor(F.col("s_acctbal") / 500)).alias("activated"))
+
+
+@tool
+def active_model(spark, d, gate: str):
+    """The active model of a gate that was activated last (never: last of all), of equals the one with the greatest id."""
+    rows = _models(spark, d).where(F.col("active") & (F.col("gate") == gate))
+    return rows.orderBy(F.desc_nulls_last("activated"), F.desc("id")).limit(1).select("id", "gate", "version", "activated")
+
+
+@tool
+def primary_threshold(spark, d, model: int):
+    key = F.col("p_partkey")
+    rows = V.table(spark, d, "part").select(key.alias("id"), (key % 100).alias("model"), F.col("p_size").alias("percentile"), F.col("p_retailprice").alias("value"), (key % 3 == 0).alias("is_primary"))
+    return rows.where(F.col("is_primary") & (F.col("model") == int(model))).orderBy(F.desc("id")).limit(1).select("id", "model", "percentile", "value")
+
+
+@tool
+def event_evidence(spark, d, event_id: int):
+    """Media of an event's evidence, by rank."""
+    items = V.results(spark, d).where(F.col("case_id") == int(event_id)).select("case_id", "seq", "part", "price")
+    media = V.table(spark, d, "part").select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("object_key"), F.col("p_type").alias("role"))
+    return items.join(media, items["part"] == media["pk"]).orderBy("seq", "price").select("seq", "object_key", "role", "price")
+
+
+def _jobs(spark, d):
+    """Jobs with the metadata that names their event and gate."""
+    meta = F.to_json(F.struct(F.col("case_id").alias("source_gate_event_id"), F.col("gate").alias("source_gate_name")))
+    return V.results(spark, d).withColumn("metadata", meta)
+
+
+def _of_event(event_id: int, gate: str | None) -> Column:
+    same = F.get_json_object("metadata", "$.source_gate_event_id").cast("long") == int(event_id)
+    return same if gate is None else same & (F.get_json_object("metadata", "$.source_gate_name") == gate)
+
+
+@tool
+def reasoning_jobs_of_event(spark, d, event_id: int, gate: str | None = None):
+    return _jobs(spark, d).where(_of_event(event_id, gate)).orderBy(F.desc("ts"), F.desc("price")).select("case_id", "seq", "gate", "ts", "price")
+
+
+@tool
+def reasoning_results_of_event(spark, d, event_id: int):
+    rows = _jobs(spark, d).where(_of_event(event_id, None) & F.col("decision").isNotNull())
+    return rows.orderBy(F.desc("ts"), F.desc("price")).select("case_id", "seq", "decision", F.upper("severity").alias("severity"), "price")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from watchplan.operators.joins import small
 
+#: Rules of all cameras, where the cameras aren't given.
+MOST_RULES = 1000
+
 
 def windowed(events: DataFrame, ts: str, by: str, length: str, slide: str, late: str) -> DataFrame:
     if events.isStreaming:
@@ -18,7 +21,7 @@ def windowed(events: DataFrame, ts: str, by: str, length: str, slide: str, late:
     return n.select(by, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "last_ts")
 
 
-def frequency_alerts(events: DataFrame, rules: DataFrame, ts: str = "ts", by: str = "camera_id", length: str = "60 seconds", slide: str = "30 seconds", late: str = "2 minutes") -> DataFrame:
+def frequency_alerts(events: DataFrame, rules: DataFrame, ts: str = "ts", by: str = "camera_id", length: str = "60 seconds", slide: str = "30 seconds", late: str = "2 minutes", cameras: DataFrame | None = None) -> DataFrame:
     """Windows with more events than a rule of the camera (or of all, camera null) allows.
 
     rules: (rule_id, camera_id, threshold).  They are the static side of the join and read anew in each
@@ -28,8 +31,15 @@ def frequency_alerts(events: DataFrame, rules: DataFrame, ts: str = "ts", by: st
     own = rules.where(F.col(by).isNotNull()).select("rule_id", F.col(by).alias("_c"), "threshold")
     every = rules.where(F.col(by).isNull()).select("rule_id", "threshold")
     out = w.join(small(own), w[by] == own["_c"]).drop("_c").select(*w.columns, "rule_id", "threshold")
-    # rules of all cameras meet every window: a constant is their key, and their side is broadcast if it is small
-    out = out.unionByName(w.withColumn("_k", F.lit(0)).join(small(every.withColumn("_k", F.lit(0))), "_k").select(*w.columns, "rule_id", "threshold"))
+    # a rule of all cameras becomes one for each of them, so that no key has all windows; where cameras aren't given, rules are at most MOST_RULES
+    if cameras is not None:
+        named = every.crossJoin(F.broadcast(cameras.select(F.col(by).alias("_c"))))  # rules are few, cameras a dimension
+        out = out.unionByName(w.join(small(named), w[by] == named["_c"]).drop("_c").select(*w.columns, "rule_id", "threshold"))
+    else:
+        listed = every.groupBy().agg(F.slice(F.collect_list(F.struct("rule_id", "threshold")), 1, MOST_RULES + 1).alias("_rules"))
+        checked = listed.select(F.when(F.size("_rules") > MOST_RULES, F.raise_error(F.lit(f"more than {MOST_RULES} rules of all cameras: name the cameras"))).otherwise(F.col("_rules")).alias("_rules"))
+        wide = w.crossJoin(F.broadcast(checked)).select(*w.columns, F.explode("_rules").alias("_r"))  # one row
+        out = out.unionByName(wide.select(*w.columns, "_r.rule_id", "_r.threshold"))
     return out.where(F.col("n") > F.col("threshold")).withColumn("text", F.format_string("camera %s: %d events (threshold: %d)", F.col(by).cast("string"), "n", "threshold"))
 
 
