@@ -9,7 +9,7 @@ from watchplan import catalog
 #: Iterative or array work that SQL can't say; each has a test of its own against plain code.
 WITHOUT_SQL = {
     "m04_mixture_scores": "test_operators.test_mixture", "m05_information_criteria": "test_operators.test_mixture",
-    "m10_macro_features": "test_motion.test_macro_features", "m11_pose_features": "test_motion.test_pose_features", "m20_pose_energy": "test_motion.test_pose_energy", "j20_iou_tracks": "test_processors.test_tracks_against_plain_code",
+    "m10_macro_features": "test_motion.test_macro_features", "m10b_all_macro_features": "test_motion.test_all_macro_features", "m11_pose_features": "test_motion.test_pose_features", "m20_pose_energy": "test_motion.test_pose_energy", "j20_iou_tracks": "test_processors.test_tracks_against_plain_code",
 }
 
 

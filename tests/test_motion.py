@@ -149,3 +149,55 @@ def test_savgol_as_column(spark):
     got = {(r["t"], r["k"]): r["s"] for r in out.collect()}
     for n, x in tracks.items():
         assert np.allclose([got[n, k] for k in range(n)], M.savgol(x))
+
+
+def plain_all_macro(t, x, y, smooth):
+    """One window, step by step."""
+    n = len(t)
+    valid = [all(math.isfinite(v) for v in p) for p in zip(t, x, y)]
+    if sum(valid) < 2:
+        return None
+    near = [min((j for j in range(n) if valid[j]), key=lambda j: (abs(i - j), j)) for i in range(n)]
+    x, y = np.array([x[j] for j in near]), np.array([y[j] for j in near])
+    if smooth:
+        x, y = (M.savgol(M.median_filtered(z)) for z in (x, y))
+    steps = [(x[i + 1] - x[i], y[i + 1] - y[i], t[i + 1] - t[i]) for i in range(n - 1) if valid[i] and valid[i + 1] and t[i + 1] - t[i] > 1e-6]
+    if not steps:
+        return None
+    used = [s for s in steps if math.hypot(s[0], s[1]) / s[2] <= 3.0] or [(0.0, 0.0, 0.4)]
+    v = [math.hypot(a, b) / d for a, b, d in used]
+    vx, vy, dt = [a / d for a, _, d in used], [b / d for _, b, d in used], [d for *_, d in used]
+    path, away = sum(math.hypot(a, b) for a, b, _ in used), math.hypot(sum(a for a, *_ in used), sum(b for _, b, _ in used))
+    acc = [math.hypot(vx[k] - vx[k - 1], vy[k] - vy[k - 1]) / ((dt[k] + dt[k - 1]) / 2) for k in range(1, len(used))]
+    acc = [a for a in acc if a <= 6.0] or [0.0]
+    turn = [abs(math.atan2(math.sin(d), math.cos(d))) for d in (math.atan2(vy[k], vx[k]) - math.atan2(vy[k - 1], vx[k - 1]) for k in range(1, len(used)))] or [0.0]
+    own = [k for k in range(n) if valid[k]]
+    return [
+        max(t[k] for k in own) - min(t[k] for k in own), away, path, min(1.0, away / path) if path > 1e-9 else 0.0, np.mean(v), np.median(v), np.std(v), max(v), np.percentile(v, 95), np.mean(vx), np.mean(vy), np.std(vx), np.std(vy),
+        np.mean(acc), np.median(acc), max(acc), np.percentile(acc, 95), np.mean(turn), max(turn), np.mean([s <= 0.05 for s in v]), len(own) / n, len(used) / (n - 1), np.mean(dt), max(dt), min(x[own]), max(x[own]), min(y[own]), max(y[own]),
+    ]
+
+
+@pytest.mark.parametrize("smooth", [True, False])
+def test_all_macro_features(spark, smooth):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(120):
+        n = int(rng.choice([2, 3, 5, 8, 16]))
+        t = np.cumsum(rng.choice([0.0, 0.2, 0.4, 0.4, 1.0], n))
+        x, y = np.cumsum(rng.normal(0, 0.5, n)), np.cumsum(rng.normal(0, 0.5, n))
+        x[rng.random(n) < 0.15] = np.nan
+        y[rng.random(n) < 0.05] = np.inf
+        if k % 10 == 0:
+            x = x * 100  # impossible speeds
+        rows.append((k, t.tolist(), x.tolist(), y.tolist()))
+    rows += [(900, [0.0, 1.0], [None, 1.0], [1.0, 2.0]), (901, [1.0, 1.0, 1.0], [0.0, 1.0, 2.0], [0.0] * 3), (902, [1.0], [1.0], [1.0]), (903, [], [], [])]
+    df = spark.createDataFrame(rows, "k long, t array<double>, x array<double>, y array<double>").repartition(3)
+    got = {r["k"]: list(r)[1:] for r in M.all_window_features(df, {"k": "long"}, smooth).collect()}
+    assert len(got) == len(rows)
+    for k, t, x, y in rows:
+        want = plain_all_macro(t, [math.nan if v is None else v for v in x], y, smooth)
+        if want is None:
+            assert got[k] == [None] * 28, k
+        else:
+            assert got[k] == pytest.approx(want, abs=1e-9), k

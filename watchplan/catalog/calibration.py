@@ -118,6 +118,15 @@ def _(spark, d):
     return M.window_features(w, _KEYS)
 
 
+@query("m10b_all_macro_features")
+def _(spark, d):
+    rows = V.scores(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
+    w = _windows(spark, d, ["t", "score", "event_id"], rows)
+    pick = lambda c, scale: F.transform("rows", lambda r: F.when(r["event_id"] % 9 > 0, r[c].cast("double") / scale))
+    w = w.select(*_KEYS, F.transform("rows", lambda r: r["t"].cast("double")).alias("t"), pick("score", 50).alias("x"), pick("event_id", 1000).alias("y"))
+    return M.all_window_features(w, _KEYS)
+
+
 def _poses(spark, d):
     """Windows of 17 made-up points with confidences: t and flat."""
     rows = V.scores(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)

@@ -91,6 +91,96 @@ def macro_features(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, flo
     }
 
 
+#: The offline extractor's features of a window, seven of which are those above.
+MACRO_ALL = [
+    "duration", "displacement", "path_length", "straightness", "speed_mean", "speed_median", "speed_std", "speed_max", "speed_p95", "vx_mean", "vy_mean", "vx_std", "vy_std",
+    "acceleration_mean", "acceleration_median", "acceleration_max", "acceleration_p95", "turn_mean", "turn_max", "stationary", "valid_points", "valid_steps", "dt_mean", "dt_max", "x_min", "x_max", "y_min", "y_max",
+]
+
+
+def _filled(valid: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Values, of many windows (rows), with that of the nearest valid place, the earlier of two, where a place isn't valid."""
+    n = valid.shape[1]
+    at = np.broadcast_to(np.arange(n), valid.shape)
+    before = np.maximum.accumulate(np.where(valid, at, -1), 1)
+    after = np.minimum.accumulate(np.where(valid, at, 2 * n)[:, ::-1], 1)[:, ::-1]
+    from_before = (before >= 0) & (at - before <= after - at)
+    source = np.clip(np.where(from_before, before, after), 0, n - 1)
+    return [np.take_along_axis(v, source, 1) for v in values]
+
+
+def smoothed_windows(v: np.ndarray, size: int = 5, order: int = 2) -> np.ndarray:
+    """median_filtered, then savgol, of many windows (rows) at once: savgol is one matrix for windows of one length."""
+    n = v.shape[1]
+    half = _odd(size, n) // 2
+    wide = np.pad(v, ((0, 0), (half, half)), constant_values=np.nan)
+    v = np.nanmedian(np.stack([wide[:, k : k + n] for k in range(2 * half + 1)]), 0)
+    return v @ np.stack([savgol(row, size, order) for row in np.eye(n)])
+
+
+def macro_windows(t: np.ndarray, x: np.ndarray, y: np.ndarray, smooth: bool = True) -> np.ndarray:
+    """MACRO_ALL of many windows of one length (rows): all at once; NaN where a window has fewer than two valid points or no step in time.
+
+    A point is valid if its place and time are finite; others stand in for smoothing alone.  Steps of impossible speed are left out of
+    all that follows from steps; accelerations and turns are between the steps that are left, impossible accelerations are left out too.
+    Without any step left the window is one standing step of 0.4 seconds.
+    """
+    valid = np.isfinite(t) & np.isfinite(x) & np.isfinite(y)
+    enough = valid.sum(1) >= 2
+    x, y = _filled(valid, np.nan_to_num(x), np.nan_to_num(y))
+    if smooth:
+        x, y = smoothed_windows(x), smoothed_windows(y)
+    dt = np.diff(np.where(valid, t, np.nan), axis=1)
+    ok = valid[:, 1:] & valid[:, :-1] & (dt > 1e-6)
+    enough &= ok.any(1)
+    safe = np.where(ok, dt, 1.0)
+    vx, vy = np.diff(x, axis=1) / safe, np.diff(y, axis=1) / safe
+    speed = np.hypot(vx, vy)
+    used = ok & (speed <= MOST_SPEED)
+    none = ~used.any(1)
+    used[none, 0], vx[none, 0], vy[none, 0], speed[none, 0], safe[none, 0] = True, 0.0, 0.0, 0.0, 0.4
+    only = lambda v, m: np.where(m, v, np.nan)
+    v, ax, ay, own = only(speed, used), only(vx, used), only(vy, used), only(safe, used)
+    path, away = np.nansum(v * own, 1), np.hypot(np.nansum(ax * own, 1), np.nansum(ay * own, 1))
+    # each used step, and the used one before it
+    last = np.maximum.accumulate(np.where(used, np.arange(used.shape[1]), -1), 1)
+    last = np.concatenate([np.full((len(last), 1), -1), last[:, :-1]], 1)
+    pair, at = used & (last >= 0), np.maximum(last, 0)
+    of = lambda z: np.take_along_axis(z, at, 1)
+    a = np.hypot(vx - of(vx), vy - of(vy)) / np.maximum((safe + of(safe)) / 2, 1e-6)
+    a = only(a, pair & (a <= MOST_ACCELERATION))
+    a[np.isnan(a).all(1), 0] = 0.0
+    turn = np.arctan2(vy, vx) - of(np.arctan2(vy, vx))
+    turn = only(np.abs((turn + np.pi) % (2 * np.pi) - np.pi), pair)
+    turn[np.isnan(turn).all(1), 0] = 0.0
+    place, when = (only(z, valid) for z in (x, y)), only(t, valid)
+    px, py = place
+    px, py, when = (np.where(valid.any(1)[:, None], z, 0.0) for z in (px, py, when))
+    out = np.stack([
+        np.nanmax(when, 1) - np.nanmin(when, 1), away, path, np.clip(np.divide(away, path, out=np.zeros_like(path), where=path > 1e-9), 0, 1), np.nanmean(v, 1), np.nanmedian(v, 1), np.nanstd(v, 1), np.nanmax(v, 1), np.nanpercentile(v, 95, axis=1),
+        np.nanmean(ax, 1), np.nanmean(ay, 1), np.nanstd(ax, 1), np.nanstd(ay, 1), np.nanmean(a, 1), np.nanmedian(a, 1), np.nanmax(a, 1), np.nanpercentile(a, 95, axis=1), np.nanmean(turn, 1), np.nanmax(turn, 1),
+        np.nanmean(only(speed <= STANDSTILL, used), 1), valid.mean(1), used.sum(1) / max(1, used.shape[1]), np.nanmean(own, 1), np.nanmax(own, 1), np.nanmin(px, 1), np.nanmax(px, 1), np.nanmin(py, 1), np.nanmax(py, 1),
+    ], 1)
+    out[~enough] = np.nan
+    return out
+
+
+def all_window_features(windows: DataFrame, keys: dict[str, str], smooth: bool = True) -> DataFrame:
+    """MACRO_ALL of windows with arrays t, x, y; null where there are too few valid points or steps.  Windows of one length are one array."""
+    schema = ", ".join([*(f"{k} {v}" for k, v in keys.items()), *(f"{n} double" for n in MACRO_ALL)])
+
+    def run(batches):
+        for pdf in batches:
+            size = pdf["t"].map(len)
+            for n, own in pdf.groupby(size):
+                grid = lambda c, own=own: np.array([[np.nan if v is None else v for v in row] for row in own[c]], float)
+                got = macro_windows(grid("t"), grid("x"), grid("y"), smooth) if n > 1 else np.full((len(own), len(MACRO_ALL)), np.nan)
+                frame = pd.DataFrame(got, columns=MACRO_ALL).astype("Float64")
+                yield pd.concat([own[list(keys)].reset_index(drop=True), frame.mask(np.isnan(got))], axis=1)
+
+    return windows.select(*keys, "t", "x", "y").mapInPandas(run, schema)
+
+
 def _arrow_rows(df: DataFrame, keys: dict[str, str], columns: list[str], names: list[str], made: Callable[..., dict[str, float]], kind: str = "double") -> DataFrame:
     schema = ", ".join([*(f"{k} {v}" for k, v in keys.items()), *(f"{n} {kind}" for n in names)])
 
