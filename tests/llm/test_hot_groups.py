@@ -17,7 +17,8 @@ def without_broadcasts(monkeypatch):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_groups(spark, few_rows, how):
+def test_join_groups(spark, few_rows, monkeypatch, how):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)  # the one large group fits, all groups don't
     rows = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"k{k % 50}" if k % 7 else None) for k in range(600)], "id long, key string").repartition(5)
     groups = rows.where("key <> 'k5'").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_n"))
     got = common.join_groups(rows, groups, "key", 50, how)

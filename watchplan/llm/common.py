@@ -72,14 +72,16 @@ HEAVY_ROWS = 2_000
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, row_bytes: int, how: str = "inner") -> DataFrame:
     """rows joined to groups (one row for each key, `_n` its number of rows), without `_n`; how: inner or left.
 
-    Rows of a large group meet it in a broadcast join (there are at most rows / HEAVY_ROWS such groups, and their size is checked), so
+    Groups are broadcast if they are few.  If not, rows of a large group meet it in a broadcast join (there are at most rows / HEAVY_ROWS such groups, and their size is checked), so
     that no task gets them all; the others are shuffled by key, which holds few of them each.
     """
     groups = groups.withColumnRenamed(key, "_key")
-    heavy = groups.where(F.col("_n") > HEAVY_ROWS)
-    n = heavy.count()
-    light = groups.where(F.col("_n") <= HEAVY_ROWS).drop("_n")
     on = F.col(key) == F.col("_key")
+    count = groups.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > HEAVY_ROWS)).first()
+    if count[0] * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups.drop("_n")), on, how).drop("_key")
+    heavy, n = groups.where(F.col("_n") > HEAVY_ROWS), count[1]
+    light = groups.where(F.col("_n") <= HEAVY_ROWS).drop("_n")
     if n == 0:
         return rows.join(light, on, how).drop("_key")
     known = broadcast_if_small(heavy.drop("_n"), row_bytes, n)
@@ -131,12 +133,14 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
     e, before = written(e, folder, f"{name}-0"), None
     n = e.count()
     for k in range(1, most_rounds + 1 if n else 1):
+        # the tables of a round's steps are written, so that AQE can split a join where one node has a great part of all edges; where there are
+        # no more edges than one task writes, the joins are broadcast ones, and a round is one job
+        step = (lambda df, *_: df) if n <= TASK_ROWS else written
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # the minima are a table of their own, so that AQE can split the join where one node has a great part of all edges
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low", 2 * n)
+        low = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low", 2 * n)
         large = both.where("v > u").join(broadcast_if_small(low, 32, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, folder, f"{name}-{k}-large", n)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{k}-low2", n)
+        large = step(large, folder, f"{name}-{k}-large", n)
+        low = step(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{k}-low2", n)
         small = large.join(broadcast_if_small(low, 32, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), folder, f"{name}-{k}", 2 * n)
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
