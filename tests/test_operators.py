@@ -99,12 +99,6 @@ def test_identity_margin_single_and_empty(spark):
     assert M.identities(top.limit(0), labels).count() == 0
 
 
-def test_auto_learning(spark):
-    rows = [(1, float(t), s, k) for k, (t, s) in enumerate([(0, 0.8), (30, 0.9), (60, 0.9), (61, 0.9), (130, 0.5), (200, 0.9)])]
-    df = spark.createDataFrame(rows, "who long, at double, sim double, id long")
-    assert [r["id"] for r in M.auto_learned(df, "who", ["at", "id"], "at", "sim", 0.75, 60.0, 3, "id").orderBy("id").collect()] == [0, 2, 5]
-
-
 def test_peaks_and_even_sample(spark):
     assert one(spark, ranking.peaks(F.array(*map(F.lit, [0.0, 5.0, 4.0, 0.0, 3.0, 3.0])), 3)) == [1, 5]
     keys = F.array(*map(F.lit, range(16)))

@@ -38,5 +38,5 @@ def test_any_vector_is_found(name, spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["query_id"]: r for r in Q[name](spark, str(tmp_path)).collect() if r.asDict().get("rank", 1) == 1}
     assert set(got) == {0, 50}
-    want = {"m02_cosine_top_k": ("other_id", 50), "m03_knn_mean_distance": ("knn_1", 0.1), "a23_identity_margin": ("label", 2), "r01_identity_decision": ("label", 3)}  # 7 is authoritative[name]
+    want = {"m02_cosine_top_k": ("other_id", 50), "m03_knn_mean_distance": ("knn_1", 0.1), "a23_identity_margin": ("label", 2), "r01_identity_decision": ("label", 3)}[name]  # 7 is authoritative
     assert got[0][want[0]] == pytest.approx(want[1])
