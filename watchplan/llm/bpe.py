@@ -24,9 +24,9 @@ from watchplan.llm.common import texts
 #: Fixed value: the piece pattern of byte-level BPE vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces held in a worker's cache; it starts anew beyond them.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 50_000
 #: Characters whose pieces are encoded at once.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 #: Pieces of so many bytes have a tree of their own.
 LONG_PIECE = 2048
 _NONE = np.iinfo(np.int64).max

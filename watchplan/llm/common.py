@@ -14,7 +14,7 @@ BROADCAST_BYTES = 16 << 20
 #: Rows of a few numbers that one task may write.
 TASK_ROWS = 250_000
 #: Bytes of an Arrow batch where the session sets no bound: documents vary too much in length for a bound in rows.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
