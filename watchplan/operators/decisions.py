@@ -99,17 +99,16 @@ def guarded(df: DataFrame, decision: str, confidence: str, severity: str, action
     said = F.upper(F.coalesce(F.col(decision), F.lit("UNCERTAIN")))
     holds = lambda name: F.coalesce(checks[name], F.lit(False)) if name in checks else F.lit(False)
     names = list(CAPS)
-    forced = F.array_compact(F.array(*(F.when(holds(n), F.lit(n)) for n in names[:FORCED])))
+    forced = {n: holds(n) for n in names[:FORCED]}
     # of those that take a YES back, the first one that holds: after it there is no YES to look at
     taken = F.coalesce(*(F.when(holds(n), F.lit(n)) for n in names[FORCED:] if n != KEEPS))
-    out = df.withColumns({"_said": said, "_forced": forced}).withColumn("_taken", F.when((F.col("_said") == "YES") & (F.size("_forced") == 0), taken))
-    out = out.withColumn("_down", (F.size("_forced") > 0) | F.col("_taken").isNotNull())
-    keeps = F.when((F.col("_said") == "YES") & ~F.col("_down") & holds(KEEPS), F.lit(KEEPS))
-    out = out.withColumn("_hits", F.array_compact(F.concat("_forced", F.array("_taken", keeps))))
-    caps = F.create_map(*(F.lit(x) for pair in CAPS.items() for x in pair))
+    out = df.withColumns({"_said": said, "_any": F.greatest(*forced.values())})
+    out = out.withColumn("_taken", F.when((F.col("_said") == "YES") & ~F.col("_any"), taken))
+    out = out.withColumn("_down", F.col("_any") | F.col("_taken").isNotNull())
+    out = out.withColumn("_keeps", (F.col("_said") == "YES") & ~F.col("_down") & holds(KEEPS))
     start = F.coalesce(F.nullif(F.col(confidence), F.lit(0.0)), F.lit(0.3))
-    least = F.array_min(F.transform("_hits", lambda n: F.element_at(caps, n)))  # null without any
-    out = out.withColumn("guarded_confidence", F.least(F.greatest(start, F.lit(0.0)), F.lit(1.0), least))
+    caps = [F.when(hit, F.lit(CAPS[n])) for n, hit in forced.items()] + [F.when(F.col("_taken") == n, F.lit(CAPS[n])) for n in names[FORCED:] if n != KEEPS] + [F.when(F.col("_keeps"), F.lit(CAPS[KEEPS]))]
+    out = out.withColumn("guarded_confidence", F.least(F.greatest(start, F.lit(0.0)), F.lit(1.0), *caps))  # nulls don't count
     out = out.withColumn("guarded_decision", F.when(F.col("_down"), "UNCERTAIN").otherwise(F.col("_said")))
     first = F.when(F.col("_down"), "LOW").otherwise(F.upper(F.coalesce(F.col(severity), F.lit("LOW"))))
     out = out.withColumn("guarded_severity", severity_of_decision(F.col("guarded_decision"), first))
@@ -117,7 +116,8 @@ def guarded(df: DataFrame, decision: str, confidence: str, severity: str, action
     kept = F.col("guarded_decision").isin("NO", "UNCERTAIN") & (F.col("_wanted") == "save_for_dataset")
     out = out.withColumn("guarded_action", F.when(kept, F.col("_wanted")).otherwise(action_of(F.col("guarded_decision"), F.col("guarded_severity"))))
     changed = F.when(F.col("_wanted") != F.col("guarded_action"), F.lit("RECOMMENDED_ACTION_NORMALIZED"))
-    return out.withColumn("guards", F.array_compact(F.concat("_hits", F.array(changed)))).drop("_said", "_forced", "_taken", "_down", "_hits", "_wanted")
+    listed = [*(F.when(hit, F.lit(n)) for n, hit in forced.items()), F.col("_taken"), F.when(F.col("_keeps"), F.lit(KEEPS)), changed]
+    return out.withColumn("guards", F.array_compact(F.array(*listed))).drop("_said", "_any", "_taken", "_down", "_keeps", "_wanted")
 
 
 def matched_rules(seen: DataFrame, rules: DataFrame) -> DataFrame:
