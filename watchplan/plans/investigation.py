@@ -290,7 +290,8 @@ def reasoning_rules(spark, d, gate: str | None = None, limit: object = 50):
 
 @tool
 def rule_conflicts(spark, d, limit: object = 50):
-    return _limited(J.conflicting_rules(V.rules(spark, d)), [F.asc("a"), F.asc("b")], limit, 50, 200)
+    n, rules = O.clamp(limit, 50, 200), V.rules(spark, d)
+    return J.conflicting_rules(rules).orderBy("a", "b") if n is None else J.first_conflicts(rules, n)
 
 
 @tool
