@@ -10,6 +10,7 @@ Streams need the RocksDB state store: spark.sql.streaming.stateStore.providerCla
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -280,6 +281,16 @@ def live_debounced(samples: DataFrame, fire_at: int, late: str = "10 seconds") -
 ALERTS = "camera_id long, rule_id long, at double, n long, threshold long, text string"
 
 
+def _since(times: list[float], at: float, seconds: float) -> int:
+    """The place of the first of the ascending times that is less than `seconds` before at."""
+    k = bisect_left(times, at - seconds)
+    while k < len(times) and at - times[k] >= seconds:
+        k += 1
+    while k and at - times[k - 1] < seconds:  # at - seconds was rounded
+        k -= 1
+    return k
+
+
 @dataclass(frozen=True)
 class Frequency:
     """More than `threshold` events of a camera within `seconds`, by rules that change; a rule stays silent for `quiet` seconds after an alert.
@@ -302,11 +313,15 @@ class Frequency:
                 raise ValueError(f"rule {rule[0]} over {rule[2]} seconds, more than {self.longest}")
             rules = {k: v for k, v in rules.items() if k != rule[0]} | ({} if rule[1] is None else {rule[0]: rule[1:]})
             return {"rules": rules, "times": times, "sent": sent}, []
-        times = [t for t in times if at - t < self.longest] + [at]
+        # times are in order, so those within a span are all from a place on; the oldest are dropped when they are half of the list, not one by one
+        gone = _since(times, at, self.longest)
+        if 2 * gone >= len(times):
+            del times[:gone]
+        insort(times, at)
         out, sent = [], dict(sent)
         for k in sorted(rules):
             threshold, seconds = rules[k]
-            n = sum(at - t < seconds for t in times)
+            n = len(times) - _since(times, at, seconds)
             if n > threshold and (k not in sent or at - sent[k] >= self.quiet):
                 sent[k] = at
                 out.append((camera, k, at, n, threshold, f"High frequency access: {n} attempts in {seconds:g}s (threshold: {threshold})"))
