@@ -186,13 +186,13 @@ def gate_events(rows: DataFrame, track: list[str], seq: str, at: str, session: s
 
 
 def best_candidate(df: DataFrame, by: list[str], iou: str, distance: str, confidence: str, valid: str, order: str) -> DataFrame:
-    """The candidate with the greatest 3 iou - 2 distance + confidence / 2 + valid / 4, the first among equals, and whether it is accepted.
+    """The candidate with the greatest 3 iou - 2 distance + confidence / 2 + valid / 4, to nine digits, the first among equals, and whether it is accepted.
 
     Rejected: iou below 0.20; more than one candidate and iou < 0.45, confidence < 0.55 or valid < 0.85.
     """
     score = 3 * F.col(iou) - 2 * F.col(distance) + 0.5 * F.col(confidence) + 0.25 * F.col(valid)
     w = Window.partitionBy(*by)
-    top = df.withColumn("score", score).withColumn("candidates", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), order))).where("_r = 1").drop("_r")
+    top = df.withColumn("score", score).withColumn("candidates", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.round("score", 9).desc(), order))).where("_r = 1").drop("_r")
     unsure = (F.col("candidates") > 1) & ((F.col(iou) < 0.45) | (F.col(confidence) < 0.55) | (F.col(valid) < 0.85))
     return top.withColumn("verdict", F.when(F.col(iou) < 0.20, "low_iou").when(unsure, "ambiguous").otherwise("accepted"))
 
