@@ -116,8 +116,9 @@ def lenient_json(c: Column) -> Column:
 
 
 def vector_literal(v: Column, digits: int = 8) -> Column:
-    """[0.12345678,...] with fixed digits."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string(f"%.{digits}f", x)), ","), F.lit("]"))
+    """[0.12345678,...] with fixed digits, each the exact binary number's, halves to even, as printf writes it; format_string rounds the shortest decimal instead."""
+    number = lambda x: F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, number), ","), F.lit("]"))
 
 
 def merged(left: Column, right: Column) -> Column:
