@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -59,22 +60,64 @@ def _off(h: np.ndarray, image: np.ndarray, world: np.ndarray) -> np.ndarray:
     return np.where(good, np.hypot(*(p[:, :2] / np.where(good, p[:, 2], 1.0)[:, None] - world).T), np.inf)
 
 
-def _solved_all(image: np.ndarray, world: np.ndarray) -> np.ndarray:
-    """_solved for many sets of pairs, (n, pairs, 2)."""
-    (x, y), (u, v), one = np.moveaxis(image, -1, 0), np.moveaxis(world, -1, 0), np.ones(image.shape[:2])
-    zero = 0 * one
-    rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)], 1)
-    h = np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
-    last = h[:, 2:, 2:]
-    return h / np.where(np.abs(last) > 1e-12, last, 1.0)
+@lru_cache(maxsize=256)
+def _fours(n: int, tries: int, seed: int) -> np.ndarray:
+    """The fours of n pairs that `tries` seeded draws give, each once, in order of their first draw."""
+    four = np.random.default_rng(seed).random((tries, n)).argsort(1)[:, :4]
+    return four[np.sort(np.unique(np.sort(four, 1), axis=0, return_index=True)[1])]
 
 
-def _off_all(h: np.ndarray, image: np.ndarray, world: np.ndarray) -> np.ndarray:
-    """_off for many homographies, (n, pairs)."""
-    p = np.c_[image, np.ones(len(image))] @ h.transpose(0, 2, 1)
+def _through_fours(image: np.ndarray, world: np.ndarray) -> np.ndarray:
+    """The homographies through four pairs each, (..., 4, 2): (..., 3, 3), of greatest entry 1; zero where three points are on a line.
+
+    Point 4 in terms of the other three gives each plane's own coordinates; the map goes from the one to the other.
+    """
+
+    def base(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = np.concatenate([p, np.ones((*p.shape[:-1], 1))], -1)
+        across = np.stack([np.cross(q[..., (k + 1) % 3, :], q[..., (k + 2) % 3, :]) for k in range(3)], -2)
+        return q[..., :3, :], across, (across * q[..., 3:, :]).sum(-1)
+
+    _q, across, own = base(image)
+    q, _across, other = base(world)
+    scale = np.stack([other[..., k] * own[..., (k + 1) % 3] * own[..., (k + 2) % 3] for k in range(3)], -1)
+    h = np.swapaxes(q * scale[..., None], -1, -2) @ across
+    most = np.abs(h).max((-1, -2), keepdims=True)
+    return h / np.where(most > 0, most, 1.0)
+
+
+def agreeing(image: np.ndarray, world: np.ndarray, ransac: float, tries: int = 500, seed: int = 0) -> np.ndarray:
+    """Of many groups of n pairs each, (groups, n, 2): which pairs are within ransac of the fit to four pairs that has the most of them."""
+    n, out = image.shape[1], np.zeros(image.shape[:2], bool)
+    four = _fours(n, tries, seed)
+    step = max(1, 200_000 // (len(four) * n))
+    for at in range(0, len(image), step):
+        a, b = image[at : at + step], world[at : at + step]
+        h = _through_fours(a[:, four], b[:, four]).reshape(len(a), -1, 3)
+        p = (h @ np.swapaxes(np.concatenate([a, np.ones((*a.shape[:2], 1))], -1), 1, 2)).reshape(len(a), len(four), 3, n)
+        w = p[:, :, 2]
+        off = (p[:, :, 0] - b[:, None, :, 0] * w) ** 2 + (p[:, :, 1] - b[:, None, :, 1] * w) ** 2
+        near = (off <= (ransac * w) ** 2) & (np.abs(w) > 1e-12)
+        out[at : at + step] = near[np.arange(len(a)), near.sum(2).argmax(1)]
+    return out
+
+
+def fitted(image: np.ndarray, world: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(h, off) of many groups of n pairs each: the homographies fitted to the pairs inside, and all pairs' residuals; NaN for fewer than four inside."""
+    h, count = np.full((len(image), 3, 3), np.nan), inside.sum(1)
+    order = np.argsort(~inside, 1, kind="stable")
+    for k in np.unique(count[count >= 4]):
+        at = np.flatnonzero(count == k)
+        (x, y), (u, v) = (np.moveaxis(np.take_along_axis(p[at], order[at, :k, None], 1), -1, 0) for p in (image, world))
+        one, zero = np.ones_like(x), np.zeros_like(x)
+        rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)], 1)
+        own = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3)
+        last = own[:, 2:, 2:]
+        h[at] = own / np.where(np.abs(last) > 1e-12, last, 1.0)
+    p = np.concatenate([image, np.ones((*image.shape[:2], 1))], -1) @ np.swapaxes(h, 1, 2)
     good = np.abs(p[..., 2]) > 1e-12
     d = p[..., :2] / np.where(good, p[..., 2], 1.0)[..., None] - world
-    return np.where(good, np.hypot(d[..., 0], d[..., 1]), np.inf)
+    return h, np.where(good, np.hypot(d[..., 0], d[..., 1]), np.inf)
 
 
 def homography(image: list[tuple[float, float]], world: list[tuple[float, float]], ransac: float | None = None, tries: int = 500, seed: int = 0) -> tuple[list[list[float]], dict[str, float]]:
@@ -88,10 +131,7 @@ def homography(image: list[tuple[float, float]], world: list[tuple[float, float]
     a, b = np.array(image, float), np.array(world, float)
     inside = np.ones(len(a), bool)
     if ransac is not None:
-        rng = np.random.default_rng(seed)
-        four = rng.random((tries, len(a))).argsort(1)[:, :4]  # four pairs for each try, all tries at once
-        near = _off_all(_solved_all(a[four], b[four]), a, b) <= ransac
-        inside = near[near.sum(1).argmax()]
+        inside = agreeing(a[None], b[None], ransac, tries, seed)[0]
         if inside.sum() < 4:
             raise ValueError("no four pairs agree")
     h = _solved(a[inside], b[inside])
