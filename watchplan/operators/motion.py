@@ -91,6 +91,53 @@ def macro_features(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, flo
     }
 
 
+def _summed_up(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, median, 95th percentile, maximum) of each row without its NaNs; 0 for a row without any other."""
+    s = np.sort(v, axis=1)  # NaNs come last
+    n = np.isfinite(s).sum(1)
+    safe, some = np.maximum(n, 1), n > 0
+
+    def at(share: float) -> np.ndarray:
+        place = share * (safe - 1)
+        low = np.floor(place).astype(int)
+        a, b = (np.take_along_axis(s, k[:, None], 1)[:, 0] for k in (low, np.minimum(low + 1, safe - 1)))
+        return np.where(some, a + (b - a) * (place - low), 0.0)
+
+    return np.where(some, np.nansum(v, 1) / safe, 0.0), at(0.5), at(0.95), at(1.0)
+
+
+def _before(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place of a row: the place of the last used one before it (0 without any), and whether both are used."""
+    last = np.maximum.accumulate(np.where(used, np.arange(used.shape[1]), -1), 1)
+    last = np.concatenate([np.full((len(last), 1), -1), last[:, :-1]], 1)
+    return np.maximum(last, 0), used & (last >= 0)
+
+
+def many_macro_features(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """macro_features of many windows of one length (rows), whose numbers are all finite: MACRO by column."""
+    only = lambda v, m: np.where(m, v, np.nan)
+    dt, dx, dy = np.diff(t), np.diff(x), np.diff(y)
+    kept = dt > 1e-6
+    own = np.where(kept, dt, 1.0)
+    speed = np.hypot(dx, dy) / own
+    used = kept & np.isfinite(speed) & (speed <= MOST_SPEED)
+    v = only(speed, used)
+    v[~used.any(1), :1] = 0.0
+    at, pair = _before(used)
+    of = lambda z: np.take_along_axis(z, at, 1)
+    vx, vy = dx / own, dy / own
+    a = np.hypot(vx - of(vx), vy - of(vy)) / (0.5 * (own + of(own)))
+    a = only(a, pair & np.isfinite(a) & (a <= MOST_ACCELERATION))
+    path = np.where(used, np.hypot(dx, dy), 0.0).sum(1)
+    away = np.hypot(np.where(used, dx, 0.0).sum(1), np.where(used, dy, 0.0).sum(1))
+    at, pair = _before(kept)
+    way = np.arctan2(dy, dx)
+    turn = only(np.abs((way - np.take_along_axis(way, at, 1) + np.pi) % (2 * np.pi) - np.pi), pair)
+    mean, median, p95, _most = _summed_up(v)
+    straight = np.minimum(1.0, np.divide(away, path, out=np.zeros_like(path), where=path > 1e-9))
+    return np.stack([mean, median, p95, _summed_up(a)[2], straight, _summed_up(turn)[0], (v < STANDSTILL).sum(1) / np.isfinite(v).sum(1)], 1)
+
+
 #: The offline extractor's features of a window, seven of which are those above.
 MACRO_ALL = [
     "duration", "displacement", "path_length", "straightness", "speed_mean", "speed_median", "speed_std", "speed_max", "speed_p95", "vx_mean", "vy_mean", "vx_std", "vy_std",
@@ -181,13 +228,28 @@ def all_window_features(windows: DataFrame, keys: dict[str, str], smooth: bool =
     return windows.select(*keys, "t", "x", "y").mapInPandas(run, schema)
 
 
-def _arrow_rows(df: DataFrame, keys: dict[str, str], columns: list[str], names: list[str], made: Callable[..., dict[str, float]], kind: str = "double") -> DataFrame:
+def _arrow_rows(df: DataFrame, keys: dict[str, str], columns: list[str], names: list[str], made: Callable[..., dict], many: Callable[..., np.ndarray], least: int, kind: str = "double") -> DataFrame:
+    """made() of each window; windows of one length (`least` points or more) whose numbers are all finite go to many() at once, as arrays."""
     schema = ", ".join([*(f"{k} {v}" for k, v in keys.items()), *(f"{n} {kind}" for n in names)])
 
     def run(batches):
         for pdf in batches:
-            out = [{k: row[k] for k in keys} | made(*(row[c] for c in columns)) for row in pdf.to_dict("records")]
-            yield pd.DataFrame(out, columns=[*keys, *names])
+            if not len(pdf):
+                continue
+            lengths = np.array([[-1 if v is None else len(v) for v in pdf[c]] for c in columns])
+            for sizes in np.unique(lengths, axis=1).T:
+                own = pdf[(lengths == sizes[:, None]).all(0)]
+                whole = np.zeros(len(own), bool)
+                if sizes.min() >= least:
+                    grids = [np.array(own[c].to_list(), float) for c in columns]
+                    whole = np.logical_and.reduce([np.isfinite(g).all(1) for g in grids])
+                if whole.any():
+                    got = many(*(g[whole] for g in grids))
+                    frame = own.loc[whole, list(keys)].reset_index(drop=True)
+                    yield pd.concat([frame, pd.DataFrame(got, columns=names) if kind == "double" else pd.DataFrame({names[0]: list(got)})], axis=1)
+                if not whole.all():
+                    out = [{k: row[k] for k in keys} | made(*(row[c] for c in columns)) for row in own[~whole].to_dict("records")]
+                    yield pd.DataFrame(out, columns=[*keys, *names])
 
     return df.select(*keys, *columns).mapInPandas(run, schema)
 
@@ -199,7 +261,10 @@ def window_features(windows: DataFrame, keys: dict[str, str], smooth: bool = Tru
         t, x, y = (np.asarray(v, float) for v in (t, x, y))
         return macro_features(t, *((savgol(median_filtered(z)) for z in (x, y)) if smooth else (x, y)))
 
-    return _arrow_rows(windows, keys, ["t", "x", "y"], MACRO, made)
+    def many(t, x, y) -> np.ndarray:
+        return many_macro_features(t, *((smoothed_windows(z) for z in (x, y)) if smooth else (x, y)))
+
+    return _arrow_rows(windows, keys, ["t", "x", "y"], MACRO, made, many, 3)
 
 
 def pose_series(t: np.ndarray, points: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
@@ -258,9 +323,54 @@ def pose_features(t, flat, least: float = 0.3) -> dict[str, float]:
     return out
 
 
+def many_pose_features(t: np.ndarray, flat: np.ndarray, least: float = 0.3) -> np.ndarray:
+    """pose_features of many windows of one length (rows), whose numbers are all finite: POSE by column."""
+    frames = flat.reshape(*t.shape, 17, 3)
+    points, confidence = frames[..., :2], frames[..., 2]
+    valid = confidence >= least
+    only = lambda v, m: np.where(m, v, np.nan)
+    dt = np.diff(t)
+    ok = dt > 1e-6
+    safe = np.where(ok, dt, 1.0)
+    size = lambda v: np.hypot(v[..., 0], v[..., 1])
+    moved = only(size(np.diff(points, axis=1)) / safe[..., None], valid[:, 1:] & valid[:, :-1] & ok[..., None])
+    limbs = sorted({*LEFT, *RIGHT})
+
+    def middle(which: tuple[int, ...]) -> np.ndarray:
+        n = valid[:, :, which].sum(2)
+        total = np.where(valid[:, :, which, None], points[:, :, which], 0.0).sum(2)
+        return only(total / np.maximum(1, n)[..., None], (n > 0)[..., None])
+
+    def mean(v: np.ndarray) -> np.ndarray:
+        n = np.isfinite(v).sum(-1)
+        return only(np.nansum(v, -1) / np.maximum(1, n), n > 0)
+
+    shoulder, hip = middle(SHOULDERS), middle(HIPS)
+    change = lambda v: np.abs(np.diff(v, axis=1)) / safe
+    trunk = shoulder - hip
+    angle = np.diff(np.arctan2(trunk[..., 1], trunk[..., 0]), axis=1)
+    reach = np.stack([only(size(points[:, :, a] - points[:, :, b]), valid[:, :, a] & valid[:, :, b]) for a, b in zip(SHOULDERS, WRISTS, strict=True)], -1)
+    faster = []  # of each limb: changes of speed between the frames in which it has one
+    for k in limbs:
+        v = moved[:, :, k]
+        at, pair = _before(np.isfinite(v))
+        gap = t[:, 1:] - np.take_along_axis(t[:, 1:], at, 1)
+        pair &= gap > 1e-6
+        faster.append(only(np.abs(v - np.take_along_axis(v, at, 1)) / np.where(pair, gap, 1.0), pair))
+    uneven = np.abs(mean(moved[:, :, LEFT]) - mean(moved[:, :, RIGHT]))
+    series = [moved[:, :, WRISTS], moved[:, :, ANKLES], moved[:, :, limbs], np.concatenate(faster, 1), *(only(v, ok) for v in (
+        size(np.diff((shoulder + hip) / 2, axis=1)) / safe, np.abs((angle + np.pi) % (2 * np.pi) - np.pi) / safe, change(np.abs(trunk[..., 1])), change(mean(reach)), uneven))]
+    n = valid.sum((1, 2))
+    out = [(valid.sum(2) >= 5).mean(1), np.where(valid, confidence, 0.0).sum((1, 2)) / np.maximum(1, n), valid.mean((1, 2))]
+    for v in series:
+        average, _median, p95, most = _summed_up(v.reshape(len(t), -1))
+        out += [average, p95, most]
+    return np.stack(out, 1)
+
+
 def pose_windows(windows: DataFrame, keys: dict[str, str]) -> DataFrame:
     """pose_features of windows with arrays t and flat."""
-    return _arrow_rows(windows, keys, ["t", "flat"], POSE, lambda t, flat: pose_features(np.asarray(t, float), np.asarray(flat, float)))
+    return _arrow_rows(windows, keys, ["t", "flat"], POSE, lambda t, flat: pose_features(np.asarray(t, float), np.asarray(flat, float)), many_pose_features, 2)
 
 
 def pose_energy(before: np.ndarray, now: np.ndarray, trusted: np.ndarray) -> float:
@@ -280,6 +390,31 @@ def pose_energy(before: np.ndarray, now: np.ndarray, trusted: np.ndarray) -> flo
     return float(moved[trusted].mean() + 0.5 * more)
 
 
+def many_pose_energies(before: np.ndarray, now: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+    """pose_energy of many pairs of frames, (..., 17, 2), whose numbers are all finite."""
+    n = trusted.sum(-1)
+    safe = np.maximum(n, 1)
+
+    def at(v: np.ndarray, share: float) -> np.ndarray:
+        s, place = np.sort(np.where(trusted, v, np.inf), -1), share * (safe - 1)
+        low = np.floor(place).astype(int)
+        a, b = (np.take_along_axis(s, k[..., None], -1)[..., 0] for k in (low, np.minimum(low + 1, safe - 1)))
+        a, b = (np.where(n > 0, v, 0.0) for v in (a, b))
+        return a + (b - a) * (place - low)
+
+    length = lambda v: np.hypot(v[..., 0], v[..., 1])
+    mid = np.stack([at(before[..., k], 0.5) for k in (0, 1)], -1)
+    size = np.maximum(1.0, at(length(before - mid[..., None, :]), 0.75))
+    moved = length(now - before) / size[..., None]
+    middle = lambda p, which: p[..., list(which), :].mean(-2)
+    trunk = lambda p: middle(p, SHOULDERS) - middle(p, HIPS)
+    way = lambda v: np.arctan2(v[..., 1], v[..., 0])
+    turn = way(trunk(now)) - way(trunk(before))
+    torso = length(middle(now, SHOULDERS + HIPS) - middle(before, SHOULDERS + HIPS)) / size
+    more = torso + np.abs(np.arctan2(np.sin(turn), np.cos(turn))) + 0.5 * moved[..., list(WRISTS)].mean(-1) + 0.5 * moved[..., list(ANKLES)].mean(-1)
+    return np.where(n > 0, np.where(trusted, moved, 0.0).sum(-1) / safe + 0.5 * more, 0.0)
+
+
 def pose_energies(windows: DataFrame, keys: dict[str, str], least: float = 0.3) -> DataFrame:
     """energies: pose_energy of each frame of a window but the first, of windows with an array flat as in pose_features."""
 
@@ -288,7 +423,12 @@ def pose_energies(windows: DataFrame, keys: dict[str, str], least: float = 0.3)
         pairs = zip(frames[:-1], frames[1:], strict=True)
         return {"energies": [pose_energy(a[:, :2], b[:, :2], np.minimum(a[:, 2], b[:, 2]) >= least) for a, b in pairs]}
 
-    return _arrow_rows(windows, keys, ["flat"], ["energies"], made, "array<double>")
+    def many(flat) -> np.ndarray:
+        frames = flat.reshape(len(flat), -1, 17, 3)
+        a, b = frames[:, :-1], frames[:, 1:]
+        return many_pose_energies(a[..., :2], b[..., :2], np.minimum(a[..., 2], b[..., 2]) >= least)
+
+    return _arrow_rows(windows, keys, ["flat"], ["energies"], made, many, 102, "array<double>")
 
 
 def box_transition(box: tuple[str, str, str, str], w: WindowSpec) -> Column:
