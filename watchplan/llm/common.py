@@ -9,8 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides with fewer bytes than this (an upper estimate from a row count) may be broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Sides of narrow rows with fewer bytes than this (an estimate from a row count) may be broadcast.  The driver builds each as a hash table of
+#: three to five times that, several at once, and keeps old ones until they are cleaned.
+BROADCAST_BYTES = 4 << 20
+#: The same for the one side of a join whose other side would be shuffled with its texts.
+TEXT_JOIN_BYTES = 16 << 20
 #: Rows of a few numbers that one task may write.
 TASK_ROWS = 250_000
 #: Bytes of an Arrow batch where the session sets no bound: documents vary too much in length for a bound in rows.
@@ -59,10 +62,13 @@ def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit BROADCAST_BYTES; else as it is, for a shuffled join."""
+def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows fit `most` bytes (BROADCAST_BYTES), else with one for a sorted, shuffled join.
+
+    Left to itself Spark goes by a table's compressed files, of which a few MB can be millions of rows.
+    """
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * row_bytes <= (BROADCAST_BYTES if most is None else most) else df.hint("merge")
 
 
 #: Groups of more rows than this are known everywhere instead of being gathered by their key.
@@ -83,11 +89,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, row_bytes: int, ho
     heavy, n = groups.where(F.col("_n") > HEAVY_ROWS), count[1]
     light = groups.where(F.col("_n") <= HEAVY_ROWS).drop("_n")
     if n == 0:
-        return rows.join(light, on, how).drop("_key")
+        return rows.join(light.hint("merge"), on, how).drop("_key")
     known = broadcast_if_small(heavy.drop("_n"), row_bytes, n)
     first = rows.join(known, on).drop("_key")
     rest = rows.join(known.select("_key"), on, "left_anti")
-    return first.unionByName(rest.join(light, on, how).drop("_key"))
+    return first.unionByName(rest.join(light.hint("merge"), on, how).drop("_key"))
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -134,8 +140,8 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
     n = e.count()
     for k in range(1, most_rounds + 1 if n else 1):
         # the tables of a round's steps are written, so that AQE can split a join where one node has a great part of all edges; where there are
-        # no more edges than one task writes, the joins are broadcast ones, and a round is one job
-        step = (lambda df, *_: df) if n <= TASK_ROWS else written
+        # few enough edges that all joins are broadcast ones, a round is one job
+        step = (lambda df, *_: df) if 2 * n * 32 <= BROADCAST_BYTES else written
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-{k}-low", 2 * n)
         large = both.where("v > u").join(broadcast_if_small(low, 32, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

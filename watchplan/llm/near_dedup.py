@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchplan.llm.common import broadcast_if_small, components, forest_roots, join_groups, texts, workspace, written
+from watchplan.llm.common import TEXT_JOIN_BYTES, broadcast_if_small, components, forest_roots, join_groups, texts, workspace, written
 
 #: Groups a collection, minhashes a group: 100 tables of 4 from 40 minhashes.  A pair of likeness 0.8
 #: is missed with probability 1 - (1 - (1 - 0.8**2)**10)**2 < 1e-4, more alike pairs far less often.
@@ -108,7 +108,7 @@ def candidate_edges(classes: DataFrame, folder: str) -> DataFrame:
     first = F.expr("min(nid) over (partition by key)")
     stars = written(rows.withColumn("first", first).where("first <> nid").select("first", "nid").distinct(), folder, "stars")
     sig = classes.select("nid", "sig")
-    both = stars.join(sig, "nid").join(sig.select(F.col("nid").alias("first"), F.col("sig").alias("first_sig")), "first")
+    both = stars.join(sig.hint("merge"), "nid").join(sig.select(F.col("nid").alias("first"), F.col("sig").alias("first_sig")).hint("merge"), "first")
     edges = both.select(F.col("first").alias("a"), F.col("nid").alias("b"), F.pandas_udf(_agreement, "double")("sig", "first_sig").alias("agreement"))
     return written(edges.where(F.col("agreement") >= LEAST_AGREEMENT), folder, "edges")
 
@@ -275,17 +275,19 @@ def _roots(docs: DataFrame, classes: DataFrame, folder: str, words: int, percent
     sets = _full_sets(docs, owners(edges, classes, folder), words, folder)
     parts = forest_roots(sure_edges(sets, percent), folder, "parts")
     # candidates that are still apart: edges between parts, and the clusters of parts that these make
-    up = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"{c}_part"))
+    n_parts = parts.count()
+    up = lambda c: broadcast_if_small(parts.select(F.col("node").alias(c), F.col("root").alias(f"{c}_part")), 32, n_parts)
     apart = edges.select("a", "b").join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).where("a <> b")
     clusters = components(apart, folder, "clusters")
     clusters = clusters.select(F.col("node").alias("part"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("part"), F.col("root").alias("cluster")).distinct())
     clusters = broadcast_if_small(written(clusters, folder, "open"), 24)
-    located = written(sets.select("nid", "n_shingles").join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "n_shingles", F.coalesce("root", "nid").alias("part")).join(clusters, "part"), folder, "located")
+    located = written(sets.select("nid", "n_shingles").join(broadcast_if_small(parts.withColumnRenamed("node", "nid"), 32, n_parts), "nid", "left").select("nid", "n_shingles", F.coalesce("root", "nid").alias("part")).join(clusters, "part"), folder, "located")
     met = written(blocks_of_parts(located, folder, percent), folder, "met")
     mine = sets.join(broadcast_if_small(met.select("nid").distinct(), 16), "nid", "left_semi")
     more = components(verified_edges(met, mine, percent), folder, "links").select(F.col("node").alias("part"), F.col("root").alias("more"))
+    known = broadcast_if_small(more, 32)
     out = parts.withColumnRenamed("root", "part").unionByName(more.select(F.col("part").alias("node"), "part"))  # parts' own roots may go on, too
-    return out.join(more, "part", "left").select(F.col("node").alias("nid"), F.coalesce("more", "part").alias("root")).where("nid <> root")
+    return out.join(known, "part", "left").select(F.col("node").alias("nid"), F.coalesce("more", "part").alias("root")).where("nid <> root")
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -326,7 +328,7 @@ def _full_sets(docs: DataFrame, owner: DataFrame, words: int, folder: str) -> Da
 
     # a null leader goes as 0 with has false: pandas would make floats of the column
     few = owner.select("nid", F.coalesce("leader", F.lit(0)).alias("leader"), F.col("leader").isNotNull().alias("has"), "salt", "salts", F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha"))
-    joined = _hashed(docs).join(broadcast_if_small(few, 150), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")))
+    joined = _hashed(docs).join(broadcast_if_small(few, 150, most=TEXT_JOIN_BYTES), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")))
     sets = written(joined.select("nid", "leader", "has", "salt", "salts", "text").mapInPandas(run, "nid long, n_shingles long, leader long, salt int, salts int, words binary"), folder, "sets")
     twice = sets.groupBy("nid").count().where("count > 1")  # made by several tasks; ids alone are shuffled to see it
     return sets if twice.isEmpty() else written(sets.dropDuplicates(["nid"]), folder, "sets-once")
@@ -346,10 +348,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     gone = written(both.groupBy("doc_id", "sha").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), workspace(docs.sparkSession), "gone")
     gone_side = gone.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
-    left = docs.join(broadcast_if_small(gone_side, 150), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    left = docs.join(broadcast_if_small(gone_side, 150, most=TEXT_JOIN_BYTES), docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
     twice = gone.where("stays").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
     if twice.isEmpty():
         return left
     again = docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha"))
-    twice = broadcast_if_small(twice, 150)
+    twice = broadcast_if_small(twice, 150, most=TEXT_JOIN_BYTES)
     return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
