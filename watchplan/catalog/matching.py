@@ -8,7 +8,7 @@ from watchplan.catalog.registry import query
 from watchplan.operators import inverted as I
 from watchplan.operators import matching as O
 from watchplan.plans import views as V
-from watchplan.sources.shared import folder
+from watchplan.sources.shared import bound_batches, folder
 
 #: The stated set of queries, which meets all other vectors.
 _Q = "vec_id % 50 = 0"
@@ -19,6 +19,7 @@ _PAIRS = f"FROM vectors q, vectors g WHERE q.{_Q} AND g.vec_id <> q.vec_id"
 
 
 def _parts(spark, d):
+    bound_batches(spark)  # a pair of blocks is megabytes
     v = V.vectors(spark, d)
     return v.where(_Q), v
 
@@ -118,8 +119,7 @@ def _(spark, d):
 
 @query("t05_vector_top_k_of_many", f"SELECT query_id, other_id FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, g.vec_id) AS rank FROM vectors q, vectors g WHERE q.{_Q} AND g.vec_id <> q.vec_id) WHERE rank <= 3")
 def _(spark, d):
-    v = V.vectors(spark, d)
-    return O.nearest(v.where(_Q), v, 3).select("query_id", "other_id")
+    return O.nearest(*_parts(spark, d), 3).select("query_id", "other_id")
 
 
 _EXACT = f"SELECT query_id, other_id, round(s, 6) AS {{value}}, rank FROM (SELECT q.vec_id AS query_id, g.vec_id AS other_id, {{s}} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({{s}}, 12) {{way}}, g.vec_id) AS rank {_PAIRS}) WHERE rank <= 10"

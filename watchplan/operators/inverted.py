@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchplan.operators.joins import small
-from watchplan.operators.matching import BLOCK, best_of, costs, ranked
+from watchplan.operators.matching import BLOCK, best_in_blocks, costs, one_by_one, ranked
 from watchplan.sources.shared import written
 
 #: Bounds of the sample that the centres are fitted to: vectors for each list, and bytes of all.
@@ -155,13 +156,11 @@ def _met(probed: DataFrame, index: Index, k: int) -> DataFrame:
     few = max(1, BROADCAST_BYTES // (8 * BLOCK * index.centres.shape[1]))  # each row is a block of vectors
     pairs = index.blocks.join(small(q, few), "list").select("q_ids", "q_vectors", "ids", "vectors")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qi, qv, gi, gv in pdf.itertuples(index=False, name=None):
-                a, b = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((qv, qi), (gv, gi)))
-                yield best_of(np.asarray(qi), np.asarray(gi), *costs(a, b, metric), k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in best_in_blocks(one_by_one(batches), metric, k):
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    return pairs.mapInPandas(run, "query_id long, other_id long, value double")
+    return pairs.mapInArrow(run, "query_id long, other_id long, value double")
 
 
 def search(queries: DataFrame, index: Index, k: int, folder: str, probes: int = 8, exact: bool = False, key: str = "vec_id", vector: str = "v") -> DataFrame:

@@ -13,11 +13,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block, and blocks of queries that are broadcast at once.
 BLOCK, CHUNK = 2048, 8
+#: Costs that a task holds at once, of each kind.
+CELLS = 1 << 19
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,11 +76,33 @@ def costs(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.nda
 
 def best_of(query_ids: np.ndarray, ids: np.ndarray, value: np.ndarray, cost: np.ndarray, k: int) -> pd.DataFrame:
     """query_id, other_id, value of the k least costs of each row, itself left out; ties by id."""
-    cost = np.where(query_ids[:, None] == ids[None, :], np.inf, cost)
-    order = np.lexsort((np.broadcast_to(ids, cost.shape), np.round(cost, 12)), axis=1)[:, : min(k, len(ids))]
-    rows, cols = np.repeat(np.arange(len(query_ids)), order.shape[1]), order.ravel()
-    ok = np.isfinite(cost[rows, cols])
-    return pd.DataFrame({"query_id": query_ids[rows][ok], "other_id": ids[cols][ok], "value": value[rows, cols][ok]})
+    cost = np.round(np.where(query_ids[:, None] == ids[None, :], np.inf, cost), 12)
+    last = np.partition(cost, k - 1, axis=1)[:, k - 1 : k] if k < len(ids) else np.inf
+    rows, cols = np.nonzero((cost <= last) & np.isfinite(cost))
+    order = np.lexsort((ids[cols], cost[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    ok = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    rows, cols = rows[ok], cols[ok]
+    return pd.DataFrame({"query_id": query_ids[rows], "other_id": ids[cols], "value": value[rows, cols]})
+
+
+def best_in_blocks(pairs: Iterator[tuple], metric: str, k: int) -> Iterator[pd.DataFrame]:
+    """best_of the block pairs (query ids, query vectors, ids, vectors, ...), followed by what else a pair has, CELLS costs at once."""
+    for qi, qv, gi, gv, *more in pairs:
+        a, b = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((qv, qi), (gv, gi)))
+        qi, gi = np.asarray(qi), np.asarray(gi)
+        step = max(1, CELLS // max(1, len(b)))
+        for at in range(0, len(a), step):
+            out = best_of(qi[at : at + step], gi, *costs(a[at : at + step], b, metric), k)
+            yield out.assign(first=more[0]) if more else out
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, each made into Python values alone."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1)
+            yield tuple(c[0].as_py() if not pa.types.is_list(c.type) else c.flatten().to_numpy() for c in row.columns)
 
 
 def ranked(best: DataFrame, k: int, metric: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -108,17 +133,14 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosin
     chunks = [g.drop("g_block").crossJoin(F.broadcast(q.where(F.floor(F.col("q_block") / CHUNK) == k).drop("q_block"))) for k in range(-(-q_blocks // CHUNK))]
     pairs = reduce(DataFrame.unionByName, chunks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qi, qv, gi, gv, *kind in pdf.itertuples(index=False, name=None):
-                a, b = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((qv, qi), (gv, gi)))
-                out = best_of(np.asarray(qi), np.asarray(gi), *costs(a, b, metric), k)
-                yield out.assign(first=kind[0]) if kind else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in best_in_blocks(one_by_one(batches), metric, k):
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     columns, schema = ["q_ids", "q_vectors", "g_ids", "g_vectors"], "query_id long, other_id long, value double"
     if first is None:
-        return ranked(pairs.select(*columns).mapInPandas(run, schema), k, metric)
-    best = pairs.select(*columns, "g_first").mapInPandas(run, schema + ", first boolean")
+        return ranked(pairs.select(*columns).mapInArrow(run, schema), k, metric)
+    best = pairs.select(*columns, "g_first").mapInArrow(run, schema + ", first boolean")
     return ranked(_staged(best), k, metric)
 
 
